@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, packing, sharding, simhash
+from . import html, linededup, packing, quality, sharding, simhash
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, threshold=0.3).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -32,8 +39,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs, min_docs=10, min_chars=1, keep_text=False)
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_rule_quality, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op7_line_dedup, op9_html_main_text)}
 
 
 #: DuckDB SQL for the queries that SQL can express.
