@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, packing, quality, sharding, simhash
+from . import decontaminate, html, linededup, packing, quality, sharding, simhash
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,12 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rule_quality, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op7_line_dedup, op9_html_main_text)}
+    return {f.__name__: f for f in (op1_rule_quality, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op7_line_dedup, op9_html_main_text, op10_spaced_seed_leaks)}
 
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -231,3 +231,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(ids, "root").select("fp", "component_id")
     return marked.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of `docs` whose doc_id names their component: one document of each group of near copies.
+
+    Rows without a doc_id stay. Of repeated rows with one doc_id, one stays.
+    """
+    groups = near_duplicates(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(groups, docs.doc_id.cast("long") == groups.gone, "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
