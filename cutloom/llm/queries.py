@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, packing, quality, sharding, simhash
-from .common import read_table
+from . import decontaminate, fixity, html, linededup, packing, quality, rollups, search, sharding, simhash
+from .common import checkpoint_dir, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,13 @@ def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 100."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(search.build_index(docs), queries, k=10)
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -34,11 +42,34 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by their words, then revised to tokenizer ids, then without toxic ones; the revision is sent twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    book = rollups.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    book.commit("1-words", rollups.word_counts(docs))
+    for _ in range(2):
+        book.commit("2-bpe", rollups.tokenizer_counts(docs, TOKENIZER, "word_bpe_49k"))
+    takedown = toxic.select(F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast("string").alias(k) for k in rollups.KEYS], F.lit(0).alias("tokens"))
+    book.commit("3-takedown", takedown)
+    return book.totals()
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, min_docs=10, min_chars=1, keep_text=False)
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records against a replica in which every page of a url ending in 7 has its last character lost."""
+    pages = read_table(spark, sf_dir, "pages")
+    hurt = F.when(F.col("url").endswith("7"), F.expr("left(html, greatest(char_length(html) - 1, 0)) || '#'")).otherwise(F.col("html"))
+    expected = fixity.warc_records(pages)
+    actual = fixity.warc_records(pages.withColumn("html", hurt))
+    found, _ = fixity.audit(expected, actual)
+    return found
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read_table(spark, sf_dir, "pages"))
 
@@ -48,7 +79,7 @@ def op10_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_rule_quality, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op7_line_dedup, op9_html_main_text, op10_spaced_seed_leaks)}
+    return {f.__name__: f for f in (op1_rule_quality, op2_bm25_top_k, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op6_token_rollups, op7_line_dedup, op8_warc_fixity, op9_html_main_text, op10_spaced_seed_leaks)}
 
 
 #: DuckDB SQL for the queries that SQL can express.
