@@ -14,6 +14,7 @@ exact too, and grows only in proportion to the bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, checkpointed, slices, utf8
 from .components import components
+from .decontaminate import tokens
 
 BITS = 64
 #: Spreads the bits of a byte over the bytes of a word, so that eight counters are added at once.
@@ -33,6 +35,17 @@ for _b in range(256):
     _SPREAD[_b] = sum(((_b >> _k) & 1) << (8 * _k) for _k in range(8))
 
 
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same values, one for each seed."""
+    x = h + np.uint64((seed + 1) * _MIX[0] & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
 def shingles(text: bytes, words: int) -> list[bytes]:
     """Word shingles, repeats included, of a text with A-Z lower-cased; fewer words give the whole sequence."""
     w = text.lower().split()
@@ -52,12 +65,16 @@ def fingerprints(texts: list[bytes], words: int, seed: int = 42) -> np.ndarray:
         s = shingles(t, words)
         sizes.append(len(s))
         hashes += [digest(x, seed) for x in s]
-    n = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, np.uint64), np.array(sizes, np.int64))
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of `n` hashes the bits that are set in over half of them; zero for an empty run."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    lanes = _SPREAD[np.array(hashes, "<u8").view(np.uint8)].reshape(-1, 8)
+    lanes = _SPREAD[hashes.astype("<u8", copy=False).view(np.uint8)].reshape(-1, 8)
     starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
     # A lane of eight bits holds up to 255 shingles; longer texts are added up in runs of 255.
     runs = -(-n[full] // 255)
@@ -233,11 +250,78 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     return marked.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each group of near copies.
+#: 64-bit words of the long fingerprint that checks candidates.
+CHECKS = 8
+
+
+def _sketches(texts: pa.Array, words: int, seeds: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each text: a key of its words in order, `seeds` SimHashes of its distinct words, a long one of its shingles, and whether it has words."""
+    tok, ends = tokens(texts)
+    n = np.diff(ends, prepend=0)
+    raw = utf8(texts)
+    keys = np.array([xxhash.xxh3_64_intdigest(tok[e - k : e].tobytes(), 1) if k else xxhash.xxh3_64_intdigest(t, 2) for t, e, k in zip(raw, ends.tolist(), n.tolist(), strict=True)], np.uint64)
+    doc = np.repeat(np.arange(len(n)), n)
+    own = np.unique(tok ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[0]), return_index=True)[1]
+    own = own[np.argsort(doc[own], kind="stable")]
+    n_own = np.bincount(doc[own], minlength=len(n))
+    prints = [majority(mixed(tok[own], s), n_own) for s in range(seeds)]
+    # A text of fewer words is one shingle.
+    span = np.minimum(words, n)
+    n_shingles = np.where(n > 0, n - span + 1, 0)
+    row = np.repeat(np.arange(len(n)), n_shingles)
+    at = (ends - n)[row] + np.arange(n_shingles.sum()) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(words):
+        inside = k < span[row]
+        h = h * np.uint64(_MIX[1]) + np.where(inside, tok[np.where(inside, at + k, at)], np.uint64(0))
+    return keys, prints, [majority(mixed(h, 100 + s), n_shingles) for s in range(CHECKS)], n > 0
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 4, bucket_limit: int = 2048) -> DataFrame:
+    """Every document with its group of near copies: doc_id, component_id (the smallest doc_id of the group).
+
+    Candidates come out of the covering tables of `seeds` SimHashes over distinct words: a few changed
+    words move each by a few bits only. Every candidate pair is then checked by a 512-bit SimHash over
+    shingles of `words` words, whose angle must be that of a Jaccard similarity of `similarity` or less
+    wide. Texts with the same words in a row are one text from the start; texts without words only
+    match themselves. Null texts are empty ones; repeated rows come back as often as they are; null
+    doc_ids are grouped but never name a group; an empty table gives an empty result.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("worded", pa.bool_()), *[(f"s{i}", pa.int64()) for i in range(seeds)], *[(f"c{i}", pa.int64()) for i in range(CHECKS)]])
+    fields = ", ".join(f"{f.name} {'boolean' if f.name == 'worded' else 'long'}" for f in schema)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1024, 1 << 20):
+            keys, prints, checks, worded = _sketches(part.column("text"), words, seeds)
+            yield arrow({"doc_id": part.column("doc_id"), "node": keys.view(np.int64), "worded": worded, **{f"s{i}": x.view(np.int64) for i, x in enumerate(prints)}, **{f"c{i}": x.view(np.int64) for i, x in enumerate(checks)}}, schema)
+
+    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, fields))
+    sketches = [f"s{i}" for i in range(seeds)] + [f"c{i}" for i in range(CHECKS)]
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("worded").alias("worded"), *[F.min(c).alias(c) for c in sketches]))
+    pairs = None
+    for i in range(seeds):
+        prints = checkpointed(nodes.where("worded").groupBy(F.col(f"s{i}").alias("fp")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+        links = near_links(prints.select("fp"), radius, bucket_limit)
+        ends = links.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+        same = nodes.where("worded").join(prints.where("n > 1").select(F.col("fp").alias(f"s{i}"), "first"), f"s{i}").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        found = checkpointed(ends.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = found if pairs is None else pairs.union(found)
+    limit = int(CHECKS * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5)
+    left = nodes.select(F.col("node").alias("a"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(CHECKS)])
+    right = nodes.select(F.col("node").alias("b"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(CHECKS)])
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(CHECKS)), F.lit(0))
+    close = pairs.distinct().join(left, "a").join(right, "b").where(apart <= limit).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = components(close)
+    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id names their component in `groups` (doc_id, component_id).
 
     Rows without a doc_id stay. Of repeated rows with one doc_id, one stays.
     """
-    groups = near_duplicates(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(groups, docs.doc_id.cast("long") == groups.gone, "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
