@@ -210,17 +210,17 @@ def _joined(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
                 yield arrow({"h": h.view(np.int64), key: ids[row], f"{key}_at": at - starts[row]}, out)
 
     # Equal texts are looked at once: rows and items are known by a hash of their text.
-    docs = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)))
+    docs = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)))
     items = items.withColumn("item_key", F.xxhash64("item_text", F.lit(6)))
-    texts = docs.select("text_key", "text").where("text is not null").dropDuplicates(["text_key"])
+    texts = docs.select("__text_key", "text").where("text is not null").dropDuplicates(["__text_key"])
     passages = items.select("item_key", F.col("item_text").alias("text")).dropDuplicates(["item_key"])
-    left = texts.mapInArrow(lambda b: spread(b, "text_key"), "h long, text_key long, text_key_at long")
+    left = texts.mapInArrow(lambda b: spread(b, "__text_key"), "h long, __text_key long, __text_key_at long")
     right = passages.mapInArrow(lambda b: spread(b, "item_key"), "h long, item_key long, item_key_at long")
-    shifts = left.join(right, "h").select("text_key", "item_key", (F.col("text_key_at") - F.col("item_key_at")).alias("shift"))
-    pairs = checkpointed(shifts.groupBy("text_key", "item_key").agg(F.collect_set("shift").alias("shifts")))
+    shifts = left.join(right, "h").select("__text_key", "item_key", (F.col("__text_key_at") - F.col("item_key_at")).alias("shift"))
+    pairs = checkpointed(shifts.groupBy("__text_key", "item_key").agg(F.collect_set("shift").alias("shifts")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("text_key", pa.int64()), ("item_key", pa.int64()), ("first_token", pa.int32()), ("matched", pa.int32()), ("item_tokens", pa.int32())])
+        out = pa.schema([("__text_key", pa.int64()), ("item_key", pa.int64()), ("first_token", pa.int32()), ("matched", pa.int32()), ("item_tokens", pa.int32())])
         for part in slices(batches, "text", 512, 4 << 20):
             tok, ends = tokens(part.column("text"))
             item, item_ends = tokens(part.column("item"))
@@ -229,14 +229,14 @@ def _joined(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
                 doc, q = (x[(e[i - 1] if i else 0) : e[i]] for x, e in ((tok, ends), (item, item_ends)))
                 n, begin = covered(doc, q, np.array(shifts), rule)
                 if len(q) >= rule.least and n >= min(rule.many, max(rule.least, rule.share * len(q))):
-                    rows.append((part.column("text_key")[i].as_py(), part.column("item_key")[i].as_py(), begin, n, len(q)))
+                    rows.append((part.column("__text_key")[i].as_py(), part.column("item_key")[i].as_py(), begin, n, len(q)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield arrow(dict(zip(out.names, columns, strict=True)), out)
 
-    full = pairs.join(texts, "text_key").join(passages.withColumnRenamed("text", "item"), "item_key")
-    found = full.select("text_key", "item_key", "shifts", "text", "item").mapInArrow(verify, "text_key long, item_key long, first_token int, matched int, item_tokens int")
-    named = found.join(items.select("item_key", "item_id"), "item_key").groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("item_id", "first_token", "matched", "item_tokens"))).alias("leaks"))
-    return docs.join(named, "text_key", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAKS))).drop("text_key")
+    full = pairs.join(texts, "__text_key").join(passages.withColumnRenamed("text", "item"), "item_key")
+    found = full.select("__text_key", "item_key", "shifts", "text", "item").mapInArrow(verify, "__text_key long, item_key long, first_token int, matched int, item_tokens int")
+    named = found.join(items.select("item_key", "item_id"), "item_key").groupBy("__text_key").agg(F.sort_array(F.collect_list(F.struct("item_id", "first_token", "matched", "item_tokens"))).alias("leaks"))
+    return docs.join(named, "__text_key", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAKS))).drop("__text_key")
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), broadcast_bytes: int = 4 << 20) -> DataFrame:  # noqa: B008

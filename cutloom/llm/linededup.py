@@ -192,43 +192,43 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
         return docs.mapInArrow(probe, schema)
 
     # Beyond the bound: every distinct (text, line) goes to its shard, and only dropped line numbers come back.
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)).alias("text_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(2)).alias("text_key2")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)).alias("__text_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(2)).alias("__text_key2")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int32()), ("text_key", pa.int64()), ("text_key2", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("f", pa.int64())])
+        out = pa.schema([("shard", pa.int32()), ("__text_key", pa.int64()), ("__text_key2", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("f", pa.int64())])
         for part in slices(batches, "text", 4096):
             lines = [line_keys(t) for t in utf8(part.column("text"))]
             sizes = np.array([len(x) for x in lines])
             h, f = _hashes([k for x in lines for k in x])
-            keys = {k: np.repeat(np.asarray(part.column(k)), sizes) for k in ("text_key", "text_key2")}
+            keys = {k: np.repeat(np.asarray(part.column(k)), sizes) for k in ("__text_key", "__text_key2")}
             yield arrow({"shard": _shard_of(h, n_shards), **keys, "line": np.concatenate([np.arange(s) for s in sizes]), "h": h, "f": f.astype(np.int64)}, out)
 
     def look(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"text_key": pd.Series(dtype="int64"), "text_key2": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
+        none = pd.DataFrame({"__text_key": pd.Series(dtype="int64"), "__text_key2": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
         if not len(left) or not len(right):
             return none
         n = Shard(right.iloc[0].to_dict()).lookup(left["h"].to_numpy(), left["f"].to_numpy().astype(np.uint32))
-        return left.loc[n >= min_docs, ["text_key", "text_key2", "line"]]
+        return left.loc[n >= min_docs, ["__text_key", "__text_key2", "line"]]
 
     # A shard's lines are dealt over `salts` tasks, each with a copy of its arrays.
     salts = 16
-    lines = docs.select("text", *key).mapInArrow(explode, "shard int, text_key long, text_key2 long, line int, h long, f long")
-    lines = lines.withColumn("salt", F.pmod("text_key", F.lit(salts)).cast("int"))
+    lines = docs.select("text", *key).mapInArrow(explode, "shard int, __text_key long, __text_key2 long, line int, h long, f long")
+    lines = lines.withColumn("salt", F.pmod("__text_key", F.lit(salts)).cast("int"))
     copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look, "text_key long, text_key2 long, line int")
-    gone = found.groupBy("text_key", "text_key2").agg(F.collect_set("line").alias("gone_lines"))
+    found = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look, "__text_key long, __text_key2 long, line int")
+    gone = found.groupBy("__text_key", "__text_key2").agg(F.collect_set("line").alias("__gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4096):
             texts = utf8(part.column("text"))
             marks = []
-            for t, g in zip(texts, part.column("gone_lines").to_pylist(), strict=True):
+            for t, g in zip(texts, part.column("__gone").to_pylist(), strict=True):
                 m = np.zeros(t.count(b"\n") + 1, bool)
                 m[g or []] = True
                 marks.append(m)
             yield _finish(part, texts, marks, names)
 
-    return docs.select("*", *key).join(gone, ["text_key", "text_key2"], "left").drop("text_key", "text_key2").mapInArrow(cut, schema)
+    return docs.select("*", *key).join(gone, ["__text_key", "__text_key2"], "left").drop("__text_key", "__text_key2").mapInArrow(cut, schema)
 
 
 def _finish(part: pa.RecordBatch, texts: list[bytes], gone: list[np.ndarray], names: list[str]) -> pa.RecordBatch:

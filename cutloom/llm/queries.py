@@ -82,5 +82,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_rule_quality, op2_bm25_top_k, op3_kd_shards, op4_best_fit_packing, op5_simhash_near_dedup, op6_token_rollups, op7_line_dedup, op8_warc_fixity, op9_html_main_text, op10_spaced_seed_leaks)}
 
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH l AS (SELECT doc_id, u.i AS i, u.line AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+  LATERAL (SELECT unnest(d.parts) AS line, unnest(range(len(d.parts))) AS i) u),
+k AS (SELECT doc_id, i, line, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+n AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(n.key) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN n.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM k LEFT JOIN n ON n.key = k.key GROUP BY k.doc_id""",
+    "op8_warc_fixity": """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a, CASE WHEN url LIKE '%7' THEN left(html, length(html) - 1) || '#' ELSE coalesce(html, '') END AS b FROM pages),
+h AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+  chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, b FROM p),
+r AS (SELECT page_id, page_id // 512 AS segment, head || strlen(a) || gap || a || gap AS ra, head || strlen(b) || gap || b || gap AS rb FROM h),
+o AS (SELECT segment, row_number() OVER w - 1 AS position, page_id, CAST(sum(strlen(ra)) OVER w - strlen(ra) AS BIGINT) AS "offset", CAST(strlen(ra) AS BIGINT) AS length, ra, rb FROM r
+  WINDOW w AS (PARTITION BY segment ORDER BY page_id))
+SELECT segment, position, page_id, "offset", length, 'corrupt' AS finding, sha256(ra) AS expected_digest, sha256(rb) AS actual_digest FROM o WHERE ra <> rb""",
+}

@@ -103,7 +103,7 @@ class Shard:
         cut = int(often[0]) if len(often) else len(at)
         size = n[:cut]
         take = np.repeat(self.starts[at[:cut]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[:cut], size), self.n_blocks * BLOCK)
+        score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[:cut], size), self.n_blocks * BLOCK).astype(np.float64)
         rest = [(w, *self.full(int(t))) for t, w in zip(at[cut:], weights[cut:], strict=True)]
         docs = np.arange(len(self.ids))
         if prune and rest and len(docs) > k:
