@@ -161,7 +161,7 @@ def test_near_links_dense_buckets(spark):
     df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
     want = plain_components(fps, list(range(len(fps))), 4)
     for limit in (2, 10, 5000):
-        roots = dict((x["node"] % 2**64, x["root"]) for x in components(simhash.near_links(df, 4, limit)).collect())
+        roots = dict((x["node"] % 2**64, x["root"] % 2**64) for x in components(simhash.near_links(df, 4, limit)).collect())
         groups, plain = defaultdict(set), defaultdict(set)
         for i, f in enumerate(fps):
             groups[roots.get(f, f)].add(f)
