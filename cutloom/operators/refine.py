@@ -69,17 +69,19 @@ def d_values(edges: DataFrame, assignment: DataFrame, pairs: Iterable[tuple[int,
 def pair_gains(edges: DataFrame, assignment: DataFrame, a: int, b: int, limit: int = 100) -> DataFrame:
     """The best exchanges of one pair of parts: (x, y, gain), best gain first, then smallest x and y.
 
-    Adjacency lowers a gain by 2 only, so no pair is among the best that is not under the best `limit`
-    of one side by D, counting ties by id; both sides are cut to what can matter before they are paired.
+    Adjacency lowers a gain by 2 only, so no vertex whose D is more than 2 under that of the `limit`-th
+    of its side is in one of the best pairs; and of equal D only the first by id count, as many as
+    `limit` and the neighbours that one partner can have. Both sides are cut to that before they are paired.
     """
-    d = d_values(edges, assignment, [(a, b)])
+    d = saved(d_values(edges, assignment, [(a, b)]))
+    most = limit + (d.agg(F.max("deg")).first()[0] or 0)
     xs = d.where(F.col("part") == min(a, b)).select(F.col("v").alias("x"), F.col("d").alias("dx"))
     ys = d.where(F.col("part") == max(a, b)).select(F.col("v").alias("y"), F.col("d").alias("dy"))
 
     def best(side: DataFrame, v: str, dv: str) -> DataFrame:
-        # With n rows on top of it and d lower by more than 2, a row is in no pair of the best n.
-        edge = side.orderBy(F.desc(dv), v).limit(limit).agg(F.min(dv).alias("least"))
-        return side.crossJoin(F.broadcast(edge)).where(F.col(dv) >= F.col("least") - 2).drop("least")  # one row
+        edge = side.orderBy(F.desc(dv), v).limit(limit).agg(F.min(dv)).first()[0]
+        near = side.where(F.col(dv) >= (edge or 0) - 2)
+        return near.withColumn("rank", F.row_number().over(W.partitionBy(dv).orderBy(v))).where(F.col("rank") <= most).drop("rank")
 
     close = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(2).alias("c")).distinct()
     pairs = best(xs, "x", "dx").crossJoin(F.broadcast(best(ys, "y", "dy")))
