@@ -114,8 +114,6 @@ class Page:
                     pos = end.end() if end else len(html)
                 continue
             if name in ("html", "body", "head"):
-                if name != "head" and rest:
-                    self.words[0] |= 0
                 continue
             if name in _VOID:
                 continue

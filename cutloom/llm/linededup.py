@@ -185,8 +185,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
                     mine = np.flatnonzero(at == s)
                     n[mine] = a.lookup(h[mine], f[mine])
                 gone = n >= min_docs
-                if min_chars <= 0:
-                    gone &= True
                 yield _finish(part, texts, np.split(gone, ends[:-1]), names)
 
         return docs.mapInArrow(probe, schema)
