@@ -196,13 +196,13 @@ def external_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_d(G2_SQL, 2)} SELECT v, part, deg, ext, d FROM d")
 def d_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return refine.d_values(edges, assign.hash_assign(edges, 2), [(0, 1)]).select("v", "part", "deg", "ext", "d")
 
 
 @_query(f"WITH {_d(G2_SQL, 3)}, i AS (SELECT dst AS v, count(*) AS own FROM e WHERE ps = pd GROUP BY dst) SELECT d.v, d.part, d.deg, d.ext, d.ext - coalesce(i.own, 0) AS d FROM d LEFT JOIN i ON i.v = d.v")
 def d_values_pair_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return refine.d_values(edges, assign.hash_assign(edges, 3), [(0, 1)], "pair").select("v", "part", "deg", "ext", "d")
 
 
@@ -212,7 +212,7 @@ c AS (SELECT x, y, CAST(dx + dy - CASE WHEN q.src IS NULL THEN 0 ELSE 2 END AS B
 
 @_query(f"WITH {_d(G2_SQL, 2)}, {_GAINS} SELECT x, y, gain FROM c ORDER BY gain DESC, x, y LIMIT 100")
 def pair_gains_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return refine.pair_gains(edges, assign.hash_assign(edges, 2), 0, 1, 100)
 
 
@@ -227,7 +227,7 @@ w(step, x, y, gain, ux, uy) AS (
 
 @_query(f"{_GREEDY} SELECT CAST(step AS INTEGER) AS step, x, y, gain FROM w")
 def greedy_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return refine.swaps(edges, assign.hash_assign(edges, 2), [(0, 1)]).select("step", "x", "y", "gain")
 
 
@@ -236,28 +236,28 @@ _REFINED = f"{_GREEDY}, f AS (SELECT a.v, CAST(CASE WHEN p.x IS NOT NULL THEN 1
 
 @_query(f"{_REFINED} SELECT v, part FROM f")
 def refined_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     a = assign.hash_assign(edges, 2)
     return refine.apply_swaps(a, refine.swaps(edges, a, [(0, 1)]))
 
 
 @_query(f"{_REFINED} SELECT count(*) AS cut_entries, count(*) // 2 AS edge_cut FROM g JOIN f p ON p.v = g.src JOIN f q ON q.v = g.dst WHERE p.part <> q.part")
 def refined_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return metrics.edge_cut(edges, refine.refine(edges, assign.hash_assign(edges, 2), 2))
 
 
 @_query(f"WITH {_assigned(G2_SQL, 4)} SELECT part, count(*) AS n_vertices FROM a GROUP BY part")
 def refined_sizes_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refinement in rounds of disjoint pairs keeps the sizes of the parts."""
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return metrics.part_sizes(refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair"))
 
 
 @_query()
 def refined_dynamic_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut with gains that follow the exchanges, over windows of 20 vertices, never worse than before."""
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return metrics.edge_cut(edges, refine.refine(edges, assign.hash_assign(edges, 2), 2, "dynamic", window=20, accept="improve"))
 
 
@@ -388,7 +388,7 @@ def equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS total_weight FROM g")
 def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarsening keeps the total vertex weight on its last level."""
-    _, weights, _ = coarsen.coarsen(g2(spark, sf_dir), 40)[-1]
+    _, weights, _ = coarsen.coarsen(rank.saved(g2(spark, sf_dir)), 40)[-1]
     return weights.agg(F.sum("vwgt").alias("total_weight"))
 
 
@@ -409,7 +409,7 @@ def active_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {G1_SQL}, l(v, level) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, l.level + 1 FROM l JOIN g ON g.src = l.v WHERE l.level < 8) SELECT v, min(level) AS level FROM l GROUP BY v")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = g1(spark, sf_dir)
+    edges = rank.saved(g1(spark, sf_dir))
     return iterate.bfs_levels(edges, assign.vertices(edges), 0)
 
 
@@ -422,7 +422,7 @@ def neighbour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {G2_SQL}, n AS (SELECT src AS v FROM g UNION SELECT dst FROM g) SELECT v, (SELECT min(v) FROM n) AS component FROM n")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The follower graph is connected at every scale."""
-    edges = g2(spark, sf_dir)
+    edges = rank.saved(g2(spark, sf_dir))
     return iterate.components(edges, assign.vertices(edges))
 
 
