@@ -27,7 +27,11 @@ from .common import arrow, checkpointed, slices
 from .decontaminate import tokens
 
 BLOCK = 64
+#: Frequent terms between two looks at the threshold.
+CHUNK = 8
 K1, B = 1.2, 0.75
+#: Terms whose frequencies travel together.
+_PART = 1 << 15
 _DOC = "shard int, doc_id long, n_tokens long, terms binary, counts binary"
 _INDEX = "shard int, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
 
@@ -79,7 +83,7 @@ class Shard:
     def full(self, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Impacts of a frequent term for all documents, and their maximum in each block."""
         if t not in self.dense:
-            if len(self.dense) * len(self.ids) > 8_000_000:
+            if len(self.dense) * len(self.ids) > 4_000_000:
                 self.dense.clear()
             x = np.zeros(self.n_blocks * BLOCK)
             a, b = self.starts[t], self.starts[t + 1]
@@ -107,14 +111,31 @@ class Shard:
         rest = [(w, *self.full(int(t))) for t, w in zip(at[cut:], weights[cut:], strict=True)]
         docs = np.arange(len(self.ids))
         if prune and rest and len(docs) > k:
-            # Block bounds with a margin for rounding; documents on the threshold stay, for ties.
-            bounds = np.zeros((len(rest) + 1, self.n_blocks))
+            # What the terms from i on can still add to a document of each block, every CHUNK terms.
+            bounds = [np.zeros(self.n_blocks)]
             for i in range(len(rest) - 1, -1, -1):
-                bounds[i] = bounds[i + 1] + rest[i][0] * rest[i][2]
+                b = bounds[-1] + rest[i][0] * rest[i][2]
+                if (i + 1) % CHUNK:
+                    bounds[-1] = b
+                else:
+                    bounds.append(b)
+            bounds = bounds[::-1]
+            # The most promising documents are completed first: their k-th best score is the threshold.
+            hope = score[: len(docs)] + np.repeat(bounds[0], BLOCK)[: len(docs)]
+            probe = np.argpartition(hope, -min(len(docs), 4 * k))[-4 * k :]
+            exact = score[probe]
+            for w, x, _ in rest:
+                exact = exact + w * x[probe]
+            least = np.partition(exact, -k)[-k] * (1 - 1e-12)
+            docs = np.flatnonzero(hope >= least)
+            own = score[docs]
             for i, (w, x, _) in enumerate(rest):
-                least = np.partition(score[docs], -k)[-k] if len(docs) >= k else -1.0
-                docs = docs[score[docs] + bounds[i][docs // BLOCK] >= least * (1 - 1e-12)]
-                score[docs] += w * x[docs]
+                if i and i % CHUNK == 0:
+                    # Documents on the threshold stay, for ties; the margin is for rounding.
+                    stay = own + bounds[i // CHUNK][docs // BLOCK] >= least
+                    docs, own = docs[stay], own[stay]
+                own = own + w * x[docs]
+            score[docs] = own
         else:
             for w, x, _ in rest:
                 score += w * x
@@ -159,18 +180,30 @@ def _search_block(spark, index: DataFrame, bags: DataFrame, k: int, n_docs: int,
     vocabulary = np.unique(np.concatenate([q[1] for q in asked])) if asked else np.zeros(0, "<u8")
     words = spark.sparkContext.broadcast(vocabulary)
 
+    n_parts = -(-len(vocabulary) // _PART)
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, schema = words.value, pa.schema([("term", pa.int64()), ("n", pa.int64())])
+        """Frequencies of the vocabulary, in parts of equal length, added up over the shards of a task."""
+        v = words.value
+        total, shard = np.zeros(n_parts * _PART, "<i8"), 0
         for b in batches:
-            for t, s in zip(b.column("terms").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                t, n = np.frombuffer(t, "<u8"), np.diff(np.frombuffer(s, "<i4"))
-                mine = np.isin(t, v, assume_unique=True)
-                yield arrow({"term": t[mine].view(np.int64), "n": n[mine]}, schema)
-
-    df = index.select("terms", "starts").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    terms = df["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms, n = terms[order], df["n"].to_numpy(float)[order]
+            for at, t, s in zip(b.column("shard").to_pylist(), b.column("terms").to_pylist(), b.column("starts").to_pylist(), strict=True):
+                t, n, shard = np.frombuffer(t, "<u8"), np.diff(np.frombuffer(s, "<i4")), at
+                where = np.searchsorted(v, t)
+                mine = (where < len(v)) & (v[np.minimum(where, len(v) - 1)] == t)
+                total[where[mine]] += n[mine]
+        yield arrow({"part": np.arange(n_parts), "heap": np.full(n_parts, shard % 64), "n": [total[i * _PART : (i + 1) * _PART].tobytes() for i in range(n_parts)]}, pa.schema([("part", pa.int32()), ("heap", pa.int32()), ("n", pa.binary())]))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, "<i8") for x in pdf["n"]], axis=0)
+        return pd.DataFrame([{"part": int(pdf["part"].iloc[0]), "heap": 0, "n": total.astype("<i8").tobytes()}])
+
+    terms, n = vocabulary, np.zeros(0)
+    if n_parts:
+        kind = "part int, heap int, n binary"
+        sums = index.select("shard", "terms", "starts").mapInArrow(frequencies, kind).groupBy("part", "heap").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
+        n = np.concatenate([np.frombuffer(r["n"], "<i8") for r in sorted(sums, key=lambda r: r["part"])] or [np.zeros(n_parts * _PART)])[: len(terms)].astype(float)
+        terms, n = terms[n > 0], n[n > 0]
     idf = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
     plan = []
     for qid, t, c in asked:
