@@ -18,15 +18,18 @@ from ..sources import sinks, text
 class Result:
     assignment: DataFrame
     metrics: DataFrame
+    visited: DataFrame | None = None
 
 
 @dataclass
 class PartitionJob:
     """A graph folder to `k` parts.
 
-    `mode` none keeps the hash partition, static and dynamic refine it. `after_refine` is called with
-    the final assignment, before it is written to `output` (if given) as one folder per part. `parse`
-    replaces the built-in line parser, `on_vertices` gets every final (v, part) by partition in Arrow batches.
+    `mode` none keeps the hash partition, static and dynamic refine it. `before_refine` is called with
+    the hash partition and `after_refine` with the final one, before it is written to `output` (if given)
+    as one folder per part. `parse` replaces the built-in line parser. `on_vertices` is a function over
+    batches of adjacency records (rank, nbrs, part) in pandas, with the schema of what it makes of them;
+    the result has that as `visited`.
     """
 
     path: str | list[str]
@@ -45,7 +48,9 @@ class PartitionJob:
     symmetrize: bool = False
     include_isolated: bool = False
     parse: Callable[[DataFrame], DataFrame] | None = None
+    before_refine: Callable[[DataFrame], None] | None = None
     after_refine: Callable[[DataFrame], None] | None = None
+    on_vertices: tuple[Callable, str] | None = None
     timings: dict[str, float] = field(default_factory=dict)
 
     def _timed(self, name: str, f: Callable[[], DataFrame]) -> DataFrame:
@@ -61,6 +66,8 @@ class PartitionJob:
             check_range(edges, self.n_vertices)
         isolated = self.n_vertices if self.include_isolated else None
         first = self._timed("assign_s", lambda: saved(assign.hash_assign(edges, self.k, isolated)))
+        if self.before_refine is not None:
+            self.before_refine(first)
         final = self._timed("refine_s", lambda: refine.refine(edges, first, self.k, self.mode, self.schedule, self.window, accept=self.accept))
         if self.after_refine is not None:
             self.after_refine(final)
@@ -68,7 +75,11 @@ class PartitionJob:
             began = time.perf_counter()
             sinks.write_parts(final, self.output)
             self.timings["write_s"] = time.perf_counter() - began
-        return Result(final, self._report(spark, edges, first, final))
+        visited = None
+        if self.on_vertices is not None:
+            records = metrics.adjacency(edges).join(final.withColumnRenamed("v", "rank"), "rank")
+            visited = records.select("rank", "nbrs", "part").mapInPandas(*self.on_vertices)
+        return Result(final, self._report(spark, edges, first, final), visited)
 
     def _report(self, spark: SparkSession, edges: DataFrame, first: DataFrame, final: DataFrame) -> DataFrame:
         """(name, value): the cut before and after, over all entries, and the run's figures."""

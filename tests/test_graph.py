@@ -206,11 +206,17 @@ def test_two_files_share_a_vertex(spark, tmp_path):
 
 def test_job(spark, sample, tmp_path):
     seen = []
-    job = PartitionJob(sample, "metis", 2, 7, output=f"{tmp_path}/out", after_refine=lambda a: seen.append(a.count()))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(deg=b["nbrs"].map(len))[["rank", "part", "deg"]]
+
+    job = PartitionJob(sample, "metis", 2, 7, output=f"{tmp_path}/out", before_refine=lambda a: seen.append(a.count()), after_refine=lambda a: seen.append(a.count()), on_vertices=(sizes, "rank long, part int, deg long"))
     result = job.run(spark)
     m = {r["name"]: r["value"] for r in result.metrics.collect()}
     assert (m["edge_cut_before"], m["edge_cut"], m["combined_pairs"], m["n_hubs"]) == (6, 6, 15, 0)
-    assert seen == [7]
+    assert seen == [7, 7]
+    assert rows(result.visited, "rank", "part", "deg")[:2] == [(1, 1, 3), (2, 1, 3)]
     assert rows(text.read_parts(spark, f"{tmp_path}/out/part=*"), "v", "part") == rows(result.assignment, "v", "part")
 
 
