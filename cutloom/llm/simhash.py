@@ -125,6 +125,14 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, limit: int) ->
     rest_t = rest_k = np.zeros(0, np.int64)
     rest_f = np.zeros(0, np.uint64)
     hot: tuple[int, int] | None = None
+    #: A link is passed on only if it joins two sets of this task's linked fingerprints, which keeps components.
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
 
     def links(t: np.ndarray, k: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
         u, v = [], []
@@ -148,7 +156,15 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, limit: int) ->
             return None
         u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
         both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-        return arrow({"u": both[1], "v": both[0], "hot_table": np.full(both.shape[1], -1, np.int32)}, _LINK)
+        kept = []
+        for i, (a, b) in enumerate(zip(both[0].tolist(), both[1].tolist(), strict=True)):
+            if (x := find(a)) != (y := find(b)):
+                parent[max(x, y)] = min(x, y)
+                kept.append(i)
+        if not kept:
+            return None
+        both = both[:, kept]
+        return arrow({"u": both[1], "v": both[0], "hot_table": np.full(len(kept), -1, np.int32)}, _LINK)
 
     def as_hot(t: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         return arrow({"u": f.view(np.int64), "v": f.view(np.int64), "hot_table": t}, _LINK)
