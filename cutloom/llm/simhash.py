@@ -266,21 +266,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     return marked.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: 64-bit words of the long fingerprint that checks candidates.
+#: 64-bit words of the sketch that rules out pairs before their shingles are compared.
 CHECKS = 8
 
 
-def _sketches(texts: pa.Array, words: int, seeds: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each text: a key of its words in order, `seeds` SimHashes of its distinct words, a long one of its shingles, and whether it has words."""
+def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a key of its words in order and the number of its distinct shingles, and all of these as hashes, sorted within a text."""
     tok, ends = tokens(texts)
     n = np.diff(ends, prepend=0)
     raw = utf8(texts)
     keys = np.array([xxhash.xxh3_64_intdigest(tok[e - k : e].tobytes(), 1) if k else xxhash.xxh3_64_intdigest(t, 2) for t, e, k in zip(raw, ends.tolist(), n.tolist(), strict=True)], np.uint64)
-    doc = np.repeat(np.arange(len(n)), n)
-    own = np.unique(tok ^ (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX[0]), return_index=True)[1]
-    own = own[np.argsort(doc[own], kind="stable")]
-    n_own = np.bincount(doc[own], minlength=len(n))
-    prints = [majority(mixed(tok[own], s), n_own) for s in range(seeds)]
     # A text of fewer words is one shingle.
     span = np.minimum(words, n)
     n_shingles = np.where(n > 0, n - span + 1, 0)
@@ -290,43 +285,199 @@ def _sketches(texts: pa.Array, words: int, seeds: int) -> tuple[np.ndarray, list
     for k in range(words):
         inside = k < span[row]
         h = h * np.uint64(_MIX[1]) + np.where(inside, tok[np.where(inside, at + k, at)], np.uint64(0))
-    return keys, prints, [majority(mixed(h, 100 + s), n_shingles) for s in range(CHECKS)], n > 0
+    h = mixed(h, 0)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    if len(h):
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
+        h, row = h[new], row[new]
+    return keys, np.bincount(row, minlength=len(n)), h
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 4, bucket_limit: int = 2048) -> DataFrame:
+def _n_keys(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of its least shingle hashes each set is found by.
+
+    Sets of that similarity share one of their n - ceil(similarity n) + 1 least hashes. Of the least k
+    of their union all are unshared with a chance under (1 - similarity)^k, so k stops at e^-32.
+    """
+    most = 1 if similarity >= 1 else math.ceil(-32 / math.log(1 - similarity))
+    return np.where(n > 0, np.minimum(most, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1), 0)
+
+
+def _apart_limit(n: int, similarity: float) -> float:
+    """Bits of the sketch that sets of the similarity hardly ever differ in beyond: nine deviations over the mean, 64 more for small sets, whose bits are no sums of many."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = CHECKS * BITS
+    return bits * p + 9 * math.sqrt(bits * p * (1 - p)) + (64 if n < 20 else 0)
+
+
+def _in_cells(rows: DataFrame, limit: int) -> DataFrame:
+    """`rows` (node, bucket and others) with a cell: buckets beyond the limit are dealt to cells so that all of their pairs still meet, each in one small cell."""
+    hot = rows.groupBy("bucket").count().where(F.col("count") > limit).select("bucket", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(F.col("mine"), q) * F.col("parts") + F.greatest(F.col("mine"), q))
+    dealt = rows.join(hot, "bucket", "left").withColumn("mine", mine)
+    return dealt.withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells))).drop("parts", "mine")
+
+
+def _maybe_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, cell, n, node, sketch) sorted by the first three to links that join all pairs of a bucket that the sketch does not rule out."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    plain, short = _apart_limit(20, similarity), _apart_limit(1, similarity)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    def near(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.zeros(np.broadcast(i, j).shape, np.int32)
+        for w in range(CHECKS):
+            apart += np.bitwise_count(sk[i, w] ^ sk[j, w])
+        less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        return (apart <= np.where(less < 20, short, plain)) & (less >= similarity * more - 1e-9)
+
+    def links(key: np.ndarray, n: np.ndarray, node: np.ndarray, sk: np.ndarray) -> pa.RecordBatch | None:
+        u, v = [], []
+        starts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+        sizes = np.diff(np.append(starts, len(key)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        small = np.repeat(sizes <= 16, sizes)
+        for s in range(1, 16):
+            i = np.flatnonzero((group[s:] == group[:-s]) & small[s:]) if len(key) > s else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            i = i[near(sk, n, i, i + s)]
+            u.append(i)
+            v.append(i + s)
+        for g in np.flatnonzero(sizes > 16):
+            a, m = int(starts[g]), int(sizes[g])
+            todo = np.ones(m, bool)
+            for root in range(m):
+                if not todo[root]:
+                    continue
+                todo[root] = False
+                front = np.array([root])
+                while len(front):
+                    rest = np.flatnonzero(todo)
+                    new = np.zeros(len(rest), bool)
+                    for k in range(0, len(front), 256):
+                        left = np.flatnonzero(~new)
+                        if not len(left):
+                            break
+                        new[left] = near(sk, n, a + front[k : k + 256, None], a + rest[left][None, :]).any(axis=0)
+                    front = rest[new]
+                    todo[front] = False
+                    u.append(np.full(len(front), a + root))
+                    v.append(a + front)
+        if not sum(map(len, u)):
+            return None
+        kept = []
+        for a, b in zip(node[np.concatenate(u)].tolist(), node[np.concatenate(v)].tolist(), strict=True):
+            if (x := find(a)) != (y := find(b)):
+                parent[max(x, y)] = min(x, y)
+                kept.append((a, b))
+        return arrow({"u": [a for a, _ in kept], "v": [b for _, b in kept]}, schema) if kept else None
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(c), np.int64) for c in ("bucket", "cell")], axis=1)
+        got = [key, np.asarray(batch.column("n"), np.int64), np.asarray(batch.column("node"), np.int64), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, CHECKS)]
+        got = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
+        last = int(np.flatnonzero((got[0] != got[0][-1]).any(axis=1))[-1]) + 1 if (got[0] != got[0][-1]).any() else 0
+        if last and (out := links(*[x[:last] for x in got])) is not None:
+            yield out
+        rest = [x[last:] for x in got]
+    if rest is not None and (out := links(*rest)) is not None:
+        yield out
+
+
+def _alike(table: pa.Table, similarity: float) -> pa.Table:
+    """One group of sets (node, shingles) to links of a spanning forest of its pairs of the similarity or more, each by the shingles themselves."""
+    node = table.column("node").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    order = sorted(range(len(node)), key=lambda i: (len(sets[i]), node[i]))
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    names, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(n)
+    starts = ends - n
+    label = np.arange(len(n))
+    has = np.zeros(len(names), np.int32)
+    u, v = [], []
+    for i in range(1, len(n)):
+        first = int(np.searchsorted(n, similarity * n[i] - 1e-9))
+        j = np.arange(first, i)
+        mine = ids[starts[i] : ends[i]]
+        has[mine] = 1
+        # Once a set of a component is like this one, the rest of that component is not looked at.
+        step = 16
+        while len(j):
+            part, j = j[:step], j[step:]
+            step = min(4 * step, 4096)
+            m = n[part]
+            at = np.repeat(starts[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            both = np.add.reduceat(has[ids[at]], np.cumsum(m) - m)
+            for k in part[both >= similarity * (m + n[i] - both) - 1e-9].tolist():
+                if label[k] != label[i]:
+                    u.append(node[order[i]])
+                    v.append(node[order[k]])
+                    label[label == label[i]] = label[k]
+            j = j[label[j] != label[i]]
+        has[mine] = 0
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_limit: int = 2048) -> DataFrame:
     """Every document with its group of near copies: doc_id, component_id (the smallest doc_id of the group).
 
-    Candidates come out of the covering tables of `seeds` SimHashes over distinct words: a few changed
-    words move each by a few bits only. Every candidate pair is then checked by a 512-bit SimHash over
-    shingles of `words` words, whose angle must be that of a Jaccard similarity of `similarity` or less
-    wide. Texts with the same words in a row are one text from the start; texts without words only
+    Near copies are texts whose sets of distinct shingles of `words` words have a Jaccard similarity of
+    `similarity` or more, and what a chain of such pairs connects. Sets meet by their least shingle
+    hashes; pairs that a 512-bit SimHash of the sets does not rule out by far are gathered in rough
+    groups, and within these every pair is decided by the shingles themselves before it may link, so
+    nothing is thinned out that is not verified. A pair is missed with a chance of about 1e-10 at most (an estimate over keys and sketch bits).
+    Texts with the same words in a row are one text from the start; texts without words only
     match themselves. Null texts are empty ones; repeated rows come back as often as they are; null
     doc_ids are grouped but never name a group; an empty table gives an empty result.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("worded", pa.bool_()), *[(f"s{i}", pa.int64()) for i in range(seeds)], *[(f"c{i}", pa.int64()) for i in range(CHECKS)]])
-    fields = ", ".join(f"{f.name} {'boolean' if f.name == 'worded' else 'long'}" for f in schema)
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    whole = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1024, 1 << 20):
-            keys, prints, checks, worded = _sketches(part.column("text"), words, seeds)
-            yield arrow({"doc_id": part.column("doc_id"), "node": keys.view(np.int64), "worded": worded, **{f"s{i}": x.view(np.int64) for i, x in enumerate(prints)}, **{f"c{i}": x.view(np.int64) for i, x in enumerate(checks)}}, schema)
-
-    marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, fields))
-    sketches = [f"s{i}" for i in range(seeds)] + [f"c{i}" for i in range(CHECKS)]
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("worded").alias("worded"), *[F.min(c).alias(c) for c in sketches]))
-    pairs = None
-    for i in range(seeds):
-        prints = checkpointed(nodes.where("worded").groupBy(F.col(f"s{i}").alias("fp")).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-        links = near_links(prints.select("fp"), radius, bucket_limit)
-        ends = links.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-        same = nodes.where("worded").join(prints.where("n > 1").select(F.col("fp").alias(f"s{i}"), "first"), f"s{i}").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        found = checkpointed(ends.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        pairs = found if pairs is None else pairs.union(found)
-    limit = int(CHECKS * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5)
-    left = nodes.select(F.col("node").alias("a"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(CHECKS)])
-    right = nodes.select(F.col("node").alias("b"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(CHECKS)])
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(CHECKS)), F.lit(0))
-    close = pairs.distinct().join(left, "a").join(right, "b").where(apart <= limit).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            keys, n, h = _sets(part.column("text"), words)
+            starts = np.cumsum(n) - n
+            k = _n_keys(n, similarity)
+            at = np.repeat(starts - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(h[at].view(np.int64)))
+            bits = np.stack([majority(mixed(h, 100 + s), n) for s in range(CHECKS)], axis=1)
+            yield arrow({"doc_id": part.column("doc_id"), "node": keys.view(np.int64), "n": n, "keys": lists, "sketch": [x.tobytes() for x in bits]}, schema)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 1024, 1 << 20):
+            keys, n, h = _sets(part.column("text"), words)
+            ends = np.cumsum(n)
+            yield arrow({"node": keys.view(np.int64), "shingles": [h[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]}, whole)
+
+    marked = checkpointed(texts.mapInArrow(sketch, "doc_id long, node long, n long, keys array<long>, sketch binary"))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    met = _in_cells(nodes.select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
+    dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "n", "node")
+    joined = components(dealt.mapInArrow(lambda b: _maybe_links(b, similarity), "u long, v long"))
+    rough = joined.union(joined.select(F.col("root").alias("node"), "root")).distinct()
+    # Rough groups of many sets or shingles are taken apart by the keys at which their sets meet.
+    members = checkpointed(nodes.select("node", "least", "n", "keys").join(rough, "node"))
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all")).where((F.col("sets") > 256) | (F.col("all") > 1 << 20)).select("root", F.lit(True).alias("large"))
+    keyed = members.join(large, "root", "left").select("node", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("bucket"))
+    wanted = members.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    taken = texts.join(wanted, "doc_id", "left_semi").union(texts.where("doc_id is null"))
+    arrays = taken.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    groups = _in_cells(keyed, bucket_limit).join(arrays, "node").groupBy("bucket", "cell")
+    close = groups.applyInArrow(lambda t: _alike(t, similarity), "u long, v long")
     roots = components(close)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
