@@ -61,3 +61,18 @@ def test_dense_vocabulary(spark, limit):
     want = jaccard_groups(texts)
     assert len(set(want)) == 40
     assert found_groups(spark, texts, bucket_limit=limit) == want
+
+
+@pytest.mark.parametrize("limit", [2, 2048])
+def test_reordered_texts(spark, limit):
+    """Texts of the same distinct words in other orders: equal word SimHashes, but few of them are near copies."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(25):
+        w = r.sample(base, len(base))
+        i = r.randrange(len(w) - 1)
+        texts += [" ".join(w), " ".join([*w[:i], w[i + 1], w[i], *w[i + 2 :]])]
+    want = jaccard_groups(texts)
+    assert len(set(want)) == 25
+    assert found_groups(spark, texts, bucket_limit=limit) == want
