@@ -76,3 +76,21 @@ def test_reordered_texts(spark, limit):
     want = jaccard_groups(texts)
     assert len(set(want)) == 25
     assert found_groups(spark, texts, bucket_limit=limit) == want
+
+
+def test_short_texts(spark):
+    """A word more, a last word changed, one changed in the middle: on either side of 0.8, decided as brute force does."""
+    r = random.Random(7)
+    texts, n_pairs = [], 0
+    for n in (5, 6, 9, 12, 15, 20, 30, 50):
+        for _ in range(12):
+            w = [f"v{r.randrange(5000)}" for _ in range(n)]
+            texts += [w, [*w, "more"], [*w[:-1], "other"], [*w[: n // 2], "middle", *w[n // 2 + 1 :]]]
+            n_pairs += 1
+    # A sure near miss: one of fifty words changed twice over, 36 of 56 shingles shared.
+    w = [f"v{i}" for i in range(50)]
+    texts += [w, [*w[:15], "x", *w[16:35], "y", *w[36:]]]
+    texts = [" ".join(t) for t in texts]
+    want = jaccard_groups(texts)
+    assert found_groups(spark, texts) == want
+    assert want[-1] == len(texts) - 1
