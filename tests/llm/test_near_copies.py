@@ -94,3 +94,21 @@ def test_short_texts(spark):
     want = jaccard_groups(texts)
     assert found_groups(spark, texts) == want
     assert want[-1] == len(texts) - 1
+
+
+@pytest.mark.parametrize("limit", [2, 7, 2048])
+def test_brute_force(spark, limit):
+    """A mixture with chains of copies, boilerplate that most texts share, repeats and small limits."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(200)]
+    shared = [r.choice(vocabulary) for _ in range(25)]
+    texts = []
+    for i in range(60):
+        w = [r.choice(vocabulary[: 20 + i * 3]) for _ in range(r.choice([1, 4, 8, 20, 60, 150]))]
+        w = w + shared if i % 2 else w
+        for _ in range(r.choice([1, 1, 2, 6])):
+            texts.append(" ".join(w))
+            w = changed(r, w, min(len(w), r.randint(0, 2)), vocabulary)
+    want = jaccard_groups(texts)
+    assert len(set(want)) < len(texts)
+    assert found_groups(spark, texts, bucket_limit=limit) == want
