@@ -434,7 +434,7 @@ def _alike(table: pa.Table, similarity: float) -> pa.Table:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_limit: int = 2048) -> DataFrame:
     """Every document with its group of near copies: doc_id, component_id (the smallest doc_id of the group).
 
-    Near copies are texts whose sets of distinct shingles of `words` words have a Jaccard similarity of
+    text_key and group_id tell apart the texts of a repeated doc_id and the groups of one name. Near copies are texts whose sets of distinct shingles of `words` words have a Jaccard similarity of
     `similarity` or more, and what a chain of such pairs connects. Sets meet by their least shingle
     hashes; pairs that a 512-bit SimHash of the sets does not rule out by far are gathered in rough
     groups, and within these every pair is decided by the shingles themselves before it may link, so
@@ -443,7 +443,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     match themselves. Null texts are empty ones; repeated rows come back as often as they are; null
     doc_ids are grouped but never name a group; an empty table gives an empty result.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
     whole = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -455,7 +455,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             at = np.repeat(starts - (np.cumsum(k) - k), k) + np.arange(k.sum())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(h[at].view(np.int64)))
             bits = np.stack([majority(mixed(h, 100 + s), n) for s in range(CHECKS)], axis=1)
-            yield arrow({"doc_id": part.column("doc_id"), "node": keys.view(np.int64), "n": n, "keys": lists, "sketch": [x.tobytes() for x in bits]}, schema)
+            yield arrow({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "node": keys.view(np.int64), "n": n, "keys": lists, "sketch": [x.tobytes() for x in bits]}, schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1024, 1 << 20):
@@ -463,7 +463,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             ends = np.cumsum(n)
             yield arrow({"node": keys.view(np.int64), "shingles": [h[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]}, whole)
 
-    marked = checkpointed(texts.mapInArrow(sketch, "doc_id long, node long, n long, keys array<long>, sketch binary"))
+    marked = checkpointed(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, node long, n long, keys array<long>, sketch binary"))
     nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     met = _in_cells(nodes.select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
     dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "n", "node")
@@ -479,16 +479,22 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     groups = _in_cells(keyed, bucket_limit).join(arrays, "node").groupBy("bucket", "cell")
     close = groups.applyInArrow(lambda t: _alike(t, similarity), "u long, v long")
     roots = components(close)
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group_id"))
+    ids = named.groupBy("group_id").agg(F.min("least").alias("component_id"))
+    by_node = named.join(ids, "group_id").select("node", "component_id", "group_id")
+    return marked.select("doc_id", "text_key", "node").join(by_node, "node").select("doc_id", "component_id", "text_key", "group_id")
 
 
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component in `groups` (doc_id, component_id).
+    """The rows of `docs` that stand for their group in `groups` (as `similar_documents` gives them): one of each group.
 
-    Rows without a doc_id stay. Of repeated rows with one doc_id, one stays.
+    It is a row with the doc_id that names the group; if that id comes with several texts of the group,
+    the text with the least key stays, and texts of other groups under the same id are not touched. Rows without
+    a doc_id stay. Of repeated rows with one doc_id and text, one stays.
     """
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    kept_text = groups.where("doc_id = component_id").groupBy("group_id").agg(F.min("text_key").alias("kept"))
+    ids = groups.where("doc_id is not null").select("doc_id", "text_key", "group_id", "component_id").distinct().join(kept_text, "group_id")
+    gone = ids.where("doc_id <> component_id or text_key <> kept").select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_text")).distinct()
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    kept = keyed.join(gone, (keyed.doc_id.cast("long") == gone.gone) & (keyed.text_key == gone.gone_text), "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).union(kept.where("doc_id is null")).drop("text_key")

@@ -112,3 +112,13 @@ def test_brute_force(spark, limit):
     want = jaccard_groups(texts)
     assert len(set(want)) < len(texts)
     assert found_groups(spark, texts, bucket_limit=limit) == want
+
+
+def test_repeated_ids(spark):
+    """An id that comes with a copy and with a text of its own loses only the copy."""
+    word = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    copy = word("a") + " more"
+    rows = [(1, word("a")), (2, copy), (2, word("b")), (3, word("c")), (3, word("d")), (4, word("e")), (4, word("e") + " more"), (4, word("e")), (None, word("a"))]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())
+    assert got == [(0, "a0"), (1, "a0"), (2, "b0"), (3, "c0"), (3, "d0"), (4, "e0")]
