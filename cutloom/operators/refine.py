@@ -71,20 +71,21 @@ def pair_gains(edges: DataFrame, assignment: DataFrame, a: int, b: int, limit: i
 
     Adjacency lowers a gain by 2 only, so no vertex whose D is more than 2 under that of the `limit`-th
     of its side is in one of the best pairs; and of equal D only the first by id count, as many as
-    `limit` and the neighbours that one partner can have. Both sides are cut to that before they are paired.
+    `limit` and the neighbours that one partner can have on this side, over entries x -> y. Both sides are cut to that before they are paired.
     """
     d = saved(d_values(edges, assignment, [(a, b)]))
-    most = limit + (d.agg(F.max("deg")).first()[0] or 0)
     xs = d.where(F.col("part") == min(a, b)).select(F.col("v").alias("x"), F.col("d").alias("dx"))
     ys = d.where(F.col("part") == max(a, b)).select(F.col("v").alias("y"), F.col("d").alias("dy"))
 
-    def best(side: DataFrame, v: str, dv: str) -> DataFrame:
+    close = saved(edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(2).alias("c")).distinct().join(xs.select("x"), "x", "left_semi").join(ys.select("y"), "y", "left_semi"))
+
+    def best(side: DataFrame, v: str, dv: str, partner: str) -> DataFrame:
+        most = limit + (close.groupBy(partner).count().agg(F.max("count")).first()[0] or 0)
         edge = side.orderBy(F.desc(dv), v).limit(limit).agg(F.min(dv)).first()[0]
         near = side.where(F.col(dv) >= (edge or 0) - 2)
         return near.withColumn("rank", F.row_number().over(W.partitionBy(dv).orderBy(v))).where(F.col("rank") <= most).drop("rank")
 
-    close = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(2).alias("c")).distinct()
-    pairs = best(xs, "x", "dx").crossJoin(F.broadcast(best(ys, "y", "dy")))
+    pairs = best(xs, "x", "dx", "y").crossJoin(F.broadcast(best(ys, "y", "dy", "x")))
     gains = pairs.join(close, ["x", "y"], "left").select("x", "y", (F.col("dx") + F.col("dy") - F.coalesce("c", F.lit(0))).cast("long").alias("gain"))
     return gains.orderBy(F.desc("gain"), "x", "y").limit(limit)
 
