@@ -151,12 +151,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, queries_per_block:
 
     Scores are BM25 with k1 1.2 and b 0.75 and idf ln(1 + (N - n + 0.5) / (n + 0.5)); a query's word
     counts as often as it comes. Ties go to the smaller doc_id. Documents without any word of the query
-    are not returned, so null, empty and unmatched queries have no rows. Repeated query rows with one
-    query_id give one answer; query_ids must not be null (such rows are left out). Queries are sent to the shards in blocks
+    are not returned, so null, empty and unmatched queries have no rows. Rows with one
+    query_id are one query of all their words, each different text counted once; query_ids must not be null (such rows are left out). Queries are sent to the shards in blocks
     of bounded size; a null doc_id is returned as null.
     """
     spark = index.sparkSession
-    bags = queries.where("query_id is not null").groupBy("query_id").agg(F.max("text").alias("text")).select(F.lit(0).alias("shard"), F.col("query_id").cast("long").alias("doc_id"), "text").mapInArrow(_bags, _DOC)
+    bags = queries.where("query_id is not null").select(F.lit(0).alias("shard"), F.col("query_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(_bags, _DOC)
     n_blocks = max(1, -(-queries.count() // queries_per_block))
     bags = checkpointed(bags.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")))
 
@@ -176,7 +176,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, queries_per_block:
 
 def _search_block(spark, index: DataFrame, bags: DataFrame, k: int, n_docs: int, mean_length: float) -> DataFrame:  # noqa: ANN001
     rows = bags.select("doc_id", "terms", "counts").collect()
-    asked = [(r["doc_id"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<u4")) for r in sorted(rows)]
+    asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for r in sorted(rows):
+        qid, t, c = r["doc_id"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<u4")
+        if asked and asked[-1][0] == qid:
+            _, t0, c0 = asked.pop()
+            t, at = np.unique(np.concatenate([t0, t]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c0, c]), len(t)).astype("<u4")
+        asked.append((qid, t, c))
     vocabulary = np.unique(np.concatenate([q[1] for q in asked])) if asked else np.zeros(0, "<u8")
     words = spark.sparkContext.broadcast(vocabulary)
 
