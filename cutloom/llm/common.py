@@ -17,15 +17,42 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes of the same 64-bit values, one for each seed."""
+    x = h.view(np.uint64) + np.uint64((seed + 1) * _MIX[0] & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Only a local master, where all share one machine, gets one of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cutloom-checkpoint-"))
     return named or sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, by the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name for internal use that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that lost executors lose nothing of it."""
     checkpoint_dir(df.sparkSession)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import utf8
+from .common import unused, utf8
 
 #: Statistics of a text, all between 0 and 1 or logarithms; an empty text has zero everywhere.
 STATISTICS = (
@@ -167,5 +167,6 @@ def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataF
     Only the text is looked at. Null and empty texts get the score of all-zero statistics; repeated
     rows score alike; columns named score or predicted are replaced; an empty table stays empty.
     """
-    marked = docs.drop("score", "predicted").withColumn("__statistics", text_statistics("text")).withColumn("score", model.column("__statistics"))
-    return marked.drop("__statistics").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    inner = unused("statistics", docs)
+    marked = docs.drop("score", "predicted").withColumn(inner, text_statistics("text")).withColumn("score", model.column(inner))
+    return marked.drop(inner).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

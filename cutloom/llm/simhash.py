@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, checkpointed, slices, utf8
+from .common import _MIX, arrow, checkpointed, mixed, slices, utf8
 from .components import components
 from .decontaminate import tokens
 
@@ -35,17 +35,6 @@ for _b in range(256):
     _SPREAD[_b] = sum(((_b >> _k) & 1) << (8 * _k) for _k in range(8))
 
 
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-
-
-def mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of the same values, one for each seed."""
-    x = h + np.uint64((seed + 1) * _MIX[0] & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: bytes, words: int) -> list[bytes]:
     """Word shingles, repeats included, of a text with A-Z lower-cased; fewer words give the whole sequence."""
     w = text.lower().split()
