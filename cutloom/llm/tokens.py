@@ -3,7 +3,8 @@
 The vocabulary drops white space and never merges over it, so a text's ids are those of its words in a
 row: each distinct word is encoded once and then looked up. New words are encoded together by a byte
 pair encoder that works on bytes and ranks, with the end of a word as a byte of its own. Texts with
-characters beyond a plain set, whose normalisation may need more than a word, go to the tokenizer whole.
+characters beyond a plain set, whose normalisation may need more than a word, and texts that spell out
+an added token, which the tokenizer reads as one id, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -41,10 +42,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         special = {t.content for t in self.inner.get_added_tokens_decoder().values()}
+        self.whole = re.compile("|".join([_ODD.pattern, *(re.escape(t) for t in sorted(special))]))
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + _END * t.endswith("</w>"): i for t, i in vocab.items() if t not in special}
         self.pairs = _tiktoken.CoreBPE(ranks, {}, "[^\\x00]*\\x00")
@@ -94,7 +95,7 @@ class WordTokenizer:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, each followed by `end_id`, and where each text ends. Null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        plain = np.array([not _ODD.search(t) for t in texts.to_pylist()], bool)
+        plain = np.array([not self.whole.search(t) for t in texts.to_pylist()], bool)
         words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts.filter(pa.array(plain)))))
         coded = words.flatten().dictionary_encode()
         at = self._indices(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
