@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by sums of squares.
 
 An online sum-of-squares packer keeps N(g), the number of open sequences with residual gap g, and puts
-each piece where the sum of N(g)^2 becomes smallest (Csirik et al., 2006). Pieces are dealt into blocks
-of bounded size by a hash; inside a block the longest go first, and only lengths are looked at, so one
-step costs a vector operation over the gaps. Texts are tokenised once, as they are read; only piece
-lengths and checksums are shuffled.
+each piece where the sum of N(g)^2 becomes smallest (Csirik et al., 2006). Texts are tokenised once, as
+they are read, and their pieces (lengths and checksums, no ids) are kept in the shared folder. There
+every piece has a row number of its own, by which pieces are dealt into blocks of bounded size, so that
+no key, however frequent, fills one. Inside a block the longest go first, and only lengths are looked
+at, so one step costs a vector operation over the gaps.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, slices
+from .common import arrow, checkpointed, slices
 from .tokens import WordTokenizer
 
 CAPACITY = 2048
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("block", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +59,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return sequence, offset
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, n_blocks: int) -> DataFrame:
-    """Tokenised documents as pieces: doc_id, piece, start, length, ids_crc32, block."""
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+    """Tokenised documents as pieces: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(tokenizer_path)
@@ -73,14 +74,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, n_b
             raw, at = memoryview(ids.astype("<u4")).cast("B"), (np.repeat(ends - sizes, n) + start) * 4
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
             doc = part.column("doc_id").cast(pa.int64()).take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-            key = np.repeat(np.asarray(part.column("block")), n)
-            yield arrow({"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "block": key}, _PIECES)
+            yield arrow({"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc}, _PIECES)
 
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).alias("block"))
-    return dealt.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, block long")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, docs_per_block: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, pieces_per_block: int = 150_000) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens.
 
     Every text is followed by `end_id`. A longer one is cut into pieces of `capacity` tokens, the last
@@ -89,7 +88,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     they come; null doc_ids are kept; an empty table gives an empty result; other columns are ignored.
     A block leaves a few sequences partly empty, so blocks are as large as a task's memory allows.
     """
-    n_blocks = max(1, round(docs.count() / docs_per_block))
+    cut = checkpointed(pieces(docs, tokenizer_path, end_id, capacity))
+    n_blocks = max(1, round(cut.count() / pieces_per_block))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
@@ -97,4 +98,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         return pdf.drop(columns="block").assign(sequence_id=sequence * n_blocks + pdf["block"], offset=offset)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces(docs, tokenizer_path, end_id, capacity, n_blocks).groupBy("block").applyInPandas(fill, schema)
+    return dealt.groupBy("block").applyInPandas(fill, schema)
