@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fixity, html, linededup, packing, quality, rollups, search, sharding, simhash
-from .common import checkpoint_dir, read_table
+from .common import checkpoint_dir, checkpointed, read_table, remove
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,13 +46,16 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by their words, then revised to tokenizer ids, then without toxic ones; the revision is sent twice."""
     docs = read_table(spark, sf_dir, "documents")
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    book = rollups.TokenRollup(spark, f"{checkpoint_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    root = f"{checkpoint_dir(spark)}/rollups-{uuid.uuid4().hex}"
+    book = rollups.TokenRollup(spark, root)
     book.commit("1-words", rollups.word_counts(docs))
     for _ in range(2):
         book.commit("2-bpe", rollups.tokenizer_counts(docs, TOKENIZER, "word_bpe_49k"))
     takedown = toxic.select(F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast("string").alias(k) for k in rollups.KEYS], F.lit(0).alias("tokens"))
     book.commit("3-takedown", takedown)
-    return book.totals()
+    totals = checkpointed(book.totals())
+    remove(spark, root)
+    return totals
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
