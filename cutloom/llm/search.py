@@ -1,15 +1,20 @@
-"""Exact BM25 top-k with an inverted index per shard and block-max pruning.
-
-Documents are dealt to shards of bounded size; a shard is one row of compact arrays: sorted terms, and
-for each its postings (document, frequency). Global statistics (number of documents, mean length,
-document frequencies of the queries' terms) are added up over all shards first, so that every shard
-scores alike and the shards' best merge exactly.
-
-A shard answers a query block by block. Documents are grouped in blocks of `BLOCK`; a term's impact has
-a maximum in every block. Rare terms are added up first and give a threshold, the k-th best partial
-score. A block whose partial scores plus the block maxima of the other terms stay under the threshold
-is skipped; the documents of the others are completed term by term, and dropped as soon as what the
-remaining terms can add no longer lifts them to the threshold (block-max WAND, evaluated block-wise).
+"""Exact BM25 top-k with an inverted index per shard and block-max WAND.
+
+A shard is one row of compact arrays, built by the task that reads the texts and cut at a bound of
+postings, so that neither a key nor a count of documents makes one large. Its documents are in order of
+length and grouped in blocks of `BLOCK`; the postings of a term lie block by block, and a directory
+holds, for every term and block with postings, how many there are and the largest frequency. That and
+the shortest length in the block bound the term's impact there, whatever the mean length turns out to be.
+Global statistics (number of documents, mean length, document frequencies of the queries' terms) are
+added up over all shards first, so that every shard scores alike and the shards' best merge exactly.
+
+A query's terms go from the rarest to the most frequent, in groups. The first lists, the rarest, are read
+whole, as nothing can be skipped before there is a threshold. Then the block maxima of all lists still
+ahead are added up; the most promising documents are scored, and the k-th best score is the threshold.
+Pivots are the documents whose score so far, with the block maxima ahead, reaches it. The next lists are
+read only in blocks that hold a pivot, found by the directory, and the impacts of frequent terms, laid
+out by document, only at the pivots themselves; after each group the pivots are chosen again (block-max
+WAND, Ding and Suel, 2011, with document-aligned blocks and all cursors of a shard moved together).
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,206 +33,301 @@ from .common import arrow, checkpointed, slices
 from .decontaminate import tokens
 
 BLOCK = 64
-#: Frequent terms between two looks at the threshold.
-CHUNK = 8
+#: Lists of at most these shares of the documents are read whole, or by blocks; more frequent terms go in groups by document.
+WHOLE, BLOCKS, GROUP = 1 / 64, 1 / 8, 8
 K1, B = 1.2, 0.75
 #: Terms whose frequencies travel together.
 _PART = 1 << 15
-_DOC = "shard int, doc_id long, n_tokens long, terms binary, counts binary"
-_INDEX = "shard int, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as its sorted distinct terms and their frequencies."""
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())])
-    for part in slices(batches, "text", 2048, 4 << 20):
-        tok, ends = tokens(part.column("text"))
-        terms, counts = [], []
-        for a, b in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
-            t, n = np.unique(tok[a:b], return_counts=True)
-            terms.append(t.astype("<u8").tobytes())
-            counts.append(n.astype("<u4").tobytes())
-        yield arrow({"shard": part.column("shard"), "doc_id": part.column("doc_id"), "n_tokens": np.diff(ends, prepend=0), "terms": terms, "counts": counts}, schema)
+_QUERY = "query_id long, terms binary, counts binary, size long"
+_ARRAYS = (("doc_ids", "<i8"), ("lengths", "<i4"), ("terms", "<u8"), ("dir_sizes", "<i4"), ("dir_block", "<i4"), ("dir_n", "u1"), ("dir_tf", "<u4"), ("low", "u1"), ("tf", "<u4"))
+_INDEX = "n_docs long, n_tokens long, " + ", ".join(f"{k} binary" for k, _ in _ARRAYS)
+_SCHEMA = pa.schema([("n_docs", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.binary()) for k, _ in _ARRAYS]])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All integers of the ranges in a row."""
+    total = int(sizes.sum())
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+
+
+def _index_shard(ids: np.ndarray, tok: np.ndarray, lengths: np.ndarray) -> dict:
+    """The arrays of one shard out of its documents' tokens in a row."""
+    order = np.lexsort((ids, lengths))
+    tok = tok[ranges((np.cumsum(lengths) - lengths)[order], lengths[order])]
+    ids, lengths = ids[order], lengths[order]
+    doc = np.repeat(np.arange(len(ids)), lengths)
+    order = np.lexsort((doc, tok))
+    tok, doc = tok[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])])) if len(tok) else np.zeros(0, np.int64)
+    tf, tok, doc = np.diff(np.append(new, len(tok))), tok[new], doc[new]
+    block = doc // BLOCK
+    at = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])])) if len(tok) else new
+    terms, first = np.unique(tok[at], return_index=True)
+    row = {
+        "doc_ids": ids, "lengths": lengths, "terms": terms, "dir_sizes": np.diff(np.append(first, len(at))), "dir_block": block[at], "dir_n": np.diff(np.append(at, len(tok))),
+        "dir_tf": np.maximum.reduceat(tf, at) if len(at) else tf, "low": doc % BLOCK, "tf": tf,
+    }
+    return {"n_docs": len(ids), "n_tokens": int(lengths.sum()), **{k: row[k].astype(t).tobytes() for k, t in _ARRAYS}}
+
+
+def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_shard: int = 20_000) -> DataFrame:
+    """The index of all documents (doc_id, text), a row of arrays for each shard, kept in the shared folder.
+
+    A shard ends at `tokens_per_shard` tokens or `docs_per_shard` documents, or with one longer text,
+    which is indexed whole. Null and empty texts are documents without terms; repeated rows and repeated
+    ids are documents of their own; null ids stay null; an empty table gives an empty index; other
+    columns are ignored. Terms are known by 64-bit hashes: words of equal hash would count as one.
+    """
 
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n_docs = n_tokens = 0
 
-def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "n_tokens"], na_position="first")
-    terms = np.frombuffer(b"".join(pdf["terms"]), "<u8")
-    counts = np.frombuffer(b"".join(pdf["counts"]), "<u4")
-    docs = np.repeat(np.arange(len(pdf), dtype=np.int32), [len(t) // 8 for t in pdf["terms"]])
-    order = np.argsort(terms, kind="stable")
-    terms, starts = np.unique(terms[order], return_index=True)
-    starts = np.append(starts, len(order))
-    ids = pdf["doc_id"].fillna(-(2**63)).astype("int64").to_numpy() if pdf["doc_id"].isna().any() else pdf["doc_id"].to_numpy(np.int64)
-    row = {"shard": int(pdf["shard"].iloc[0]), "doc_ids": ids.astype("<i8"), "lengths": pdf["n_tokens"].to_numpy("<i4"), "terms": terms.astype("<u8"), "starts": starts.astype("<i4"), "docs": docs[order].astype("<i4"), "counts": counts[order]}
-    return pd.DataFrame([{k: v if k == "shard" else v.tobytes() for k, v in row.items()}])
+        def shard() -> pa.RecordBatch:
+            row = _index_shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return arrow({k: [v] for k, v in row.items()}, _SCHEMA)
 
+        for part in slices(batches, "text", 1024, 2 << 20):
+            tok, ends = tokens(part.column("text"))
+            if held and (n_tokens + len(tok) > tokens_per_shard or n_docs + part.num_rows > docs_per_shard):
+                yield shard()
+                held, n_docs, n_tokens = [], 0, 0
+            ids = part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            held.append((ids, tok, np.diff(ends, prepend=0)))
+            n_docs, n_tokens = n_docs + part.num_rows, n_tokens + len(tok)
+        if held:
+            yield shard()
 
-def build_index(docs: DataFrame, docs_per_shard: int = 10_000) -> DataFrame:
-    """The index, a row of arrays for each shard of about `docs_per_shard` documents. Null texts have no terms."""
-    n = max(1, round(docs.count() / docs_per_shard))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return checkpointed(dealt.mapInArrow(_bags, _DOC).groupBy("shard").applyInPandas(_index_shard, _INDEX))
+    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _INDEX))
 
 
 class Shard:
-    """One shard with the impacts of all postings under global statistics."""
+    """One shard under global statistics. `read` counts the impacts that queries have looked at."""
 
     def __init__(self, row: dict, mean_length: float):
-        a = {k: np.frombuffer(row[k], t) for k, t in (("doc_ids", "<i8"), ("lengths", "<i4"), ("terms", "<u8"), ("starts", "<i4"), ("docs", "<i4"), ("counts", "<u4"))}
-        self.ids, self.terms, self.starts, self.docs = a["doc_ids"], a["terms"], a["starts"].astype(np.int64), a["docs"]
-        tf, norm = a["counts"].astype(np.float64), K1 * (1 - B + B * a["lengths"] / max(mean_length, 1e-9))
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        self.n_blocks = -(-len(self.ids) // BLOCK)
+        a = {k: np.frombuffer(row[k], t) for k, t in _ARRAYS}
+        self.ids, self.terms = a["doc_ids"], a["terms"]
+        self.n_docs, self.n_blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        norm = K1 * (1 - B + B * a["lengths"] / max(mean_length, 1e-9))
+        self.dir_size = a["dir_sizes"].astype(np.int64)
+        self.dir_start = np.cumsum(self.dir_size) - self.dir_size
+        self.block, self.n = a["dir_block"].astype(np.int64), a["dir_n"].astype(np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.df = np.add.reduceat(self.n, self.dir_start) if len(self.terms) else self.dir_size
+        #: Documents are in order of length, so the first of a block has the least norm.
+        most = a["dir_tf"].astype(np.float64)
+        self.most = most * (K1 + 1) / (most + norm[self.block * BLOCK])
+        self.doc = np.repeat(self.block * BLOCK, self.n) + a["low"]
+        tf = a["tf"].astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.read = 0
 
-    def full(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Impacts of a frequent term for all documents, and their maximum in each block."""
+    def by_document(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Impacts of a term laid out by document, and its block maxima by block; kept for the next queries up to a bound."""
         if t not in self.dense:
-            if len(self.dense) * len(self.ids) > 4_000_000:
+            if len(self.dense) * self.n_docs > 8_000_000:
                 self.dense.clear()
-            x = np.zeros(self.n_blocks * BLOCK)
-            a, b = self.starts[t], self.starts[t + 1]
-            x[self.docs[a:b]] = self.impact[a:b]
-            self.dense[t] = x, x.reshape(-1, BLOCK).max(axis=1)
+            x, top = np.zeros(self.n_docs), np.zeros(self.n_blocks)
+            a, b = self.dir_start[t], self.dir_start[t] + self.dir_size[t]
+            top[self.block[a:b]] = self.most[a:b]
+            a, b = self.start[a], self.start[b - 1] + self.n[b - 1]
+            x[self.doc[a:b]] = self.impact[a:b]
+            self.dense[t] = x, top
         return self.dense[t]
 
+    def _add(self, sums: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the impacts of the directory entries' postings, in their order."""
+        n = self.n[entry]
+        posting = ranges(self.start[entry], n)
+        self.read += len(posting)
+        np.add.at(sums, self.doc[posting], np.repeat(weight, n) * self.impact[posting])
+
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the k best (score, then smaller id), over documents with any term.
 
-        Terms come in one global order, rarest first, so that a text has the same score in any shard.
+        Terms come in one global order, rarest first, and a document's impacts are added up one by one in
+        that order, so that a text has the same score in any shard.
         """
         at = np.searchsorted(self.terms, terms)
         known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        n = self.starts[at + 1] - self.starts[at]
-        # Rare terms are all before the first that fills an eighth of the shard.
-        often = np.flatnonzero(n * 8 > len(self.ids))
-        cut = int(often[0]) if len(often) else len(at)
-        size = n[:cut]
-        take = np.repeat(self.starts[at[:cut]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        score = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights[:cut], size), self.n_blocks * BLOCK).astype(np.float64)
-        rest = [(w, *self.full(int(t))) for t, w in zip(at[cut:], weights[cut:], strict=True)]
-        docs = np.arange(len(self.ids))
-        if prune and rest and len(docs) > k:
-            # What the terms from i on can still add to a document of each block, every CHUNK terms.
-            bounds = [np.zeros(self.n_blocks)]
-            for i in range(len(rest) - 1, -1, -1):
-                b = bounds[-1] + rest[i][0] * rest[i][2]
-                if (i + 1) % CHUNK:
-                    bounds[-1] = b
-                else:
-                    bounds.append(b)
-            bounds = bounds[::-1]
-            # The most promising documents are completed first: their k-th best score is the threshold.
-            hope = score[: len(docs)] + np.repeat(bounds[0], BLOCK)[: len(docs)]
-            probe = np.argpartition(hope, -min(len(docs), 4 * k))[-4 * k :]
-            exact = score[probe]
-            for w, x, _ in rest:
-                exact = exact + w * x[probe]
-            least = np.partition(exact, -k)[-k] * (1 - 1e-12)
-            docs = np.flatnonzero(hope >= least)
-            own = score[docs]
-            for i, (w, x, _) in enumerate(rest):
-                if i and i % CHUNK == 0:
-                    # Documents on the threshold stay, for ties; the margin is for rounding.
-                    stay = own + bounds[i // CHUNK][docs // BLOCK] >= least
-                    docs, own = docs[stay], own[stay]
-                own = own + w * x[docs]
-            score[docs] = own
-        else:
-            for w, x, _ in rest:
-                score += w * x
-        docs = docs[score[docs] > 0]
+        docs, score = self._pivots(at, weights, k if prune and self.n_docs > 4 * k else self.n_docs)
+        docs, score = docs[score > 0], score[score > 0]
         if len(docs) > k:
-            docs = docs[score[docs] >= np.partition(score[docs], -k)[-k]]
-        order = np.lexsort((self.ids[docs], -score[docs]))[:k]
-        return self.ids[docs[order]], score[docs[order]]
+            stay = score >= np.partition(score, -k)[-k]
+            docs, score = docs[stay], score[stay]
+        order = np.lexsort((self.ids[docs], -score))[:k]
+        return self.ids[docs[order]], score[order]
+
+    def _pivots(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents with their scores, all that can be among the k best at least."""
+        share = self.df[at] / self.n_docs
+        whole, blocks = (int(np.append(np.flatnonzero(share > x), len(at))[0]) for x in (WHOLE, BLOCKS))
+        sums = np.zeros(self.n_docs)
+        size = self.dir_size[at[:blocks]]
+        entry, weight = ranges(self.dir_start[at[:blocks]], size), np.repeat(weights[:blocks], size)
+        n_whole = int(size[:whole].sum())
+        self._add(sums, entry[:n_whole], weight[:n_whole])
+        entry, weight = entry[n_whole:], weight[n_whole:]
+        often = [(w, *self.by_document(int(t))) for t, w in zip(at[blocks:], weights[blocks:], strict=True)]
+        #: What the frequent terms from each group on can add to a document of each block.
+        ahead = [np.zeros(self.n_blocks)]
+        for i in range(len(often) - 1, -1, -1):
+            more = ahead[-1] + often[i][0] * often[i][2]
+            if (i + 1) % GROUP:
+                ahead[-1] = more
+            else:
+                ahead.append(more)
+        ahead = ahead[::-1]
+        docs = np.arange(self.n_docs)
+        of = docs // BLOCK
+        rest = ahead[0] + np.bincount(self.block[entry], weight * self.most[entry], self.n_blocks)
+        least = 0.0
+
+        def best(hope: np.ndarray) -> float:
+            """The k-th best score among the most promising documents, without what is still ahead by blocks."""
+            n = min(4 * k, len(hope))
+            probe = docs[np.argpartition(hope, -n)[-n:]]
+            score = sums[probe]
+            for w, x, _ in often:
+                score = score + w * x[probe]
+            self.read += n * len(often)
+            # The margin is for rounding: documents on the threshold must stay, for ties.
+            return float(np.partition(score, -k)[-k]) * (1 - 1e-12) if n >= k else 0.0
+
+        if len(entry):
+            hope = sums + rest[of]
+            least = best(hope)
+            docs = docs[hope >= least]
+            live = np.zeros(self.n_blocks, bool)
+            live[of[docs]] = True
+            mine = live[self.block[entry]]
+            self._add(sums, entry[mine], weight[mine])
+        hope = sums[docs] + ahead[0][of[docs]]
+        least = max(least, best(hope))
+        docs = docs[hope >= least]
+        score = sums[docs]
+        for i, (w, x, _) in enumerate(often):
+            if i and i % GROUP == 0:
+                stay = score + ahead[i // GROUP][of[docs]] >= least
+                docs, score = docs[stay], score[stay]
+            self.read += len(docs)
+            score = score + w * x[docs]
+        return docs, score
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, queries_per_block: int = 4000) -> DataFrame:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each query text as its sorted distinct terms and their frequencies."""
+    schema = pa.schema([("query_id", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary()), ("size", pa.int64())])
+    for part in slices(batches, "text", 2048, 4 << 20):
+        tok, ends = tokens(part.column("text"))
+        terms, counts = [], []
+        for a, b in zip((ends - np.diff(ends, prepend=0)).tolist(), ends.tolist(), strict=True):
+            t, n = np.unique(tok[a:b], return_counts=True)
+            terms.append(t.astype("<u8").tobytes())
+            counts.append(n.astype("<u4").tobytes())
+        yield arrow({"query_id": part.column("query_id"), "terms": terms, "counts": counts, "size": [len(t) for t in terms]}, schema)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: int = 16 << 20) -> DataFrame:
     """The k best documents for each query text (query_id, text): query_id, rank, doc_id, score.
 
     Scores are BM25 with k1 1.2 and b 0.75 and idf ln(1 + (N - n + 0.5) / (n + 0.5)); a query's word
     counts as often as it comes. Ties go to the smaller doc_id. Documents without any word of the query
-    are not returned, so null, empty and unmatched queries have no rows. Rows with one
-    query_id are one query of all their words, each different text counted once; query_ids must not be null (such rows are left out). Queries are sent to the shards in blocks
-    of bounded size; a null doc_id is returned as null.
+    are not returned, so null, empty and unmatched queries have no rows, and an empty index or an empty
+    table of queries gives an empty result. Rows with one query_id are one query of all their words, each
+    different text counted once; query_ids must not be null (such rows are left out). A null doc_id is
+    returned as null.
+
+    Queries are sent to the shards in blocks: as many as have terms of `bytes_per_block` bytes, or a
+    single larger one. A block's answers are merged and kept in the shared folder, and what was sent for
+    it is dropped, before the next one goes.
     """
     spark = index.sparkSession
-    bags = queries.where("query_id is not null").select(F.lit(0).alias("shard"), F.col("query_id").cast("long").alias("doc_id"), "text").distinct().mapInArrow(_bags, _DOC)
-    n_blocks = max(1, -(-queries.count() // queries_per_block))
-    bags = checkpointed(bags.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int")))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [np.frombuffer(v, "<i4") for v in b.column("lengths").to_pylist()]
-            yield arrow({"n": [len(v) for v in x], "total": [int(v.sum()) for v in x]}, pa.schema([("n", pa.int64()), ("total", pa.int64())]))
-
-    n_docs, n_tokens = index.select("lengths").mapInArrow(sizes, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").distinct()
+    bags = checkpointed(asked.mapInArrow(_bags, _QUERY))
+    total = bags.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-2 * total // bytes_per_block))
+    n_docs, n_tokens = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     found = None
     for block in range(n_blocks):
-        part = _search_block(spark, index, bags.where(F.col("block") == block), k, n_docs, n_tokens / max(1, n_docs))
+        rows = bags.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).select("query_id", "terms", "counts").collect()
+        answers, sent = _search_block(spark, index, rows, k, n_docs, n_tokens / max(1, n_docs))
+        part = checkpointed(answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        for b in sent:
+            b.destroy()
         found = part if found is None else found.union(part)
-    best = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), "score")
-
+    return found.select("query_id", "rank", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), "score")
 
-def _search_block(spark, index: DataFrame, bags: DataFrame, k: int, n_docs: int, mean_length: float) -> DataFrame:  # noqa: ANN001
-    rows = bags.select("doc_id", "terms", "counts").collect()
-    asked: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for r in sorted(rows):
-        qid, t, c = r["doc_id"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<u4")
-        if asked and asked[-1][0] == qid:
-            _, t0, c0 = asked.pop()
-            t, at = np.unique(np.concatenate([t0, t]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([c0, c]), len(t)).astype("<u4")
-        asked.append((qid, t, c))
-    vocabulary = np.unique(np.concatenate([q[1] for q in asked])) if asked else np.zeros(0, "<u8")
-    words = spark.sparkContext.broadcast(vocabulary)
 
-    n_parts = -(-len(vocabulary) // _PART)
+def _frequencies(index: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarray:
+    """The number of documents with each term of a sorted vocabulary, added up in parts over the shards."""
+    n_parts = -(-size // _PART)
+    if not n_parts:
+        return np.zeros(0)
+    kind = "part int, heap int, n binary"
+    schema = pa.schema([("part", pa.int32()), ("heap", pa.int32()), ("n", pa.binary())])
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Frequencies of the vocabulary, in parts of equal length, added up over the shards of a task."""
-        v = words.value
-        total, shard = np.zeros(n_parts * _PART, "<i8"), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        total, heap = np.zeros(n_parts * _PART, "<i8"), None
         for b in batches:
-            for at, t, s in zip(b.column("shard").to_pylist(), b.column("terms").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                t, n, shard = np.frombuffer(t, "<u8"), np.diff(np.frombuffer(s, "<i4")), at
+            for row in b.to_pylist():
+                t, sizes, n = (np.frombuffer(row[c], d) for c, d in (("terms", "<u8"), ("dir_sizes", "<i4"), ("dir_n", "u1")))
+                if not len(t):
+                    continue
                 where = np.searchsorted(v, t)
                 mine = (where < len(v)) & (v[np.minimum(where, len(v) - 1)] == t)
-                total[where[mine]] += n[mine]
-        yield arrow({"part": np.arange(n_parts), "heap": np.full(n_parts, shard % 64), "n": [total[i * _PART : (i + 1) * _PART].tobytes() for i in range(n_parts)]}, pa.schema([("part", pa.int32()), ("heap", pa.int32()), ("n", pa.binary())]))
+                starts = np.cumsum(sizes) - sizes
+                total[where[mine]] += np.add.reduceat(n.astype(np.int64), starts)[mine]
+                heap = int(t[0] % np.uint64(64))
+        if heap is not None:
+            yield arrow({"part": np.arange(n_parts), "heap": np.full(n_parts, heap), "n": [total[i * _PART : (i + 1) * _PART].tobytes() for i in range(n_parts)]}, schema)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x, "<i8") for x in pdf["n"]], axis=0)
         return pd.DataFrame([{"part": int(pdf["part"].iloc[0]), "heap": 0, "n": total.astype("<i8").tobytes()}])
 
-    terms, n = vocabulary, np.zeros(0)
-    if n_parts:
-        kind = "part int, heap int, n binary"
-        sums = index.select("shard", "terms", "starts").mapInArrow(frequencies, kind).groupBy("part", "heap").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
-        n = np.concatenate([np.frombuffer(r["n"], "<i8") for r in sorted(sums, key=lambda r: r["part"])] or [np.zeros(n_parts * _PART)])[: len(terms)].astype(float)
-        terms, n = terms[n > 0], n[n > 0]
+    sums = index.select("terms", "dir_sizes", "dir_n").mapInArrow(count, kind).groupBy("part", "heap").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind).collect()
+    out = np.zeros(n_parts * _PART)
+    for r in sums:
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["n"], "<i8")
+    return out[:size]
+
+
+def _search_block(spark: SparkSession, index: DataFrame, rows: list, k: int, n_docs: int, mean_length: float) -> tuple[DataFrame, list[Broadcast]]:
+    """The best documents of every shard for one block of queries, and the broadcasts that it needs until it is computed."""
+    asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for r in sorted(rows):
+        qid, t, c = r["query_id"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<u4")
+        if asked and asked[-1][0] == qid:
+            _, t0, c0 = asked.pop()
+            t, at = np.unique(np.concatenate([t0, t]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([c0, c]), len(t)).astype("<u4")
+        asked.append((qid, t, c))
+    vocabulary = np.unique(np.concatenate([q[1] for q in asked])) if asked else np.zeros(0, "<u8")
+    words = spark.sparkContext.broadcast(vocabulary)
+    n = _frequencies(index, words, len(vocabulary))
+    terms, n = vocabulary[n > 0], n[n > 0]
     idf = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
     plan = []
     for qid, t, c in asked:
         at = np.searchsorted(terms, t)
         ok = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == t) if len(terms) else np.zeros(len(t), bool)
-        t, w, often = t[ok], (idf[at[ok]] * c[ok]), n[at[ok]]
-        rare_first = np.lexsort((t, often))
-        plan.append((qid, t[rare_first], w[rare_first]))
+        rare_first = np.lexsort((t[ok], n[at[ok]]))
+        plan.append((qid, t[ok][rare_first], (idf[at[ok]] * c[ok])[rare_first]))
     shared = spark.sparkContext.broadcast(plan)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
         for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row, mean_length)
+            for i in range(b.num_rows):
+                shard = Shard(b.slice(i, 1).to_pylist()[0], mean_length)
                 got = [(q, *shard.top(t, w, k)) for q, t, w in shared.value]
                 yield arrow({"query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), "doc_id": np.concatenate([i for _, i, _ in got] or [[]]), "score": np.concatenate([s for _, _, s in got] or [[]])}, schema)
 
-    return index.mapInArrow(answer, "query_id long, doc_id long, score double")
+    return index.mapInArrow(answer, "query_id long, doc_id long, score double"), [words, shared]

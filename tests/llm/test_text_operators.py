@@ -218,15 +218,13 @@ def test_simhash_of_nothing(empty):
 
 @pytest.fixture(scope="module")
 def plain_tokenizer():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def test_tokenizer_is_exact(rows, plain_tokenizer):
     r = random.Random(8)
     odd = ["".join(chr(r.choice([r.randint(9, 255), r.randint(32, 126), r.randint(256, 700), r.randint(0x2000, 0x206F), r.randint(0x300, 0x3FF)])) for _ in range(r.randint(1, 60))) for _ in range(300)]
-    texts = [t for _, t, *_ in rows] + odd + ["it's they're I'M 12³ ½ don't'll !!'s", "<|endoftext|> <|startoftext|>", "á é", "İstanbul ŉ ǅ", " x  y z　"]
+    texts = [t for _, t, *_ in rows] + odd + ["it's they're I'M 12³ ½ don't'll !!'s", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "A<|endoftext|>b<|ENDOFTEXT|>", "<|endoftext", "á é", "İstanbul ŉ ǅ", " x  y z　"]
     for limit in (600_000, 50):
         t = tokens.WordTokenizer(TOKENIZER, limit)
         for _ in range(2):
@@ -237,8 +235,11 @@ def test_tokenizer_is_exact(rows, plain_tokenizer):
 
 
 def test_packing(docs, rows, plain_tokenizer):
+    rows = [*rows, (700, "a <|endoftext|> b", None, None, None), (701, "<|startoftext|>", None, None, None)]
+    more = docs.union(docs.sparkSession.createDataFrame(rows[-2:], docs.schema))
     for blocks in (100_000, 40):
-        got = packing.pack(with_clashes(docs), TOKENIZER, docs_per_block=blocks).collect()
+        got = packing.pack(with_clashes(more), TOKENIZER, pieces_per_block=blocks).collect()
+        assert [r["length"] for r in got if r["doc_id"] == 700] == [4]
         want = Counter()
         for i, t, *_ in rows:
             ids = plain_tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -267,6 +268,13 @@ def test_sum_of_squares_is_dense():
     assert packing.sum_of_squares(np.array([], np.int64))[0].tolist() == []
 
 
+def test_repeated_rows_do_not_fill_one_block(spark):
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack(same, TOKENIZER, pieces_per_block=500).groupBy((F.col("sequence_id") % 8).alias("block")).count().collect()
+    assert len(got) == 8
+    assert max(r["count"] for r in got) < 1000
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
