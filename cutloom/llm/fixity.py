@@ -1,9 +1,11 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are hashed with their place; 16 neighbours at a time become a node over their ordered offset
-range, first inside a segment (one file), then over segments, up to one root. Two replicas are compared
-at the root, and only the children of nodes that differ are compared further, down to single records.
-Nodes have 16 children at most, so nothing unbounded is gathered.
+Every record is digested where it is read; from there on only digests travel. They are dealt by ranges
+of segment (one file) and place, so that a segment of any size is spread over tasks, and give positions
+and byte offsets by sums over tasks. 16 neighbours at a time become a node over their ordered offset
+range, first inside a segment, then over segments, up to one root. Two replicas are compared at the root,
+and only the children of nodes that differ are compared further, down to single records. Nodes have 16
+children at most, so nothing unbounded is gathered.
 """
 
 from __future__ import annotations
@@ -18,32 +20,54 @@ FAN = 16
 
 
 def warc_records(pages: DataFrame, pages_per_segment: int = 512, segment: Column | None = None) -> DataFrame:
-    """WARC resource records of web pages, in order inside their segment: segment, position, page_id, offset, length, record.
+    """WARC resource records of web pages: segment, page_id, record.
 
     `segment` names the file of a page; by default a run of page_ids. Null html is an empty payload, null
-    urls are empty, pages without page_id share segment -1; repeated rows are records of their own.
+    urls are empty, pages without page_id or segment share segment -1; repeated rows are records of their
+    own; very long pages are one record each; other columns are ignored.
     """
     payload, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"))
-    where = F.coalesce(F.floor(F.col("page_id") / pages_per_segment), F.lit(-1)) if segment is None else segment
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), where.cast("long").alias("segment"), F.concat(head, payload, F.lit("\r\n\r\n")).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    inside = W.partitionBy("segment").orderBy("page_id", F.sha2("record", 256))
-    return rows.select("segment", (F.row_number().over(inside) - 1).cast("long").alias("position"), "page_id", (F.sum("length").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "record")
+    where = F.floor(F.col("page_id") / pages_per_segment) if segment is None else segment
+    return pages.select(F.coalesce(where.cast("long"), F.lit(-1)).alias("segment"), F.col("page_id").cast("long").alias("page_id"), F.concat(head, payload, F.lit("\r\n\r\n")).alias("record"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """A leaf for each record: the digest of its bytes and of its offset range."""
-    rows = records.select("segment", "position", "page_id", "offset", "length", F.sha2("record", 256).alias("digest"))
+def manifest(records: DataFrame) -> DataFrame:
+    """The places of records (segment, page_id, record) in their files: segment, position, page_id, offset, length, digest.
+
+    In a segment records follow page_id (null first), then digest; equal ones are interchangeable. A null
+    record is an empty one with a null digest. An empty table gives an empty manifest.
+    """
+    length = F.coalesce(F.octet_length("record").cast("long"), F.lit(0))
+    rows = checkpointed(records.select("segment", "page_id", length.alias("length"), F.sha2("record", 256).alias("digest"), F.monotonically_increasing_id().alias("row")))
+    order = ("page_id", "digest", "row")
+    # The row number also spreads repeated rows over ranges.
+    dealt = checkpointed(rows.repartitionByRange("segment", *order).withColumn("task", F.spark_partition_id()))
+    run = W.partitionBy("segment", "task").orderBy(*order)
+    sums = dealt.groupBy("segment", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    upto = W.partitionBy("segment").orderBy("task")
+    before = sums.select("segment", "task", (F.sum("n").over(upto) - F.col("n")).alias("n_before"), (F.sum("bytes").over(upto) - F.col("bytes")).alias("bytes_before"))
+    inside = dealt.withColumns({"at": F.row_number().over(run) - 1, "end": F.sum("length").over(run.rowsBetween(W.unboundedPreceding, 0))})
+    placed = inside.join(before, ["segment", "task"])
+    return placed.select("segment", (F.col("n_before") + F.col("at")).cast("long").alias("position"), "page_id", (F.col("bytes_before") + F.col("end") - F.col("length")).alias("offset"), "length", "digest")
+
+
+def leaves(places: DataFrame) -> DataFrame:
+    """A manifest with a leaf for each record: the hash of its digest and of its offset range."""
     stop = F.col("offset") + F.col("length")
-    return rows.select("*", F.col("offset").alias("start"), stop.alias("stop"), F.sha2(F.concat_ws(":", "offset", stop, "digest"), 256).alias("hash"))
+    rows = places.select("segment", "position", "page_id", "offset", "length", "digest")
+    return rows.select("*", F.col("offset").alias("start"), stop.alias("stop"), F.sha2(F.concat_ws(":", "offset", stop, F.coalesce("digest", F.lit(""))), 256).alias("hash"))
+
+
+def _up(over_segments: bool) -> dict[str, Column]:
+    """The parent of a node: by 16 neighbours in a segment, or by 16 segments."""
+    return {"segment": (F.floor(F.col("segment") / FAN) if over_segments else F.col("segment")).cast("long"), "position": (F.lit(0) if over_segments else F.floor(F.col("position") / FAN)).cast("long")}
 
 
 def _parents(nodes: DataFrame, over_segments: bool) -> DataFrame:
-    """One level up: 16 neighbours in a segment, or 16 segments, by position."""
-    up = {"segment": F.floor(F.col("segment") / FAN) if over_segments else F.col("segment"), "position": F.lit(0) if over_segments else F.floor(F.col("position") / FAN)}
-    child = F.col("segment") if over_segments else F.col("position")
-    rows = nodes.select(up["segment"].cast("long").alias("segment"), up["position"].cast("long").alias("position"), child.alias("child"), "start", "stop", "hash")
+    """One level up."""
+    up = _up(over_segments)
+    rows = nodes.select(up["segment"].alias("segment"), up["position"].alias("position"), F.col("segment" if over_segments else "position").alias("child"), "start", "stop", "hash")
     ordered = F.sort_array(F.collect_list(F.struct("child", "start", "stop", "hash")))
     joined = F.array_join(F.transform(ordered, lambda c: F.concat_ws(":", c["child"], c["start"], c["stop"], c["hash"])), ",")
     return rows.groupBy("segment", "position").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sha2(joined, 256).alias("hash"))
@@ -67,12 +91,16 @@ def _depth(n: int) -> int:
 def audit(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, list[int]]:
     """Records that differ between two replicas, and the number of nodes compared on each level, root first.
 
-    Both have segment, position, page_id, offset, length and record. Returns segment, position, page_id,
-    offset, length, finding (corrupt: other bytes; moved: other range; missing; extra), expected_digest
-    and actual_digest. A null record has a null digest and counts as corrupt against any other. Empty
-    replicas are no error. Other columns are ignored.
+    Both are manifests (segment, position, page_id, offset, length, digest). Returns segment, position,
+    page_id, offset, length, finding (corrupt: other bytes; moved: other range; missing; extra),
+    expected_digest and actual_digest. A null digest counts as corrupt against any other. A manifest that
+    names one place twice is no replica and raises ValueError. Empty replicas are no error. Other columns
+    are ignored.
     """
-    a, b = (checkpointed(leaves(x).withColumn("hash", F.coalesce("hash", F.lit("")))) for x in (expected, actual))
+    a, b = (checkpointed(leaves(x)) for x in (expected, actual))
+    for x in (a, b):
+        if not x.groupBy("segment", "position").count().where("count > 1").isEmpty():
+            raise ValueError("a manifest names a place twice")
     most = a.select("segment", "position").union(b.select("segment", "position")).agg(F.max("position"), F.max("segment"), F.min("segment")).first()
     inner = _depth((most[0] or 0) + 1)
     outer = _depth(max(1, (most[1] or 0) + 1)) + (1 if (most[2] or 0) < 0 else 0)
@@ -81,9 +109,8 @@ def audit(expected: DataFrame, actual: DataFrame) -> tuple[DataFrame, list[int]]
     for level in range(inner + outer, -1, -1):
         x, y = left[level], right[level]
         if differing is not None:
-            over = level >= inner
-            up = [F.floor(F.col("segment") / FAN).cast("long") if over else F.col("segment"), F.lit(0).cast("long") if over else F.floor(F.col("position") / FAN).cast("long")]
-            x, y = (z.withColumns({"up_segment": up[0], "up_position": up[1]}).join(differing, ["up_segment", "up_position"], "left_semi") for z in (x, y))
+            up = _up(level >= inner)
+            x, y = (z.withColumns({"up_segment": up["segment"], "up_position": up["position"]}).join(differing, ["up_segment", "up_position"], "left_semi") for z in (x, y))
         both = x.select("segment", "position", F.col("hash").alias("hash_x")).join(y.select("segment", "position", F.col("hash").alias("hash_y")), ["segment", "position"], "full_outer")
         both = checkpointed(both)
         compared.append(both.count())

@@ -67,8 +67,7 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records against a replica in which every page of a url ending in 7 has its last character lost."""
     pages = read_table(spark, sf_dir, "pages")
     hurt = F.when(F.col("url").endswith("7"), F.expr("left(html, greatest(char_length(html) - 1, 0)) || '#'")).otherwise(F.col("html"))
-    expected = fixity.warc_records(pages)
-    actual = fixity.warc_records(pages.withColumn("html", hurt))
+    expected, actual = (fixity.manifest(fixity.warc_records(x)) for x in (pages, pages.withColumn("html", hurt)))
     found, _ = fixity.audit(expected, actual)
     return found
 
@@ -105,11 +104,12 @@ n AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINC
 SELECT k.doc_id, count(*) AS n_lines, count(n.key) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN n.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM k LEFT JOIN n ON n.key = k.key GROUP BY k.doc_id""",
     "op8_warc_fixity": """
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a, CASE WHEN url LIKE '%7' THEN left(html, length(html) - 1) || '#' ELSE coalesce(html, '') END AS b FROM pages),
-h AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-  chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, b FROM p),
-r AS (SELECT page_id, page_id // 512 AS segment, head || strlen(a) || gap || a || gap AS ra, head || strlen(b) || gap || b || gap AS rb FROM h),
-o AS (SELECT segment, row_number() OVER w - 1 AS position, page_id, CAST(sum(strlen(ra)) OVER w - strlen(ra) AS BIGINT) AS "offset", CAST(strlen(ra) AS BIGINT) AS length, ra, rb FROM r
-  WINDOW w AS (PARTITION BY segment ORDER BY page_id))
-SELECT segment, position, page_id, "offset", length, 'corrupt' AS finding, sha256(ra) AS expected_digest, sha256(rb) AS actual_digest FROM o WHERE ra <> rb""",
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS a, CASE WHEN url LIKE '%7' THEN left(html, greatest(length(html) - 1, 0)) || '#' ELSE html END AS b FROM pages),
+h AS (SELECT page_id, coalesce(page_id // 512, -1) AS segment, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+  chr(13) || chr(10) || chr(13) || chr(10) AS gap, a, coalesce(b, '') AS b FROM p),
+r AS (SELECT segment, page_id, 'x' AS side, head || strlen(a) || gap || a || gap AS r FROM h UNION ALL SELECT segment, page_id, 'y', head || strlen(b) || gap || b || gap FROM h),
+d AS (SELECT segment, page_id, side, CAST(strlen(r) AS BIGINT) AS length, sha256(r) AS digest FROM r),
+o AS (SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length) OVER w - length AS BIGINT) AS "offset" FROM d WINDOW w AS (PARTITION BY side, segment ORDER BY page_id NULLS FIRST, digest))
+SELECT x.segment, x.position, x.page_id, x."offset", x.length, CASE WHEN x.digest = y.digest THEN 'moved' ELSE 'corrupt' END AS finding, x.digest AS expected_digest, y.digest AS actual_digest
+FROM o x JOIN o y ON x.side = 'x' AND y.side = 'y' AND y.segment = x.segment AND y.position = x.position WHERE x.digest <> y.digest OR x."offset" <> y."offset" OR x.length <> y.length""",
 }
