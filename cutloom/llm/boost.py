@@ -16,16 +16,20 @@ class Tree:
     value: np.ndarray
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row. A leaf above the last level is passed on to its left, where its value is looked up again."""
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         at = np.zeros(len(x), np.int64)
+        feature, threshold = np.maximum(self.feature, 0), np.where(self.feature >= 0, self.threshold, np.inf)
         for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
-            f = self.feature[at]
-            inner = f >= 0
-            right = x[np.arange(len(x)), np.maximum(f, 0)] > self.threshold[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+            at = 2 * at + 1 + (flat.take(row + feature.take(at)) > threshold.take(at))
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.value[self.leaves(x)]
+        value = self.value.copy()
+        for i in np.flatnonzero(self.feature < 0):
+            if 2 * i + 1 < len(value):
+                value[2 * i + 1] = value[i]
+        return value[self.leaves(x)]
 
 
 def _edges(x: np.ndarray, bins: int) -> list[np.ndarray]:

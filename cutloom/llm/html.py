@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from . import boost
 from .common import slices
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_ATTRS = r"(?:[\s/]++|=?[^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+(?<![\s/]))*+"
+_TAG = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-label|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Fixed values of HTML: elements without content, of raw content, and that end an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+_RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
+_HIDDEN = frozenset("noscript svg math object select".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
 _ENDS_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -66,6 +68,7 @@ class Page:
         self.words: list[int] = [0]
         self.text: list[str | None] = [None]
         self.truth: list[str | None] = [None]
+        self.end: list[int] = [0]  # where the nodes below end
         self.order: list[int] = []  # text nodes and, as -1, block edges
         self._parse(html)
 
@@ -75,11 +78,14 @@ class Page:
         self.words.append(words)
         self.text.append(text)
         self.truth.append(truth)
+        self.end.append(len(self.tag))
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
         stack, pos = [0], 0
         for_text = self.order.append
+        #: How many elements of a tag are open: most searches of the stack are for tags that are not.
+        n_open: dict[str, int] = {}
 
         def text(upto: int) -> None:
             if upto > pos and (raw := html[pos:upto]):
@@ -89,8 +95,26 @@ class Page:
                 elif self.order and self.order[-1] >= 0:
                     for_text(-2)  # white space between inline elements
 
-        search = _TAG.search
-        while (m := search(html, pos)) is not None:
+        def close(k: int) -> None:
+            n = len(self.tag)
+            for j in stack[k:]:
+                self.end[j] = n
+                n_open[self.tag[j]] -= 1
+            del stack[k:]
+
+        def close_nearest(names: set[str] | frozenset[str], until: set[str] | frozenset[str] = frozenset()) -> None:
+            if not any(n_open.get(t) for t in names):
+                return
+            for k in range(len(stack) - 1, 0, -1):
+                t = self.tag[stack[k]]
+                if t in names:
+                    close(k)
+                    return
+                if t in until:
+                    return
+
+        search, last = _TAG.search, html.rfind(">")
+        while pos <= last and (m := search(html, pos)) is not None:
             text(m.start())
             pos = m.end()
             name = m[2] or m[5]
@@ -100,39 +124,30 @@ class Page:
             if m[1] or m[4]:
                 if name in _BLOCK:
                     for_text(-1)
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                close_nearest({name})
                 continue
             rest = m[3] if m[2] else m[6]
             if name in _BLOCK:
                 for_text(-1)
-            if name in _RAW:
-                if not rest.endswith("/"):
-                    end = re.compile(f"</{name}[^>]*>", re.I).search(html, pos)
-                    pos = end.end() if end else len(html)
+            if name in _RAW or name in _HIDDEN:
+                if name in ("svg", "math") and rest.endswith("/"):  # only these may close themselves
+                    continue
+                end = _end_of(name).search(html, pos)
+                if end:
+                    pos = end.end()
+                elif name in _RAW:
+                    pos = len(html)
                 continue
             if name in ("html", "body", "head"):
+                if "data-y" in rest:
+                    self.truth[0] = "1"
                 continue
             if name in _VOID:
                 continue
             if name in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t == "p":
-                        del stack[k:]
-                        break
-                    if t in _BLOCK:
-                        break
+                close_nearest(_P, _BLOCK)
             if name in _SIBLING:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[k]]
-                    if t in _SIBLING[name]:
-                        del stack[k:]
-                        break
-                    if t in _SCOPE[name]:
-                        break
+                close_nearest(_SIBLING[name], _SCOPE[name])
             words, truth = _TAG_WORDS.get(name, 0), None
             if rest:
                 for key, value in _ATTR.findall(rest):
@@ -142,62 +157,83 @@ class Page:
                     for w in _WORD.findall(value):
                         words |= _WORD_GROUP.get(w.lower(), 0)
             stack.append(self._node(name, stack[-1], words, None, truth))
-            if len(stack) > 512:  # deeper nesting is kept flat
-                stack.pop()
+            n_open[name] = n_open.get(name, 0) + 1
         text(len(html))
+        n_open["html"] = n_open.get("html", 0) + 1
+        close(0)
 
 
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I)
+
+
+_P = frozenset({"p"})
 N_WORDS, N_TAGS = len(WORDS), len(TAGS)
 FEATURES = 8 + N_TAGS + 3 * N_WORDS + 16
 
 
-def features(page: Page) -> np.ndarray:
-    """One row of features for each node."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    group = np.array([_TAG_GROUP.get(t, -1) for t in page.tag])
-    chars, words, marks, links, paragraphs, nodes, blocks = (np.zeros(n) for _ in range(7))
-    depth, linked, place, children = np.zeros(n, int), np.zeros(n, bool), np.zeros(n), np.zeros(n)
-    above, own = np.zeros(n, np.int64), np.array(page.words, np.int64)
-    start = np.zeros(n)
-    total = 0
-    for i in range(n):
-        if (p := page.parent[i]) >= 0:
-            depth[i], above[i] = depth[p] + 1, above[p] | own[p]
-            linked[i] = linked[p] or page.tag[p] == "a"
-            place[i] = children[p]
-            children[p] += 1
-        start[i] = total
-        nodes[i] = 1
-        if (t := page.text[i]) is not None:
-            s = t.strip()
-            chars[i], words[i] = len(s), s.count(" ") + 1
-            marks[i] = s.count(".") + s.count(",") + s.count("。")
-            links[i] = len(s) if linked[i] else 0
-            total += len(s)
-        paragraphs[i] = page.tag[i] == "p"
-        blocks[i] = page.tag[i] in _BLOCK
-    below = own.copy()
-    for i in range(n - 1, 0, -1):
-        p = page.parent[i]
-        for a in (chars, words, marks, links, paragraphs, nodes, blocks):
-            a[p] += a[i]
-        below[p] |= below[i]
-    p = np.maximum(parent, 0)
+def features(pages: list[Page]) -> np.ndarray:
+    """One row of features for each node of all pages in a row.
+
+    Nodes are in document order, so the nodes below one are a run, and sums and unions over it are
+    differences of running totals.
+    """
+    sizes = np.array([len(p.tag) for p in pages])
+    root = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    n = len(root)
+    at = np.arange(n)
+    flat = lambda f: np.concatenate([f(p) for p in pages])
+    up = flat(lambda p: np.array(p.parent)) + root
+    is_root = at == root
+    parent = np.where(is_root, root - 1, up)
+    end = flat(lambda p: np.array(p.end)) + root
+    own = flat(lambda p: np.array(p.words, np.int64))
+    names, tag = np.unique(flat(lambda p: np.array(p.tag)), return_inverse=True)
+    group = np.array([_TAG_GROUP.get(t, -1) for t in names.tolist()])[tag]
+    runs = [t.strip() if t is not None else None for p in pages for t in p.text]
+    full = np.array([t is not None for t in runs])
+    said = [t for t in runs if t is not None]
+    chars, words, marks, links = (np.zeros(n) for _ in range(4))
+    chars[full] = [len(t) for t in said]
+    words[full] = [t.count(" ") + 1 for t in said]
+    marks[full] = [t.count(".") + t.count(",") + t.count("。") for t in said]
+
+    def below(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+        return total[end] - total[at]
+
+    def inside(x: np.ndarray) -> np.ndarray:
+        """How many of the nodes marked by x a node lies below."""
+        total = np.cumsum(x - np.bincount(end[x > 0], minlength=n + 1)[:n], axis=0)
+        return total - x
+
+    is_link = (names == "a")[tag].astype(np.int64)
+    links[full] = (chars * (inside(is_link) > 0))[full]
+    depth = inside(np.ones(n, np.int64))
     bits = 1 << np.arange(N_WORDS)
+    own_bits = (own[:, None] & bits) > 0
+    above = np.stack([inside(x.astype(np.int64)) > 0 for x in own_bits.T], axis=1)
+    start = np.cumsum(chars) - chars
+    start, whole = start - start[root], np.maximum(1.0, below(chars)[root])
+    children = np.bincount(up[~is_root], minlength=n).astype(float)
+    order = np.argsort(np.where(is_root, -1, up), kind="stable")
+    place = np.empty(n)
+    place[order] = at - np.searchsorted(np.where(is_root, -1, up)[order], np.where(is_root, -1, up)[order], "left")
+    place[is_root] = 0
+    kinds = np.where(is_root, -1 - at, parent) * len(names) + tag
+    same = np.unique(kinds, return_inverse=True, return_counts=True)
+    same = same[2][same[1]].astype(float)
+    blocks = np.array([t in _BLOCK for t in names.tolist()])[tag].astype(float)
+    paragraphs, nodes, blocks = below((names == "p")[tag].astype(float)), (end - at).astype(float), below(blocks)
+    chars, words, marks, links = below(chars), below(words), below(marks), below(links)
+    p = np.where(is_root, root, up)
     one_hot = (group[:, None] == np.arange(N_TAGS)).astype(float)
-    same = np.zeros(n)
-    kinds: dict[tuple[int, str], int] = {}
-    for i in range(n):
-        kinds[page.parent[i], page.tag[i]] = kinds.get((page.parent[i], page.tag[i]), 0) + 1
-    for i in range(n):
-        same[i] = kinds[page.parent[i], page.tag[i]]
-    whole = max(1.0, total)
     density = chars / np.maximum(1, nodes)
     link_share = links / np.maximum(1, chars)
     parts = [
         np.log1p(chars), np.log1p(words), chars / whole, np.log1p(density), link_share, marks / np.maximum(1, words), np.log1p(paragraphs), np.log1p(nodes),
-        *one_hot.T, *((own[:, None] & bits) > 0).T, *((above[:, None] & bits) > 0).T, *((below[:, None] & bits) > 0).T,
+        *one_hot.T, *own_bits.T, *above.T, *(below(own_bits.astype(np.int64)) > 0).T,
         depth, place, children[p], place / np.maximum(1, children[p]), same / np.maximum(1, children[p]), start / whole, (start + chars) / whole,
         chars / np.maximum(1, chars[p]), link_share[p], np.log1p(chars[p]), np.log1p(density[p]), group[p], group[p[p]], np.log1p(children), np.log1p(words / np.maximum(1, blocks)), marks,
     ]
@@ -343,9 +379,14 @@ def _compose(rng: random.Random) -> str:
     middle = "".join(extra(rng.choice([4, 5, 7, 8, 9])) for _ in range(rng.choice([0, 0, 1, 2]))) + main + "".join(extra(rng.choice([4, 5, 6, 6, 9])) for _ in range(rng.choice([0, 0, 1, 1, 2])))
     for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
         middle = el(rng.choice(["div", "div", "main", "section"]), middle + (extra(rng.choice([4, 6, 9])) if rng.random() < 0.15 else ""), rng.choice([None, None, 0]))
+    bare = rng.random()
+    if bare < 0.2:  # no element holds the article and nothing else
+        middle = body() if bare < 0.12 else "".join(paragraph() for _ in range(rng.randint(1, 6)))
+    if bare < 0.06:  # nor is there anything else on the page
+        return f"<html><body data-y=1>{middle}</body></html>"
     top = "".join(extra(k) for k in (7, 2, 1, 5) if rng.random() < 0.55)
     end = "".join(extra(k) for k in (6, 4, 8, 7, 3) if rng.random() < (0.8 if k == 3 else 0.2))
-    return f"<!DOCTYPE html><html><head><title>{sentence()}</title><script>var a='</p>';</script></head><body>{top}{middle}{end}</body></html>"
+    return f"<!DOCTYPE html><html><head><title>{sentence()}</title><script>var a='</p>';</script></head><body{' data-y=1' if bare < 0.2 else ''}>{top}{middle}{end}</body></html>"
 
 
 def truth(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -366,28 +407,27 @@ def truth(page: Page) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def model(pages: int = 600, trees: int = 100, depth: int = 5, seed: int = 5) -> tuple[float, list[boost.Tree]]:
+def model(pages: int = 700, trees: int = 70, depth: int = 5, seed: int = 5) -> tuple[float, list[boost.Tree]]:
     """The node model, trained on `pages` composed pages."""
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
         p = Page(_compose(rng))
         y, full = truth(p)
-        xs.append(features(p)[full])
+        xs.append(features([p])[full])
         ys.append(y[full])
-    return boost.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees, depth, 0.2, share=0.5)
+    return boost.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees, depth, 0.25, share=0.5)
 
 
 def main_texts(pages: list[str], fitted: tuple[float, list[boost.Tree]]) -> list[str]:
     parsed = [Page(h) for h in pages]
     if not parsed:
         return []
-    rows = [features(p) for p in parsed]
-    chance = boost.predict(*fitted, np.concatenate(rows))
+    chance = boost.predict(*fitted, features(parsed))
     out, at = [], 0
-    for p, r in zip(parsed, rows, strict=True):
-        out.append(assemble(p, decode(p, chance[at : at + len(r)])))
-        at += len(r)
+    for p in parsed:
+        out.append(assemble(p, decode(p, chance[at : at + len(p.tag)])))
+        at += len(p.tag)
     return out
 
 

@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 
 from cutloom.llm import boost, fixity, html, quality, rollups, search
 
+from .pages_by_hand import PAGES
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -101,6 +103,75 @@ def test_main_text_of_a_page():
         assert gone not in text
 
 
+def test_pages_by_hand():
+    """Words of the main text of pages that people wrote; no page may go far wrong."""
+    same = got_all = want_all = 0
+    for source, want in PAGES:
+        want, got = Counter(want.split()), Counter(html.main_texts([source], html.model())[0].split())
+        n = sum((want & got).values())
+        assert n > 0.85 * sum(want.values())
+        assert n > 0.85 * sum(got.values())
+        same, got_all, want_all = same + n, got_all + sum(got.values()), want_all + sum(want.values())
+    assert same > 0.96 * got_all
+    assert same > 0.96 * want_all
+
+
+ROW = "<p>A sentence of the article stands here, and it has a few words more.</p>"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<script src=/a.js/>var tracker=1;</script>", "<script>if (a<b) document.write('<p>tracker</p>')</SCRIPT >", "<style/>p{tracker}</style>", '<img alt="' + "<p>tracker</p>" * 80_000 + '">', "<a title='x>tracker' href=y>" + ROW + "</a>",
+        "<iframe src=x/>tracker</iframe>", "<!-- <p>tracker</p> -->", "<svg/>", "<svg><title>tracker</title></svg>", "<noscript>tracker</noscript>", "</tracker x='>", '<p data-x = "a>tracker">',
+    ],
+)
+def test_markup_stays_out(inner):
+    page = html.Page(f"<article class=post>{ROW}{inner}{ROW}</article>")
+    text = html.assemble(page, np.ones(len(page.tag), bool))
+    assert "tracker" not in text
+    assert text.count("stands here") == 2 + inner.count("stands here")
+
+
+def test_deep_and_hostile_pages():
+    deep = html.Page("<div>" * 5000 + ROW + "</div>" * 5000)
+    assert max(html.features([deep])[:, 8 + html.N_TAGS + 3 * html.N_WORDS]) == 5002
+    nested = "<article>" + "<section>" * 2000 + ROW + "</section>" * 2000 + "</article>"
+    assert "stands here" in html.main_texts([nested], html.model())[0]
+    for text in ("<a '" * 200_000 + ">", "<a " * 200_000, "<div>" * 50_000 + "</p>" * 50_000, "<" * 100_000, '<a b="' * 50_000, "<!--" * 50_000, "</" * 50_000):
+        html.Page(text)
+
+
+def test_features_of_many_pages_are_those_of_each():
+    rng = random.Random(3)
+    pages = [html.Page(html._compose(rng)) for _ in range(20)] + [html.Page("")]
+    assert np.allclose(html.features(pages), np.concatenate([html.features([p]) for p in pages]))
+
+
+def test_features_against_walks_over_the_tree():
+    rng = random.Random(4)
+    for _ in range(10):
+        page = html.Page(html._compose(rng))
+        got, n = html.features([page]), len(page.tag)
+        under = [[j for j in range(n) if i in up(page, j)] for i in range(n)]
+        for i in range(n):
+            texts = [page.text[j].strip() for j in [i, *under[i]] if page.text[j] is not None]
+            linked = [page.text[j].strip() for j in [i, *under[i]] if page.text[j] is not None and any(page.tag[k] == "a" for k in up(page, j))]
+            assert got[i, 0] == pytest.approx(math.log1p(sum(map(len, texts))))
+            assert got[i, 4] == pytest.approx(sum(map(len, linked)) / max(1, sum(map(len, texts))))
+            assert got[i, 7] == pytest.approx(math.log1p(1 + len(under[i])))
+            assert got[i, 8 + html.N_TAGS + 3 * html.N_WORDS] == len(up(page, i))
+            sisters = [j for j in range(n) if page.parent[j] == page.parent[i]]
+            assert got[i, 9 + html.N_TAGS + 3 * html.N_WORDS] == (sisters.index(i) if i else 0)
+
+
+def up(page, i):
+    out = []
+    while (i := page.parent[i]) >= 0:
+        out.append(i)
+    return out
+
+
 def test_held_out_pages():
     rng, tp, fp, fn = random.Random(77), 0, 0, 0
     fitted = html.model()
