@@ -2,9 +2,10 @@
 
 A shard is one row of compact arrays, built by the task that reads the texts and cut at a bound of
 postings, so that neither a key nor a count of documents makes one large. Its documents are in order of
-length and grouped in blocks of `BLOCK`; the postings of a term lie block by block, and a directory
-holds, for every term and block with postings, how many there are and the largest frequency. That and
-the shortest length in the block bound the term's impact there, whatever the mean length turns out to be.
+their own most frequent term and then of length, which brings those of one language and length together,
+and grouped in blocks of `BLOCK`; the postings of a term lie block by block, and a directory holds, for
+every term and block with postings, how many there are and the largest frequency. That and the shortest
+length in the block bound the term's impact there, whatever the mean length turns out to be.
 Global statistics (number of documents, mean length, document frequencies of the queries' terms) are
 added up over all shards first, so that every shard scores alike and the shards' best merge exactly.
 
@@ -13,8 +14,10 @@ whole, as nothing can be skipped before there is a threshold. Then the block max
 ahead are added up; the most promising documents are scored, and the k-th best score is the threshold.
 Pivots are the documents whose score so far, with the block maxima ahead, reaches it. The next lists are
 read only in blocks that hold a pivot, found by the directory, and the impacts of frequent terms, laid
-out by document, only at the pivots themselves; after each group the pivots are chosen again (block-max
-WAND, Ding and Suel, 2011, with document-aligned blocks and all cursors of a shard moved together).
+out by document, only at the pivots themselves; after each group the pivots are chosen again. The few
+that may be among the best are scored anew from their own terms, in an order that is the same in every
+shard (block-max WAND, Ding and Suel, 2011, with document-aligned blocks and all cursors of a shard moved
+together).
 """
 
 from __future__ import annotations
@@ -50,30 +53,43 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 def _index_shard(ids: np.ndarray, tok: np.ndarray, lengths: np.ndarray) -> dict:
     """The arrays of one shard out of its documents' tokens in a row."""
-    order = np.lexsort((ids, lengths))
-    tok = tok[ranges((np.cumsum(lengths) - lengths)[order], lengths[order])]
-    ids, lengths = ids[order], lengths[order]
-    doc = np.repeat(np.arange(len(ids)), lengths)
-    order = np.lexsort((doc, tok))
-    tok, doc = tok[order], doc[order]
-    new = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1])])) if len(tok) else np.zeros(0, np.int64)
-    tf, tok, doc = np.diff(np.append(new, len(tok))), tok[new], doc[new]
-    block = doc // BLOCK
-    at = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])])) if len(tok) else new
-    terms, first = np.unique(tok[at], return_index=True)
+    n = max(1, len(ids))
+    terms, key = np.unique(tok, return_inverse=True)
+    key *= n
+    key += np.repeat(np.arange(len(ids)), lengths)
+    key.sort()
+    at = _starts(key)
+    tf, (term, doc) = np.diff(np.append(at, len(key))), np.divmod(key[at], n)
+    # Documents in order of their most frequent term (of several the least), length and id.
+    most, own = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    np.maximum.at(most, doc, tf)
+    chief = np.flatnonzero(tf == most[doc])[::-1]
+    own[doc[chief]] = term[chief]
+    order = np.lexsort((ids, lengths, own))
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    key = term * n + rank[doc]
+    by = np.argsort(key)
+    tf, doc, term = tf[by], rank[doc][by], term[by]
+    at = _starts(term * n + doc // BLOCK)
     row = {
-        "doc_ids": ids, "lengths": lengths, "terms": terms, "dir_sizes": np.diff(np.append(first, len(at))), "dir_block": block[at], "dir_n": np.diff(np.append(at, len(tok))),
+        "doc_ids": ids[order], "lengths": lengths[order], "terms": terms, "dir_sizes": np.bincount(term[at], minlength=len(terms)), "dir_block": doc[at] // BLOCK, "dir_n": np.diff(np.append(at, len(doc))),
         "dir_tf": np.maximum.reduceat(tf, at) if len(at) else tf, "low": doc % BLOCK, "tf": tf,
     }
     return {"n_docs": len(ids), "n_tokens": int(lengths.sum()), **{k: row[k].astype(t).tobytes() for k, t in _ARRAYS}}
 
 
-def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_shard: int = 20_000) -> DataFrame:
+def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_shard: int = 10_000) -> DataFrame:
     """The index of all documents (doc_id, text), a row of arrays for each shard, kept in the shared folder.
 
-    A shard ends at `tokens_per_shard` tokens or `docs_per_shard` documents, or with one longer text,
+    Partitions far smaller than a shard are read together. A shard ends at `tokens_per_shard` tokens or `docs_per_shard` documents, or with one longer text,
     which is indexed whole. Null and empty texts are documents without terms; repeated rows and repeated
     ids are documents of their own; null ids stay null; an empty table gives an empty index; other
     columns are ignored. Terms are known by 64-bit hashes: words of equal hash would count as one.
@@ -98,7 +114,8 @@ def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_sha
         if held:
             yield shard()
 
-    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _INDEX))
+    n_tasks = max(1, -(-2 * docs.count() // docs_per_shard))
+    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").coalesce(n_tasks).mapInArrow(build, _INDEX))
 
 
 class Shard:
@@ -111,50 +128,68 @@ class Shard:
         norm = K1 * (1 - B + B * a["lengths"] / max(mean_length, 1e-9))
         self.dir_size = a["dir_sizes"].astype(np.int64)
         self.dir_start = np.cumsum(self.dir_size) - self.dir_size
-        self.block, self.n = a["dir_block"].astype(np.int64), a["dir_n"].astype(np.int64)
-        self.start = np.cumsum(self.n) - self.n
-        self.df = np.add.reduceat(self.n, self.dir_start) if len(self.terms) else self.dir_size
-        #: Documents are in order of length, so the first of a block has the least norm.
+        self.block, self.n = a["dir_block"], a["dir_n"].astype(np.int32)
+        self.start = np.cumsum(self.n, dtype=np.int64) - self.n
+        self.df = np.add.reduceat(self.n, self.dir_start, dtype=np.int64) if len(self.terms) else self.dir_size
+        least = np.minimum.reduceat(norm, np.arange(0, self.n_docs, BLOCK)) if self.n_docs else norm
         most = a["dir_tf"].astype(np.float64)
-        self.most = most * (K1 + 1) / (most + norm[self.block * BLOCK])
-        self.doc = np.repeat(self.block * BLOCK, self.n) + a["low"]
+        self.most = most * (K1 + 1) / (most + least[self.block])
+        self.doc = np.repeat(self.block * np.int32(BLOCK), self.n) + a["low"]
         tf = a["tf"].astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # The same postings document by document, terms in the order of their hashes.
+        order = np.argsort(self.doc, kind="stable")
+        self.own_term, self.own_impact = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)[order], self.impact[order]
+        self.own_size = np.bincount(self.doc, minlength=self.n_docs)
+        self.own_start = np.cumsum(self.own_size) - self.own_size
+        self.weight = np.zeros(len(self.terms))
+        self.row = np.full(len(self.terms), -1)
+        self.dense, self.tops, self.n_rows = np.zeros((0, self.n_docs)), np.zeros((0, self.n_blocks)), 0
         self.read = 0
 
-    def by_document(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Impacts of a term laid out by document, and its block maxima by block; kept for the next queries up to a bound."""
-        if t not in self.dense:
-            if len(self.dense) * self.n_docs > 8_000_000:
-                self.dense.clear()
-            x, top = np.zeros(self.n_docs), np.zeros(self.n_blocks)
+    def rows(self, terms: np.ndarray) -> np.ndarray:
+        """Where `dense` holds the impacts of terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
+        new = terms[self.row[terms] < 0]
+        if len(new) and self.n_rows and (self.n_rows + len(new)) * self.n_docs > 16_000_000:
+            self.row[:], self.n_rows, new = -1, 0, terms
+        if (more := self.n_rows + len(new) - len(self.dense)) > 0:
+            more = max(more, len(self.dense))
+            self.dense, self.tops = (np.concatenate([x, np.zeros((more, x.shape[1]))]) for x in (self.dense, self.tops))
+        for t in new.tolist():
+            r = self.row[t] = self.n_rows
+            self.n_rows += 1
+            self.dense[r], self.tops[r] = 0, 0
             a, b = self.dir_start[t], self.dir_start[t] + self.dir_size[t]
-            top[self.block[a:b]] = self.most[a:b]
+            self.tops[r, self.block[a:b]] = self.most[a:b]
             a, b = self.start[a], self.start[b - 1] + self.n[b - 1]
-            x[self.doc[a:b]] = self.impact[a:b]
-            self.dense[t] = x, top
-        return self.dense[t]
-
-    def _add(self, sums: np.ndarray, entry: np.ndarray, weight: np.ndarray) -> None:
-        """Adds the impacts of the directory entries' postings, in their order."""
-        n = self.n[entry]
-        posting = ranges(self.start[entry], n)
+            self.dense[r, self.doc[a:b]] = self.impact[a:b]
+        return self.row[terms]
+
+    def _sums(self, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted impacts of runs of postings, added up by document."""
+        posting = ranges(starts, sizes)
         self.read += len(posting)
-        np.add.at(sums, self.doc[posting], np.repeat(weight, n) * self.impact[posting])
+        return np.bincount(self.doc[posting], np.repeat(weights, sizes) * self.impact[posting], self.n_docs).astype(np.float64, copy=False)
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best (score, then smaller id), over documents with any term.
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents by all of their own terms, added up one by one in the same order in every shard."""
+        size = self.own_size[docs]
+        at = ranges(self.own_start[docs], size)
+        self.read += len(at)
+        return np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.own_term[at]] * self.own_impact[at], len(docs))
 
-        Terms come in one global order, rarest first, and a document's impacts are added up one by one in
-        that order, so that a text has the same score in any shard.
-        """
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best (score, then smaller id), over documents with any of the terms."""
         at = np.searchsorted(self.terms, terms)
         known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        docs, score = self._pivots(at, weights, k if prune and self.n_docs > 4 * k else self.n_docs)
+        rare_first = np.argsort(self.df[at], kind="stable")
+        docs = self._pivots(at[rare_first], weights[rare_first], k) if prune and self.n_docs > 4 * k else np.arange(self.n_docs)
+        self.weight[at] = weights
+        score = self.full(docs)
+        self.weight[at] = 0
         docs, score = docs[score > 0], score[score > 0]
         if len(docs) > k:
             stay = score >= np.partition(score, -k)[-k]
@@ -162,61 +197,57 @@ class Shard:
         order = np.lexsort((self.ids[docs], -score))[:k]
         return self.ids[docs[order]], score[order]
 
-    def _pivots(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents with their scores, all that can be among the k best at least."""
-        share = self.df[at] / self.n_docs
-        whole, blocks = (int(np.append(np.flatnonzero(share > x), len(at))[0]) for x in (WHOLE, BLOCKS))
-        sums = np.zeros(self.n_docs)
-        size = self.dir_size[at[:blocks]]
-        entry, weight = ranges(self.dir_start[at[:blocks]], size), np.repeat(weights[:blocks], size)
-        n_whole = int(size[:whole].sum())
-        self._add(sums, entry[:n_whole], weight[:n_whole])
-        entry, weight = entry[n_whole:], weight[n_whole:]
-        often = [(w, *self.by_document(int(t))) for t, w in zip(at[blocks:], weights[blocks:], strict=True)]
+    def _pivots(self, at: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Documents that include the k best and all that tie with them; terms come rarest first."""
+        df = self.df[at]
+        whole, blocks = np.searchsorted(df, [WHOLE * self.n_docs, BLOCKS * self.n_docs], "right").tolist()
+        sums = self._sums(self.start[self.dir_start[at[:whole]]], df[:whole], weights[:whole])
+        size = self.dir_size[at[whole:blocks]]
+        entry, weight = ranges(self.dir_start[at[whole:blocks]], size), np.repeat(weights[whole:blocks], size)
+        rows, often = self.rows(at[blocks:]), weights[blocks:]
         #: What the frequent terms from each group on can add to a document of each block.
-        ahead = [np.zeros(self.n_blocks)]
-        for i in range(len(often) - 1, -1, -1):
-            more = ahead[-1] + often[i][0] * often[i][2]
-            if (i + 1) % GROUP:
-                ahead[-1] = more
-            else:
-                ahead.append(more)
-        ahead = ahead[::-1]
-        docs = np.arange(self.n_docs)
-        of = docs // BLOCK
-        rest = ahead[0] + np.bincount(self.block[entry], weight * self.most[entry], self.n_blocks)
-        least = 0.0
-
-        def best(hope: np.ndarray) -> float:
-            """The k-th best score among the most promising documents, without what is still ahead by blocks."""
-            n = min(4 * k, len(hope))
-            probe = docs[np.argpartition(hope, -n)[-n:]]
-            score = sums[probe]
-            for w, x, _ in often:
-                score = score + w * x[probe]
+        ahead = np.zeros((1, self.n_blocks))
+        if len(rows):
+            per = np.add.reduceat(often[:, None] * self.tops[rows], np.arange(0, len(rows), GROUP))
+            ahead = np.concatenate([np.cumsum(per[::-1], axis=0)[::-1], ahead])
+        docs, of = np.arange(self.n_docs), np.arange(self.n_docs) // BLOCK
+
+        def best(hope: np.ndarray, docs: np.ndarray, score: np.ndarray) -> float:
+            """What the k-th best score is at least, by the most promising documents without the lists that are read by blocks."""
+            if len(docs) < k:
+                return 0.0
+            n = min(4 * k, len(docs))
+            probe = np.argpartition(hope, -n)[-n:]
             self.read += n * len(often)
             # The margin is for rounding: documents on the threshold must stay, for ties.
-            return float(np.partition(score, -k)[-k]) * (1 - 1e-12) if n >= k else 0.0
+            return float(np.partition(score[probe] + often @ self.dense[rows[:, None], docs[probe]], -k)[-k]) * (1 - 1e-9)
 
+        least = 0.0
         if len(entry):
-            hope = sums + rest[of]
-            least = best(hope)
-            docs = docs[hope >= least]
+            block = self.block[entry]
+            hope = sums + (ahead[0] + np.bincount(block, weight * self.most[entry], self.n_blocks))[of]
+            least = best(hope, docs, sums)
             live = np.zeros(self.n_blocks, bool)
-            live[of[docs]] = True
-            mine = live[self.block[entry]]
-            self._add(sums, entry[mine], weight[mine])
-        hope = sums[docs] + ahead[0][of[docs]]
-        least = max(least, best(hope))
-        docs = docs[hope >= least]
+            live[of[hope >= least]] = True
+            mine = live[block]
+            entry = entry[mine]
+            sums += self._sums(self.start[entry], self.n[entry], weight[mine])
+            docs = np.flatnonzero(live[of])
         score = sums[docs]
-        for i, (w, x, _) in enumerate(often):
-            if i and i % GROUP == 0:
+        hope = score + ahead[0][of[docs]]
+        least = max(least, best(hope, docs, score))
+        stay = hope >= least
+        docs, score = docs[stay], score[stay]
+        for i in range(0, len(often), GROUP):
+            if i:
                 stay = score + ahead[i // GROUP][of[docs]] >= least
                 docs, score = docs[stay], score[stay]
-            self.read += len(docs)
-            score = score + w * x[docs]
-        return docs, score
+            mine = rows[i : i + GROUP]
+            self.read += len(docs) * len(mine)
+            score = score + often[i : i + GROUP] @ self.dense[mine[:, None], docs]
+        if len(docs) > k:
+            docs = docs[score >= np.partition(score, -k)[-k] * (1 - 1e-9)]
+        return docs
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
