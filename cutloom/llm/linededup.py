@@ -5,7 +5,9 @@ each task adds up its own counts first. Lines of one document only can never be
 no slot. Each shard of the other hashes becomes a minimal perfect hash (levels of bit arrays; a key
 settles in the first level where it collides with no other) whose slots index two compact arrays, of
 fingerprints and of counts. Pass 2 probes the arrays from the documents: out of a broadcast while all
-arrays together stay under a checked size, and shard by shard beyond it.
+arrays together stay under a checked size, and shard by shard beyond it. There documents get row numbers,
+lines travel to the shard of their key and only the numbers of dropped lines come back. Keys of so many
+lines that they would fill a shard, of which there are few, are probed where the documents are read.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow, checkpointed, slices, utf8
+from .common import SPACES, arrow, checkpointed, mixed, slices, unused, utf8
 
 GAMMA = 2.0
-_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 ARRAYS = "shard int, n long, levels binary, sizes array<long>, prints binary, counts binary, extra binary"
 
 
@@ -33,16 +34,9 @@ def line_keys(text: bytes) -> list[bytes]:
 
 
 def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and an independent 32-bit fingerprint for each key."""
-    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype="<u8").reshape(-1, 2)
-    return raw[:, 0].view(np.int64), raw[:, 1].astype(np.uint32)
-
-
-def _mix(h: np.ndarray, seed: int) -> np.ndarray:
-    x = h.view(np.uint64) + np.uint64((seed + 1) * _ODD[0] & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(_ODD[1])
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(_ODD[2])
-    return x ^ (x >> np.uint64(31))
+    """A 64-bit hash and an independent 64-bit fingerprint for each key."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype="<i8").reshape(-1, 2)
+    return np.ascontiguousarray(raw[:, 0]), np.ascontiguousarray(raw[:, 1])
 
 
 class PerfectHash:
@@ -58,7 +52,7 @@ class PerfectHash:
         sizes, levels, rest = [], [], h
         while len(rest):
             m = max(64, int(GAMMA * len(rest)) + 7 & ~7)
-            at = (_mix(rest, len(sizes)) % np.uint64(m)).astype(np.int64)
+            at = (mixed(rest, len(sizes)) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
             sizes.append(m)
             levels.append(np.packbits(alone, bitorder="little"))
@@ -70,7 +64,7 @@ class PerfectHash:
         for seed, m in enumerate(self.sizes):
             if not len(left):
                 break
-            at = (_mix(h[left], seed) % np.uint64(m)).astype(np.int64) + base
+            at = (mixed(h[left], seed) % np.uint64(m)).astype(np.int64) + base
             byte, bit = at >> 3, (at & 7).astype(np.uint8)
             hit = (self.bits[byte] >> bit) & 1 == 1
             b, k = byte[hit], bit[hit]
@@ -85,7 +79,7 @@ class Shard:
 
     def __init__(self, row: dict):
         self.mph = PerfectHash(list(row["sizes"]), np.frombuffer(row["levels"], np.uint8))
-        self.prints = np.frombuffer(row["prints"], "<u4")
+        self.prints = np.frombuffer(row["prints"], "<i8")
         self.counts = np.frombuffer(row["counts"], "<u4")
         self.extra = np.frombuffer(row["extra"], "<i8").reshape(-1, 3)
 
@@ -98,12 +92,12 @@ class Shard:
             known = known[self.prints[slot[known]] == f[known]]
             out[known] = self.counts[slot[known]]
         for eh, ef, n in self.extra:
-            out[(h == eh) & (f == np.uint32(ef))] = n
+            out[(h == eh) & (f == ef)] = n
         return out
 
 
 def _shard_of(h: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(h, 997) % np.uint64(n)).astype(np.int64)
+    return (mixed(h, 997) % np.uint64(n)).astype(np.int64)
 
 
 _COUNTED = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("n", pa.int64())])
@@ -116,62 +110,75 @@ def _count_batch(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
             keys += {k for k in line_keys(text) if len(k) >= min_chars and (min_chars <= 1 or len(k.decode()) >= min_chars)}
         if keys:
             h, f = _hashes(keys)
-            both, n = np.unique(np.stack([h, f.astype(np.int64)]), axis=1, return_counts=True)
-            yield arrow({"h": both[0], "f": both[1], "n": n}, _COUNTED)
+            order = np.lexsort((f, h))
+            h, f = h[order], f[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]))
+            yield arrow({"h": h[first], "f": f[first], "n": np.diff(np.append(first, len(h)))}, _COUNTED)
 
 
-def line_index(docs: DataFrame, min_chars: int = 1, index_docs: int = 2, keys_per_shard: int = 200_000) -> tuple[DataFrame, int, int]:
-    """The arrays of all shards, the number of shards and of keys. One task builds one shard of bounded size."""
-    spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(lambda b: _count_batch(b, min_chars), "h long, f long, n long").groupBy("h", "f").agg(F.sum("n").alias("n")).where(F.col("n") >= index_docs)
-    counted = checkpointed(counted)
-    n_keys = counted.count()
-    n_shards = max(1, -(-n_keys // keys_per_shard))
+def _build(pdf: pd.DataFrame) -> dict:
+    """The arrays of one shard out of its keys (h, f) and counts (n)."""
+    pdf = pdf.sort_values(["h", "f"])
+    h, f, n = pdf["h"].to_numpy(), pdf["f"].to_numpy(), np.minimum(pdf["n"].to_numpy(), 0xFFFFFFFF)
+    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    mph = PerfectHash.build(h[first])
+    slot = mph.slots(h[first])
+    prints, counts = np.zeros(len(slot), "<i8"), np.zeros(len(slot), "<u4")
+    prints[slot], counts[slot] = f[first], n[first]
+    extra = np.stack([h, f, n], axis=1)[~first].astype("<i8")
+    return {"n": len(h), "levels": mph.bits.tobytes(), "sizes": mph.sizes, "prints": prints.tobytes(), "counts": counts.tobytes(), "extra": extra.tobytes()}
+
+
+def counted_lines(docs: DataFrame, min_chars: int = 1, index_docs: int = 2) -> DataFrame:
+    """The hashes of line keys that `index_docs` documents or more hold, and how many do: h, f, n."""
+    counted = docs.select("text").mapInArrow(lambda b: _count_batch(b, min_chars), "h long, f long, n long").groupBy("h", "f").agg(F.sum("n").alias("n"))
+    return checkpointed(counted.where(F.col("n") >= index_docs))
+
+
+def line_index(counted: DataFrame, n_shards: int) -> DataFrame:
+    """The arrays of all shards. One task builds one shard."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_shard_of(np.asarray(b.column("h")), n_shards), pa.int32()), *b.columns], names=["shard", *b.schema.names])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "f"])
-        h, f, n = pdf["h"].to_numpy(), pdf["f"].to_numpy(), np.minimum(pdf["n"].to_numpy(), 0xFFFFFFFF)
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        mph = PerfectHash.build(h[first])
-        slot = mph.slots(h[first])
-        prints, counts = np.zeros(len(slot), "<u4"), np.zeros(len(slot), "<u4")
-        prints[slot], counts[slot] = f[first].astype("<u4"), n[first].astype("<u4")
-        extra = np.stack([h, f, n], axis=1)[~first].astype("<i8")
-        row = {"shard": int(pdf["shard"].iloc[0]), "n": len(h), "levels": mph.bits.tobytes(), "sizes": mph.sizes, "prints": prints.tobytes(), "counts": counts.tobytes(), "extra": extra.tobytes()}
-        return pd.DataFrame([row])
+        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), **_build(pdf)}])
 
-    shards = counted.mapInArrow(deal, "shard int, h long, f long, n long").groupBy("shard").applyInPandas(build, ARRAYS)
-    return checkpointed(shards) if n_keys else spark.createDataFrame([], ARRAYS), n_shards, n_keys
+    return checkpointed(counted.mapInArrow(deal, "shard int, h long, f long, n long").groupBy("shard").applyInPandas(build, ARRAYS))
 
 
 def _kept(text: bytes, gone: np.ndarray) -> bytes:
     return b"\n".join(line for line, g in zip(text.split(b"\n"), gone.tolist(), strict=True) if not g)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 32 << 20, keys_per_shard: int = 200_000, keep_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = 32 << 20, keys_per_shard: int = 200_000, lines_per_shard: int = 2_000_000, keep_text: bool = True) -> DataFrame:
     """Drops, in every document, each line whose key at least `min_docs` documents hold.
 
     A key is the line without ASCII white space at its ends, A-Z lower-cased; keys of fewer than
     `min_chars` code points never go. Returns the columns of `docs` with the kept lines as `text`
     (without it if `keep_text` is false), then n_lines (before), n_dropped and kept_sha256 (of the
     UTF-8 bytes). Null and empty texts are one empty line, which stays. Repeated rows are documents
-    of their own; an empty table gives an empty result. Columns of `docs` named like a new one are
-    replaced. Fingerprints leave a wrong match at 2**-96 for a pair of lines.
+    of their own; very long texts are looked at whole; an empty table gives an empty result. Columns of
+    `docs` named like a new one are replaced, all others are kept. Keys are known by 64-bit hashes and
+    64-bit fingerprints: another key is taken for a repeated one with a chance of 2**-64.
+
+    `broadcast_bytes` bounds the arrays that are sent to the executors. Beyond it the documents are kept
+    in the shared folder under row numbers; a shard has at most about `keys_per_shard` keys and
+    `lines_per_shard` lines.
     """
     spark = docs.sparkSession
-    shards, n_shards, n_keys = line_index(docs, min_chars, min(2, min_docs), keys_per_shard)
     fresh = ("n_lines", "n_dropped", "kept_sha256")
     docs = docs.drop(*fresh)
     names = [c for c in docs.columns if keep_text or c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
     schema = ", ".join([*fields, "n_lines long", "n_dropped long", "kept_sha256 string"])
+    counted = counted_lines(docs, min_chars, min(2, min_docs))
+    n_keys = counted.count()
+    n_shards = max(1, -(-n_keys // keys_per_shard))
 
-    if n_keys * 12 <= broadcast_bytes:
-        table = spark.sparkContext.broadcast([r.asDict() for r in shards.collect()])
+    if n_keys * 16 <= broadcast_bytes:
+        table = spark.sparkContext.broadcast([r.asDict() for r in line_index(counted, n_shards).collect()] if n_keys else [])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = {r["shard"]: Shard(r) for r in table.value}
@@ -184,49 +191,54 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
                 for s, a in arrays.items():
                     mine = np.flatnonzero(at == s)
                     n[mine] = a.lookup(h[mine], f[mine])
-                gone = n >= min_docs
-                yield _finish(part, texts, np.split(gone, ends[:-1]), names)
+                yield _finish(part, texts, np.split(n >= min_docs, ends[:-1]), names)
 
         return docs.mapInArrow(probe, schema)
 
-    # Beyond the bound: every distinct (text, line) goes to its shard, and only dropped line numbers come back.
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1)).alias("__text_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(2)).alias("__text_key2")
+    row, gone_lines = unused("row", docs), unused("gone_lines", docs)
+    docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n_lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    n_shards = max(n_shards, -(-n_lines // lines_per_shard))
+    # At most 16 times the number of shards are this frequent, and at most as many as the bound has room for.
+    often = max(lines_per_shard / 16, n_lines * 16 / max(1, broadcast_bytes))
+    few = _build(counted.where(F.col("n") > often).toPandas())
+    frequent = spark.sparkContext.broadcast(few)
+    shards = line_index(counted, n_shards)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int32()), ("__text_key", pa.int64()), ("__text_key2", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("f", pa.int64())])
+        out = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("f", pa.int64())])
+        known = Shard(frequent.value)
         for part in slices(batches, "text", 4096):
             lines = [line_keys(t) for t in utf8(part.column("text"))]
             sizes = np.array([len(x) for x in lines])
             h, f = _hashes([k for x in lines for k in x])
-            keys = {k: np.repeat(np.asarray(part.column(k)), sizes) for k in ("__text_key", "__text_key2")}
-            yield arrow({"shard": _shard_of(h, n_shards), **keys, "line": np.concatenate([np.arange(s) for s in sizes]), "h": h, "f": f.astype(np.int64)}, out)
+            rare = known.lookup(h, f) == 0
+            rows, line = np.repeat(np.asarray(part.column(row)), sizes), np.concatenate([np.arange(s) for s in sizes])
+            yield arrow({"shard": _shard_of(h[rare], n_shards), "row": rows[rare], "line": line[rare], "h": h[rare], "f": f[rare]}, out)
 
     def look(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"__text_key": pd.Series(dtype="int64"), "__text_key2": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
         if not len(left) or not len(right):
-            return none
-        n = Shard(right.iloc[0].to_dict()).lookup(left["h"].to_numpy(), left["f"].to_numpy().astype(np.uint32))
-        return left.loc[n >= min_docs, ["__text_key", "__text_key2", "line"]]
-
-    # A shard's lines are dealt over `salts` tasks, each with a copy of its arrays.
-    salts = 16
-    lines = docs.select("text", *key).mapInArrow(explode, "shard int, __text_key long, __text_key2 long, line int, h long, f long")
-    lines = lines.withColumn("salt", F.pmod("__text_key", F.lit(salts)).cast("int"))
-    copies = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = lines.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(look, "__text_key long, __text_key2 long, line int")
-    gone = found.groupBy("__text_key", "__text_key2").agg(F.collect_set("line").alias("__gone"))
+            return pd.DataFrame({"row": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
+        n = Shard(right.iloc[0].to_dict()).lookup(left["h"].to_numpy(), left["f"].to_numpy())
+        return left.loc[n >= min_docs, ["row", "line"]]
+
+    lines = docs.select("text", row).mapInArrow(explode, "shard int, row long, line int, h long, f long")
+    found = lines.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(look, "row long, line int")
+    gone = found.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_lines))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shard(frequent.value)
         for part in slices(batches, "text", 4096):
             texts = utf8(part.column("text"))
             marks = []
-            for t, g in zip(texts, part.column("__gone").to_pylist(), strict=True):
-                m = np.zeros(t.count(b"\n") + 1, bool)
+            for t, g in zip(texts, part.column(gone_lines).to_pylist(), strict=True):
+                m = known.lookup(*_hashes(line_keys(t))) >= min_docs
                 m[g or []] = True
                 marks.append(m)
             yield _finish(part, texts, marks, names)
 
-    return docs.select("*", *key).join(gone, ["__text_key", "__text_key2"], "left").drop("__text_key", "__text_key2").mapInArrow(cut, schema)
+    return docs.join(gone, row, "left").drop(row).mapInArrow(cut, schema)
 
 
 def _finish(part: pa.RecordBatch, texts: list[bytes], gone: list[np.ndarray], names: list[str]) -> pa.RecordBatch:

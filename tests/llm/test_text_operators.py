@@ -18,7 +18,7 @@ from cutloom.llm import decontaminate, linededup, packing, sharding, simhash, to
 from cutloom.llm.components import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-CLASHING = ["leaks", "n_lines", "score", "h", "chunk", "shard", "block", "gone_lines", "text_key"]
+CLASHING = ["n_lines", "score", "h", "chunk", "shard", "block", "gone_lines", "text_key", "row", "line", "statistics", "n", "w"]
 
 
 def with_clashes(df):
@@ -75,14 +75,22 @@ def plain_lines(rows, least, chars=1):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "keys_per_shard": 50}, {"broadcast_bytes": 0}, {"keys_per_shard": 40}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "keys_per_shard": 50}, {"broadcast_bytes": 0}, {"keys_per_shard": 40}, {"broadcast_bytes": 300, "lines_per_shard": 100}])
 def test_line_dedup(docs, rows, options):
     for least, chars in ((10, 1), (2, 5)):
-        got = linededup.dedup_lines(with_clashes(docs).drop("shard", "h", "text_key"), least, chars, **options)
+        got = linededup.dedup_lines(with_clashes(docs), least, chars, **options)
+        assert got.where(" and ".join(f"{c} = 'mine'" for c in CLASHING if c != "n_lines")).count() == len(rows)
         assert Counter(tuple(r[c] for c in ("doc_id", "n_lines", "n_dropped", "kept_sha256")) for r in got.collect()) == plain_lines(rows, least, chars)
         assert {hashlib.sha256((r["text"] or "").encode()).hexdigest() == r["kept_sha256"] for r in got.collect()} == {True}
 
 
+def test_hot_line_beyond_the_broadcast(spark):
+    """One line in every document goes where the documents are read; the shards get the others only."""
+    rows = [(i, f"hot line\nown {i}\nshared {i % 40}\n Hot Line ") for i in range(1200)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=20_000, keys_per_shard=10, lines_per_shard=800)
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_lines", "n_dropped", "kept_sha256")) for r in got.collect()) == plain_lines(rows, 10)
+
+
 def test_line_dedup_of_nothing(empty):
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(empty, broadcast_bytes=-1).count() == 0
@@ -98,7 +106,7 @@ def test_perfect_hash():
 
 def test_equal_hashes_are_told_apart():
     row = {"sizes": [64], "levels": np.packbits([1] + [0] * 63, bitorder="little").tobytes(), "prints": b"", "counts": b"", "extra": np.array([[5, 7, 12], [5, 8, 3]], "<i8").tobytes()}
-    assert linededup.Shard(row).lookup(np.array([5, 5, 5]), np.array([7, 8, 9], np.uint32)).tolist() == [12, 3, 0]
+    assert linededup.Shard(row).lookup(np.array([5, 5, 5]), np.array([7, 8, 9])).tolist() == [12, 3, 0]
 
 
 # SimHash.
