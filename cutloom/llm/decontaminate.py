@@ -4,7 +4,8 @@ A seed is a hash of the tokens at the kept positions of a fixed mask; the positi
 may hold other tokens. Seeds of the benchmark and of the documents are joined by their hash, and every
 hit is checked by laying the item along the document at the hit's shift: segments of matching tokens
 that tolerate substitutions count, and together decide. While the benchmark's seeds stay under a
-checked size they are joined by a sorted lookup where the documents are read; beyond it by a shuffle.
+checked size they are joined by a sorted lookup where the documents are read; beyond it by a shuffle of
+the seeds that a bit array of the benchmark lets through, in which frequent seeds are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, checkpointed, slices
+from .common import arrow, checkpointed, slices, unused
 
 #: The kept (1) and ignored (0) token positions of the seeds, five kept in each.
 MASKS = ("1101011", "11100101", "110010011", "1010001101")
@@ -180,7 +182,7 @@ _LEAK_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("first_token", pa.int
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), broadcast_bytes: int = 4 << 20) -> DataFrame:  # noqa: B008
     """`docs` with `leaks`, the array of benchmark items that the text holds (item_id, first_token, matched, item_tokens).
 
-    Null and empty texts leak nothing; null and empty items, and items of fewer than `rule.least`
+    Texts are looked at whole, however long; words are known by 64-bit hashes. Null and empty texts leak nothing; null and empty items, and items of fewer than `rule.least`
     tokens, are never found; repeated rows are marked alike and repeated items reported each; empty
     tables are no error; a column of `docs` named leaks is replaced. `broadcast_bytes` bounds the text
     of a benchmark that is sent to the executors; a larger one is joined by a shuffle with the same result.
@@ -197,8 +199,38 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), broad
     return _joined(docs, items, rule)
 
 
-def _joined(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+#: Bits of the array that tells which seeds a large benchmark may hold.
+_FILTER_BITS = 1 << 24
+
+
+def _seen(seeds_of_items: DataFrame) -> np.ndarray:
+    """A bit for each value of the low bits of the benchmark's seeds, put together on the executors."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, heap = np.zeros(_FILTER_BITS, bool), None
+        for b in batches:
+            h = np.asarray(b.column("h")).view(np.uint64)
+            if len(h):
+                seen[h & np.uint64(_FILTER_BITS - 1)] = True
+                heap = int(h[0] % np.uint64(32))
+        if heap is not None:
+            yield arrow({"heap": [heap], "bits": [np.packbits(seen).tobytes()]}, pa.schema([("heap", pa.int32()), ("bits", pa.binary())]))
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"heap": 0, "bits": np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()}])
+
+    kind = "heap int, bits binary"
+    rows = seeds_of_items.select("h").mapInArrow(mark, kind).groupBy("heap").applyInPandas(both, kind).groupBy("heap").applyInPandas(both, kind).collect()
+    return np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).view(bool) if rows else np.zeros(_FILTER_BITS, bool)
+
+
+def _joined(docs: DataFrame, items: DataFrame, rule: Rule, seeds_per_task: int = 500_000) -> DataFrame:
+    """`mark_leaks` by a shuffle. Documents and items are known by row numbers, so that copies are no hot key."""
+    row = unused("row", docs)
+    docs = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    items = checkpointed(items.withColumn("item", F.monotonically_increasing_id()))
+
+    def spread(batches: Iterator[pa.RecordBatch], key: str, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("h", pa.int64()), (key, pa.int64()), (f"{key}_at", pa.int64())])
         for part in slices(batches, "text", 4096, 2 << 20):
             tok, ends = tokens(part.column("text"))
@@ -206,37 +238,48 @@ def _joined(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
             ids = np.asarray(part.column(key))
             for m in range(len(MASKS)):
                 h, at = seeds(tok, ends, m)
-                row = np.searchsorted(ends, at, "right")
-                yield arrow({"h": h.view(np.int64), key: ids[row], f"{key}_at": at - starts[row]}, out)
-
-    # Equal texts are looked at once: rows and items are known by a hash of their text.
-    docs = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)))
-    items = items.withColumn("item_key", F.xxhash64("item_text", F.lit(6)))
-    texts = docs.select("__text_key", "text").where("text is not null").dropDuplicates(["__text_key"])
-    passages = items.select("item_key", F.col("item_text").alias("text")).dropDuplicates(["item_key"])
-    left = texts.mapInArrow(lambda b: spread(b, "__text_key"), "h long, __text_key long, __text_key_at long")
-    right = passages.mapInArrow(lambda b: spread(b, "item_key"), "h long, item_key long, item_key_at long")
-    shifts = left.join(right, "h").select("__text_key", "item_key", (F.col("__text_key_at") - F.col("item_key_at")).alias("shift"))
-    pairs = checkpointed(shifts.groupBy("__text_key", "item_key").agg(F.collect_set("shift").alias("shifts")))
+                if wanted is not None:
+                    few = wanted[h & np.uint64(_FILTER_BITS - 1)]
+                    h, at = h[few], at[few]
+                text = np.searchsorted(ends, at, "right")
+                yield arrow({"h": h.view(np.int64), key: ids[text], f"{key}_at": at - starts[text]}, out)
+
+    right = checkpointed(items.select("item", F.col("item_text").alias("text")).mapInArrow(lambda b: spread(b, "item", None), "h long, item long, item_at long"))
+    shared = docs.sparkSession.sparkContext.broadcast(_seen(right))
+    texts = docs.select(F.col(row).alias("doc"), "text").where("text is not null")
+    left = texts.mapInArrow(lambda b: spread(b, "doc", shared.value), "h long, doc long, doc_at long")
+    # Seeds of very many places, of which there are 100,000 at most, are dealt over tasks.
+    counts = checkpointed(left.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(right.select("h").distinct(), "h", "left_semi"))
+    limit = max(seeds_per_task, (counts.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    heavy = F.broadcast(counts.where(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(heavy, "h", "left").select("h", "doc", "doc_at", F.pmod(F.xxhash64("doc", "doc_at"), parts).cast("int").alias("salt"))
+    right = right.join(heavy, "h", "left").select("h", "item", "item_at", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    shifts = left.join(right, ["h", "salt"]).select("doc", "item", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    pairs = checkpointed(shifts.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("__text_key", pa.int64()), ("item_key", pa.int64()), ("first_token", pa.int32()), ("matched", pa.int32()), ("item_tokens", pa.int32())])
+        out = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("first_token", pa.int32()), ("matched", pa.int32()), ("item_tokens", pa.int32())])
         for part in slices(batches, "text", 512, 4 << 20):
             tok, ends = tokens(part.column("text"))
-            item, item_ends = tokens(part.column("item"))
+            item, item_ends = tokens(part.column("item_text"))
             rows = []
-            for i, shifts in enumerate(part.column("shifts").to_pylist()):
+            for i, at in enumerate(part.column("shifts").to_pylist()):
                 doc, q = (x[(e[i - 1] if i else 0) : e[i]] for x, e in ((tok, ends), (item, item_ends)))
-                n, begin = covered(doc, q, np.array(shifts), rule)
+                n, begin = covered(doc, q, np.array(at), rule)
                 if len(q) >= rule.least and n >= min(rule.many, max(rule.least, rule.share * len(q))):
-                    rows.append((part.column("__text_key")[i].as_py(), part.column("item_key")[i].as_py(), begin, n, len(q)))
+                    rows.append((part.column("doc")[i].as_py(), part.column("item")[i].as_py(), begin, n, len(q)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield arrow(dict(zip(out.names, columns, strict=True)), out)
 
-    full = pairs.join(texts, "__text_key").join(passages.withColumnRenamed("text", "item"), "item_key")
-    found = full.select("__text_key", "item_key", "shifts", "text", "item").mapInArrow(verify, "__text_key long, item_key long, first_token int, matched int, item_tokens int")
-    named = found.join(items.select("item_key", "item_id"), "item_key").groupBy("__text_key").agg(F.sort_array(F.collect_list(F.struct("item_id", "first_token", "matched", "item_tokens"))).alias("leaks"))
-    return docs.join(named, "__text_key", "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAKS))).drop("__text_key")
+    # An item that very many documents share is sent to 64 tasks.
+    salt = F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int")
+    passages = items.select("item", "item_text", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
+    full = pairs.withColumn("salt", salt).join(passages, ["item", "salt"]).join(texts, "doc")
+    found = full.select("doc", "item", "shifts", "text", "item_text").mapInArrow(verify, "doc long, item long, first_token int, matched int, item_tokens int")
+    named = found.withColumn("salt", salt).join(items.select("item", "item_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt")), ["item", "salt"])
+    leaks = named.groupBy(F.col("doc").alias(row)).agg(F.sort_array(F.collect_list(F.struct("item_id", "first_token", "matched", "item_tokens"))).alias("leaks"))
+    return docs.join(leaks, row, "left").drop(row).withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAKS)))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), broadcast_bytes: int = 4 << 20) -> DataFrame:  # noqa: B008

@@ -328,6 +328,17 @@ def test_leaks(leaky, limit):
     assert {r["doc_id"] for r in marked.where(F.size("leaks") > 0).collect()} == {d for d, _ in planted}
 
 
+def test_frequent_seeds_are_dealt_over_tasks(leaky):
+    """The shuffled join with so low a limit that seeds of a common passage are split, and with clashing columns."""
+    docs, items, planted = leaky
+    many = docs.union(docs.sparkSession.createDataFrame([(i, items.where("item_id = 1").first()["text"]) for i in range(1000, 1200)], docs.schema))
+    clash = many.withColumns({c: F.lit("mine") for c in ("row", "doc", "item", "salt", "h", "n", "shifts")})
+    got = decontaminate._joined(clash, items.select("item_id", F.col("text").alias("item_text")).where("item_text is not null"), decontaminate.Rule(), seeds_per_task=20)
+    assert got.columns == [*clash.columns, "leaks"]
+    assert got.where("row = 'mine' and salt = 'mine' and n = 'mine'").count() == many.count()
+    assert {(r["doc_id"], x["item_id"]) for r in got.collect() for x in r["leaks"]} == planted | {(i, 1) for i in range(1000, 1200)}
+
+
 def test_leaks_of_nothing(leaky, empty):
     docs, items, _ = leaky
     for limit in (4 << 20, -1):
