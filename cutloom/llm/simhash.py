@@ -300,9 +300,15 @@ def _apart_limit(n: int, similarity: float) -> float:
     return bits * p + 9 * math.sqrt(bits * p * (1 - p)) + (64 if n < 20 else 0)
 
 
-def _in_cells(rows: DataFrame, limit: int) -> DataFrame:
-    """`rows` (node, bucket and others) with a cell: buckets beyond the limit are dealt to cells so that all of their pairs still meet, each in one small cell."""
-    hot = rows.groupBy("bucket").count().where(F.col("count") > limit).select("bucket", F.ceil(F.col("count") / limit).cast("int").alias("parts"))
+#: Shingles of a cell in which sets are compared by them.
+_CELL_SHINGLES = 16 << 20
+
+
+def _in_cells(rows: DataFrame, limit: int, shingles: int | None = None) -> DataFrame:
+    """`rows` (node, bucket and others) with a cell: buckets beyond the limit of rows, or of `shingles` in their sets (n), are dealt to cells so that all of their pairs still meet, each in one small cell."""
+    load = F.count(F.lit(1)) / limit
+    load = load if shingles is None else F.greatest(load, F.sum("n") / shingles)
+    hot = rows.groupBy("bucket").agg(load.alias("load")).where("load > 1").select("bucket", F.ceil("load").cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(F.col("mine"), q) * F.col("parts") + F.greatest(F.col("mine"), q))
     dealt = rows.join(hot, "bucket", "left").withColumn("mine", mine)
@@ -461,11 +467,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     # Rough groups of many sets or shingles are taken apart by the keys at which their sets meet.
     members = checkpointed(nodes.select("node", "least", "n", "keys").join(rough, "node"))
     large = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all")).where((F.col("sets") > 256) | (F.col("all") > 1 << 20)).select("root", F.lit(True).alias("large"))
-    keyed = members.join(large, "root", "left").select("node", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("bucket"))
+    keyed = members.join(large, "root", "left").select("node", "n", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("bucket"))
     wanted = members.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
     taken = texts.join(wanted, "doc_id", "left_semi").union(texts.where("doc_id is null"))
     arrays = taken.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    groups = _in_cells(keyed, bucket_limit).join(arrays, "node").groupBy("bucket", "cell")
+    groups = _in_cells(keyed, bucket_limit, _CELL_SHINGLES).drop("n").join(arrays, "node").groupBy("bucket", "cell")
     close = groups.applyInArrow(lambda t: _alike(t, similarity), "u long, v long")
     roots = components(close)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group_id"))
