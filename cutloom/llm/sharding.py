@@ -2,7 +2,7 @@
 
 The points of the tree are groups of equal texts, weighted by their bytes. Every level splits all
 nodes at once: the widest metadata dimension of each node is found by one aggregation, and its
-weighted median by a few histogram passes, each of which returns a bounded number of rows. A group
+weighted median by a few histogram passes, each of which returns one row for each open node. A group
 of copies that weighs more than the tolerance is dealt into chunks, neighbours in every dimension,
 so that it stays together unless a cut must go through it.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from .common import checkpointed, looked_up
 
-BUCKETS = 2048
+BUCKETS = 1 << 16
 DIMENSION_BITS = 30
 TIE_BITS = 20
 CHUNK_BITS = 12
@@ -61,11 +61,11 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     limit = max(1.0, total / n_shards * tolerance)
 
     groups = rows.groupBy(*groups_key).agg(F.sum("size").alias("w"), *[F.min(f"d{i}").alias(f"d{i}") for i in range(len(dims))])
-    # At most n_shards / tolerance groups are heavy; they alone are divided, by a hash of doc_id.
+    # At most n_shards / tolerance groups are heavy; they alone are divided, by a hash of doc_id. Few are sent to all tasks.
     heavy = checkpointed(
         groups.where(F.col("w") > limit).select(*groups_key, F.least(F.ceil(F.col("w") / F.lit(limit)), F.lit(1 << CHUNK_BITS)).alias("chunks"), *[F.col(f"d{i}").alias(f"g{i}") for i in range(len(dims))])
     )
-    dealt = rows.join(F.broadcast(heavy), groups_key, "left").select(
+    dealt = rows.join(F.broadcast(heavy) if n_shards <= 100_000 * tolerance else heavy, groups_key, "left").select(
         "doc_id", *groups_key,
         F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).cast("int").alias("chunk"),
         *[F.coalesce(F.col(f"g{i}"), F.col(f"d{i}")).alias(f"d{i}") for i in range(len(dims))],
@@ -120,30 +120,24 @@ def _cuts(points: DataFrame, leaves: dict[int, int], n_dims: int, limit: float)
             continue
         dim = max(range(n_dims), key=lambda i: (s[f"hi{i}"] - s[f"lo{i}"], -i))
         shift = TIE_BITS + CHUNK_BITS
-        open_[s["node"]] = {"dim": dim, "lo": s[f"lo{dim}"] << shift, "hi": ((s[f"hi{dim}"] + 1) << shift) - 1, "below": 0, "goal": s["w"] * (leaves[s["node"]] // 2) / leaves[s["node"]]}
+        open_[s["node"]] = {"dim": dim, "lo": s[f"lo{dim}"] << shift, "hi": ((s[f"hi{dim}"] + 1) << shift) - 1, "below": 0, "goal": max(1, s["w"] * (leaves[s["node"]] // 2) // leaves[s["node"]])}
     while open_:
         width = max(open_) + 1
         get = lambda k: looked_up([open_[n][k] if n in open_ else None for n in range(width)], F.col("node"))  # noqa: B023, E731
         for x in open_.values():
             x["width"] = max(1, -(-(x["hi"] - x["lo"] + 1) // BUCKETS))
         near = points.withColumns({"key": _key(n_dims, get("dim")), "lo": get("lo"), "hi": get("hi"), "width": get("width")}).where("key between lo and hi")
-        hist = near.groupBy("node", F.expr("(key - lo) div width").alias("b")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
-        by: dict[int, list] = {}
-        for r in hist:
-            by.setdefault(r["node"], []).append((r["b"], r["w"], r["n"]))
-        for n, x in list(open_.items()):
-            width, below = x["width"], x["below"]
-            for b, w, points_here in sorted(by.get(n, [])):
-                if below + w >= x["goal"]:
-                    break
-                below += w
-            else:
-                b, w, points_here = 0, 0, 0
-            lo = x["lo"] + b * width
-            hi = min(x["hi"], lo + width - 1)
-            if width == 1 or points_here < 2 or w <= limit / 4:
-                cuts[n] = (x["dim"], hi if below + w - x["goal"] <= x["goal"] - below else lo - 1)
-                del open_[n]
+        hist = near.groupBy("node", F.expr("(key - lo) div width").alias("b")).agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+        upto = F.sum("w").over(W.partitionBy("node").orderBy("b")) + get("below")
+        median = hist.withColumns({"upto": upto, "goal": get("goal")}).where("upto >= goal and upto - w < goal").collect()
+        for r in median:
+            x = open_[r["node"]]
+            lo = x["lo"] + r["b"] * x["width"]
+            hi = min(x["hi"], lo + x["width"] - 1)
+            below = r["upto"] - r["w"]
+            if x["width"] == 1 or r["n"] < 2 or r["w"] <= limit / 4:
+                cuts[r["node"]] = (x["dim"], hi if r["upto"] - x["goal"] <= x["goal"] - below else lo - 1)
+                del open_[r["node"]]
             else:
                 x |= {"lo": lo, "hi": hi, "below": below}
     return cuts

@@ -40,6 +40,44 @@ def test_shards(docs, rows, n):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def plain_shards(rows, n_shards):
+    """Weighted medians along the widest dimension, point by point. A point is a document with a text of its own."""
+    hash64 = lambda x: (v := xxhash.xxh64_intdigest(x, 42)) - (2**64 if v >> 63 else 0)
+    place = lambda s: -1 if s is None else hash64(s.encode()) % 2**20
+    points = [(len(t.encode()) + 1, (c, place(s), place(la), i), hash64(t.encode()) % 2**20, hash64(i.to_bytes(8, "little")), i) for i, t, la, s, c in rows]
+    spans = [(min(p[1][d] for p in points), max(p[1][d] for p in points)) for d in range(4)]
+    scaled = {p[4]: [int((p[1][d] - lo) * ((2**30 - 1) / (hi - lo) if hi > lo else 0.0)) for d, (lo, hi) in enumerate(spans)] for p in points}
+    out = {}
+
+    def split(part, first, n):
+        if n == 1 or not part:
+            out.update({p[4]: first for p in part})
+            return
+        wide = max(range(4), key=lambda d: (max(scaled[p[4]][d] for p in part) - min(scaled[p[4]][d] for p in part), -d))
+        key = lambda p: (scaled[p[4]][wide] << 32) + (p[2] << 12) + (p[3] % min(p[0], 4096) if p[0] > 1 else 0)
+        part = sorted(part, key=key)
+        goal, below = max(1, sum(p[0] for p in part) * (n // 2) // n), 0
+        for at, p in enumerate(part):  # noqa: B007
+            if below + p[0] >= goal:
+                break
+            below += p[0]
+        at += below + p[0] - goal <= goal - below
+        split(part[:at], first, n // 2)
+        split(part[at:], first + n // 2, n - n // 2)
+
+    split(points, 0, n_shards)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5, 16])
+def test_shards_are_those_of_plain_medians(spark, n):
+    r = random.Random(n)
+    rows = [(i * 7, f"text {i} " * r.randint(1, 40), r.choice(["en", "de", None]), r.choice(["hot", "hot", "a", "b", None]), r.randint(0, 10**r.randint(1, 5))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(df, n, tolerance=0.0).collect()}
+    assert got == plain_shards(rows, n)
+
+
 def test_shards_are_even_under_skew(spark):
     texts = [(i, "same text " * 4, "en", "hot", 1) for i in range(3000)] + [(i, f"text {i} " * (1 + i % 7), "de", f"s{i % 9}", i) for i in range(3000, 6000)]
     df = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
