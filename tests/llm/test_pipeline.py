@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cutloom.llm import decontaminate, linededup, packing, quality, queries, simhash
+from cutloom.llm import decontaminate, linededup, packing, quality, queries, simhash, stages
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
@@ -28,7 +28,7 @@ def test_stages_in_order():
 
 
 def test_stages(spark, docs, folder):
-    cols = list(corpus_pipeline.COLUMNS)
+    cols = list(stages.COLUMNS)
     good = corpus_pipeline.keep_good(spark, docs, folder)
     assert good.columns == cols
     model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
