@@ -309,10 +309,12 @@ def _in_cells(rows: DataFrame, limit: int, shingles: int | None = None) -> DataF
     load = F.count(F.lit(1)) / limit
     load = load if shingles is None else F.greatest(load, F.sum("n") / shingles)
     hot = rows.groupBy("bucket").agg(load.alias("load")).where("load > 1").select("bucket", F.ceil("load").cast("int").alias("parts"))
+    # The rows of a frequent bucket meet its number of parts in 64 places.
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(F.col("mine"), q) * F.col("parts") + F.greatest(F.col("mine"), q))
-    dealt = rows.join(hot, "bucket", "left").withColumn("mine", mine)
-    return dealt.withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells))).drop("parts", "mine")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(64)).cast("int")).join(hot, ["bucket", "salt"], "left").withColumn("mine", mine)
+    return dealt.withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cells))).drop("parts", "mine", "salt")
 
 
 def _maybe_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
