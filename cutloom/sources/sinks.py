@@ -12,9 +12,9 @@ def part_lines(assignment: DataFrame) -> DataFrame:
 
 
 def write_parts(assignment: DataFrame, path: str) -> None:
-    """A folder part=<p> for each part, its lines ascending by vertex."""
+    """A folder part=<p> for each part, its lines ascending by vertex in its files and, by their names, over them. Tasks write ranges of (part, v)."""
     rows = part_lines(assignment)
-    rows.repartition("part").sortWithinPartitions("part", "v").select("part", F.col("line").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+    rows.repartitionByRange("part", "v").sortWithinPartitions("part", "v").select("part", F.col("line").alias("value")).write.mode("overwrite").partitionBy("part").text(path)
 
 
 def metis_lines(edges: DataFrame, n_vertices: int | None = None, ordered: bool = True) -> DataFrame:

@@ -36,38 +36,58 @@ def parse_adjlist(lines: DataFrame) -> DataFrame:
     return rows.where("src is not null and dst is not null")
 
 
-def numbered_lines(texts: DataFrame) -> DataFrame:
-    """Whole files (file, value) to lines with their place (file, at, line). Comments go before places are counted."""
-    split = texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("raw", "line"))
-    last = W.partitionBy("file")
-    split = split.withColumn("end", F.max("raw").over(last)).where("raw < end or line <> ''")
-    split = split.withColumn("first", F.min(F.when(F.col("line").rlike(r"\S"), F.col("raw"))).over(last))
-    header = F.regexp_replace("line", r"^\s*#", "").rlike(r"^\s*\d+(\s+\d+)*\s*$")
-    rows = split.withColumn("head", (F.col("raw") == F.col("first")) & header)
-    kept = rows.where((F.col("head") | ~F.col("line").rlike(COMMENT)) & (F.col("raw") >= F.col("first")))
-    return kept.select("file", (F.row_number().over(W.partitionBy("file").orderBy("raw")) - 1).alias("at"), F.when(F.col("head"), F.regexp_replace("line", r"^\s*#", "")).otherwise(F.col("line")).alias("line"), "head")
-
-
-def parse_metis(texts: DataFrame, header: bool = True, dedup: bool = False) -> DataFrame:
+def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of files (file, block, id, value). Files are split freely: a line's block is where its split begins, and ids ascend in a block."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """The lines of small texts (file, value) in the form of `file_lines`."""
+    split = F.split(F.regexp_replace("value", r"\r?\n$", ""), "\r?\n")
+    return texts.select("file", F.lit(0).cast("long").alias("block"), F.posexplode(split).alias("id", "value")).withColumn("id", F.col("id").cast("long"))
+
+
+def _placed(lines: DataFrame, size: Column, name: str) -> DataFrame:
+    """`lines` with the sum of `size` over all lines before each in its file.
+
+    Lines are added up in their block, and blocks in their file; there is one row for each split of the
+    input, of which the driver keeps a list anyway, so they are sent to all tasks.
+    """
+    rows = lines.withColumn("__size", size.cast("long"))
+    upto = F.sum("__size").over(W.partitionBy("file", "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    blocks = rows.groupBy("file", "block").agg(F.sum("__size").alias("__block"))
+    before = blocks.select("file", "block", (F.sum("__block").over(W.partitionBy("file").orderBy("block")) - F.col("__block")).alias("__before"))
+    return rows.withColumn("__upto", upto).join(F.broadcast(before), ["file", "block"]).withColumn(name, F.col("__before") + F.col("__upto") - F.col("__size")).drop("__size", "__upto", "__before")
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """Lines of METIS files with their place (file, at, line, head). Lines before the first that is not blank, and comments, go before places are counted."""
+    first = lines.where(F.col("value").rlike(r"\S")).groupBy("file").agg(F.min(F.struct("block", "id", "value")).alias("first"))
+    bare = F.regexp_replace("value", r"^\s*#", "")
+    rows = lines.join(F.broadcast(first), "file")  # one row for each file
+    here, start = F.struct("block", "id"), F.struct("first.block", "first.id")
+    rows = rows.withColumn("head", (here == start) & bare.rlike(r"^\s*\d+(\s+\d+)*\s*$"))
+    kept = rows.where((here >= start) & (F.col("head") | ~F.col("value").rlike(COMMENT)))
+    return _placed(kept, F.lit(1), "at").select("file", "at", F.when(F.col("head"), bare).otherwise(F.col("value")).alias("line"), "head")
+
+
+def parse_metis(lines: DataFrame, header: bool = True, dedup: bool = False) -> DataFrame:
     """Header, then line i holds the neighbours of vertex i from 1. An empty line is a vertex without neighbours.
 
-    The header may be prefixed with `#`; other lines that start with # or % are comments.
+    The header may be prefixed with `#`; other lines that start with # or % are comments. `lines` are
+    those of `file_lines` or `text_lines`.
     """
-    rows = numbered_lines(texts)
+    rows = numbered_lines(lines)
     vertex = F.col("at") if header else F.col("at") + 1
     ids = F.transform(_words(F.col("line")), lambda x: x.try_cast("long"))
     out = rows.where(F.col("at") > 0 if header else F.lit(True)).select(vertex.cast("long").alias("src"), F.explode(ids).alias("dst")).where("dst is not null")
     return out.distinct() if dedup else out
 
 
-def metis_header(texts: DataFrame) -> DataFrame:
+def metis_header(lines: DataFrame) -> DataFrame:
     """(n, m) of the first line of each file."""
     w = _words(F.col("line"))
-    return numbered_lines(texts).where("at = 0").select("file", F.try_element_at(w, F.lit(1)).try_cast("long").alias("n"), F.try_element_at(w, F.lit(2)).try_cast("long").alias("m"))
-
-
-def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return numbered_lines(lines).where("at = 0").select("file", F.try_element_at(w, F.lit(1)).try_cast("long").alias("n"), F.try_element_at(w, F.lit(2)).try_cast("long").alias("m"))
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -83,32 +103,43 @@ def read_graph(spark: SparkSession, path: str | list[str], fmt: str, both_ways:
     if parse is not None:
         edges = parse(spark.read.text(path))
     elif check_format(fmt) == "metis":
-        edges = parse_metis(whole_files(spark, path))
+        edges = parse_metis(file_lines(spark, path))
     else:
         edges = (parse_edgelist if fmt == "edgelist" else parse_adjlist)(spark.read.text(path))
     return symmetrize(edges) if both_ways else edges
 
 
-def pair_scan(texts: DataFrame) -> DataFrame:
+def _placed_words(lines: DataFrame) -> DataFrame:
+    """All words of files with their place from 0: (file, at, word)."""
+    rows = lines.where(F.col("value").rlike(r"\S")).withColumn("words", _words(F.col("value")))
+    return _placed(rows, F.size("words"), "first").select("file", "first", F.posexplode("words").alias("pos", "word")).select("file", (F.col("first") + F.col("pos")).alias("at"), "word")
+
+
+def pair_scan(lines: DataFrame) -> DataFrame:
     """Free format: numbers are read two by two, whatever the line breaks; repeated pairs once."""
-    w = texts.select("file", F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("at", "word")).select("file", F.floor(F.col("at") / 2).alias("pair"), (F.col("at") % 2).alias("side"), F.col("word").try_cast("long").alias("n"))
+    w = _placed_words(lines).select("file", F.floor(F.col("at") / 2).alias("pair"), (F.col("at") % 2).alias("side"), F.col("word").try_cast("long").alias("n"))
     rows = w.groupBy("file", "pair").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("src"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("dst"))
     return rows.where("src is not null and dst is not null").select("src", "dst").distinct()
 
 
 def read_parts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """An assignment from `v<TAB>part` lines, or from one part per word where the i-th word is vertex i from 1."""
-    texts = whole_files(spark, path)
-    lines = texts.select("file", F.explode(F.split("value", "\r?\n")).alias("line")).where(r"line rlike '\\S'")
-    keyed = lines.where(r"line rlike '^\\s*\\d+\\s+-?\\d+\\s*$'").select(F.get(_words(F.col("line")), 0).cast("long").alias("v"), F.get(_words(F.col("line")), 1).cast("int").alias("part"))
-    single = lines.groupBy("file").agg(F.max(F.size(_words(F.col("line")))).alias("width")).where("width = 1")
-    plain = texts.join(single, "file", "left_semi").select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("at", "word")).select((F.col("at") + 1).cast("long").alias("v"), F.col("word").cast("int").alias("part"))
-    return keyed.unionAll(plain)
+    """An assignment (v, part) from part files.
+
+    A file whose lines all have two words is read as `v<TAB>part` lines; in any other the i-th word is the
+    part of vertex i, from 1, whatever the line breaks. Words that are no numbers are an error.
+    """
+    lines = file_lines(spark, path).where(F.col("value").rlike(r"\S"))
+    n = F.size(_words(F.col("value")))
+    keyed = F.broadcast(lines.groupBy("file").agg((F.min(n).eqNullSafe(2) & F.max(n).eqNullSafe(2)).alias("keyed")))  # one row for each file
+    rows = lines.join(keyed, "file")
+    w = _words(F.col("value"))
+    pairs = rows.where("keyed").select(F.get(w, 0).cast("long").alias("v"), F.get(w, 1).cast("int").alias("part"))
+    return pairs.unionAll(_placed_words(rows.where("not keyed")).select((F.col("at") + 1).alias("v"), F.col("word").cast("int").alias("part")))
 
 
 def read_bounds(spark: SparkSession, path: str) -> DataFrame:
-    """Exclusive upper bounds, one per part in order: (part, lower, upper)."""
-    rows = whole_files(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("part", "upper")).select("file", "part", F.col("upper").cast("long").alias("upper"))
+    """Exclusive upper bounds, one per part in order: (part, lower, upper). A file has a number for each part, so it is small."""
+    rows = _placed_words(file_lines(spark, path)).select("file", F.col("at").cast("int").alias("part"), F.col("word").cast("long").alias("upper"))
     return rows.select("part", F.coalesce(F.lag("upper").over(W.partitionBy("file").orderBy("part")), F.lit(0)).alias("lower"), "upper")
 
 

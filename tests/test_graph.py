@@ -123,7 +123,7 @@ def test_greedy_matches_plain_search(seed):
     near = defaultdict(set)
     for x in dx:
         near[x] = {y for y in dy if r.random() < r.choice([0.2, 0.9])}
-    assert refine.greedy(dx, dy, near) == plain_greedy(dx, dy, near)
+    assert list(refine.greedy(dx, dy, near)) == plain_greedy(dx, dy, near)
 
 
 def test_dynamic_keeps_sizes_and_improves(metis):
@@ -166,11 +166,11 @@ def test_line_parsers(spark):
     assert rows(text.parse_edgelist(lines), "src", "dst") == [(1, 2), (3, 4), (6, 7)]
     assert rows(text.parse_adjlist(lines), "src", "dst") == [(1, 2), (1, 9), (3, 4), (6, 7), (6, 8)]
     assert text.count_lines(lines).first()[0] == 6
-    whole = spark.createDataFrame([("f", "3 2\n2\n\n% c\n1 1\n\n")], "file string, value string")
+    whole = text.text_lines(spark.createDataFrame([("f", "3 2\n2\n\n% c\n1 1\n\n")], "file string, value string"))
     assert rows(text.parse_metis(whole), "src", "dst") == [(1, 2), (3, 1), (3, 1)]
     assert rows(text.parse_metis(whole, dedup=True), "src", "dst") == [(1, 2), (3, 1)]
     assert tuple(text.metis_header(whole).first())[1:] == (3, 2)
-    pairs = spark.createDataFrame([("f", "1 2 3\n4 1 2")], "file string, value string")
+    pairs = text.text_lines(spark.createDataFrame([("f", "1 2 3\n4 1 2")], "file string, value string"))
     assert rows(text.pair_scan(pairs), "src", "dst") == [(1, 2), (3, 4)]
 
 
@@ -198,6 +198,29 @@ def test_files_and_round_trips(spark, metis, tmp_path):
     assert sinks.file_list_name(3) == "input_3gb.list"
 
 
+def test_files_are_split(spark, tmp_path):
+    """METIS lines, part lists and pairs of one file that many tasks read."""
+    n = 3000
+    (tmp_path / "g").write_text("\n\n#%d 9\n" % n + "\n".join("% comment" if i % 10 == 3 else f"{i} {i + 1}" if i % 3 else "" for i in range(n)))
+    (tmp_path / "p").write_text("\n".join(" ".join(str((i + j) % 7) for j in range(1 + i % 4)) for i in range(n)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert text.file_lines(spark, f"{tmp_path}/g").rdd.getNumPartitions() > 4
+        data = [i for i in range(n) if i % 10 != 3]
+        want = sorted((at + 1, d) for at, i in enumerate(data) if i % 3 for d in (i, i + 1))
+        assert rows(text.read_graph(spark, f"{tmp_path}/g", "metis"), "src", "dst") == want
+        assert tuple(text.metis_header(text.file_lines(spark, f"{tmp_path}/g")).first())[1:] == (n, 9)
+        words = (tmp_path / "p").read_text().split()
+        assert rows(text.read_parts(spark, f"{tmp_path}/p"), "v", "part") == [(i + 1, int(w)) for i, w in enumerate(words)]
+        pairs = {(int(a), int(b)) for a, b in zip(words[::2], words[1::2], strict=False)}
+        assert rows(text.pair_scan(text.file_lines(spark, f"{tmp_path}/p")), "src", "dst") == sorted(pairs)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+
+
 def test_two_files_share_a_vertex(spark, tmp_path):
     (tmp_path / "a").write_text("1 2\n1 3\n")
     (tmp_path / "b").write_text("1 2\n4 1\n")
@@ -258,6 +281,9 @@ def test_hubs_and_scatter(spark):
     placed = assign.scatter_hubs(g, metrics.hubs(g, 10, 5), 8)
     assert placed.where("src = 0").select("bucket").distinct().count() > 1
     assert placed.count() == 40
+    chunks = metrics.adjacency_chunks(g, metrics.hubs(g, 10, 5), 8).collect()
+    assert sorted((r["rank"], d) for r in chunks for d in r["nbrs"]) == rows(g, "src", "dst")
+    assert sum(r["rank"] == 0 for r in chunks) > 4
 
 
 def test_stream(spark, tmp_path):
