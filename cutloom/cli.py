@@ -24,7 +24,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--vertices", type=int)
     a.add_argument("--hub-degree", type=int, default=0)
     a.add_argument("--mode", choices=("none", "static", "dynamic"), default="static")
-    a.add_argument("--schedule", choices=("sequence", "rounds"), default="sequence")
+    a.add_argument("--schedule", choices=("sequence", "rounds"), default="rounds")
     a.add_argument("--window", type=int)
     a.add_argument("--accept", choices=("always", "improve"), default="always")
     a.add_argument("--symmetrize", action="store_true")

@@ -35,12 +35,17 @@ def bounds_assign(ids: DataFrame, bounds: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(bounds), (F.col("v") >= F.col("lower")) & (F.col("v") < F.col("upper"))).select("v", F.col("part").cast("int").alias("part"))
 
 
+#: Hubs beyond this number are marked by a shuffle; up to it they are sent to all tasks.
+_MANY_HUBS = 1_000_000
+
+
 def scatter_hubs(edges: DataFrame, hubs: DataFrame, salts: int) -> DataFrame:
     """Entries with the bucket they are placed in: by their source, but a hub's entries by their target.
 
-    Only the physical placement changes, never the assignment.
+    Only the physical placement changes, never the assignment. Where hubs are few, no shuffle marks them.
     """
     mark = hubs.select(F.col("v").alias("src"), F.lit(True).alias("hub"))
+    mark = F.broadcast(mark) if hubs.limit(_MANY_HUBS + 1).count() <= _MANY_HUBS else mark
     place = F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(salts))).otherwise(F.pmod(F.xxhash64("src"), F.lit(salts)))
     return edges.join(mark, "src", "left").select("src", "dst", place.cast("int").alias("bucket"))
 

@@ -5,7 +5,9 @@ Weighted graphs are entries (src, dst, w); vertex weights are (v, vwgt).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .assign import vertices
@@ -49,8 +51,11 @@ def contract_weights(vertex_weights: DataFrame, cmap: DataFrame) -> DataFrame:
     return vertex_weights.join(cmap, "v").groupBy(F.col("cv").alias("v")).agg(F.sum("vwgt").alias("vwgt"))
 
 
-def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4) -> DataFrame:
-    """(v, mate): each round, vertices that name each other as their first free neighbour by a seeded hash are matched."""
+def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4, rank: Callable[[Column, Column, int], Column] | None = None) -> DataFrame:
+    """(v, mate): each round, vertices that name each other as their first free neighbour by a seeded hash are matched.
+
+    `rank` replaces the hash: it gives the rank of a link out of its smaller and larger end and the round.
+    """
     both = saved(edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct())
     matched = None
     for r in range(rounds):
@@ -59,8 +64,9 @@ def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4) -> DataFra
             done = matched.select("v")
             free = both.join(done, both.src == done.v, "left_anti").join(done, both.dst == done.v, "left_anti")
         # The rank of a link is the same seen from both ends.
-        rank = F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst"), F.lit(seed + r))
-        first = free.groupBy("src").agg(F.min_by("dst", F.struct(rank, F.col("dst"))).alias("mate"))
+        ends = F.least("src", "dst"), F.greatest("src", "dst")
+        order = F.xxhash64(*ends, F.lit(seed + r)) if rank is None else rank(*ends, r)
+        first = free.groupBy("src").agg(F.min_by("dst", F.struct(order, F.col("dst"))).alias("mate"))
         back = first.select(F.col("src").alias("mate"), F.col("mate").alias("src"))
         pairs = first.join(back, ["src", "mate"]).select(F.col("src").alias("v"), "mate")
         matched = saved(pairs if matched is None else matched.unionAll(pairs))

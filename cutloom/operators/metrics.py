@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import HUB_FLOOR, hub_degree
-from .assign import vertices
+from .assign import scatter_hubs, vertices
 from .rank import ranked
 
 
@@ -15,6 +15,11 @@ def adjacency(edges: DataFrame, combine: Column | None = None) -> DataFrame:
     return edges.groupBy(F.col("src").alias("rank")).agg((F.sort_array(F.collect_list("dst")) if combine is None else combine).alias("nbrs"))
 
 
+def adjacency_chunks(edges: DataFrame, hubs: DataFrame, salts: int = 64) -> DataFrame:
+    """(rank, bucket, nbrs): like `adjacency`, but a hub's neighbours come in as many rows as `salts`, so that no row or task holds them all."""
+    return scatter_hubs(edges, hubs, salts).groupBy(F.col("src").alias("rank"), "bucket").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+
+
 def flatten(adj: DataFrame) -> DataFrame:
     """The entries of an adjacency."""
     return adj.select(F.col("rank").alias("src"), F.explode("nbrs").alias("dst"))

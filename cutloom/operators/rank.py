@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one of our own only where none is named."""
+    """The checkpoint folder that the session names. Only a local master, where all share one machine, gets one of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cutloom-graph-"))
     return named or sc.getCheckpointDir()
 

@@ -9,7 +9,7 @@ one ordered scan; it runs in one grouped task per pair of parts, over boundary v
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +43,11 @@ def disjoint_rounds(k: int) -> list[list[tuple[int, int]]]:
     return rounds
 
 
-def d_values(edges: DataFrame, assignment: DataFrame, pairs: Iterable[tuple[int, int]], kind: str = "all") -> DataFrame:
+def d_values(edges: DataFrame, assignment: DataFrame, pairs: Iterable[tuple[int, int]], kind: str = "all", degrees: DataFrame | None = None) -> DataFrame:
     """(a, b, v, part, deg, ext, d) of the boundary vertices of disjoint or single pairs of parts.
 
     `kind` all: D = 2E - deg, entries to third parts count as internal. `pair`: D = E - I, where I
-    counts entries from the vertex's own part.
+    counts entries from the vertex's own part. `degrees` spares counting them again.
     """
     if kind not in ("all", "pair"):
         raise ValueError("kind must be 'all' or 'pair'")
@@ -57,7 +57,7 @@ def d_values(edges: DataFrame, assignment: DataFrame, pairs: Iterable[tuple[int,
     low, high = F.least("ps", "pd"), F.greatest("ps", "pd")
     cut = inside.where("ps <> pd").select(low.alias("a"), high.alias("b"), F.col("dst").alias("v"), F.col("pd").alias("part"))
     ext = cut.join(F.broadcast(wanted), ["a", "b"]).groupBy("a", "b", "v", "part").agg(F.count(F.lit(1)).alias("ext"))
-    rows = ext.join(degree(edges), "v", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+    rows = ext.join(degree(edges) if degrees is None else degrees, "v", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     if kind == "pair":
         own = inside.where("ps = pd").groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("own"))
         rows = rows.join(own, "v", "left").withColumn("d", F.col("ext") - F.coalesce("own", F.lit(0)))
@@ -130,9 +130,9 @@ def _first(xs: deque[int], ys: deque[int], near: dict[int, set[int]], adjacent:
     return None
 
 
-def greedy(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]]) -> list[tuple[int, int, int]]:
+def greedy(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]]) -> Iterator[tuple[int, int, int]]:
     """Repeatedly the best free pair of positive gain: (x, y, gain); ties go to the smallest x, then y."""
-    left, right, out = _Side(dx), _Side(dy), []
+    left, right = _Side(dx), _Side(dy)
     while (a := left.top()) is not None and (b := right.top()) is not None:
         for gain in range(a + b, 0, -1):
             if found := _at_gain(left, right, near, gain):
@@ -142,8 +142,7 @@ def greedy(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]]) ->
         x, y = found
         left.taken.add(x)
         right.taken.add(y)
-        out.append((x, y, gain))
-    return out
+        yield x, y, gain
 
 
 def _at_gain(left: _Side, right: _Side, near: dict[int, set[int]], gain: int) -> tuple[int, int] | None:
@@ -165,24 +164,28 @@ def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[i
     `weight` counts entries (u, v) between boundary vertices of the two parts.
     """
     dx, dy, out = dict(dx), dict(dy), []
+    linked: dict[int, set[int]] = defaultdict(set)
+    for u, v in weight:
+        linked[u].add(v)
     while dx and dy:
-        found = greedy(dx, dy, near)[:1]
-        if not found:
+        found = next(greedy(dx, dy, near), None)
+        if found is None:
             break
-        x, y, gain = found[0]
+        x, y, gain = found
         del dx[x], dy[y]
         for side, same, other in ((dx, x, y), (dy, y, x)):
-            for v in side:
-                side[v] += 2 * weight.get((same, v), 0) - 2 * weight.get((other, v), 0)
+            for u, sign in ((same, 2), (other, -2)):
+                for v in linked[u] & side.keys():
+                    side[v] += sign * weight[u, v]
         out.append((x, y, gain))
     return out
 
 
-def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all") -> DataFrame:
+def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None) -> DataFrame:
     """Exchanges of disjoint pairs of parts: (a, b, step, x, y, gain). `window` keeps the first ids of each side only."""
-    d = d_values(edges, assignment, pairs, kind)
+    d = saved(d_values(edges, assignment, pairs, kind, degrees))
     if window is not None:
-        d = d.withColumn("rank", F.row_number().over(W.partitionBy("a", "b", "part").orderBy("v"))).where(F.col("rank") <= window).drop("rank")
+        d = saved(d.withColumn("rank", F.row_number().over(W.partitionBy("a", "b", "part").orderBy("v"))).where(F.col("rank") <= window).drop("rank"))
     if mode == "static":
         # A vertex whose D with the partner's largest gives no gain is in no exchange.
         top = d.groupBy("a", "b", "part").agg(F.max("d").alias("most")).withColumn("part", F.when(F.col("part") == F.col("a"), F.col("b")).otherwise(F.col("a")))
@@ -204,7 +207,7 @@ def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]],
             weight[u, w] = n
             if u in dx and w in dy:
                 near[u].add(w)
-        found = greedy(dx, dy, near) if mode == "static" else greedy_dynamic(dx, dy, near, weight)
+        found = list(greedy(dx, dy, near)) if mode == "static" else greedy_dynamic(dx, dy, near, weight)
         return pd.DataFrame([(a, b, i, x, y, g) for i, (x, y, g) in enumerate(found)], columns=["a", "b", "step", "x", "y", "gain"])
 
     return rows.groupBy("a", "b").applyInPandas(match, "a int, b int, step int, x long, y long, gain long")
@@ -230,8 +233,9 @@ def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static"
         return assignment
     steps = disjoint_rounds(k) if schedule == "rounds" else [[(a, b)] for a in range(k) for b in range(a + 1, k)]
     cut = edge_cut(edges, assignment).first()["cut_entries"] if accept == "improve" else None
+    degrees = saved(degree(edges))
     for pairs in steps:
-        after = saved(apply_swaps(assignment, swaps(edges, assignment, pairs, mode, window, kind)))
+        after = saved(apply_swaps(assignment, swaps(edges, assignment, pairs, mode, window, kind, degrees)))
         if accept == "improve":
             now = edge_cut(edges, after).first()["cut_entries"]
             if now >= cut:

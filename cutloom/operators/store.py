@@ -59,3 +59,10 @@ class RecordStore:
 
     def get_range(self, first: int, last: int) -> DataFrame:
         return self.scan().where(F.col("key").between(first, last))
+
+    def stats(self) -> DataFrame:
+        """What was written, by version: (version, n_records, n_deletes)."""
+        log = self._log()
+        if log is None:
+            return self.spark.createDataFrame([], "version long, n_records long, n_deletes long")
+        return log.groupBy("version").agg(F.count_if(~F.col("gone")).alias("n_records"), F.count_if("gone").alias("n_deletes"))

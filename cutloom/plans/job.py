@@ -39,7 +39,7 @@ class PartitionJob:
     hub_degree: int = 0
     hub_floor: int = HUB_FLOOR
     mode: str = "static"
-    schedule: str = "sequence"
+    schedule: str = "rounds"
     window: int | None = None
     accept: str = "always"
     threads: int = 1
