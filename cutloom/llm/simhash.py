@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import _MIX, arrow, checkpointed, mixed, slices, utf8
-from .components import components
 from .decontaminate import tokens
 
 BITS = 64

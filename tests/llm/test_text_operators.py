@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cutloom.llm import decontaminate, linededup, packing, sharding, simhash, tokens
-from cutloom.llm.components import components
+from cutloom.operators.components import components
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CLASHING = ["n_lines", "score", "h", "chunk", "shard", "block", "gone_lines", "text_key", "row", "line", "statistics", "n", "w"]
