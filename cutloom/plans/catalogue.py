@@ -94,11 +94,21 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.hubs(g3(spark, sf_dir))
 
 
-@_query(f"WITH {G3_SQL} SELECT src, count(*) AS n_entries FROM g GROUP BY src")
+@_query(f"WITH {G3_SQL}, n AS (SELECT src, count(*) AS n_entries, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS nbrs FROM g GROUP BY src) SELECT src, n_entries, nbrs, CASE WHEN n_entries >= 1000 THEN 16 ELSE 1 END AS n_buckets FROM n")
 def hub_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scattering a hub's entries over buckets keeps them all."""
+    """Scattering a hub's entries fills all buckets and keeps them all; other vertices stay in one."""
     edges = g3(spark, sf_dir)
-    return assign.scatter_hubs(edges, metrics.hubs(edges), 16).groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("src").agg(F.sum("n").alias("n_entries"))
+    rows = assign.scatter_hubs(edges, metrics.hubs(edges), 16).groupBy("src").agg(F.count(F.lit(1)).alias("n_entries"), F.sort_array(F.collect_list("dst")).alias("nbrs"), F.countDistinct("bucket").alias("n_buckets"))
+    return rows.withColumn("nbrs", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " "))
+
+
+@_query(f"WITH {G3_SQL} SELECT src, dst, CAST(CASE WHEN (SELECT count(*) FROM g h WHERE h.src = g.src) >= 1000 THEN 0 ELSE 1 END AS INTEGER) AS whole FROM g")
+def hub_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency in chunks: hubs over several rows, other vertices whole."""
+    edges = g3(spark, sf_dir)
+    adj = metrics.adjacency_chunks(edges, metrics.hubs(edges), 16)
+    n = adj.groupBy("rank").agg(F.count(F.lit(1)).alias("n_rows"))
+    return adj.join(n, "rank").select(F.col("rank").alias("src"), F.explode("nbrs").alias("dst"), (F.col("n_rows") == 1).cast("int").alias("whole"))
 
 
 # Assignment.
@@ -146,10 +156,14 @@ def pair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.pair_schedule(spark, 8)
 
 
-@_query("SELECT CAST(a.range AS INTEGER) AS a, CAST(b.range AS INTEGER) AS b FROM range(8) a JOIN range(8) b ON a.range < b.range")
+_ROUNDS = """WITH r AS (SELECT CAST(s.range AS INTEGER) AS step, CASE WHEN i.range = 0 THEN 0 ELSE (i.range - 1 - s.range + 14) % 7 + 1 END AS u, (6 - i.range - s.range + 14) % 7 + 1 AS v FROM range(7) s, range(4) i)
+SELECT step, CAST(least(u, v) AS INTEGER) AS a, CAST(greatest(u, v) AS INTEGER) AS b FROM r"""
+
+
+@_query(_ROUNDS)
 def pair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds of disjoint pairs hold every pair once."""
-    return refine.pair_schedule(spark, 8, rounds=True).select("a", "b")
+    """The circle method: seven rounds of four disjoint pairs of eight parts."""
+    return refine.pair_schedule(spark, 8, rounds=True)
 
 
 # Cuts and boundaries.
@@ -247,14 +261,70 @@ def refined_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.edge_cut(edges, refine.refine(edges, assign.hash_assign(edges, 2), 2))
 
 
-@_query(f"WITH {_assigned(G2_SQL, 4)} SELECT part, count(*) AS n_vertices FROM a GROUP BY part")
-def refined_sizes_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refinement in rounds of disjoint pairs keeps the sizes of the parts."""
+def _chain(name: str, before: str, pairs: list[tuple[int, int]]) -> str:
+    """SQL of one step: the greedy exchanges of disjoint pairs of parts under D = E - I, from assignment `before` to `name`."""
+    parts = ", ".join(f"({a}, {b})" for a, b in pairs)
+    return f"""{name}e AS (SELECT g.src, g.dst, x.part AS ps, y.part AS pd FROM g JOIN {before} x ON x.v = g.src JOIN {before} y ON y.v = g.dst),
+{name}p(a, b) AS (VALUES {parts}),
+{name}i AS (SELECT dst AS v, count(*) AS own FROM {name}e WHERE ps = pd GROUP BY dst),
+{name}x AS (SELECT p.a, p.b, e.dst AS v, e.pd AS part, count(*) AS ext FROM {name}e e JOIN {name}p p ON p.a = least(e.ps, e.pd) AND p.b = greatest(e.ps, e.pd) WHERE e.ps <> e.pd GROUP BY p.a, p.b, e.dst, e.pd),
+{name}d AS (SELECT x.a, x.b, x.v, x.part, x.ext - coalesce(i.own, 0) AS d FROM {name}x x LEFT JOIN {name}i i ON i.v = x.v),
+{name}c AS (SELECT l.a, l.b, l.v AS x, r.v AS y, l.d + r.d - CASE WHEN q.src IS NULL THEN 0 ELSE 2 END AS gain FROM {name}d l JOIN {name}d r ON r.a = l.a AND r.b = l.b AND l.part = l.a AND r.part = r.b LEFT JOIN (SELECT DISTINCT src, dst FROM g) q ON q.src = l.v AND q.dst = r.v),
+{name}r AS MATERIALIZED (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY gain DESC, x, y) AS rn FROM {name}c WHERE gain > 0),
+{name}w(a, b, x, y, ux, uy) AS (
+  SELECT a, b, x, y, [x], [y] FROM {name}r WHERE rn = 1
+  UNION ALL
+  SELECT w.a, w.b, n.x, n.y, list_append(w.ux, n.x), list_append(w.uy, n.y) FROM {name}w w,
+    LATERAL (SELECT x, y FROM {name}r r WHERE r.a = w.a AND r.b = w.b AND NOT list_contains(w.ux, r.x) AND NOT list_contains(w.uy, r.y) ORDER BY rn LIMIT 1) n),
+{name} AS MATERIALIZED (SELECT t.v, CAST(coalesce(m.b, n.a, t.part) AS INTEGER) AS part FROM {before} t LEFT JOIN {name}w m ON m.x = t.v LEFT JOIN {name}w n ON n.y = t.v)"""
+
+
+_IN_ROUNDS = f"WITH RECURSIVE {_assigned(G2_SQL, 4)}, {_chain('s1', 'a', [(0, 3), (1, 2)])}, {_chain('s2', 's1', [(0, 2), (1, 3)])}, {_chain('s3', 's2', [(0, 1), (2, 3)])} SELECT v, part FROM s3"
+
+
+@_query(_IN_ROUNDS)
+def refined_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refinement of four parts in three rounds of two disjoint pairs."""
     edges = rank.saved(g2(spark, sf_dir))
-    return metrics.part_sizes(refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair"))
+    return refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair")
 
 
-@_query()
+_WINDOW = _GREEDY.replace("xs AS (SELECT v AS x, d AS dx FROM d WHERE part = 0)", "xs AS (SELECT v AS x, d AS dx FROM d WHERE part = 0 ORDER BY v LIMIT 20)").replace("ys AS (SELECT v AS y, d AS dy FROM d WHERE part = 1)", "ys AS (SELECT v AS y, d AS dy FROM d WHERE part = 1 ORDER BY v LIMIT 20)")
+
+
+@_query(f"{_WINDOW} SELECT CAST(step AS INTEGER) AS step, x, y, gain FROM w")
+def greedy_swaps_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges among the first twenty boundary vertices of each part."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return refine.swaps(edges, assign.hash_assign(edges, 2), [(0, 1)], window=20).select("step", "x", "y", "gain")
+
+
+def _dynamic(limit: str) -> str:
+    """Exchanges whose gains follow them: the state is the list of free vertices with their D, changed by the entries to the two that moved."""
+    best = """(SELECT p.v AS x, q.v AS y, p.d + q.d - CASE WHEN coalesce(k.m[p.v * 1000000 + q.v], 0) > 0 THEN 2 ELSE 0 END AS gain
+    FROM (SELECT unnest(st.free, recursive := true)) p, (SELECT unnest(st.free, recursive := true)) q WHERE p.part = 0 AND q.part = 1 ORDER BY gain DESC, x, y LIMIT 1)"""
+    return f"""WITH RECURSIVE {_d(G2_SQL, 2)}, f AS MATERIALIZED ((SELECT v, part, d FROM d WHERE part = 0 ORDER BY v {limit}) UNION ALL (SELECT v, part, d FROM d WHERE part = 1 ORDER BY v {limit})),
+k AS MATERIALIZED (SELECT map(list(u), list(n)) AS m FROM (SELECT g.src * 1000000 + g.dst AS u, count(*) AS n FROM g JOIN f p ON p.v = g.src JOIN f q ON q.v = g.dst GROUP BY ALL)),
+st(step, x, y, gain, free) AS (
+  SELECT -1, 0::BIGINT, 0::BIGINT, 1::BIGINT, (SELECT list({{'v': v, 'part': part, 'd': d}}) FROM f)
+  UNION ALL
+  SELECT st.step + 1, b.x, b.y, b.gain, list_transform(list_filter(st.free, lambda e: e.v <> b.x AND e.v <> b.y), lambda e: {{'v': e.v, 'part': e.part, 'd': e.d
+    + CASE WHEN e.part = 0 THEN 2 ELSE -2 END * (coalesce(k.m[b.x * 1000000 + e.v], 0) - coalesce(k.m[b.y * 1000000 + e.v], 0))}})
+  FROM st, k, LATERAL {best} b WHERE b.gain > 0)"""
+
+
+@_query(f"{_dynamic('')} SELECT CAST(step AS INTEGER) AS step, x, y, CAST(gain AS BIGINT) AS gain FROM st WHERE step >= 0")
+def dynamic_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges with gains that follow them, over whole boundaries."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return refine.swaps(edges, assign.hash_assign(edges, 2), [(0, 1)], "dynamic").select("step", "x", "y", "gain")
+
+
+@_query(
+    f"""{_dynamic('LIMIT 20')}, t AS (SELECT a.v, CASE WHEN a.v IN (SELECT x FROM st WHERE step >= 0) THEN 1 WHEN a.v IN (SELECT y FROM st WHERE step >= 0) THEN 0 ELSE a.part END AS part FROM a),
+c AS (SELECT (SELECT count(*) FROM e WHERE ps <> pd) AS before, (SELECT count(*) FROM g JOIN t p ON p.v = g.src JOIN t q ON q.v = g.dst WHERE p.part <> q.part) AS after)
+SELECT least(before, after) AS cut_entries, least(before, after) // 2 AS edge_cut FROM c"""
+)
 def refined_dynamic_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut with gains that follow the exchanges, over windows of 20 vertices, never worse than before."""
     edges = rank.saved(g2(spark, sf_dir))
@@ -349,7 +419,107 @@ def parse_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = g2(spark, sf_dir).where("src > 0 and dst > 0")
     lines = sinks.metis_lines(edges, ordered=False)
     whole = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("v", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    return text.parse_metis(whole.select(F.lit("one").alias("file"), "value"))
+    return text.parse_metis(text.text_lines(whole.select(F.lit("one").alias("file"), "value")))
+
+
+# Files that are written and read back.
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{rank.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS n, count(*) // 2 AS m FROM g")
+def metis_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_lines(sinks.metis_lines(g2(spark, sf_dir)).coalesce(1), path)
+    return text.metis_header(text.file_lines(spark, path)).select("n", "m")
+
+
+@_query(f"WITH {G2_SQL} SELECT src, dst FROM g WHERE src > 0 AND dst > 0")
+def metis_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """METIS lines written as one file and read by splits."""
+    path = _folder(spark)
+    sinks.write_lines(sinks.metis_lines(g2(spark, sf_dir).where("src > 0 and dst > 0")).coalesce(1), path)
+    return text.read_graph(spark, path, "metis")
+
+
+@_query(f"WITH {_assigned(G2_SQL, 4)} SELECT v, part FROM a")
+def write_read_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_parts(assign.hash_assign(g2(spark, sf_dir), 4), path)
+    return text.read_parts(spark, f"{path}/part=*")
+
+
+@_query("SELECT row_number() OVER (ORDER BY c_custkey) AS v, CAST(c_nationkey AS INTEGER) AS part FROM customer")
+def read_part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of parts, five to a line, in order of the vertices."""
+    path = _folder(spark)
+    rows = rank.ranked(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
+    lines = rows.groupBy(F.floor(F.col("rank") / 5).alias("at")).agg(F.sort_array(F.collect_list(F.struct("rank", "c_nationkey"))).alias("w"))
+    sinks.write_lines(lines.orderBy("at").select(F.array_join(F.transform("w", lambda x: x["c_nationkey"].cast("string")), " ").alias("line")).coalesce(1), path)
+    return text.read_parts(spark, path)
+
+
+@_query(f"WITH {G2_SQL} SELECT DISTINCT src, dst FROM g")
+def pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that run on over line breaks: three numbers to a line."""
+    path = _folder(spark)
+    words = rank.ranked(g2(spark, sf_dir), "src", "dst").select(F.posexplode(F.array("src", "dst")).alias("side", "n"), "rank").select((F.col("rank") * 2 + F.col("side")).alias("at"), "n")
+    lines = words.groupBy(F.floor(F.col("at") / 3).alias("line_at")).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("w"))
+    sinks.write_lines(lines.orderBy("line_at").select(F.array_join(F.transform("w", lambda x: x["n"].cast("string")), " ").alias("line")).coalesce(1), path)
+    return text.pair_scan(text.file_lines(spark, path))
+
+
+@_query(f"WITH {_assigned(G1_SQL, 8)}, m AS (SELECT part, count(*) AS n FROM a GROUP BY part), u AS (SELECT part, CAST(sum(n) OVER (ORDER BY part) + 1 AS BIGINT) AS upper FROM m) SELECT part, coalesce(lag(upper) OVER (ORDER BY part), 0) AS lower, upper FROM u")
+def write_read_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_bounds(relabel.part_boundaries(assign.hash_assign(g1(spark, sf_dir), 8)), path)
+    return text.read_bounds(spark, path)
+
+
+@_query(f"WITH {G2_SQL} SELECT src, dst FROM g")
+def write_read_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_edges(g2(spark, sf_dir), path)
+    return text.read_graph(spark, path, "edgelist")
+
+
+@_query(f"WITH {GM_SQL} SELECT count(*) + 1 AS n_lines FROM g")
+def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no comments; a blank one counts."""
+    path = _folder(spark)
+    lines = gm(spark, sf_dir).select(F.concat_ws(" ", "src", "dst").alias("line"))
+    sinks.write_lines(lines.unionAll(spark.createDataFrame([("# a comment",), ("",)], "line string")), path)
+    return text.count_lines(spark.read.text(path))
+
+
+_FILES = "f AS (SELECT n_nationkey AS i, 40 * (n_nationkey + 1) AS bytes FROM nation)"
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of 25 files of 40, 80, 120, … bytes, by name."""
+    path = _folder(spark)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("i"), F.repeat(F.lit("x"), (40 * F.col("n_nationkey") + 39).cast("int")).alias("value"))
+    nations.repartition("i").write.partitionBy("i").text(path)
+    return path
+
+
+@_query(f"WITH {_FILES} SELECT i, bytes FROM f")
+def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and their sizes, as a list that is written and read back."""
+    path, listed = _sized(spark, sf_dir), _folder(spark)
+    files = text.list_files(spark, f"{path}/*")
+    sinks.write_file_list(files, listed)
+    names = spark.read.text(listed).select(F.col("value").alias("file"))
+    return files.join(names, "file").select(F.regexp_extract("file", r"i=(\d+)/", 1).cast("int").alias("i"), "bytes")
+
+
+@_query(f"WITH {_FILES}, c AS (SELECT i, bytes, coalesce(sum(bytes) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT i, bytes FROM c WHERE before <= 3000")
+def capped_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first files whose sizes pass 3,000 bytes."""
+    files = text.capped_files(text.list_files(spark, f"{_sized(spark, sf_dir)}/*"), 3000 / 2**30)
+    return files.select(F.regexp_extract("file", r"i=(\d+)/", 1).cast("int").alias("i"), "bytes")
 
 
 # Contraction.
@@ -385,11 +555,50 @@ def equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.equal_weights(coarsen.weighted(gm(spark, sf_dir)))
 
 
-@_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS total_weight FROM g")
+def _matched_sql(rounds: int = 4) -> str:
+    """Rounds of mutual first choices by an arithmetic rank of links, as tables m0, m1, …; q is the whole matching."""
+    sql = [G2_SQL, "z0 AS (SELECT src, dst FROM g WHERE src <> dst)"]
+    for r in range(rounds):
+        order = f"(least(src, dst) * 7919 + greatest(src, dst) * 104729 + {r}) % 1000003"
+        sql.append(f"c{r} AS (SELECT src, arg_min(dst, {{'o': {order}, 'd': dst}}) AS mate FROM z{r} GROUP BY src)")
+        sql.append(f"m{r} AS MATERIALIZED (SELECT x.src AS v, x.mate FROM c{r} x JOIN c{r} y ON y.src = x.mate AND y.mate = x.src)")
+        sql.append(f"z{r + 1} AS MATERIALIZED (SELECT src, dst FROM z{r} WHERE src NOT IN (SELECT v FROM m{r}) AND dst NOT IN (SELECT v FROM m{r}))")
+    pairs = " UNION ALL ".join(f"SELECT v, mate FROM m{r}" for r in range(rounds))
+    return ", ".join([*sql, f"p AS ({pairs}), q AS (SELECT n.v, coalesce(p.mate, n.v) AS mate FROM (SELECT DISTINCT src AS v FROM g) n LEFT JOIN p ON p.v = n.v)"])
+
+
+def _rank(low, high, r: int):  # noqa: ANN001, ANN202
+    return (low * 7919 + high * 104729 + r) % 1000003
+
+
+@_query(f"WITH {_matched_sql()} SELECT v, mate FROM q")
+def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of vertices that name each other, under a rank that SQL can compute."""
+    return coarsen.random_matching(rank.saved(g2(spark, sf_dir)), rank=_rank)
+
+
+@_query(f"WITH {_matched_sql()}, h AS (SELECT v, dense_rank() OVER (ORDER BY least(v, mate)) - 1 AS cv FROM q) SELECT x.cv AS src, y.cv AS dst, count(*) AS w FROM g JOIN h x ON x.v = g.src JOIN h y ON y.v = g.dst WHERE x.cv <> y.cv GROUP BY x.cv, y.cv")
+def coarse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level of coarsening: matched, numbered and contracted."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return coarsen.contract(coarsen.weighted(edges), coarsen.number(coarsen.random_matching(edges, rank=_rank)))
+
+
+@_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS total_weight, count(*) AS entries_kept_or_inside, true AS ends_small, true AS ids_gapless FROM g")
 def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarsening keeps the total vertex weight on its last level."""
-    _, weights, _ = coarsen.coarsen(rank.saved(g2(spark, sf_dir)), 40)[-1]
-    return weights.agg(F.sum("vwgt").alias("total_weight"))
+    """Coarsening to 40 vertices: all vertex weight is on the last level, all entry weight in it or inside its vertices, and it is small or stopped shrinking."""
+    edges = rank.saved(g2(spark, sf_dir))
+    levels = coarsen.coarsen(edges, 40)
+    last, weights, _ = levels[-1]
+    maps = levels[0][2]
+    for _, _, cmap in levels[1:]:
+        maps = maps.join(cmap.select(F.col("v").alias("cv"), F.col("cv").alias("up")), "cv").select("v", F.col("up").alias("cv"))
+    a, b = maps.select(F.col("v").alias("src"), F.col("cv").alias("a")), maps.select(F.col("v").alias("dst"), F.col("cv").alias("b"))
+    inside = edges.join(a, "src").join(b, "dst").where("a = b").count()
+    sizes = [w.count() for _, w, _ in levels]
+    stopped = sizes[-1] <= 40 or (len(sizes) > 1 and sizes[-1] >= 0.85 * sizes[-2]) or len(sizes) == 1
+    n = weights.agg(F.sum("vwgt").alias("total_weight"), (F.max("v") + 1 == F.count(F.lit(1))).alias("ids_gapless"))
+    return n.crossJoin(last.agg((F.coalesce(F.sum("w"), F.lit(0)) + inside).alias("entries_kept_or_inside"))).withColumn("ends_small", F.lit(stopped))  # one row each
 
 
 # Iteration.
@@ -419,11 +628,31 @@ def neighbour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate.neighbour_sum(edges, assign.vertices(edges).withColumn("value", F.col("v")))
 
 
-@_query(f"WITH {G2_SQL}, n AS (SELECT src AS v FROM g UNION SELECT dst FROM g) SELECT v, (SELECT min(v) FROM n) AS component FROM n")
+#: Customers and the one of half their number, but for every fifth: a forest of small trees.
+_FOREST = "t AS (SELECT c_custkey AS v, c_custkey // 2 AS up FROM customer)"
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("v"))
+    links = ids.where("v % 5 <> 0 and v > 1").select(F.col("v").alias("src"), F.expr("v div 2").alias("dst"))
+    return links, ids
+
+
+_ROOTS = f"""WITH RECURSIVE {_FOREST}, r(v, here) AS (SELECT v, v FROM t UNION ALL SELECT r.v, r.here // 2 FROM r WHERE r.here % 5 <> 0 AND r.here > 1)
+SELECT v, min(here) AS component FROM r GROUP BY v"""
+
+
+@_query(_ROOTS)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The follower graph is connected at every scale."""
-    edges = rank.saved(g2(spark, sf_dir))
-    return iterate.components(edges, assign.vertices(edges))
+    """Label propagation in supersteps over a forest of many trees."""
+    links, ids = _forest(spark, sf_dir)
+    return iterate.components(rank.saved(text.symmetrize(links)), ids)
+
+
+@_query(_ROOTS)
+def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components by star contraction, over links of one direction."""
+    return iterate.connected(*_forest(spark, sf_dir))
 
 
 # Record store.
@@ -464,6 +693,25 @@ def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.scan().select("key", "value")
 
 
+@_query("SELECT 1::BIGINT AS version, count(DISTINCT o_custkey) AS n_records, 0::BIGINT AS n_deletes FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 0, count(DISTINCT o_custkey), 0 FROM orders UNION ALL SELECT 2, 0, count(DISTINCT o_custkey) FROM orders WHERE o_custkey < 20")
+def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each write of the store has written."""
+    box = _orders(spark, sf_dir)
+    box.delete(box.get_range(0, 19).select("key"))
+    return box.stats()
+
+
+@_query(f"WITH {G2_SQL}, n AS (SELECT src AS v, CAST(sum(dst) AS BIGINT) AS total FROM g GROUP BY src) SELECT v AS key, CASE WHEN v % 2 = 1 THEN total ELSE v END AS value FROM n")
+def vertex_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex states in the store: all are put, neighbours' sums computed, and only the changed ones written back."""
+    edges = rank.saved(g2(spark, sf_dir))
+    box = store.RecordStore(spark, f"{rank.shared_folder(spark)}/records-{uuid.uuid4().hex}")
+    box.put(assign.vertices(edges).select(F.col("v").alias("key"), F.col("v").alias("value")))
+    state = box.scan().select(F.col("key").alias("v"), "value")
+    box.put(iterate.neighbour_sum(edges, state).where("v % 2 = 1").select(F.col("v").alias("key"), F.col("total").alias("value")))
+    return box.scan().select("key", "value")
+
+
 # Scalars and reports.
 
 
@@ -475,7 +723,7 @@ def scalar_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(c.alias("id"), scalars.log2_floor(c).alias("log2"), scalars.num_digits(c).alias("digits"), scalars.zero_padded(c).alias("padded"), scalars.string_hash(F.col("c_name")).alias("hash"), F.least(c, "c_nationkey").alias("low"), F.greatest(c, "c_nationkey").alias("high"))
 
 
-@_query("SELECT event_type AS name, max(value) AS longest, count(*) AS n FROM events GROUP BY event_type")
+@_query("SELECT event_type AS name, max(value) AS longest, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY event_type")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), "value")
-    return metrics.run_report(rows).join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").select("name", "longest", "n")
+    return metrics.run_report(rows).join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").select("name", "longest", F.round("total", 2).alias("total"), "n")

@@ -8,7 +8,7 @@ from cutloom.plans import catalogue
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "events", "orders", "customer")
+TABLES = ("part", "lineitem", "events", "orders", "customer", "nation")
 
 
 @pytest.fixture(scope="module")
