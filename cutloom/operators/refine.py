@@ -8,8 +8,9 @@ one ordered scan; it runs in one grouped task per pair of parts, over boundary v
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heapreplace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,72 +91,47 @@ def pair_gains(edges: DataFrame, assignment: DataFrame, a: int, b: int, limit: i
     return gains.orderBy(F.desc("gain"), "x", "y").limit(limit)
 
 
-class _Side:
-    """Free vertices of one part in classes of equal D, ascending by id."""
-
-    def __init__(self, d: dict[int, int]):
-        self.d = d
-        self.classes: dict[int, deque[int]] = defaultdict(deque)
-        self.none: deque[int] = deque()
-        for v in sorted(d):
-            self.classes[d[v]].append(v)
-        self.taken: set[int] = set()
-        self.levels = sorted(self.classes, reverse=True)
-
-    def free(self, level: int) -> deque[int]:
-        """The class of a level; taken vertices are gone from its head."""
-        c = self.classes.get(level, self.none)
-        while c and c[0] in self.taken:
-            c.popleft()
-        return c
-
-    def top(self) -> int | None:
-        while self.levels and not self.free(self.levels[0]):
-            self.levels.pop(0)
-        return self.levels[0] if self.levels else None
-
-
-def _first(xs: deque[int], ys: deque[int], near: dict[int, set[int]], adjacent: bool, left: _Side, right: _Side) -> tuple[int, int] | None:
-    """The first free (x, y) by x, then y, that are neighbours or are not."""
-    for x in xs:
-        if x in left.taken:
-            continue
-        mine = near.get(x, ())
-        if adjacent and not mine:
-            continue
-        pool = sorted(mine) if adjacent and len(mine) < len(ys) else ys
-        for y in pool:
-            if y not in right.taken and (y in mine) == adjacent and (not adjacent or right.d.get(y) == right.d[ys[0]]):
-                return x, y
-    return None
-
-
 def greedy(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]]) -> Iterator[tuple[int, int, int]]:
-    """Repeatedly the best free pair of positive gain: (x, y, gain); ties go to the smallest x, then y."""
-    left, right = _Side(dx), _Side(dy)
-    while (a := left.top()) is not None and (b := right.top()) is not None:
-        for gain in range(a + b, 0, -1):
-            if found := _at_gain(left, right, near, gain):
+    """Repeatedly the best free pair of positive gain: (x, y, gain); ties go to the smallest x, then y.
+
+    The y's are in order of D; the best for an x is the first that is no neighbour, or a neighbour before it.
+    A pair only gets worse as y's are taken, so the best of each x waits in a heap and is sought again
+    once it is on top and its y is gone.
+    """
+    ys = sorted(dy, key=lambda y: (-dy[y], y))
+    place = {y: i for i, y in enumerate(ys)}
+    after = list(range(len(ys) + 1))
+
+    def free(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
+    def best(x: int) -> tuple[int, int, int] | None:
+        mine, found, i = near.get(x, ()), None, free(0)
+        while i < len(ys):
+            y = ys[i]
+            adjacent = y in mine
+            one = (-dx[x] - dy[y] + 2 * adjacent, x, y)
+            found = one if found is None else min(found, one)
+            if not adjacent or -dx[x] - dy[y] > found[0]:
                 break
+            i = free(i + 1)
+        return found if found is not None and found[0] < 0 else None
+
+    heap = [p for x in dx if (p := best(x)) is not None]
+    heapify(heap)
+    while heap:
+        loss, x, y = heap[0]
+        if after[place[y]] == place[y]:
+            heappop(heap)
+            after[place[y]] += 1
+            yield x, y, -loss
+        elif (p := best(x)) is not None:
+            heapreplace(heap, p)
         else:
-            break
-        x, y = found
-        left.taken.add(x)
-        right.taken.add(y)
-        yield x, y, gain
-
-
-def _at_gain(left: _Side, right: _Side, near: dict[int, set[int]], gain: int) -> tuple[int, int] | None:
-    """The first free pair of exactly this gain, if no pair has a larger one."""
-    best = None
-    for level in left.levels:
-        for adjacent, other in ((False, gain - level), (True, gain + 2 - level)):
-            if not right.classes.get(other):
-                continue
-            ys = right.free(other)
-            if ys and (p := _first(left.free(level), ys, near, adjacent, left, right)) and (best is None or p < best):
-                best = p
-    return best
+            heappop(heap)
 
 
 def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]], weight: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
