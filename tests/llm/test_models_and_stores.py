@@ -63,6 +63,40 @@ def test_quality_column_is_the_model(graded, spark):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
 
 
+def plain_statistics(text):
+    """The statistics of a text, worked out character by character and word by word."""
+    raw = text.encode()
+    n, words = len(raw), raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    k, m = max(1, len(words)), max(1, len(lines))
+    share = lambda chars: sum(raw.count(c) for c in chars.encode()) / n
+    upper, lower = (sum(a <= c <= b for c in raw) for a, b in ((65, 90), (97, 122)))
+    signs = b"#$%&*+/<=>@[\\]^_`{}~!|"
+    pairs = [(words[i], words[i + 1]) for i in range(len(words) - 1)]
+    return {
+        "log_bytes": math.log(n + 1), "log_words": math.log(len(words) + 1), "word_length": sum(len(w) for w in words) / k / 20, "upper": upper / max(1, upper + lower), "digits": share("0123456789"),
+        "marks": share(".,;:?'\"()-"), "symbols": share("#$%&*+/<=>@[\\]^_`{}~"), "exclaims": share("!"), "bars": share("|"), "spaces": share(" \t\n\r\x0b\x0c"), "non_ascii": sum(c > 127 for c in raw) / n,
+        "log_lines": math.log(len(lines) + 1), "line_length": math.log(n / m + 1), "ended_lines": sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"') for x in lines) / m, "repeated_lines": 1 - len(set(lines)) / m,
+        "distinct_words": len(set(words)) / k, "top_word": max((words.count(w) for w in set(words)), default=0) / k, "doubled_words": sum(a == b for a, b in pairs) / k, "shouted_words": sum(w.isupper() for w in words) / k,
+        "marked_words": sum(w[-1] in signs for w in words) / k, "short_words": sum(len(w) < 4 for w in words) / k, "longest_word": math.log(max((len(w) for w in words), default=0) + 1), "bare_words": sum(w.isalpha() for w in words) / k,
+        "distinct_pairs": len(set(pairs)) / k,
+    }
+
+
+def test_quality_against_plain_statistics(graded):
+    """Scores out of statistics and rules that are worked out here."""
+    docs, labels, _ = graded
+    model = quality.train(docs, labels)
+    for r in quality.score(docs.where("doc_id < 60 or doc_id in (900, 901)"), model).collect():
+        got = plain_statistics(r["text"]) if r["text"] else dict.fromkeys(quality.STATISTICS, 0.0)
+        assert list(got.values()) == pytest.approx(quality.statistics((r["text"] or "").encode()))
+        total = model.base
+        for rule, weight in model.rules:
+            if all((got[quality.STATISTICS[f]] > v) == above for f, above, v in rule):
+                total += weight
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+
+
 def test_quality_without_labels(graded):
     docs, labels, _ = graded
     for few in (labels.limit(0), labels.where("quality = 1")):
