@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from .common import checkpointed, looked_up
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 11
 DIMENSION_BITS = 30
 TIE_BITS = 20
 CHUNK_BITS = 12
