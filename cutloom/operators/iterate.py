@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import components as star_contraction
 from .metrics import degree
-from .rank import saved
+from .rank import remove, saved, table
 
 
 def activate_neighbours(edges: DataFrame, active: DataFrame) -> DataFrame:
@@ -44,9 +44,14 @@ def superstep(edges: DataFrame, state: DataFrame, active: DataFrame, message: Co
 
 def iterate(edges: DataFrame, state: DataFrame, message: Column, combine: Callable[[str], Column], update: Column, active: DataFrame | None = None, max_iter: int | None = None) -> tuple[DataFrame, int]:
     """Supersteps until no vertex changes or `max_iter`; without `active` all vertices start. Returns the state and the steps."""
+    spark, before = edges.sparkSession, None
     active, steps = state.select("v") if active is None else active, 0
     while max_iter is None or steps < max_iter:
-        after = saved(superstep(edges, state, active, message, combine, update))
+        path = table(spark)
+        after = saved(superstep(edges, state, active, message, combine, update), path)
+        if before is not None:
+            remove(spark, before)
+        before = path
         state, active, steps = after.select("v", "value"), after.where("changed").select("v"), steps + 1
         if active.isEmpty():
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,10 +21,32 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    root = f"{shared_folder(spark)}/cutloom-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table, by the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df` computed once and kept in the shared folder, as a table.
+
+    A checkpoint would cut the lineage as well, but keep the estimate of the plan's size. Joins multiply
+    estimates, so in a loop their digits multiply with every step, until planning takes longer than the
+    step. A table has the size of its files.
+    """
+    path = path or table(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, *by: str, name: str = "rank") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..model import check_parts
 from .metrics import degree, edge_cut, placed
-from .rank import saved
+from .rank import remove, saved, table
 
 MODES = ("none", "static", "dynamic")
 
@@ -199,8 +199,8 @@ def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static"
     """The assignment after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
 
     Modes: `none` leaves it alone, `static` keeps gains while a pair is refined, `dynamic` updates them.
-    `accept='improve'` drops a step after which the cut is not smaller. Each step is checkpointed, so
-    that the plan does not grow with the number of pairs.
+    `accept='improve'` drops a step after which the cut is not smaller. Each step is kept as a table,
+    so that the plan does not grow with the number of pairs, and goes once the next one is there.
     """
     check_parts(k)
     if mode not in MODES:
@@ -209,13 +209,18 @@ def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static"
         return assignment
     steps = disjoint_rounds(k) if schedule == "rounds" else [[(a, b)] for a in range(k) for b in range(a + 1, k)]
     cut = edge_cut(edges, assignment).first()["cut_entries"] if accept == "improve" else None
+    spark, before = edges.sparkSession, None
     degrees = saved(degree(edges))
     for pairs in steps:
-        after = saved(apply_swaps(assignment, swaps(edges, assignment, pairs, mode, window, kind, degrees)))
+        path = table(spark)
+        after = saved(apply_swaps(assignment, swaps(edges, assignment, pairs, mode, window, kind, degrees)), path)
         if accept == "improve":
             now = edge_cut(edges, after).first()["cut_entries"]
             if now >= cut:
+                remove(spark, path)
                 continue
             cut = now
-        assignment = after
+        if before is not None:
+            remove(spark, before)
+        assignment, before = after, path
     return assignment

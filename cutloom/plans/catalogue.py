@@ -289,6 +289,20 @@ def refined_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair")
 
 
+def _rounds_sql(k: int) -> str:
+    """SQL of all rounds of disjoint pairs of k parts."""
+    rounds = refine.disjoint_rounds(k)
+    steps = [_chain(f"s{i + 1}", f"s{i}" if i else "a", pairs) for i, pairs in enumerate(rounds)]
+    return f"WITH RECURSIVE {_assigned(G2_SQL, k)}, {', '.join(steps)} SELECT v, part FROM s{len(rounds)}"
+
+
+@_query(_rounds_sql(8))
+def refined_eight_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refinement of eight parts in seven rounds of four disjoint pairs."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return refine.refine(edges, assign.hash_assign(edges, 8), 8, schedule="rounds", kind="pair")
+
+
 _WINDOW = _GREEDY.replace("xs AS (SELECT v AS x, d AS dx FROM d WHERE part = 0)", "xs AS (SELECT v AS x, d AS dx FROM d WHERE part = 0 ORDER BY v LIMIT 20)").replace("ys AS (SELECT v AS y, d AS dy FROM d WHERE part = 1)", "ys AS (SELECT v AS y, d AS dy FROM d WHERE part = 1 ORDER BY v LIMIT 20)")
 
 

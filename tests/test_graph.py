@@ -161,6 +161,46 @@ def test_edge_cases(spark):
     assert (hub_degree(10), hub_degree(5000), hub_degree(10, 1), batch_size(1000, 4, 8)) == (1000, 5000, 10, 31 + 8)
 
 
+def plain_rounds(pairs, part, k):
+    """Refinement in rounds under D = E - I, walked through vertex by vertex."""
+    part = dict(part)
+    into = defaultdict(list)
+    for u, v in pairs:
+        into[v].append(u)
+    close = set(pairs)
+    for step in refine.disjoint_rounds(k):
+        was = dict(part)
+        for a, b in step:
+            sides = []
+            for own, other in ((a, b), (b, a)):
+                ext = {v: sum(was[u] == other for u in into[v]) for v in was if was[v] == own}
+                sides.append({v: n - sum(was[u] == own for u in into[v]) for v, n in ext.items() if n})
+            left, right = sides
+            gains = sorted((-(left[x] + right[y] - 2 * ((x, y) in close)), x, y) for x in left for y in right)
+            gone = set()
+            for loss, x, y in gains:
+                if loss < 0 and not gone & {x, y}:
+                    gone |= {x, y}
+                    part[x], part[y] = b, a
+    return part
+
+
+def test_many_parts(spark):
+    r = random.Random(5)
+    pairs = sorted({(u, v) for a, b in ((r.randrange(48), r.randrange(48)) for _ in range(150)) if a != b for u, v in ((a, b), (b, a))})
+    g = edges_of(spark, pairs)
+    a = assign.hash_assign(g, 8)
+    want = plain_rounds(pairs, rows(a, "v", "part"), 8)
+    assert dict(rows(refine.refine(g, a, 8, schedule="rounds", kind="pair"), "v", "part")) == want != dict(rows(a, "v", "part"))
+
+
+def test_estimates_do_not_grow_with_steps(spark):
+    g = edges_of(spark, [(v, v + 1) for v in range(6)])
+    state = assign.vertices(g).withColumn("value", F.col("v"))
+    out, _ = iterate.iterate(g, state, F.col("value"), F.min, F.least("value", "message"), max_iter=6)
+    assert int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+
+
 def test_line_parsers(spark):
     lines = spark.createDataFrame([("# c",), ("% c",), ("",), ("1 2 9",), (" 3\t4 ",), ("5",), ("x 1",), ("6 7 8",)], "value string")
     assert rows(text.parse_edgelist(lines), "src", "dst") == [(1, 2), (3, 4), (6, 7)]
