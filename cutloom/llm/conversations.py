@@ -166,9 +166,9 @@ def words(turns: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """
     role = F.instr(F.lit(INITIALS), F.substring("role", 1, 1))
     sign = F.chr(65 + 4 * F.col("fault") + F.when((role > 0) & (F.col("role") != ""), role - 1).otherwise(F.lit(3)))
-    rows = marked(turns).withColumn("sign", sign)
-    # Of equal rows the first comes first; rows of one turn go by role and digest.
-    order = ("conv_id", "turn", "role", "digest", "fault")
+    rows = marked(turns).withColumns({"sign": sign, "again": F.col("fault") == DUPLICATE})
+    # Rows of one turn go by role and digest; of equal ones the first comes before its duplicates.
+    order = ("conv_id", "turn", "role", "digest", "again")
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", F.spark_partition_id().cast("long").alias("task"), "turn", "sign")
     pieces = dealt.mapInArrow(_pieces, "conv_id long, task long, word string, turns long, first long, last long")
     if ids is not None:
