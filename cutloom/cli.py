@@ -41,6 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("parts_path")
     a.add_argument("output")
     a.add_argument("--base", type=int, default=1)
+    a.add_argument("--parts-format", choices=text.PART_FORMATS, default="pairs")
     return p
 
 
@@ -52,12 +53,12 @@ def main(args: list[str] | None = None) -> None:
         job.run(spark).metrics.show(50, False)
     elif a.command == "to-metis":
         edges = text.read_graph(spark, a.path, "edgelist")
-        sinks.write_lines(sinks.metis_lines(sinks.neighbour_filter(edges) if a.drop_beyond_sources else edges), a.output)
+        sinks.write_metis(sinks.neighbour_filter(edges) if a.drop_beyond_sources else edges, a.output)
     elif a.command == "count":
         edges = text.read_graph(spark, a.path, a.format)
         metrics.vertex_count(edges, sources_only=a.format == "edgelist").show()
     else:
-        edges, parts = text.read_graph(spark, a.path, a.format), text.read_parts(spark, a.parts_path)
+        edges, parts = text.read_graph(spark, a.path, a.format), text.read_parts(spark, a.parts_path, a.parts_format)
         mapping = relabel.relabel_map(parts, a.base)
         sinks.write_edges(relabel.relabel_edges(edges, mapping), f"{a.output}/edges")
         sinks.write_bounds(relabel.part_boundaries(parts, a.base), f"{a.output}/boundaries")

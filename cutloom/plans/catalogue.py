@@ -429,11 +429,10 @@ def parse_adjlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {G2_SQL} SELECT src, dst FROM g WHERE src > 0 AND dst > 0")
 def parse_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of neighbours, one file, read back."""
-    edges = g2(spark, sf_dir).where("src > 0 and dst > 0")
-    lines = sinks.metis_lines(edges, ordered=False)
-    whole = lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("v", "line"))), lambda x: x["line"]), "\n").alias("value"))
-    return text.parse_metis(text.text_lines(whole.select(F.lit("one").alias("file"), "value")))
+    """Lines of neighbours, written in order and parsed."""
+    path = _folder(spark)
+    sinks.write_ordered(sinks.metis_lines(g2(spark, sf_dir).where("src > 0 and dst > 0"), ordered=False), path, "v")
+    return text.parse_metis(text.file_lines(spark, path))
 
 
 # Files that are written and read back.
@@ -446,18 +445,42 @@ def _folder(spark: SparkSession) -> str:
 @_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS n, count(*) // 2 AS m FROM g")
 def metis_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
-    sinks.write_lines(sinks.metis_lines(g2(spark, sf_dir)).coalesce(1), path)
+    sinks.write_metis(g2(spark, sf_dir), path)
     return text.metis_header(text.file_lines(spark, path)).select("n", "m")
 
 
+@_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS n, count(*) // 2 AS m, count(DISTINCT src) AS n_sources, count(*) AS n_entries FROM g WHERE src > 0 AND dst > 0")
+def metis_header_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of a graph in four files against its lines."""
+    path = _folder(spark)
+    sinks.write_metis(g2(spark, sf_dir).where("src > 0 and dst > 0"), path, files=4)
+    return text.check_metis(text.file_lines(spark, path)).drop("file")
+
+
 @_query(f"WITH {G2_SQL} SELECT src, dst FROM g WHERE src > 0 AND dst > 0")
 def metis_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """METIS lines written as one file and read by splits."""
+    """METIS lines written and read by splits."""
+    path = _folder(spark)
+    sinks.write_metis(g2(spark, sf_dir).where("src > 0 and dst > 0"), path)
+    return text.read_graph(spark, path, "metis")
+
+
+@_query(f"WITH {G2_SQL} SELECT src, dst FROM g WHERE src > 0 AND dst > 0")
+def metis_eight_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """METIS lines that go on over eight files."""
     path = _folder(spark)
-    sinks.write_lines(sinks.metis_lines(g2(spark, sf_dir).where("src > 0 and dst > 0")).coalesce(1), path)
+    sinks.write_metis(g2(spark, sf_dir).where("src > 0 and dst > 0"), path, files=8)
     return text.read_graph(spark, path, "metis")
 
 
+@_query(f"WITH {_assigned(G2_SQL, 4)} SELECT v, part FROM a WHERE v BETWEEN 1 AND 1200")
+def part_list_eight_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of parts that goes on over eight files, with vertices that have none."""
+    path = _folder(spark)
+    sinks.write_part_list(assign.hash_assign(g2(spark, sf_dir), 4), path, 1200, files=8)
+    return text.read_parts(spark, path, "list")
+
+
 @_query(f"WITH {_assigned(G2_SQL, 4)} SELECT v, part FROM a")
 def write_read_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
@@ -471,17 +494,17 @@ def read_part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     rows = rank.ranked(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
     lines = rows.groupBy(F.floor(F.col("rank") / 5).alias("at")).agg(F.sort_array(F.collect_list(F.struct("rank", "c_nationkey"))).alias("w"))
-    sinks.write_lines(lines.orderBy("at").select(F.array_join(F.transform("w", lambda x: x["c_nationkey"].cast("string")), " ").alias("line")).coalesce(1), path)
-    return text.read_parts(spark, path)
+    sinks.write_ordered(lines.select("at", F.array_join(F.transform("w", lambda x: x["c_nationkey"].cast("string")), " ").alias("line")), path, "at", files=3)
+    return text.read_parts(spark, path, "list")
 
 
 @_query(f"WITH {G2_SQL} SELECT DISTINCT src, dst FROM g")
 def pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that run on over line breaks: three numbers to a line."""
+    """Pairs that run on over line breaks and files: three numbers to a line, five files."""
     path = _folder(spark)
     words = rank.ranked(g2(spark, sf_dir), "src", "dst").select(F.posexplode(F.array("src", "dst")).alias("side", "n"), "rank").select((F.col("rank") * 2 + F.col("side")).alias("at"), "n")
     lines = words.groupBy(F.floor(F.col("at") / 3).alias("line_at")).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("w"))
-    sinks.write_lines(lines.orderBy("line_at").select(F.array_join(F.transform("w", lambda x: x["n"].cast("string")), " ").alias("line")).coalesce(1), path)
+    sinks.write_ordered(lines.select("line_at", F.array_join(F.transform("w", lambda x: x["n"].cast("string")), " ").alias("line")), path, "line_at", files=5)
     return text.pair_scan(text.file_lines(spark, path))
 
 

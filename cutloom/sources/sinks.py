@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import write_manifest
+
 
 def part_lines(assignment: DataFrame) -> DataFrame:
     """(part, v, line) with `v<TAB>part` for each assigned vertex."""
@@ -40,10 +42,33 @@ def neighbour_filter(edges: DataFrame) -> DataFrame:
 
 
 def write_lines(rows: DataFrame, path: str, column: str = "line") -> None:
-    """One text file per partition, in the order of the rows."""
+    """One text file per partition; for lines that need no order over files."""
     rows.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_ordered(rows: DataFrame, path: str, *by: str, column: str = "line", files: int | None = None) -> None:
+    """Lines whose order counts: tasks write ranges of `by`, one file each, and a manifest keeps the order of the files and their lengths."""
+    dealt = rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+    write_lines(dealt.sortWithinPartitions(*by), path, column)
+    write_manifest(rows.sparkSession, path)
+
+
+def write_metis(edges: DataFrame, path: str, n_vertices: int | None = None, files: int | None = None) -> None:
+    """The METIS lines of a graph as a folder of ordered files."""
+    write_ordered(metis_lines(edges, n_vertices, ordered=False), path, "v", files=files)
+
+
+def part_list(assignment: DataFrame, n_vertices: int) -> DataFrame:
+    """(v, line): the part of each vertex from 1 to n_vertices, -1 without one."""
+    ids = assignment.sparkSession.range(1, n_vertices + 1).select(F.col("id").alias("v"))
+    return ids.join(assignment, "v", "left").select("v", F.coalesce("part", F.lit(-1)).cast("string").alias("line"))
+
+
+def write_part_list(assignment: DataFrame, path: str, n_vertices: int, files: int | None = None) -> None:
+    """A line with the part of each vertex, in order, as a folder of ordered files."""
+    write_ordered(part_list(assignment, n_vertices), path, "v", files=files)
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     """`src dst` lines, sorted by both, each pair once."""
     write_lines(edges.distinct().orderBy("src", "dst").select(F.concat_ws(" ", "src", "dst").alias("line")), path)

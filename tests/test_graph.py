@@ -220,13 +220,18 @@ def test_files_and_round_trips(spark, metis, tmp_path):
     got = text.read_parts(spark, f"{tmp_path}/parts/part=*")
     assert rows(got, "v", "part") == rows(a, "v", "part")
     (tmp_path / "plain").write_text("1\n0\n1\n")
-    assert rows(text.read_parts(spark, f"{tmp_path}/plain"), "v", "part") == [(1, 1), (2, 0), (3, 1)]
+    assert rows(text.read_parts(spark, f"{tmp_path}/plain", "list"), "v", "part") == [(1, 1), (2, 0), (3, 1)]
+    (tmp_path / "plain").write_text("0 1\n1 -1\n")
+    assert rows(text.read_parts(spark, f"{tmp_path}/plain", "list"), "v", "part") == [(1, 0), (2, 1), (3, 1)]
+    assert rows(text.read_parts(spark, f"{tmp_path}/plain"), "v", "part") == [(0, 1), (1, -1)]
+    with pytest.raises(ValueError, match="pairs or list"):
+        text.read_parts(spark, f"{tmp_path}/plain", "guess")
     (tmp_path / "bounds").write_text("4\n8\n")
     bounds = text.read_bounds(spark, f"{tmp_path}/bounds")
     assert rows(assign.bounds_assign(spark.range(10).withColumnRenamed("id", "v"), bounds), "v", "part")[3:5] == [(3, 0), (4, 1)]
     lines = sinks.metis_lines(metis)
     assert [r["line"].split() for r in lines.collect()][1:] == [sorted(x.split()) for x in LINES[1:]]
-    sinks.write_lines(lines.coalesce(1), f"{tmp_path}/metis")
+    sinks.write_ordered(lines, f"{tmp_path}/metis", "v")
     assert rows(text.read_graph(spark, f"{tmp_path}/metis", "metis"), "src", "dst") == rows(metis, "src", "dst")
     sinks.write_edges(metis, f"{tmp_path}/edges")
     assert rows(text.read_graph(spark, f"{tmp_path}/edges", "edgelist"), "src", "dst") == rows(metis, "src", "dst")
@@ -253,7 +258,7 @@ def test_files_are_split(spark, tmp_path):
         assert rows(text.read_graph(spark, f"{tmp_path}/g", "metis"), "src", "dst") == want
         assert tuple(text.metis_header(text.file_lines(spark, f"{tmp_path}/g")).first())[1:] == (n, 9)
         words = (tmp_path / "p").read_text().split()
-        assert rows(text.read_parts(spark, f"{tmp_path}/p"), "v", "part") == [(i + 1, int(w)) for i, w in enumerate(words)]
+        assert rows(text.read_parts(spark, f"{tmp_path}/p", "list"), "v", "part") == [(i + 1, int(w)) for i, w in enumerate(words)]
         pairs = {(int(a), int(b)) for a, b in zip(words[::2], words[1::2], strict=False)}
         assert rows(text.pair_scan(text.file_lines(spark, f"{tmp_path}/p")), "src", "dst") == sorted(pairs)
     finally:
@@ -261,6 +266,37 @@ def test_files_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
 
 
+def test_ordered_files(spark, metis, tmp_path):
+    """METIS lines and part lists over many files: their manifest orders them, and without a fitting one they are refused."""
+    path = f"{tmp_path}/metis"
+    sinks.write_metis(metis, path, files=5)
+    assert len(list((tmp_path / "metis").glob("part-*"))) >= 5
+    want = rows(metis, "src", "dst")
+    assert rows(text.read_graph(spark, path, "metis"), "src", "dst") == want
+    assert tuple(text.check_metis(text.file_lines(spark, path)).first())[1:] == (7, 11, 7, 22)
+    both = rows(text.read_graph(spark, [path, path], "metis"), "src", "dst")
+    assert both == sorted(want * 2)
+    a = assign.hash_assign(metis, 3)
+    sinks.write_part_list(a.where("v <> 4"), f"{tmp_path}/list", 9, files=4)
+    assert rows(text.read_parts(spark, f"{tmp_path}/list", "list"), "v", "part") == [x for x in rows(a, "v", "part") if x[0] != 4]
+    sinks.write_lines(sinks.metis_lines(metis).repartition(3), f"{tmp_path}/loose")
+    with pytest.raises(ValueError, match="no _manifest"):
+        text.read_graph(spark, f"{tmp_path}/loose", "metis")
+    (tmp_path / "metis" / "part-99999-more.txt").write_text("1 2\n")
+    with pytest.raises(ValueError, match="not those of its"):
+        text.read_graph(spark, path, "metis")
+    (tmp_path / "metis" / "part-99999-more.txt").unlink()
+    next(f for f in (tmp_path / "metis").glob("part-00002*")).unlink()
+    with pytest.raises(ValueError, match="not those of its"):
+        text.read_graph(spark, path, "metis")
+    (tmp_path / "wrong").write_text("#7 12\n2 3\n1\n1\n")
+    with pytest.raises(ValueError, match="header"):
+        text.check_metis(text.file_lines(spark, f"{tmp_path}/wrong"))
+    none = edges_of(spark, [])
+    sinks.write_metis(none, f"{tmp_path}/none", files=2)
+    assert text.read_graph(spark, f"{tmp_path}/none", "metis").count() == 0
+
+
 def test_two_files_share_a_vertex(spark, tmp_path):
     (tmp_path / "a").write_text("1 2\n1 3\n")
     (tmp_path / "b").write_text("1 2\n4 1\n")
