@@ -23,21 +23,22 @@ from . import boost
 from .common import slices
 
 _ATTRS = r"(?:[\s/]++|=?[^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+(?<![\s/]))*+"
-_TAG = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-label|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Fixed values of HTML: elements without content, of raw content, and that end an open paragraph.
+#: Fixed values of HTML: elements without content, of raw content that is not shown, of content that is no running text (drawings and the choices of a form), of raw content that is shown, and that end an open paragraph.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
-_HIDDEN = frozenset("noscript svg math object select".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
+_RAW = frozenset("script style template textarea title iframe noembed noframes".split())
+_HIDDEN = frozenset("svg select".split())
+_SHOWN_RAW = frozenset("xmp plaintext".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br xmp plaintext listing".split())
 _ENDS_P = _BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 #: Groups of tags and of words in class, id and role that the features tell apart.
-TAGS = ("#text", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "a", "nav menu", "header", "footer", "aside", "article main", "section", "div", "span b i em strong u small sup sub font mark code cite q", "blockquote pre figure figcaption", "table tbody thead tr td th", "form fieldset input button label legend", "html body")
+TAGS = ("#text", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "a", "nav menu", "header", "footer", "aside", "article main", "section", "div", "span b i em strong u small sup sub font mark code cite q", "blockquote pre figure figcaption xmp plaintext listing", "table tbody thead tr td th", "form fieldset input button label legend", "html body")
 WORDS = (
     "content article post entry main body story text prose blog markdown page read",
     "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc tabs skip",
@@ -130,7 +131,7 @@ class Page:
             if name in _BLOCK:
                 for_text(-1)
             if name in _RAW or name in _HIDDEN:
-                if name in ("svg", "math") and rest.endswith("/"):  # only these may close themselves
+                if name == "svg" and rest.endswith("/"):
                     continue
                 end = _end_of(name).search(html, pos)
                 if end:
@@ -144,6 +145,8 @@ class Page:
                 continue
             if name in _VOID:
                 continue
+            if rest.endswith("/") and (name == "math" or n_open.get("math")):  # elements of formulas may close themselves
+                continue
             if name in _ENDS_P:
                 close_nearest(_P, _BLOCK)
             if name in _SIBLING:
@@ -158,6 +161,13 @@ class Page:
                         words |= _WORD_GROUP.get(w.lower(), 0)
             stack.append(self._node(name, stack[-1], words, None, truth))
             n_open[name] = n_open.get(name, 0) + 1
+            if name in _SHOWN_RAW:
+                end = _end_of(name).search(html, pos) if name == "xmp" else None
+                if (raw := html[pos : end.start() if end else len(html)]).strip():
+                    for_text(self._node("#text", stack[-1], 0, raw))
+                for_text(-1)
+                close(len(stack) - 1)
+                pos = end.end() if end else len(html)
         text(len(html))
         n_open["html"] = n_open.get("html", 0) + 1
         close(0)
@@ -321,11 +331,23 @@ def _compose(rng: random.Random) -> str:
         inner = "".join(f"<{tag}>{x}</{tag}>" if tag else x + rng.choice([" ", " | "]) for x in items)
         return f"<ul>{inner}</ul>" if tag == "li" else inner
 
+    def short() -> str:
+        """A block of a word or a few, of any tag, and text in elements that hold it less often."""
+        s = rng.choice([escape(word()), escape(word()), sentence(1, 3), sentence(2, 6)])
+        r = rng.random()
+        if r < 0.6:
+            return el(rng.choice(["div", "div", "div", "section", "p", "figcaption", "center"]), s, None, named=0.4)
+        if r < 0.75:
+            return f"<math><mi>{escape(word())}</mi><mo>=</mo><mn>{rng.randint(0, 99)}</mn><mspace/></math>"
+        return rng.choice([f"<object data=x>{s}</object>", f"<xmp>{word()} <b></xmp>", f"<noscript>{s}</noscript>", f"<!-->{el('p', s, None)}", f"<details><summary>{s}</summary>{sentence()}</details>"])
+
     def paragraph() -> str:
         s = prose()
         if rng.random() < 0.25:
             s = s.replace(" ", f' <{(t := rng.choice(["b", "i", "em", "a href=x", "strong"]))}>{escape(word())}</{t.split()[0]}> ', 1)
         r = rng.random()
+        if r < 0.06:
+            return short()
         if r < 0.15:
             return f"<p><b>{sentence()}<br>"
         return f"<p>{s}</p>" if r < 0.85 else f"<p>{s}" if r < 0.92 else el("div", s, None)
@@ -434,8 +456,10 @@ def main_texts(pages: list[str], fitted: tuple[float, list[boost.Tree]]) -> list
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars (code points).
 
-    Null and empty html give an empty text; repeated rows are extracted each; an empty table gives an
-    empty result; other columns are ignored. Nothing is cut off, however long the page.
+    Null and empty html give an empty text; repeated rows are extracted each and null page_ids stay null;
+    an empty table gives an empty result; other columns are ignored. Nothing is cut off, however long the
+    page. Never text: comments, scripts, styles, templates, frames, the page's title, what is typed into a
+    form or chosen from a list, and the insides of svg drawings. All other text is left to the trees.
     """
     fitted = model()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -157,7 +158,7 @@ ROW = "<p>A sentence of the article stands here, and it has a few words more.</p
     "inner",
     [
         "<script src=/a.js/>var tracker=1;</script>", "<script>if (a<b) document.write('<p>tracker</p>')</SCRIPT >", "<style/>p{tracker}</style>", '<img alt="' + "<p>tracker</p>" * 80_000 + '">', "<a title='x>tracker' href=y>" + ROW + "</a>",
-        "<iframe src=x/>tracker</iframe>", "<!-- <p>tracker</p> -->", "<svg/>", "<svg><title>tracker</title></svg>", "<noscript>tracker</noscript>", "</tracker x='>", '<p data-x = "a>tracker">',
+        "<iframe src=x/>tracker</iframe>", "<!-- <p>tracker</p> -->", "<svg/>", "<svg><title>tracker</title></svg>", "<!-->", "<!--->", "<select><option>tracker</select>", "</tracker x='>", '<p data-x = "a>tracker">',
     ],
 )
 def test_markup_stays_out(inner):
@@ -167,6 +168,85 @@ def test_markup_stays_out(inner):
     assert text.count("stands here") == 2 + inner.count("stands here")
 
 
+FRAMES = (
+    "<html><body><nav><a href=1>Home</a><a href=2>News</a></nav><article class=post>%s</article><footer>Copyright</footer></body></html>",
+    "<html><body><article>%s</article></body></html>",
+    "<html><body><div id=nav><a href=1>Home</a></div><div class=content>%s</div><div class=footer>Copyright 2020</div></body></html>",
+)
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<!-->after", "after"), ("<!--->", ""), ("<math><mi>x</mi><mo>=</mo><mn>5</mn><mspace/></math>", "x=5"), ("<object data=x>fallback words</object>", "fallback words"), ("<xmp>a <b> &amp; c</xmp>", "a <b> &amp; c"),
+        ("<noscript>plain</noscript>", "plain"), ("<div>word</div>", "word"), ("<div>two words</div>", "two words"), ("<div><div><div>deep</div></div></div>", "deep"), ("<section>one</section>", "one"), ("<p>1</p>", "1"),
+        ("<div class=q7>word</div>", "word"), ("<listing>ab</listing>", "ab"), ("<details><summary>more</summary>Text is here.</details>", "more Text is here."),
+    ],
+)
+def test_nothing_of_an_article_is_lost(inner, want):
+    """Short blocks, formulas, fallbacks, raw text and comments that end at once."""
+    sentence = ROW[3:-4]
+    for frame in FRAMES:
+        for before, after in ((2, 2), (1, 4)):
+            text = html.main_texts([frame % (ROW * before + inner + ROW * after)], html.model())[0]
+            assert text.count(sentence) == before + after
+            assert " ".join(text.replace(sentence, " ").split()) == want
+
+
+class Plain(HTMLParser):
+    """The text of a page by the standard library's parser."""
+
+    HIDDEN = ("script", "style", "title", "textarea", "select", "svg")
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.stack, self.blocks = 0, [], [""]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html._BLOCK:
+            self.blocks.append("")
+        if tag not in html._VOID:
+            self.stack.append(tag)
+            self.hidden += tag in self.HIDDEN
+
+    def handle_endtag(self, tag):
+        if tag in html._BLOCK:
+            self.blocks.append("")
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k] == tag:
+                self.hidden -= sum(t in self.HIDDEN for t in self.stack[k:])
+                del self.stack[k:]
+                break
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.blocks[-1] += data
+
+    def text(self):
+        return " ".join(filter(None, (" ".join(b.split()) for b in self.blocks)))
+
+
+def test_parse_and_assemble_against_a_plain_parser(spark):
+    """All text of the smallest table's pages and of composed ones, and the article of each page by `extract`."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
+    for r in pages:
+        page = html.Page(r["html"])
+        assert html.assemble(page, np.ones(len(page.tag), bool)) == Plain(r["html"]).text()
+        article = re.search("<article.*</article>", r["html"], re.S)[0]
+        assert got[r["page_id"]] == Plain(article).text()
+    rng, n = random.Random(12), 0
+    while n < 60:
+        source = html._compose(rng)
+        if re.search("<!-->|<xmp>", source):  # what the standard library reads otherwise
+            continue
+        n += 1
+        page = html.Page(source)
+        assert html.assemble(page, np.ones(len(page.tag), bool)) == Plain(source).text()
+
+
 def test_deep_and_hostile_pages():
     deep = html.Page("<div>" * 5000 + ROW + "</div>" * 5000)
     assert max(html.features([deep])[:, 8 + html.N_TAGS + 3 * html.N_WORDS]) == 5002
