@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -49,6 +50,33 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class Bucketed:
+    """A table in buckets of a column: its rows, and what deletes it."""
+
+    rows: DataFrame
+    name: str
+    path: str
+
+    def drop(self) -> None:
+        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.rows.sparkSession, self.path)
+
+
+def bucketed(df: DataFrame, key: str, in_place: bool = False) -> Bucketed:
+    """`df` kept in the shared folder in buckets of `key`, as many as a shuffle has partitions.
+
+    Tables that are bucketed by the column that they are joined or grouped by are not shuffled for it.
+    `in_place` says that the rows already lie so, as they come out of such a join.
+    """
+    spark, path = df.sparkSession, table(df.sparkSession)
+    name = f"cutloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df if in_place else df.repartition(n, key)
+    rows.write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(name)
+    return Bucketed(spark.table(name), name, path)
+
+
 def ranked(df: DataFrame, *by: str, name: str = "rank") -> DataFrame:
     """`df` with the place of each row, from 0, in the order of `by`.
 

@@ -3,14 +3,17 @@
 For a pair (a, b), a < b, E(v) counts the entries that reach v from the partner part and
 D(v) = 2 E(v) - deg(v). The gain of a pair (x in a, y in b) is D(x) + D(y), less 2 if y is a neighbour
 of x. Gains do not change inside a pair of parts (`static`), so taking the best pair again and again is
-one ordered scan; it runs in one grouped task per pair of parts, over boundary vertices only.
+a matching in a fixed order, which is spread over tasks by rank (see `matching`). Where gains follow the
+exchanges (`dynamic`), each depends on the one before, and a pair of parts is one grouped task over its
+boundary vertices, which `window` bounds. D values come out of counts that are kept up to date while
+vertices move (see `counts`).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heapreplace
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import check_parts
-from .metrics import degree, edge_cut, placed
-from .rank import remove, saved, table
+from . import counts
+from .matching import greedy_pairs
+from .metrics import degree, placed
+from .rank import Bucketed, bucketed, ranked, saved
 
 MODES = ("none", "static", "dynamic")
 
@@ -91,86 +96,102 @@ def pair_gains(edges: DataFrame, assignment: DataFrame, a: int, b: int, limit: i
     return gains.orderBy(F.desc("gain"), "x", "y").limit(limit)
 
 
-def greedy(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]]) -> Iterator[tuple[int, int, int]]:
-    """Repeatedly the best free pair of positive gain: (x, y, gain); ties go to the smallest x, then y.
-
-    The y's are in order of D; the best for an x is the first that is no neighbour, or a neighbour before it.
-    A pair only gets worse as y's are taken, so the best of each x waits in a heap and is sought again
-    once it is on top and its y is gone.
-    """
-    ys = sorted(dy, key=lambda y: (-dy[y], y))
-    place = {y: i for i, y in enumerate(ys)}
-    after = list(range(len(ys) + 1))
-
-    def free(i: int) -> int:
-        while after[i] != i:
-            after[i] = after[after[i]]
-            i = after[i]
-        return i
-
-    def best(x: int) -> tuple[int, int, int] | None:
-        mine, found, i = near.get(x, ()), None, free(0)
-        while i < len(ys):
-            y = ys[i]
-            adjacent = y in mine
-            one = (-dx[x] - dy[y] + 2 * adjacent, x, y)
-            found = one if found is None else min(found, one)
-            if not adjacent or -dx[x] - dy[y] > found[0]:
+class Side:
+    """The free vertices of one side by D: for each value their ids in order, and a moving list of values, largest first."""
+
+    def __init__(self, d: dict[int, int]):
+        self.d, self.ids = dict(d), defaultdict(list)
+        for v in sorted(d):
+            self.ids[d[v]].append(v)
+        self.values = sorted(self.ids)
+
+    def take(self, v: int) -> None:
+        value = self.d.pop(v)
+        ids = self.ids[value]
+        del ids[bisect_left(ids, v)]
+        if not ids:
+            del self.ids[value], self.values[bisect_left(self.values, value)]
+
+    def change(self, v: int, by: int) -> None:
+        value = self.d[v] + by
+        self.take(v)
+        self.d[v] = value
+        if value not in self.ids:
+            insort(self.values, value)
+        insort(self.ids[value], v)
+
+
+def best_pair(xs: Side, ys: Side, near: dict[int, set[int]]) -> tuple[int, int, int] | None:
+    """(loss, x, y) of the best free pair: the largest gain, then the smallest x, then y. Only the vertices of the largest values are looked at, and further ones as far as neighbours are passed over."""
+    found = None
+    top = ys.values[-1] if ys.values else 0
+    for value in reversed(xs.values if ys.values else []):
+        if found is not None and -value - top > found[0]:
+            break
+        for x in xs.ids[value]:
+            if found is not None and (-value - top, x) > found[:2]:
                 break
-            i = free(i + 1)
-        return found if found is not None and found[0] < 0 else None
-
-    heap = [p for x in dx if (p := best(x)) is not None]
-    heapify(heap)
-    while heap:
-        loss, x, y = heap[0]
-        if after[place[y]] == place[y]:
-            heappop(heap)
-            after[place[y]] += 1
-            yield x, y, -loss
-        elif (p := best(x)) is not None:
-            heapreplace(heap, p)
-        else:
-            heappop(heap)
+            mine, done = near.get(x, ()), False
+            for other in reversed(ys.values):
+                if done or found is not None and -value - other > found[0]:
+                    break
+                for y in ys.ids[other]:
+                    adjacent = y in mine
+                    one = (-value - other + 2 * adjacent, x, y)
+                    found = one if found is None or one < found else found
+                    if not adjacent:
+                        done = True
+                        break
+    return found if found is not None and found[0] < 0 else None
 
 
 def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]], weight: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
-    """Like `greedy`, but after an exchange D changes by 2 for each entry between a vertex and the two that moved.
+    """Repeatedly the best free pair of positive gain, (x, y, gain); after an exchange D changes by 2 for each entry between a vertex and the two that moved.
 
-    `weight` counts entries (u, v) between boundary vertices of the two parts.
+    `weight` counts entries (u, v) between boundary vertices of the two parts. Vertices wait in buckets of
+    equal D, and an exchange only moves the neighbours of the two.
     """
-    dx, dy, out = dict(dx), dict(dy), []
-    linked: dict[int, set[int]] = defaultdict(set)
-    for u, v in weight:
-        linked[u].add(v)
-    while dx and dy:
-        found = next(greedy(dx, dy, near), None)
-        if found is None:
-            break
-        x, y, gain = found
-        del dx[x], dy[y]
-        for side, same, other in ((dx, x, y), (dy, y, x)):
+    xs, ys, out = Side(dx), Side(dy), []
+    linked: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (u, v), n in weight.items():
+        linked[u].append((v, n))
+    while (found := best_pair(xs, ys, near)) is not None:
+        loss, x, y = found
+        xs.take(x)
+        ys.take(y)
+        for side, same, other in ((xs, x, y), (ys, y, x)):
+            changes: dict[int, int] = defaultdict(int)
             for u, sign in ((same, 2), (other, -2)):
-                for v in linked[u] & side.keys():
-                    side[v] += sign * weight[u, v]
-        out.append((x, y, gain))
+                for v, n in linked[u]:
+                    if v in side.d:
+                        changes[v] += sign * n
+            for v, by in changes.items():
+                if by:
+                    side.change(v, by)
+        out.append((x, y, -loss))
     return out
 
 
-def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None) -> DataFrame:
-    """Exchanges of disjoint pairs of parts: (a, b, step, x, y, gain). `window` keeps the first ids of each side only."""
-    d = saved(d_values(edges, assignment, pairs, kind, degrees))
+def _first_ids(d: DataFrame, window: int) -> DataFrame:
+    """The first `window` vertices of each side of each pair of parts, by id."""
+    rows = ranked(d, "a", "b", "part", "v", name="at")
+    first = rows.groupBy("a", "b", "part").agg(F.min("at").alias("start"))
+    return rows.join(F.broadcast(first), ["a", "b", "part"]).where(F.col("at") - F.col("start") < window).drop("at", "start")  # two rows for each pair
+
+
+def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None) -> DataFrame:
+    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well."""
+    d = saved(d)
     if window is not None:
-        d = saved(d.withColumn("rank", F.row_number().over(W.partitionBy("a", "b", "part").orderBy("v"))).where(F.col("rank") <= window).drop("rank"))
+        d = saved(_first_ids(d, window))
     if mode == "static":
         # A vertex whose D with the partner's largest gives no gain is in no exchange.
         top = d.groupBy("a", "b", "part").agg(F.max("d").alias("most")).withColumn("part", F.when(F.col("part") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        d = d.join(F.broadcast(top), ["a", "b", "part"]).where("d + most > 0").drop("most")
+        return greedy_pairs(d.join(F.broadcast(top), ["a", "b", "part"]).where("d + most > 0").drop("most"), edges)  # two rows for each pair
     ends = d.select("a", "b", "v", "part")
     left = ends.select("a", "b", F.col("v").alias("src"), F.col("part").alias("ps"))
     right = ends.select("a", "b", F.col("v").alias("dst"), F.col("part").alias("pd"))
-    links = edges.join(left, "src").join(right, ["a", "b", "dst"])
-    links = (links.where("ps = a and pd = b") if mode == "static" else links).groupBy("a", "b", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    links = edges.join(left, "src").join(right, ["a", "b", "dst"]).groupBy("a", "b", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
     rows = d.select("a", "b", "v", "part", "d", F.lit(None).cast("long").alias("w")).unionAll(links.select("a", "b", F.col("src"), F.lit(-1), F.col("n"), F.col("dst")))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,44 +204,72 @@ def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]],
             weight[u, w] = n
             if u in dx and w in dy:
                 near[u].add(w)
-        found = list(greedy(dx, dy, near)) if mode == "static" else greedy_dynamic(dx, dy, near, weight)
+        found = greedy_dynamic(dx, dy, near, weight)
         return pd.DataFrame([(a, b, i, x, y, g) for i, (x, y, g) in enumerate(found)], columns=["a", "b", "step", "x", "y", "gain"])
 
     return rows.groupBy("a", "b").applyInPandas(match, "a int, b int, step int, x long, y long, gain long")
 
 
+def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None) -> DataFrame:
+    """Exchanges of disjoint pairs of parts in their order: (a, b, step, x, y, gain). `window` keeps the first ids of each side only."""
+    found = exchanges(d_values(edges, assignment, pairs, kind, degrees), edges, mode, window)
+    if mode != "static":
+        return found
+    # Gains only fall, so the order of the exchanges is that of their gains.
+    rows = ranked(found.select("a", "b", (-F.col("gain")).alias("loss"), "x", "y"), "a", "b", "loss", "x", "y", name="at")
+    first = rows.groupBy("a", "b").agg(F.min("at").alias("start"))
+    return rows.join(F.broadcast(first), ["a", "b"]).select("a", "b", (F.col("at") - F.col("start")).cast("int").alias("step"), "x", "y", (-F.col("loss")).alias("gain"))  # a row for each pair
+
+
 def apply_swaps(assignment: DataFrame, found: DataFrame) -> DataFrame:
     """The assignment after x moved to b and y to a."""
     moved = found.select(F.explode(F.array(F.struct(F.col("x").alias("v"), F.col("b").alias("new")), F.struct(F.col("y").alias("v"), F.col("a").alias("new")))).alias("m")).select("m.*")
     return assignment.join(moved, "v", "left").select("v", F.coalesce("new", "part").cast("int").alias("part"))
 
 
-def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always") -> DataFrame:
-    """The assignment after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
+def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always") -> Bucketed:
+    """The state (see `counts`) after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
 
-    Modes: `none` leaves it alone, `static` keeps gains while a pair is refined, `dynamic` updates them.
-    `accept='improve'` drops a step after which the cut is not smaller. Each step is kept as a table,
-    so that the plan does not grow with the number of pairs, and goes once the next one is there.
+    Each step is kept as a table, so that the plan does not grow with the number of pairs, and goes once
+    the next one is there.
     """
     check_parts(k)
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    if mode == "none":
-        return assignment
+    if kind not in ("all", "pair"):
+        raise ValueError("kind must be 'all' or 'pair'")
     steps = disjoint_rounds(k) if schedule == "rounds" else [[(a, b)] for a in range(k) for b in range(a + 1, k)]
-    cut = edge_cut(edges, assignment).first()["cut_entries"] if accept == "improve" else None
-    spark, before = edges.sparkSession, None
-    degrees = saved(degree(edges))
+    state = counts.count_entries(edges, assignment)
+    if mode == "none":
+        return state
+    links = bucketed(edges.select("src", "dst"), "src")
+    cut = counts.cut_entries(state.rows).first()["cut_entries"] if accept == "improve" else None
     for pairs in steps:
-        path = table(spark)
-        after = saved(apply_swaps(assignment, swaps(edges, assignment, pairs, mode, window, kind, degrees)), path)
+        found = exchanges(counts.d_values(state.rows, pairs, kind), links.rows, mode, window)
+        one = lambda v, old, new: F.struct(F.col(v).alias("v"), F.col(old).alias("old"), F.col(new).alias("new"))
+        moved = saved(found.select(F.explode(F.array(one("x", "a", "b"), one("y", "b", "a"))).alias("m")).select("m.*"))
+        if moved.isEmpty():
+            continue
+        after = counts.move(state, links, moved)
         if accept == "improve":
-            now = edge_cut(edges, after).first()["cut_entries"]
+            now = counts.cut_entries(after.rows).first()["cut_entries"]
             if now >= cut:
-                remove(spark, path)
+                after.drop()
                 continue
             cut = now
-        if before is not None:
-            remove(spark, before)
-        assignment, before = after, path
-    return assignment
+        state.drop()
+        state = after
+    links.drop()
+    return state
+
+
+def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always") -> DataFrame:
+    """The assignment after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
+
+    Modes: `none` leaves it alone, `static` keeps gains while a pair is refined, `dynamic` updates them.
+    `accept='improve'` drops a step after which the cut is not smaller.
+    """
+    if mode == "none":
+        check_parts(k)
+        return assignment
+    return refined_state(edges, assignment, k, mode, schedule, window, kind, accept).rows.select("v", "part")

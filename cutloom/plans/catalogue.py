@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import assign, coarsen, iterate, metrics, rank, refine, relabel, store
+from ..operators import assign, coarsen, counts, iterate, metrics, rank, refine, relabel, store
 from ..sources import sinks, text
 from .fixtures import G1_SQL, G2_SQL, G3_SQL, GM_SQL, g1, g2, g3, gm
 
@@ -289,6 +289,26 @@ def refined_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair")
 
 
+@_query(
+    f"""{_IN_ROUNDS.rsplit(" SELECT ", 1)[0]}, fe AS (SELECT g.src, g.dst, x.part AS ps, y.part AS pd FROM g JOIN s3 x ON x.v = g.src JOIN s3 y ON y.v = g.dst),
+n AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src)
+SELECT fe.dst AS v, fe.pd AS part, n.deg, count(*) FILTER (ps <> pd) AS ext, 2 * count(*) FILTER (ps <> pd) - n.deg AS d, count(*) FILTER (ps = pd) AS own FROM fe JOIN n ON n.v = fe.dst WHERE pd < 2 AND ps < 2 GROUP BY fe.dst, fe.pd, n.deg HAVING count(*) FILTER (ps <> pd) > 0"""
+)
+def maintained_d_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E, D and inner entries of the boundary between parts 0 and 1 after three rounds of exchanges, as they were kept up to date."""
+    edges = rank.saved(g2(spark, sf_dir))
+    state = refine.refined_state(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair").rows
+    own = state.select(F.col("v").alias("u"), counts.entries_from(F.col("part")).alias("own"))
+    return counts.d_values(state, [(0, 1)]).join(own, F.col("v") == F.col("u")).select("v", "part", "deg", "ext", "d", "own")
+
+
+@_query(f"{_IN_ROUNDS.rsplit(' SELECT ', 1)[0]} SELECT count(*) AS cut_entries, count(*) // 2 AS edge_cut FROM g JOIN s3 p ON p.v = g.src JOIN s3 q ON q.v = g.dst WHERE p.part <> q.part")
+def maintained_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut after three rounds of exchanges, from the counts that were kept up to date."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return counts.cut_entries(refine.refined_state(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair").rows)
+
+
 def _rounds_sql(k: int) -> str:
     """SQL of all rounds of disjoint pairs of k parts."""
     rounds = refine.disjoint_rounds(k)

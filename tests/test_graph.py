@@ -115,15 +115,32 @@ def plain_greedy(dx, dy, near):
         del dx[best[1]], dy[best[2]]
 
 
-@pytest.mark.parametrize("seed", range(25))
-def test_greedy_matches_plain_search(seed):
+def plain_dynamic(dx, dy, near, weight):
+    """`plain_greedy`, one exchange at a time, with D recounted after each."""
+    out, dx, dy = [], dict(dx), dict(dy)
+    while (found := plain_greedy(dx, dy, near)[:1]):
+        x, y, gain = found[0]
+        del dx[x], dy[y]
+        for side, same, other in ((dx, x, y), (dy, y, x)):
+            for v in side:
+                side[v] += 2 * weight.get((same, v), 0) - 2 * weight.get((other, v), 0)
+        out.append((x, y, gain))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_buckets_of_gains_match_plain_search(seed):
     r = random.Random(seed)
     dx = {v: r.randint(-3, 4) for v in range(r.randint(0, 14))}
     dy = {100 + v: r.randint(-3, 4) for v in range(r.randint(0, 14))}
+    ids = [*dx, *dy]
+    weight = {(u, v): r.randint(1, 3) for u in ids for v in ids if u != v and r.random() < r.choice([0.1, 0.5, 0.9])}
     near = defaultdict(set)
-    for x in dx:
-        near[x] = {y for y in dy if r.random() < r.choice([0.2, 0.9])}
-    assert list(refine.greedy(dx, dy, near)) == plain_greedy(dx, dy, near)
+    for x, y in weight:
+        if x in dx and y in dy:
+            near[x].add(y)
+    assert refine.greedy_dynamic(dx, dy, near, weight) == plain_dynamic(dx, dy, near, weight)
+    assert refine.greedy_dynamic(dx, dy, near, {}) == plain_greedy(dx, dy, near)
 
 
 def test_dynamic_keeps_sizes_and_improves(metis):
