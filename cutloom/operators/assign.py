@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import check_parts
+from .rank import saved
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -28,11 +30,24 @@ def range_assign(ids: DataFrame, k: int, n_vertices: int) -> DataFrame:
 
 
 def bounds_assign(ids: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The part whose half-open interval [lower, upper) holds the id; ids beyond the last bound have none.
+    """The part whose half-open interval [lower, upper) holds the id; ids in no interval have none.
 
-    `bounds` has one row per part, so it is small enough to send everywhere.
+    The intervals do not overlap; there may be any number. Ids and lower bounds are dealt by range
+    together, and an id's interval is the last one before it: in its task, or in a task before, of which
+    there is a row each.
     """
-    return ids.join(F.broadcast(bounds), (F.col("v") >= F.col("lower")) & (F.col("v") < F.col("upper"))).select("v", F.col("part").cast("int").alias("part"))
+    none = F.lit(None).cast("struct<upper:bigint,part:int>")
+    here = ids.select(F.col("v").alias("at"), F.lit(1).alias("kind"), none.alias("own"))
+    marks = bounds.select(F.col("lower").cast("long"), F.lit(0), F.struct(F.col("upper").cast("long").alias("upper"), F.col("part").cast("int").alias("part")))
+    both = here.unionAll(marks)
+    # Of intervals with one lower bound all but the last are empty.
+    dealt = saved(both.repartitionByRange("at", "kind").sortWithinPartitions("at", "kind", "own").withColumn("id", F.monotonically_increasing_id())).withColumn("task", F.shiftright("id", 33))
+    ends = dealt.where("kind = 0").groupBy("task").agg(F.max_by("own", "id").alias("end"))
+    tasks = dealt.select("task").distinct().join(ends, "task", "left")
+    before = tasks.select("task", F.last("end", ignorenulls=True).over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))  # a row for each task
+    last = F.last("own", ignorenulls=True).over(W.partitionBy("task").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    found = dealt.withColumn("last", last).where("kind = 1").join(F.broadcast(before), "task").select(F.col("at").alias("v"), F.coalesce("last", "carried").alias("x"))
+    return found.where("v < x.upper").select("v", F.col("x.part").alias("part"))
 
 
 #: Hubs beyond this number are marked by a shuffle; up to it they are sent to all tasks.

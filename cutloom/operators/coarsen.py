@@ -51,10 +51,25 @@ def contract_weights(vertex_weights: DataFrame, cmap: DataFrame) -> DataFrame:
     return vertex_weights.join(cmap, "v").groupBy(F.col("cv").alias("v")).agg(F.sum("vwgt").alias("vwgt"))
 
 
-def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4, rank: Callable[[Column, Column, int], Column] | None = None) -> DataFrame:
+def _two_hop(alone: DataFrame, links: DataFrame, order: Column) -> DataFrame:
+    """(v, mate) of unmatched vertices that have a neighbour in common, and of islands, two by two.
+
+    Each vertex goes by its first neighbour, islands by none, and those that go by the same are paired in
+    order of their ids. They are ranked by range, as a star's centre may have any number of them.
+    """
+    first = links.join(alone.select(F.col("v").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("v")).agg(F.min_by("dst", F.struct(order, F.col("dst"))).alias("centre"))
+    rows = ranked(alone.join(first, "v", "left").select("v", F.coalesce("centre", F.lit(-1)).alias("centre")), "centre", "v", name="at")
+    starts = rows.groupBy("centre").agg(F.min("at").alias("start"))
+    pairs = rows.join(starts, "centre").groupBy("centre", F.floor((F.col("at") - F.col("start")) / 2).alias("pair")).agg(F.min("v").alias("u"), F.max("v").alias("w")).where("u <> w")
+    return pairs.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("w").alias("mate")), F.struct(F.col("w").alias("v"), F.col("u").alias("mate")))).alias("m")).select("m.*")
+
+
+def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4, rank: Callable[[Column, Column, int], Column] | None = None, two_hop: bool = False) -> DataFrame:
     """(v, mate): each round, vertices that name each other as their first free neighbour by a seeded hash are matched.
 
     `rank` replaces the hash: it gives the rank of a link out of its smaller and larger end and the round.
+    `two_hop` then pairs those that are left over a neighbour in common, and islands, so that at most one
+    vertex for each such neighbour stays alone.
     """
     both = saved(edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct())
     matched = None
@@ -70,6 +85,11 @@ def random_matching(edges: DataFrame, seed: int = 1, rounds: int = 4, rank: Call
         back = first.select(F.col("src").alias("mate"), F.col("mate").alias("src"))
         pairs = first.join(back, ["src", "mate"]).select(F.col("src").alias("v"), "mate")
         matched = saved(pairs if matched is None else matched.unionAll(pairs))
+    if two_hop:
+        ends = F.least("src", "dst"), F.greatest("src", "dst")
+        order = F.xxhash64(*ends, F.lit(seed + rounds)) if rank is None else rank(*ends, rounds)
+        left = vertices(edges) if matched is None else vertices(edges).join(matched, "v", "left_anti")
+        matched = saved(_two_hop(saved(left), both, order) if matched is None else matched.unionAll(_two_hop(saved(left), both, order)))
     alone = vertices(edges).join(matched, "v", "left")
     return alone.select("v", F.coalesce("mate", "v").alias("mate"))
 
@@ -83,7 +103,7 @@ def coarsen(edges: DataFrame, to: int, fraction: float = 0.85, seed: int = 1) ->
     fine, weights, levels = saved(weighted(edges)), unit_weights(edges), []
     n = weights.count()
     while True:
-        cmap = saved(number(random_matching(fine, seed + len(levels))))
+        cmap = saved(number(random_matching(fine, seed + len(levels), two_hop=True)))
         fine, weights = saved(contract(fine, cmap)), saved(contract_weights(weights, cmap))
         levels.append((fine, weights, cmap))
         before, n = n, weights.count()

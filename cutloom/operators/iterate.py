@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components as star_contraction
 from .metrics import degree
-from .rank import remove, saved, table
+from .rank import bucketed, saved
 
 
 def activate_neighbours(edges: DataFrame, active: DataFrame) -> DataFrame:
@@ -32,30 +35,88 @@ def neighbour_sum(edges: DataFrame, state: DataFrame, value: str = "value") -> D
     return neighbour_states(edges, state).groupBy(F.col("src").alias("v")).agg(F.sum(value).alias("total"))
 
 
-def superstep(edges: DataFrame, state: DataFrame, active: DataFrame, message: Column, combine: Callable[[str], Column], update: Column) -> DataFrame:
-    """One step: active vertices send `message` (over their state) along entries, `combine("message")` joins
-    what arrives, and `update` (over the state and `message`) gives the new value. Returns (v, value, changed).
+def superstep(edges: DataFrame, state: DataFrame, message: Column, combine: Callable[[str], Column], update: Column) -> DataFrame:
+    """One step over the state (v, value, changed): changed vertices send `message` (over their state) along entries,
+    `combine("message")` joins what arrives, and `update` (over the state and `message`) gives the new value. Returns the new state.
+
+    With entries in buckets of src and the state in buckets of v, only messages are shuffled.
     """
-    sent = edges.join(active.select(F.col("v").alias("src")), "src", "left_semi").join(state.withColumnRenamed("v", "src"), "src")
-    arrived = sent.select(F.col("dst").alias("v"), message.alias("message")).groupBy("v").agg(combine("message").alias("message"))
+    senders = state.where("changed").select(F.col("v").alias("src"), "value")
+    arrived = edges.join(senders, "src").select(F.col("dst").alias("v"), message.alias("message")).groupBy("v").agg(combine("message").alias("message"))
     rows = state.join(arrived, "v", "left").withColumn("new", F.when(F.col("message").isNull(), F.col("value")).otherwise(update))
     return rows.select("v", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("changed"))
 
 
 def iterate(edges: DataFrame, state: DataFrame, message: Column, combine: Callable[[str], Column], update: Column, active: DataFrame | None = None, max_iter: int | None = None) -> tuple[DataFrame, int]:
     """Supersteps until no vertex changes or `max_iter`; without `active` all vertices start. Returns the state and the steps."""
-    spark, before = edges.sparkSession, None
-    active, steps = state.select("v") if active is None else active, 0
+    if active is None:
+        rows = state.select("v", "value", F.lit(True).alias("changed"))
+    else:
+        rows = state.select("v", "value").join(active.select("v", F.lit(True).alias("changed")), "v", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    links, kept, steps = bucketed(edges, "src"), bucketed(rows, "v"), 0
     while max_iter is None or steps < max_iter:
-        path = table(spark)
-        after = saved(superstep(edges, state, active, message, combine, update), path)
-        if before is not None:
-            remove(spark, before)
-        before = path
-        state, active, steps = after.select("v", "value"), after.where("changed").select("v"), steps + 1
-        if active.isEmpty():
+        after = bucketed(superstep(links.rows, kept.rows, message, combine, update), "v", in_place=True)
+        kept.drop()
+        kept, steps = after, steps + 1
+        if kept.rows.where("changed").isEmpty():
+            break
+    links.drop()
+    return kept.rows.select("v", "value"), steps
+
+
+def shortest_ways(edges: DataFrame, ids: DataFrame, source: int, width: int = 1 << 16, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """(v, way) of the vertices that are reached over entries (src, dst, w) of weights of 0 or more, and the rounds.
+
+    Vertices lie in intervals of `width` ids. In a round every interval that got shorter ways is run to its
+    own fixed point in one task, and then ways cross to other intervals; so there are as many rounds as
+    intervals that the longest shortest way enters, not as it has steps. A task holds an interval's
+    vertices and the entries inside it.
+    """
+    block = lambda c: F.floor(F.col(c) / width).alias("block")
+    inside = bucketed(edges.where(F.floor(F.col("src") / width) == F.floor(F.col("dst") / width)).groupBy("src", "dst").agg(F.min("w").cast("long").alias("w")).select(block("src"), "src", "dst", "w"), "block")
+    across = bucketed(edges.where(F.floor(F.col("src") / width) != F.floor(F.col("dst") / width)).select("src", "dst", F.col("w").cast("long").alias("w")), "src")
+    start = ids.select("v", F.when(F.col("v") == source, F.lit(0)).cast("long").alias("way"), (F.col("v") == source).alias("changed"))
+    kept, rounds = bucketed(start.select(block("v"), "v", "way", "changed"), "block"), 0
+    schema = pa.schema([("block", pa.int64()), ("v", pa.int64()), ("way", pa.int64()), ("changed", pa.bool_())])
+
+    def settle(state: pa.Table, links: pa.Table) -> pa.Table:
+        """Shortest ways inside one interval, from the vertices whose ways are new."""
+        v, way, new = (state.column(c).to_pylist() for c in ("v", "way", "changed"))
+        if not any(new):
+            return state.select(schema.names).cast(schema)
+        place = {x: i for i, x in enumerate(v)}
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for s, d, w in zip(*(links.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
+            if s in place and d in place:
+                out[place[s]].append((place[d], w))
+        heap = [(way[i], i) for i in range(len(v)) if new[i]]
+        heapify(heap)
+        while heap:
+            far, i = heappop(heap)
+            if far > way[i]:
+                continue
+            for j, w in out[i]:
+                if way[j] is None or far + w < way[j]:
+                    way[j], new[j] = far + w, True
+                    heappush(heap, (way[j], j))
+        return pa.table([state.column("block"), state.column("v"), pa.array(way, pa.int64()), pa.array(new, pa.bool_())], schema=schema)
+
+    while max_rounds is None or rounds < max_rounds:
+        settled = kept.rows.groupBy("block").cogroup(inside.rows.groupBy("block")).applyInArrow(settle, "block long, v long, way long, changed boolean").where("block is not null")
+        settled = saved(settled)
+        rounds += 1
+        crossing = across.rows.join(settled.where("changed").select(F.col("v").alias("src"), "way"), "src")
+        arrived = crossing.groupBy(F.col("dst").alias("v")).agg(F.min(F.col("way") + F.col("w")).alias("new"))
+        rows = settled.join(arrived, "v", "left")
+        shorter = F.col("new").isNotNull() & (F.col("way").isNull() | (F.col("new") < F.col("way")))
+        after = bucketed(rows.select("block", "v", F.when(shorter, F.col("new")).otherwise(F.col("way")).alias("way"), shorter.alias("changed")), "block")
+        kept.drop()
+        kept = after
+        if kept.rows.where("changed").isEmpty():
             break
-    return state, steps
+    for t in (inside, across):
+        t.drop()
+    return kept.rows.where("way is not null").select("v", "way"), rounds
 
 
 def bfs_levels(edges: DataFrame, ids: DataFrame, source: int, max_iter: int | None = None) -> DataFrame:

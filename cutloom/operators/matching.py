@@ -148,14 +148,15 @@ _PAIR, _SLIP, _END = range(3)
 
 def _sides(d: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
     """(a, b, side, rank, v, d) in order of d, largest first, and id, and how many each side of each pair has."""
-    rows = ranked(d.select("a", "b", (F.col("part") == F.col("b")).cast("int").alias("side"), (-F.col("d")).alias("low"), "v"), "a", "b", "side", "low", "v", name="at")
-    starts = saved(rows.groupBy("a", "b", "side").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n")))
+    rows = ranked(d.select("a", "b", "side", (-F.col("d")).alias("low"), "v"), "a", "b", "side", "low", "v", name="at")
+    starts = rows.groupBy("a", "b", "side").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n")).collect()  # two rows for each pair of parts
     sizes: dict[tuple[int, int], tuple[int, int]] = {}
-    for s in starts.collect():  # two rows for each pair of parts
+    for s in starts:
         n = [*sizes.get((s["a"], s["b"]), (0, 0))]
         n[s["side"]] = s["n"]
         sizes[s["a"], s["b"]] = tuple(n)
-    rows = rows.join(F.broadcast(starts.drop("n")), ["a", "b", "side"]).select("a", "b", "side", (F.col("at") - F.col("start")).alias("rank"), "v", (-F.col("low")).alias("d"))
+    first = d.sparkSession.createDataFrame([tuple(s)[:4] for s in starts], "a int, b int, side int, start long")
+    rows = rows.join(F.broadcast(first), ["a", "b", "side"]).select("a", "b", "side", (F.col("at") - F.col("start")).alias("rank"), "v", (-F.col("low")).alias("d"))
     return rows, sizes
 
 
@@ -225,16 +226,54 @@ def _chain(size: int, sizes: dict, ends: dict, slips: dict) -> tuple[dict, dict]
     return entered, again
 
 
+def _whole(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The matching of pairs whose sides fit into a block each: they are put in order where they are matched."""
+    both = rows.select("a", "b", "side", F.col("v").alias("i"), F.lit(0).cast("long").alias("j"), "d").unionAll(links.select("a", "b", F.lit(2), F.col("x"), F.col("y"), F.lit(0).cast("long")))
+
+    def go(table: pa.Table) -> pa.Table:
+        a, b = (table.column(c)[0].as_py() for c in ("a", "b"))
+        side, i, j, d = (table.column(c).to_numpy() for c in ("side", "i", "j", "d"))
+        ends = []
+        for s in (0, 1):
+            mine = np.flatnonzero(side == s)
+            mine = mine[np.lexsort((i[mine], -d[mine]))]
+            ends += [i[mine], d[mine]]
+        place = [{v: k for k, v in enumerate(ends[s].tolist())} for s in (0, 2)]
+        near: dict[int, set[int]] = {}
+        for u, v in zip(i[side == 2].tolist(), j[side == 2].tolist(), strict=True):
+            near.setdefault(place[0][u], set()).add(place[1][v])
+        n = max(len(ends[0]), len(ends[2]))
+        pairs, _, _ = walk(*ends, near, 0, n + 1, False, False, n)
+        p = np.concatenate(pairs, axis=1) if pairs else np.zeros((4, 0), np.int64)
+        columns = np.full(p.shape[1], a), np.full(p.shape[1], b), ends[0][p[0]], ends[2][p[1]], p[2]
+        return pa.table([pa.array(c, t.type) for c, t in zip(columns, _PAIRS, strict=True)], schema=_PAIRS)
+
+    return both.groupBy("a", "b").applyInArrow(go, "a int, b int, x long, y long, gain long")
+
+
+_PAIRS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("gain", pa.int64())])
+
+
 def greedy_pairs(d: DataFrame, edges: DataFrame, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
     """(a, b, x, y, gain): the greedy exchanges of every pair of parts (a, b) over its sides in `d` (a, b, v, part, d)."""
     spark = edges.sparkSession
+    d = d.select("a", "b", (F.col("part") == F.col("b")).cast("int").alias("side"), "v", "d")
+    known = d.groupBy("a", "b", "side").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("most")).collect()  # two rows for each pair of parts
+    if not known:
+        return spark.createDataFrame([], "a int, b int, x long, y long, gain long")
+    # A vertex whose d with the other side's largest gives no gain is in no exchange.
+    top = spark.createDataFrame([(k["a"], k["b"], 1 - k["side"], k["most"]) for k in known], "a int, b int, side int, most long")
+    d = d.join(F.broadcast(top), ["a", "b", "side"]).where("d + most > 0").drop("most")
+    left, right = (d.where(f"side = {s}").select("a", "b", F.col("v").alias(v)) for s, v in ((0, "src"), (1, "dst")))
+    if max(k["n"] for k in known) <= block:
+        links = edges.join(left, "src").join(right, ["a", "b", "dst"]).select("a", "b", F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
+        return _whole(d, links)
     rows, sizes = _sides(d)
-    rows = saved(rows)
     sizes = {p: n for p, n in sizes.items() if min(n)}
     if not sizes:
         return spark.createDataFrame([], "a int, b int, x long, y long, gain long")
-    left = rows.where("side = 0").select("a", "b", F.col("v").alias("src"), F.col("rank").alias("i"))
-    right = rows.where("side = 1").select("a", "b", F.col("v").alias("dst"), F.col("rank").alias("j"))
+    rows = saved(rows)
+    left, right = (rows.where(f"side = {s}").select("a", "b", F.col("v").alias(v), F.col("rank").alias(i)) for s, v, i in ((0, "src", "i"), (1, "dst", "j")))
     links = edges.join(left, "src").join(right, ["a", "b", "dst"]).select("a", "b", "i", "j").distinct()
     widest = max(max(n) for n in sizes.values())
     if widest > block:

@@ -179,15 +179,12 @@ def _first_ids(d: DataFrame, window: int) -> DataFrame:
     return rows.join(F.broadcast(first), ["a", "b", "part"]).where(F.col("at") - F.col("start") < window).drop("at", "start")  # two rows for each pair
 
 
-def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None) -> DataFrame:
-    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well."""
-    d = saved(d)
+def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None, block: int | None = None) -> DataFrame:
+    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well. `block` is how many ranks of a boundary one task matches."""
     if window is not None:
-        d = saved(_first_ids(d, window))
+        d = _first_ids(d, window)
     if mode == "static":
-        # A vertex whose D with the partner's largest gives no gain is in no exchange.
-        top = d.groupBy("a", "b", "part").agg(F.max("d").alias("most")).withColumn("part", F.when(F.col("part") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        return greedy_pairs(d.join(F.broadcast(top), ["a", "b", "part"]).where("d + most > 0").drop("most"), edges)  # two rows for each pair
+        return greedy_pairs(d, edges, *([] if block is None else [block, block]))
     ends = d.select("a", "b", "v", "part")
     left = ends.select("a", "b", F.col("v").alias("src"), F.col("part").alias("ps"))
     right = ends.select("a", "b", F.col("v").alias("dst"), F.col("part").alias("pd"))
@@ -210,9 +207,9 @@ def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int
     return rows.groupBy("a", "b").applyInPandas(match, "a int, b int, step int, x long, y long, gain long")
 
 
-def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None) -> DataFrame:
-    """Exchanges of disjoint pairs of parts in their order: (a, b, step, x, y, gain). `window` keeps the first ids of each side only."""
-    found = exchanges(d_values(edges, assignment, pairs, kind, degrees), edges, mode, window)
+def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """Exchanges of disjoint pairs of parts in their order: (a, b, step, x, y, gain). `window` keeps the first ids of each side only; `block` is how many ranks of a boundary one task matches."""
+    found = exchanges(saved(d_values(edges, assignment, pairs, kind, degrees)), edges, mode, window, block)
     if mode != "static":
         return found
     # Gains only fall, so the order of the exchanges is that of their gains.

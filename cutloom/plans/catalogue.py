@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import assign, coarsen, counts, iterate, metrics, rank, refine, relabel, store
+from ..operators import assign, coarsen, counts, iterate, metrics, rank, refine, relabel, store, visit
 from ..sources import sinks, text
 from .fixtures import G1_SQL, G2_SQL, G3_SQL, GM_SQL, g1, g2, g3, gm
 
@@ -59,6 +60,18 @@ def adjacency_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.adjacency(gm(spark, sf_dir), F.sum("dst"))
 
 
+def _sample(dst: np.ndarray) -> np.ndarray:
+    """The three different ids that an arithmetic hash puts first."""
+    ids = np.unique(dst)
+    return ids[np.lexsort((ids, ids * 7919 % 1000003))[:3]]
+
+
+@_query(f"WITH {G3_SQL}, n AS (SELECT DISTINCT src, dst FROM g), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst * 7919 % 1000003, dst) AS k FROM n) SELECT src AS rank, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY k) AS nbrs FROM r WHERE k <= 3 GROUP BY src")
+def adjacency_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A combine function in Python, in two steps: a sample of the neighbours of each source, hubs among them."""
+    return metrics.folded(g3(spark, sf_dir), _sample, 3).select("rank", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
 @_query(f"WITH {GM_SQL} SELECT count(*) - count(DISTINCT src) AS combined_pairs FROM g")
 def combined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.combined_pairs(gm(spark, sf_dir))
@@ -94,6 +107,19 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.hubs(g3(spark, sf_dir))
 
 
+@_query(f"WITH {G3_SQL} SELECT src AS v, count(*) AS deg FROM g GROUP BY src HAVING count(*) * 64 > (SELECT count(*) FROM g)")
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of more than a 64th of all entries, found by counters of bounded number."""
+    return metrics.heavy_hitters(g3(spark, sf_dir), 64)
+
+
+@_query(f"WITH {_assigned(G3_SQL, 8)} SELECT count(*) AS cut_entries, count(*) // 2 AS edge_cut FROM e WHERE ps <> pd")
+def edge_cut_with_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut of a graph of a few hubs, whose entries stay where they are read."""
+    edges = g3(spark, sf_dir)
+    return metrics.edge_cut(edges, assign.hash_assign(edges, 8), metrics.heavy_hitters(edges, 64))
+
+
 @_query(f"WITH {G3_SQL}, n AS (SELECT src, count(*) AS n_entries, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS nbrs FROM g GROUP BY src) SELECT src, n_entries, nbrs, CASE WHEN n_entries >= 1000 THEN 16 ELSE 1 END AS n_buckets FROM n")
 def hub_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scattering a hub's entries fills all buckets and keeps them all; other vertices stay in one."""
@@ -135,6 +161,14 @@ def bounds_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.bounds_assign(assign.vertices(g1(spark, sf_dir)), bounds)
 
 
+@_query("WITH a AS (SELECT DISTINCT l_orderkey * 4 + l_linenumber % 4 AS v FROM lineitem) SELECT a.v, CAST(o_orderkey % 1000 AS INTEGER) AS part FROM a JOIN orders ON a.v >= o_orderkey * 4 AND a.v < o_orderkey * 4 + 3")
+def bounds_assign_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval for each order, with gaps between them, and the lines that fall into one."""
+    bounds = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 1000).alias("part"), (F.col("o_orderkey") * 4).alias("lower"), (F.col("o_orderkey") * 4 + 3).alias("upper"))
+    ids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 4 + F.col("l_linenumber") % 4).alias("v")).distinct()
+    return assign.bounds_assign(ids, bounds)
+
+
 @_query(f"WITH {_assigned(G2_SQL, 4)} SELECT v, CAST(CASE WHEN v < 50 THEN 0 ELSE part END AS INTEGER) AS part FROM a")
 def overlay_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assign.hash_assign(g2(spark, sf_dir), 4)
@@ -245,6 +279,21 @@ def greedy_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.swaps(edges, assign.hash_assign(edges, 2), [(0, 1)]).select("step", "x", "y", "gain")
 
 
+_SPARSE = f"WITH RECURSIVE {_d(G1_SQL, 2)}, " + _GAINS.replace("FROM d WHERE part = 0", "FROM d WHERE part = 0 ORDER BY v LIMIT 200").replace("FROM d WHERE part = 1", "FROM d WHERE part = 1 ORDER BY v LIMIT 200")
+
+
+@_query(f"""{_SPARSE}, r AS MATERIALIZED (SELECT x, y, gain, row_number() OVER (ORDER BY gain DESC, x, y) AS rn FROM c WHERE gain > 0),
+w(step, x, y, gain, ux, uy) AS (
+  (SELECT 0, x, y, gain, [x], [y] FROM r WHERE rn = 1)
+  UNION ALL
+  SELECT w.step + 1, n.x, n.y, n.gain, list_append(w.ux, n.x), list_append(w.uy, n.y)
+  FROM w, LATERAL (SELECT x, y, gain FROM r WHERE NOT list_contains(w.ux, r.x) AND NOT list_contains(w.uy, r.y) ORDER BY rn LIMIT 1) n) SELECT CAST(step AS INTEGER) AS step, x, y, gain FROM w""")
+def greedy_swaps_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges among the first two hundred boundary vertices of each part, matched by tasks of 16 ranks each."""
+    edges = rank.saved(g1(spark, sf_dir))
+    return refine.swaps(edges, assign.hash_assign(edges, 2), [(0, 1)], window=200, block=16).select("step", "x", "y", "gain")
+
+
 _REFINED = f"{_GREEDY}, f AS (SELECT a.v, CAST(CASE WHEN p.x IS NOT NULL THEN 1 WHEN q.y IS NOT NULL THEN 0 ELSE a.part END AS INTEGER) AS part FROM a LEFT JOIN w p ON p.x = a.v LEFT JOIN w q ON q.y = a.v)"
 
 
@@ -612,9 +661,9 @@ def equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.equal_weights(coarsen.weighted(gm(spark, sf_dir)))
 
 
-def _matched_sql(rounds: int = 4) -> str:
+def _matched_sql(rounds: int = 4, graph: str = G2_SQL) -> str:
     """Rounds of mutual first choices by an arithmetic rank of links, as tables m0, m1, …; q is the whole matching."""
-    sql = [G2_SQL, "z0 AS (SELECT src, dst FROM g WHERE src <> dst)"]
+    sql = [graph, "z0 AS (SELECT src, dst FROM g WHERE src <> dst)"]
     for r in range(rounds):
         order = f"(least(src, dst) * 7919 + greatest(src, dst) * 104729 + {r}) % 1000003"
         sql.append(f"c{r} AS (SELECT src, arg_min(dst, {{'o': {order}, 'd': dst}}) AS mate FROM z{r} GROUP BY src)")
@@ -634,6 +683,18 @@ def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.random_matching(rank.saved(g2(spark, sf_dir)), rank=_rank)
 
 
+@_query(
+    f"""WITH {_matched_sql(2, G3_SQL)}, u AS (SELECT q.v FROM q WHERE q.mate = q.v),
+w AS (SELECT u.v, arg_min(z.dst, {{'o': (least(z.src, z.dst) * 7919 + greatest(z.src, z.dst) * 104729 + 2) % 1000003, 'd': z.dst}}) AS centre FROM u JOIN z0 z ON z.src = u.v GROUP BY u.v),
+y AS (SELECT u.v, coalesce(w.centre, -1) AS centre, row_number() OVER (PARTITION BY coalesce(w.centre, -1) ORDER BY u.v) - 1 AS at FROM u LEFT JOIN w ON w.v = u.v),
+k AS (SELECT a.v, b.v AS mate FROM y a JOIN y b ON b.centre = a.centre AND b.at = xor(a.at, 1))
+SELECT q.v, coalesce(k.mate, q.mate) AS mate FROM q LEFT JOIN k ON k.v = q.v"""
+)
+def matching_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds on a graph of a few stars, then those that are left, over the star that they share."""
+    return coarsen.random_matching(rank.saved(g3(spark, sf_dir)), rounds=2, rank=_rank, two_hop=True)
+
+
 @_query(f"WITH {_matched_sql()}, h AS (SELECT v, dense_rank() OVER (ORDER BY least(v, mate)) - 1 AS cv FROM q) SELECT x.cv AS src, y.cv AS dst, count(*) AS w FROM g JOIN h x ON x.v = g.src JOIN h y ON y.v = g.dst WHERE x.cv <> y.cv GROUP BY x.cv, y.cv")
 def coarse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One level of coarsening: matched, numbered and contracted."""
@@ -679,6 +740,40 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate.bfs_levels(edges, assign.vertices(edges), 0)
 
 
+@_query("SELECT o_orderkey AS v, CAST(coalesce(sum(o_custkey % 7) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS way FROM orders")
+def shortest_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways along all orders, each linked to the next, by intervals of orders that are settled in one task each."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 7).alias("w"))
+    rows = rank.saved(rank.ranked(orders, "o_orderkey"))
+    nexts = rows.select(F.col("o_orderkey").alias("dst"), (F.col("rank") - 1).alias("rank"))
+    links = rows.join(nexts, "rank").select(F.col("o_orderkey").alias("src"), "dst", "w")
+    first = rows.where("rank = 0").first()["o_orderkey"]
+    return iterate.shortest_ways(links, rows.select(F.col("o_orderkey").alias("v")), first, width=4096)[0]
+
+
+class _Gaps:
+    """What a part's vertices, their entries and the widest gap between their ids come to."""
+
+    def before_refine(self, part: int) -> list[tuple]:
+        self.last, self.entries, self.gap = None, 0, 0
+        return []
+
+    def refine(self, part: int, rank: int, nbrs: list[int]) -> list[tuple]:
+        self.gap = max(self.gap, 0 if self.last is None else rank - self.last)
+        self.last, self.entries = rank, self.entries + len(nbrs)
+        return []
+
+    def after_refine(self, part: int, n: int) -> list[tuple]:
+        return [(part, n, self.entries, self.gap)]
+
+
+@_query(f"WITH {_assigned(G2_SQL, 4)}, n AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src), l AS (SELECT a.part, n.deg, a.v - lag(a.v) OVER (PARTITION BY a.part ORDER BY a.v) AS gap FROM a JOIN n ON n.v = a.v) SELECT part, count(*) AS n_vertices, CAST(sum(deg) AS BIGINT) AS n_entries, coalesce(max(gap), 0) AS widest_gap FROM l GROUP BY part")
+def visit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hooks of one's own, called for every part and each of its records in order."""
+    edges = g2(spark, sf_dir)
+    return visit.visit_parts(edges, assign.hash_assign(edges, 4), _Gaps, "part int, n_vertices long, n_entries long, widest_gap long")
+
+
 @_query(f"WITH {G1_SQL} SELECT src AS v, sum(dst) AS total FROM g GROUP BY src")
 def neighbour_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = g1(spark, sf_dir)
