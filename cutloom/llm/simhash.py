@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -283,14 +283,54 @@ def _sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return keys, np.bincount(row, minlength=len(n)), h
 
 
-def _n_keys(n: np.ndarray, similarity: float) -> np.ndarray:
-    """How many of its least shingle hashes each set is found by.
+#: How many least shingle hashes of a set are known; its keys are chosen from them.
+_LISTED = 64
+
+
+def _n_keys(n: Column, similarity: float) -> Column:
+    """By how many of its least shingle hashes each set is found.
 
     Sets of that similarity share one of their n - ceil(similarity n) + 1 least hashes. Of the least k
     of their union all are unshared with a chance under (1 - similarity)^k, so k stops at e^-32.
     """
     most = 1 if similarity >= 1 else math.ceil(-32 / math.log(1 - similarity))
-    return np.where(n > 0, np.minimum(most, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1), 0)
+    return F.when(n > 0, F.least(F.lit(most), n - F.ceil(similarity * n - 1e-9) + 1)).otherwise(F.lit(0)).cast("int")
+
+
+def _chosen_keys(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """(node, keys): the hashes at which sets meet. `nodes` has node, n and keys, the `_LISTED` least hashes at most.
+
+    A shingle that is a key of more than `limit` sets is frequent. Sets that are found by one get other
+    keys, as if frequent shingles came last in the order of hashes: every pair then still meets at the
+    first k others, if enough of a set is others. A set of up to `_LISTED` shingles takes as many keys as
+    no pair can avoid in that order. For a larger one the share r of others among its listed hashes,
+    less 0.1, stands for their share in the set; sets of similarity s differ in (1 - s) n of its shingles
+    and (1 - s)^2 / s n of the other's at most, so they share a part f of their others, and k is taken so
+    that (1 - f)^k is under e^-32. Where the list does not hold so many others, two thirds of the set or
+    less are others; such a set keeps its frequent keys, and takes all others.
+    """
+    first = nodes.select("node", F.explode(F.slice("keys", 1, _n_keys(F.col("n"), similarity))).alias("key"))
+    frequent = checkpointed(first.groupBy("key").agg(F.count(F.lit(1)).alias("load")).where(F.col("load") > limit).select("key"))
+    plain = nodes.select("node", "n", F.slice("keys", 1, _n_keys(F.col("n"), similarity)).alias("keys"), F.col("keys").alias("listed"))
+    if frequent.isEmpty():
+        return plain.select("node", "keys")
+    # The rows of a frequent key meet it in 64 places.
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+
+    def marked(rows: DataFrame, how: str) -> DataFrame:
+        return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(64)).cast("int")).join(salted.withColumn("often", F.lit(True)) if how == "left" else salted, ["key", "salt"], how).drop("salt")
+
+    hit = checkpointed(marked(first, "left_semi").select("node").distinct())
+    listed = marked(plain.join(hit, "node", "left_semi").select("node", F.posexplode("listed").alias("at", "key")), "left")
+    lists = listed.groupBy("node").agg(*[F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("at", "key")))), lambda x: x["key"]).alias(name) for name, c in (("others", F.col("often").isNull()), ("common", F.col("often")))])  # _LISTED each at most
+    n_others, least = F.size("others"), 1 - similarity
+    share = n_others / F.lit(_LISTED) - 0.1
+    f = (share - least) / (share + least**2 / similarity)
+    need = F.when(share > least, F.ceil(-32 / F.log(1 - f))).otherwise(F.lit(_LISTED + 1)).cast("int")
+    of_small = F.slice(F.concat("others", "common"), 1, F.size("keys"))
+    of_large = F.when(need <= n_others, F.slice("others", 1, F.greatest(need, F.lit(1)))).otherwise(F.array_union("keys", "others"))
+    new = F.when(F.col("n") <= _LISTED, of_small).otherwise(of_large)
+    return plain.join(lists, "node", "left").select("node", F.when(F.col("others").isNull(), F.col("keys")).otherwise(new).alias("keys"))
 
 
 def _apart_limit(n: int, similarity: float) -> float:
@@ -433,7 +473,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     text_key and group_id tell apart the texts of a repeated doc_id and the groups of one name. Near copies are texts whose sets of distinct shingles of `words` words have a Jaccard similarity of
     `similarity` or more, and what a chain of such pairs connects. Sets meet by their least shingle
-    hashes; pairs that a 512-bit SimHash of the sets does not rule out by far are gathered in rough
+    hashes, frequent ones left out where others suffice (see `_chosen_keys`); pairs that a 512-bit SimHash of the sets does not rule out by far are gathered in rough
     groups, and within these every pair is decided by the shingles themselves before it may link, so
     nothing is thinned out that is not verified. A pair is missed with a chance of about 1e-10 at most (an estimate over keys and sketch bits).
     Texts with the same words in a row are one text from the start; texts without words only
@@ -448,7 +488,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         for part in slices(batches, "text", 1024, 1 << 20):
             keys, n, h = _sets(part.column("text"), words)
             starts = np.cumsum(n) - n
-            k = _n_keys(n, similarity)
+            k = np.minimum(n, _LISTED)
             at = np.repeat(starts - (np.cumsum(k) - k), k) + np.arange(k.sum())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(h[at].view(np.int64)))
             bits = np.stack([majority(mixed(h, 100 + s), n) for s in range(CHECKS)], axis=1)
@@ -462,12 +502,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     marked = checkpointed(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, node long, n long, keys array<long>, sketch binary"))
     nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    met = _in_cells(nodes.select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
+    keys = checkpointed(_chosen_keys(nodes, similarity, bucket_limit))
+    met = _in_cells(nodes.drop("keys").join(keys, "node").select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
     dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "n", "node")
     joined = components(dealt.mapInArrow(lambda b: _maybe_links(b, similarity), "u long, v long"))
     rough = joined.union(joined.select(F.col("root").alias("node"), "root")).distinct()
     # Rough groups of many sets or shingles are taken apart by the keys at which their sets meet.
-    members = checkpointed(nodes.select("node", "least", "n", "keys").join(rough, "node"))
+    members = checkpointed(nodes.select("node", "least", "n").join(rough, "node").join(keys, "node"))
     large = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all")).where((F.col("sets") > 256) | (F.col("all") > 1 << 20)).select("root", F.lit(True).alias("large"))
     keyed = members.join(large, "root", "left").select("node", "n", F.explode(F.when(F.col("large"), F.col("keys")).otherwise(F.array("root"))).alias("bucket"))
     wanted = members.where("least is not null").select(F.col("least").alias("doc_id")).distinct()

@@ -122,3 +122,32 @@ def test_repeated_ids(spark):
     docs = spark.createDataFrame(rows, SCHEMA).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
     got = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect())
     assert got == [(0, "a0"), (1, "a0"), (2, "b0"), (3, "c0"), (3, "d0"), (4, "e0")]
+
+
+def test_frequent_keys_make_no_square(spark):
+    """100,000 sets that share their least hash, and some of them more: rows stay in proportion, and no pair's meeting is lost."""
+    ids = spark.range(100_000)
+    hashes = F.array_sort(F.array_append(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.xxhash64("id", i)), F.lit(-(2**63)).cast("long")))
+    nodes = ids.select(F.col("id").alias("node"), F.lit(300).cast("long").alias("n"), hashes.alias("keys"))
+    keys = simhash._chosen_keys(nodes, 0.8, 2048).cache()
+    met = simhash._in_cells(keys.select("node", F.explode("keys").alias("bucket")), 2048)
+    assert keys.where(F.array_contains("keys", F.lit(-(2**63)).cast("long"))).count() == 0
+    assert 20 * 100_000 <= met.count() <= 28 * 100_000
+    keys.unpersist()
+
+
+@pytest.mark.parametrize("limit", [5, 40])
+def test_copies_among_texts_of_one_passage(spark, limit):
+    """Texts that are a shared passage for a tenth, a half, or nearly all of them, each with a near copy."""
+    r = random.Random(limit)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [r.choice(vocabulary) for _ in range(100)]
+    texts = []
+    for own in (900, 400, 200, 100, 60, 30, 20, 8):
+        for _ in range(12):
+            w = [r.choice(vocabulary) for _ in range(own)]
+            w = w[: own // 2] + passage + w[own // 2 :]
+            texts += [" ".join(w), " ".join(changed(r, w, max(1, len(w) // 60), vocabulary))]
+    want = jaccard_groups(texts)
+    assert 60 < len(set(want)) < 140
+    assert found_groups(spark, texts, bucket_limit=limit) == want
