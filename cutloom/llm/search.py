@@ -17,7 +17,8 @@ read only in blocks that hold a pivot, found by the directory, and the impacts o
 out by document, only at the pivots themselves; after each group the pivots are chosen again. The few
 that may be among the best are scored anew from their own terms, in an order that is the same in every
 shard (block-max WAND, Ding and Suel, 2011, with document-aligned blocks and all cursors of a shard moved
-together).
+together). Postings are decoded as they are read: those of the directory's entries that hold a pivot, the
+rare lists, and the lists of frequent terms once for all queries that are sent together.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import arrow, checkpointed, slices
 from .decontaminate import tokens
 
-BLOCK = 64
+BLOCK = 8
 #: Lists of at most these shares of the documents are read whole, or by blocks; more frequent terms go in groups by document.
-WHOLE, BLOCKS, GROUP = 1 / 64, 1 / 8, 8
+WHOLE, BLOCKS, GROUP = 1 / 64, 1 / 8, 4
 K1, B = 1.2, 0.75
 #: Terms whose frequencies travel together.
 _PART = 1 << 15
@@ -119,34 +120,37 @@ def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_sha
 
 
 class Shard:
-    """One shard under global statistics. `read` counts the impacts that queries have looked at."""
+    """One shard under global statistics. Nothing is decoded before a query needs it; `read` counts the postings and impacts that queries have looked at."""
 
     def __init__(self, row: dict, mean_length: float):
         a = {k: np.frombuffer(row[k], t) for k, t in _ARRAYS}
         self.ids, self.terms = a["doc_ids"], a["terms"]
         self.n_docs, self.n_blocks = len(self.ids), -(-len(self.ids) // BLOCK)
-        norm = K1 * (1 - B + B * a["lengths"] / max(mean_length, 1e-9))
+        self.norm = K1 * (1 - B + B * a["lengths"] / max(mean_length, 1e-9))
         self.dir_size = a["dir_sizes"].astype(np.int64)
         self.dir_start = np.cumsum(self.dir_size) - self.dir_size
         self.block, self.n = a["dir_block"], a["dir_n"].astype(np.int32)
         self.start = np.cumsum(self.n, dtype=np.int64) - self.n
         self.df = np.add.reduceat(self.n, self.dir_start, dtype=np.int64) if len(self.terms) else self.dir_size
-        least = np.minimum.reduceat(norm, np.arange(0, self.n_docs, BLOCK)) if self.n_docs else norm
+        #: Terms and blocks of the directory, in order.
+        self.places = np.repeat(np.arange(len(self.terms)) * max(1, self.n_blocks), self.dir_size) + self.block
+        least = np.minimum.reduceat(self.norm, np.arange(0, self.n_docs, BLOCK)) if self.n_docs else self.norm
         most = a["dir_tf"].astype(np.float64)
         self.most = most * (K1 + 1) / (most + least[self.block])
-        self.doc = np.repeat(self.block * np.int32(BLOCK), self.n) + a["low"]
-        tf = a["tf"].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        # The same postings document by document, terms in the order of their hashes.
-        order = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_impact = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)[order], self.impact[order]
-        self.own_size = np.bincount(self.doc, minlength=self.n_docs)
-        self.own_start = np.cumsum(self.own_size) - self.own_size
-        self.weight = np.zeros(len(self.terms))
+        self.low, self.tf = a["low"], a["tf"]
         self.row = np.full(len(self.terms), -1)
         self.dense, self.tops, self.n_rows = np.zeros((0, self.n_docs)), np.zeros((0, self.n_blocks)), 0
         self.read = 0
 
+    def _postings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents and impacts of all postings of directory entries in a row, and how many each entry has."""
+        n = self.n[entries]
+        at = ranges(self.start[entries], n)
+        self.read += len(at)
+        doc = np.repeat(self.block[entries] * np.int64(BLOCK), n) + self.low[at]
+        tf = self.tf[at].astype(np.float64)
+        return doc, tf * (K1 + 1) / (tf + self.norm[doc]), n
+
     def rows(self, terms: np.ndarray) -> np.ndarray:
         """Where `dense` holds the impacts of terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
         new = terms[self.row[terms] < 0]
@@ -159,24 +163,31 @@ class Shard:
             r = self.row[t] = self.n_rows
             self.n_rows += 1
             self.dense[r], self.tops[r] = 0, 0
-            a, b = self.dir_start[t], self.dir_start[t] + self.dir_size[t]
-            self.tops[r, self.block[a:b]] = self.most[a:b]
-            a, b = self.start[a], self.start[b - 1] + self.n[b - 1]
-            self.dense[r, self.doc[a:b]] = self.impact[a:b]
+            entries = np.arange(self.dir_start[t], self.dir_start[t] + self.dir_size[t])
+            self.tops[r, self.block[entries]] = self.most[entries]
+            doc, impact, _ = self._postings(entries)
+            self.dense[r, doc] = impact
         return self.row[terms]
 
-    def _sums(self, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weighted impacts of runs of postings, added up by document."""
-        posting = ranges(starts, sizes)
-        self.read += len(posting)
-        return np.bincount(self.doc[posting], np.repeat(weights, sizes) * self.impact[posting], self.n_docs).astype(np.float64, copy=False)
-
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents by all of their own terms, added up one by one in the same order in every shard."""
-        size = self.own_size[docs]
-        at = ranges(self.own_start[docs], size)
-        self.read += len(at)
-        return np.bincount(np.repeat(np.arange(len(docs)), size), self.weight[self.own_term[at]] * self.own_impact[at], len(docs))
+    def _sums(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted impacts of directory entries, added up by document."""
+        doc, impact, n = self._postings(entries)
+        return np.bincount(doc, np.repeat(weights, n) * impact, self.n_docs).astype(np.float64, copy=False)
+
+    def full(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of documents by all terms, added up one by one in the order of their hashes, which is the same in every shard."""
+        order = np.argsort(terms)
+        terms, weights = terms[order], weights[order]
+        blocks, of = np.unique(docs // BLOCK, return_inverse=True)
+        wanted = (terms[:, None] * max(1, self.n_blocks) + blocks).ravel()
+        at = np.searchsorted(self.places, wanted)
+        hit = np.flatnonzero(self.places[np.minimum(at, len(self.places) - 1)] == wanted)
+        doc, impact, n = self._postings(at[hit])
+        place = np.full(len(blocks) * BLOCK, -1)
+        place[of * BLOCK + docs % BLOCK] = np.arange(len(docs))
+        mine = place[np.repeat(hit % len(blocks), n) * BLOCK + doc % BLOCK]
+        value = np.repeat(weights[hit // len(blocks)], n) * impact
+        return np.bincount(mine[mine >= 0], value[mine >= 0], len(docs)).astype(np.float64, copy=False)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the k best (score, then smaller id), over documents with any of the terms."""
@@ -187,9 +198,7 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0)
         rare_first = np.argsort(self.df[at], kind="stable")
         docs = self._pivots(at[rare_first], weights[rare_first], k) if prune and self.n_docs > 4 * k else np.arange(self.n_docs)
-        self.weight[at] = weights
-        score = self.full(docs)
-        self.weight[at] = 0
+        score = self.full(docs, at, weights)
         docs, score = docs[score > 0], score[score > 0]
         if len(docs) > k:
             stay = score >= np.partition(score, -k)[-k]
@@ -201,7 +210,8 @@ class Shard:
         """Documents that include the k best and all that tie with them; terms come rarest first."""
         df = self.df[at]
         whole, blocks = np.searchsorted(df, [WHOLE * self.n_docs, BLOCKS * self.n_docs], "right").tolist()
-        sums = self._sums(self.start[self.dir_start[at[:whole]]], df[:whole], weights[:whole])
+        size = self.dir_size[at[:whole]]
+        sums = self._sums(ranges(self.dir_start[at[:whole]], size), np.repeat(weights[:whole], size))
         size = self.dir_size[at[whole:blocks]]
         entry, weight = ranges(self.dir_start[at[whole:blocks]], size), np.repeat(weights[whole:blocks], size)
         rows, often = self.rows(at[blocks:]), weights[blocks:]
@@ -230,8 +240,7 @@ class Shard:
             live = np.zeros(self.n_blocks, bool)
             live[of[hope >= least]] = True
             mine = live[block]
-            entry = entry[mine]
-            sums += self._sums(self.start[entry], self.n[entry], weight[mine])
+            sums += self._sums(entry[mine], weight[mine])
             docs = np.flatnonzero(live[of])
         score = sums[docs]
         hope = score + ahead[0][of[docs]]
@@ -283,12 +292,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: i
     total = bags.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-2 * total // bytes_per_block))
     n_docs, n_tokens = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    order = F.desc("score"), "doc_id"
+    # The best of all shards meet in two steps, so that many shards do not make one long window.
+    some, best = W.partitionBy("query_id", "heap").orderBy(*order), W.partitionBy("query_id").orderBy(*order)
     found = None
     for block in range(n_blocks):
         rows = bags.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).select("query_id", "terms", "counts").collect()
         answers, sent = _search_block(spark, index, rows, k, n_docs, n_tokens / max(1, n_docs))
-        part = checkpointed(answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        near = answers.withColumn("heap", F.spark_partition_id() % 64).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
+        part = checkpointed(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"))
         for b in sent:
             b.destroy()
         found = part if found is None else found.union(part)
