@@ -26,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--mode", choices=("none", "static", "dynamic"), default="static")
     a.add_argument("--schedule", choices=("sequence", "rounds"), default="rounds")
     a.add_argument("--window", type=int)
+    a.add_argument("--cursor", action="store_true")
     a.add_argument("--accept", choices=("always", "improve"), default="always")
     a.add_argument("--symmetrize", action="store_true")
     a = sub.add_parser("to-metis", help="edge list to METIS lines")
@@ -49,7 +50,7 @@ def main(args: list[str] | None = None) -> None:
     a = _parser().parse_args(args)
     spark = SparkSession.builder.appName("cutloom").getOrCreate()
     if a.command == "partition":
-        job = PartitionJob(a.path, a.format, a.parts, a.vertices, a.hub_degree, mode=a.mode, schedule=a.schedule, window=a.window, accept=a.accept, output=a.output, symmetrize=a.symmetrize)
+        job = PartitionJob(a.path, a.format, a.parts, a.vertices, a.hub_degree, mode=a.mode, schedule=a.schedule, window=a.window, cursor=a.cursor, accept=a.accept, output=a.output, symmetrize=a.symmetrize)
         job.run(spark).metrics.show(50, False)
     elif a.command == "to-metis":
         edges = text.read_graph(spark, a.path, "edgelist")

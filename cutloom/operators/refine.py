@@ -172,17 +172,17 @@ def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[i
     return out
 
 
-def _first_ids(d: DataFrame, window: int) -> DataFrame:
-    """The first `window` vertices of each side of each pair of parts, by id."""
+def _window(d: DataFrame, size: int, nth: int = 0) -> DataFrame:
+    """The `nth` window of `size` vertices, by id, of each side of each pair of parts; the last window again where there are no more."""
     rows = ranked(d, "a", "b", "part", "v", name="at")
-    first = rows.groupBy("a", "b", "part").agg(F.min("at").alias("start"))
-    return rows.join(F.broadcast(first), ["a", "b", "part"]).where(F.col("at") - F.col("start") < window).drop("at", "start")  # two rows for each pair
+    first = rows.groupBy("a", "b", "part").agg(F.min("at").alias("start"), F.expr(f"least({nth}, (count(1) - 1) div {size})").alias("nth"))
+    return rows.join(F.broadcast(first), ["a", "b", "part"]).where(F.expr(f"(at - start) div {size} = nth")).drop("at", "start", "nth")  # two rows for each pair
 
 
-def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None, block: int | None = None) -> DataFrame:
-    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well. `block` is how many ranks of a boundary one task matches."""
+def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None, block: int | None = None, nth: int = 0) -> DataFrame:
+    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well. `window` takes the `nth` window of so many vertices of each side; `block` is how many ranks of a boundary one task matches."""
     if window is not None:
-        d = _first_ids(d, window)
+        d = _window(d, window, nth)
     if mode == "static":
         return greedy_pairs(d, edges, *([] if block is None else [block, block]))
     ends = d.select("a", "b", "v", "part")
@@ -224,9 +224,11 @@ def apply_swaps(assignment: DataFrame, found: DataFrame) -> DataFrame:
     return assignment.join(moved, "v", "left").select("v", F.coalesce("new", "part").cast("int").alias("part"))
 
 
-def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always") -> Bucketed:
+def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always", cursor: bool = False) -> Bucketed:
     """The state (see `counts`) after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
 
+    With `cursor`, step s takes window s of each boundary and not the first one again.
+
     Each step is kept as a table, so that the plan does not grow with the number of pairs, and goes once
     the next one is there.
     """
@@ -241,8 +243,8 @@ def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "
         return state
     links = bucketed(edges.select("src", "dst"), "src")
     cut = counts.cut_entries(state.rows).first()["cut_entries"] if accept == "improve" else None
-    for pairs in steps:
-        found = exchanges(counts.d_values(state.rows, pairs, kind), links.rows, mode, window)
+    for step, pairs in enumerate(steps):
+        found = exchanges(counts.d_values(state.rows, pairs, kind), links.rows, mode, window, nth=step if cursor else 0)
         one = lambda v, old, new: F.struct(F.col(v).alias("v"), F.col(old).alias("old"), F.col(new).alias("new"))
         moved = saved(found.select(F.explode(F.array(one("x", "a", "b"), one("y", "b", "a"))).alias("m")).select("m.*"))
         if moved.isEmpty():
@@ -260,13 +262,14 @@ def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "
     return state
 
 
-def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always") -> DataFrame:
+def refine(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "static", schedule: str = "sequence", window: int | None = None, kind: str = "all", accept: str = "always", cursor: bool = False) -> DataFrame:
     """The assignment after all pairs of parts were refined, one by one or in rounds of disjoint pairs.
 
     Modes: `none` leaves it alone, `static` keeps gains while a pair is refined, `dynamic` updates them.
-    `accept='improve'` drops a step after which the cut is not smaller.
+    `accept='improve'` drops a step after which the cut is not smaller. `window` bounds each side of a step
+    to so many vertices, the first ones, or with `cursor` those of the step's own window.
     """
     if mode == "none":
         check_parts(k)
         return assignment
-    return refined_state(edges, assignment, k, mode, schedule, window, kind, accept).rows.select("v", "part")
+    return refined_state(edges, assignment, k, mode, schedule, window, kind, accept, cursor).rows.select("v", "part")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +12,7 @@ from ..functions import scalars
 from ..operators import assign, coarsen, counts, iterate, metrics, rank, refine, relabel, store, visit
 from ..sources import sinks, text
 from .fixtures import G1_SQL, G2_SQL, G3_SQL, GM_SQL, g1, g2, g3, gm
+from .job import PartitionJob
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,19 +185,29 @@ def nth_vertex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.nth_vertex(assign.vertices(g2(spark, sf_dir)), 7)
 
 
-@_query("SELECT CAST((row_number() OVER (ORDER BY a.range, b.range)) - 1 AS INTEGER) AS step, CAST(a.range AS INTEGER) AS a, CAST(b.range AS INTEGER) AS b FROM range(8) a JOIN range(8) b ON a.range < b.range")
-def pair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return refine.pair_schedule(spark, 8)
+def _scheduled(spark: SparkSession, sf_dir: str, rounds: bool) -> DataFrame:
+    """The pairs of eight parts of a graph in the order of their steps, with the entries between the two."""
+    edges = g2(spark, sf_dir)
+    between = metrics.cut_matrix(edges, assign.hash_assign(edges, 8)).where("ps < pd").select(F.col("ps").alias("a"), F.col("pd").alias("b"), "n_entries")
+    return refine.pair_schedule(spark, 8, rounds).join(between, ["a", "b"], "left").select("step", "a", "b", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+
 
+_BETWEEN = f"{_assigned(G2_SQL, 8)}, m AS (SELECT ps, pd, count(*) AS n FROM e GROUP BY ps, pd)"
 
-_ROUNDS = """WITH r AS (SELECT CAST(s.range AS INTEGER) AS step, CASE WHEN i.range = 0 THEN 0 ELSE (i.range - 1 - s.range + 14) % 7 + 1 END AS u, (6 - i.range - s.range + 14) % 7 + 1 AS v FROM range(7) s, range(4) i)
-SELECT step, CAST(least(u, v) AS INTEGER) AS a, CAST(greatest(u, v) AS INTEGER) AS b FROM r"""
+
+@_query(f"WITH {_BETWEEN}, sch AS (SELECT CAST((row_number() OVER (ORDER BY a.range, b.range)) - 1 AS INTEGER) AS step, CAST(a.range AS INTEGER) AS a, CAST(b.range AS INTEGER) AS b FROM range(8) a JOIN range(8) b ON a.range < b.range) SELECT step, sch.a, sch.b, coalesce(m.n, 0) AS n_entries FROM sch LEFT JOIN m ON m.ps = sch.a AND m.pd = sch.b")
+def pair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of parts one by one."""
+    return _scheduled(spark, sf_dir, False)
 
 
-@_query(_ROUNDS)
+@_query(
+    f"""WITH {_BETWEEN}, r AS (SELECT CAST(w.range AS INTEGER) AS step, CASE WHEN i.range = 0 THEN 0 ELSE (i.range - 1 - w.range + 14) % 7 + 1 END AS u, (6 - i.range - w.range + 14) % 7 + 1 AS v FROM range(7) w, range(4) i),
+sch AS (SELECT step, CAST(least(u, v) AS INTEGER) AS a, CAST(greatest(u, v) AS INTEGER) AS b FROM r) SELECT step, sch.a, sch.b, coalesce(m.n, 0) AS n_entries FROM sch LEFT JOIN m ON m.ps = sch.a AND m.pd = sch.b"""
+)
 def pair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The circle method: seven rounds of four disjoint pairs of eight parts."""
-    return refine.pair_schedule(spark, 8, rounds=True)
+    return _scheduled(spark, sf_dir, True)
 
 
 # Cuts and boundaries.
@@ -310,14 +320,14 @@ def refined_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.edge_cut(edges, refine.refine(edges, assign.hash_assign(edges, 2), 2))
 
 
-def _chain(name: str, before: str, pairs: list[tuple[int, int]]) -> str:
-    """SQL of one step: the greedy exchanges of disjoint pairs of parts under D = E - I, from assignment `before` to `name`."""
+def _chain(name: str, before: str, pairs: list[tuple[int, int]], window: str = "") -> str:
+    """SQL of one step: the greedy exchanges of disjoint pairs of parts under D = E - I, from assignment `before` to `name`. `window` says which boundary vertices take part."""
     parts = ", ".join(f"({a}, {b})" for a, b in pairs)
     return f"""{name}e AS (SELECT g.src, g.dst, x.part AS ps, y.part AS pd FROM g JOIN {before} x ON x.v = g.src JOIN {before} y ON y.v = g.dst),
 {name}p(a, b) AS (VALUES {parts}),
 {name}i AS (SELECT dst AS v, count(*) AS own FROM {name}e WHERE ps = pd GROUP BY dst),
 {name}x AS (SELECT p.a, p.b, e.dst AS v, e.pd AS part, count(*) AS ext FROM {name}e e JOIN {name}p p ON p.a = least(e.ps, e.pd) AND p.b = greatest(e.ps, e.pd) WHERE e.ps <> e.pd GROUP BY p.a, p.b, e.dst, e.pd),
-{name}d AS (SELECT x.a, x.b, x.v, x.part, x.ext - coalesce(i.own, 0) AS d FROM {name}x x LEFT JOIN {name}i i ON i.v = x.v),
+{name}d AS (SELECT x.a, x.b, x.v, x.part, x.ext - coalesce(i.own, 0) AS d FROM {name}x x LEFT JOIN {name}i i ON i.v = x.v {window}),
 {name}c AS (SELECT l.a, l.b, l.v AS x, r.v AS y, l.d + r.d - CASE WHEN q.src IS NULL THEN 0 ELSE 2 END AS gain FROM {name}d l JOIN {name}d r ON r.a = l.a AND r.b = l.b AND l.part = l.a AND r.part = r.b LEFT JOIN (SELECT DISTINCT src, dst FROM g) q ON q.src = l.v AND q.dst = r.v),
 {name}r AS MATERIALIZED (SELECT a, b, x, y, row_number() OVER (PARTITION BY a, b ORDER BY gain DESC, x, y) AS rn FROM {name}c WHERE gain > 0),
 {name}w(a, b, x, y, ux, uy) AS (
@@ -338,6 +348,17 @@ def refined_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair")
 
 
+def _nth_window(step: int) -> str:
+    return f"QUALIFY (row_number() OVER (PARTITION BY x.a, x.b, x.part ORDER BY x.v) - 1) // 5 = least({step}, (count(*) OVER (PARTITION BY x.a, x.b, x.part) - 1) // 5)"
+
+
+@_query(f"WITH RECURSIVE {_assigned(G2_SQL, 4)}, {_chain('s1', 'a', [(0, 3), (1, 2)], _nth_window(0))}, {_chain('s2', 's1', [(0, 2), (1, 3)], _nth_window(1))}, {_chain('s3', 's2', [(0, 1), (2, 3)], _nth_window(2))} SELECT v, part FROM s3")
+def refined_window_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of exchanges, each over the next window of five boundary vertices."""
+    edges = rank.saved(g2(spark, sf_dir))
+    return refine.refine(edges, assign.hash_assign(edges, 4), 4, schedule="rounds", kind="pair", window=5, cursor=True)
+
+
 @_query(
     f"""{_IN_ROUNDS.rsplit(" SELECT ", 1)[0]}, fe AS (SELECT g.src, g.dst, x.part AS ps, y.part AS pd FROM g JOIN s3 x ON x.v = g.src JOIN s3 y ON y.v = g.dst),
 n AS (SELECT src AS v, count(*) AS deg FROM g GROUP BY src)
@@ -508,7 +529,7 @@ def parse_metis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{rank.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return rank.table(spark)
 
 
 @_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS n, count(*) // 2 AS m FROM g")
@@ -813,7 +834,7 @@ def connected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> store.RecordStore:
     """Customers' orders as versions of one record each: first all, then those of status F again, then keys below 5 deleted."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    box = store.RecordStore(spark, f"{rank.shared_folder(spark)}/records-{uuid.uuid4().hex}")
+    box = store.RecordStore(spark, rank.table(spark))
     box.put(orders.groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").cast("string").alias("value")))
     box.put(orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("key")).agg(F.concat(F.lit("F"), F.max("o_orderkey").cast("string")).alias("value")))
     return box
@@ -857,7 +878,7 @@ def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vertex_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertex states in the store: all are put, neighbours' sums computed, and only the changed ones written back."""
     edges = rank.saved(g2(spark, sf_dir))
-    box = store.RecordStore(spark, f"{rank.shared_folder(spark)}/records-{uuid.uuid4().hex}")
+    box = store.RecordStore(spark, rank.table(spark))
     box.put(assign.vertices(edges).select(F.col("v").alias("key"), F.col("v").alias("value")))
     state = box.scan().select(F.col("key").alias("v"), "value")
     box.put(iterate.neighbour_sum(edges, state).where("v % 2 = 1").select(F.col("v").alias("key"), F.col("total").alias("value")))
@@ -875,6 +896,19 @@ def scalar_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(c.alias("id"), scalars.log2_floor(c).alias("log2"), scalars.num_digits(c).alias("digits"), scalars.zero_padded(c).alias("padded"), scalars.string_hash(F.col("c_name")).alias("hash"), F.least(c, "c_nationkey").alias("low"), F.greatest(c, "c_nationkey").alias("high"))
 
 
+@_query(
+    f"""{_REFINED}, zc AS (SELECT count(*) AS m, count(DISTINCT src) AS n_sources, max(greatest(src, dst)) AS top FROM g), bc AS (SELECT count(*) AS c FROM e WHERE ps <> pd),
+hc AS (SELECT count(*) AS c FROM (SELECT src FROM g GROUP BY src HAVING count(*) >= 1000)), tc AS (SELECT count(*) AS c FROM g JOIN f p ON p.v = g.src JOIN f q ON q.v = g.dst WHERE p.part <> q.part)
+SELECT u.name, CAST(u.value AS DOUBLE) AS value FROM zc, bc, hc, tc, LATERAL (VALUES ('n_entries', m), ('n_edges', m // 2), ('combined_pairs', m - n_sources), ('hub_degree', 1000), ('n_hubs', hc.c), ('batch_size', top // 8 + top % 8),
+  ('cut_entries_before', bc.c), ('edge_cut_before', bc.c // 2), ('cut_entries', tc.c), ('edge_cut', tc.c // 2)) u(name, value)"""
+)
+def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole job over a graph of many files reports, but for its seconds."""
+    path = rank.table(spark)
+    sinks.write_edges(g2(spark, sf_dir), path)
+    return PartitionJob(path, "edgelist", 2, threads=4, output=rank.table(spark)).run(spark).metrics.where("not endswith(name, '_s')")
+
+
 @_query("SELECT event_type AS name, max(value) AS longest, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY event_type")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name"), "value")

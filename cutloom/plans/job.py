@@ -41,6 +41,7 @@ class PartitionJob:
     mode: str = "static"
     schedule: str = "rounds"
     window: int | None = None
+    cursor: bool = False
     accept: str = "always"
     threads: int = 1
     batch: int = 0
@@ -68,7 +69,7 @@ class PartitionJob:
         first = self._timed("assign_s", lambda: saved(assign.hash_assign(edges, self.k, isolated)))
         if self.before_refine is not None:
             self.before_refine(first)
-        final = self._timed("refine_s", lambda: refine.refine(edges, first, self.k, self.mode, self.schedule, self.window, accept=self.accept))
+        final = self._timed("refine_s", lambda: refine.refine(edges, first, self.k, self.mode, self.schedule, self.window, accept=self.accept, cursor=self.cursor))
         if self.after_refine is not None:
             self.after_refine(final)
         if self.output is not None:
