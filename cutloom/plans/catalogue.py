@@ -510,6 +510,20 @@ def parse_edgelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.parse_edgelist(lines).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _comma_lines(lines: DataFrame) -> DataFrame:
+    """Lines `from,to` in the other direction."""
+    w = F.split("value", ",")
+    return lines.select(w[1].cast("long").alias("src"), w[0].cast("long").alias("dst"))
+
+
+@_query(f"WITH {GM_SQL} SELECT dst AS src, src AS dst, count(*) AS n FROM g GROUP BY src, dst")
+def parse_plugin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line parser of one's own in place of the built-in ones."""
+    path = _folder(spark)
+    sinks.write_lines(gm(spark, sf_dir).select(F.concat_ws(",", "src", "dst").alias("line")), path)
+    return text.read_graph(spark, path, "edgelist", parse=_comma_lines).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(f"WITH {GM_SQL} SELECT src, dst, count(*) AS n FROM g GROUP BY src, dst")
 def parse_adjlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     adj = metrics.adjacency(gm(spark, sf_dir))
@@ -761,6 +775,15 @@ def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterate.bfs_levels(edges, assign.vertices(edges), 0)
 
 
+@_query(f"WITH RECURSIVE {G1_SQL}, l(v, level) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT g.dst, l.level + 1 FROM l JOIN g ON g.src = l.v WHERE l.level < 8), m AS (SELECT v, min(level) AS level FROM l GROUP BY v) SELECT max(level) + 1 AS supersteps, count(*) AS n_reached FROM m")
+def superstep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many supersteps a search from one vertex takes until nothing changes."""
+    edges = rank.saved(g1(spark, sf_dir))
+    state = assign.vertices(edges).select("v", F.when(F.col("v") == 0, F.lit(0)).cast("long").alias("value"))
+    out, steps = iterate.iterate(edges, state, F.col("value") + 1, F.min, F.least("value", "message"), state.where("value = 0").select("v"))
+    return out.where("value is not null").agg(F.lit(steps).cast("long").alias("supersteps"), F.count(F.lit(1)).alias("n_reached"))
+
+
 @_query("SELECT o_orderkey AS v, CAST(coalesce(sum(o_custkey % 7) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS way FROM orders")
 def shortest_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways along all orders, each linked to the next, by intervals of orders that are settled in one task each."""
@@ -896,6 +919,15 @@ def scalar_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(c.alias("id"), scalars.log2_floor(c).alias("log2"), scalars.num_digits(c).alias("digits"), scalars.zero_padded(c).alias("padded"), scalars.string_hash(F.col("c_name")).alias("hash"), F.least(c, "c_nationkey").alias("low"), F.greatest(c, "c_nationkey").alias("high"))
 
 
+@_query(f"WITH {G2_SQL} SELECT src, dst, least(src, dst) AS one, CASE WHEN least(src, dst) = src THEN dst ELSE src END AS other, src < dst AS before, src + dst AS total, true AS random_inside FROM g")
+def edge_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The helpers of edges, and random numbers in their range."""
+    u, v = F.col("src"), F.col("dst")
+    one = scalars.edge_either(u, v)
+    drawn = g2(spark, sf_dir).withColumn("r", scalars.random_number(3, 9, 7))
+    return drawn.select("src", "dst", one.alias("one"), scalars.edge_other(u, v, one).alias("other"), (scalars.edge_order(u, v) < scalars.edge_order(v, u)).alias("before"), scalars.plus(u, v).alias("total"), F.col("r").between(3, 8).alias("random_inside"))
+
+
 @_query(
     f"""{_REFINED}, zc AS (SELECT count(*) AS m, count(DISTINCT src) AS n_sources, max(greatest(src, dst)) AS top FROM g), bc AS (SELECT count(*) AS c FROM e WHERE ps <> pd),
 hc AS (SELECT count(*) AS c FROM (SELECT src FROM g GROUP BY src HAVING count(*) >= 1000)), tc AS (SELECT count(*) AS c FROM g JOIN f p ON p.v = g.src JOIN f q ON q.v = g.dst WHERE p.part <> q.part)
