@@ -63,6 +63,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """`rows` joined with `table`, which has one row for each key and in column `n` the number of its rows.
+
+    The keys of more than a thousandth of all rows, a thousand at most, are sent to all tasks, so that the
+    rows of a frequent key stay where they are; only those of the others are shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = F.col(n) > max(total // 1000, 1000)
+    few = F.broadcast(table.where(often).drop(n))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(~often).drop(n), key))
+
+
 def looked_up(values: Iterable[int | None], index: Column) -> Column:
     """Element `index` (from 0) of a bounded driver-side list, as a constant that is folded in the JVM."""
     return F.get(F.from_json(F.lit(json.dumps(list(values))), "array<bigint>"), index)

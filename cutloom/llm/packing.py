@@ -29,8 +29,9 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the offset of each piece. Pieces are taken longest first.
 
-    Moving a sequence from gap g to g - s changes the sum of squares by 2 (N(g-s) - N(g)) + 2, opening
-    one by 2 N(c-s) + 1, and a gap of zero counts for nothing. Ties go to the smallest gap.
+    A sequence is opened only where a piece fits into none, as few sequences are wanted. Among those that
+    it fits into, moving one from gap g to g - s changes the sum of squares by 2 (N(g-s) - N(g)) + 2, and a
+    gap of zero counts for nothing. Ties go to the smallest gap.
     """
     order = np.argsort(-lengths, kind="stable")
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)

@@ -146,10 +146,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = 20_000) -> RuleEnsemble:
-    """Fits the ensemble on a sample of about `sample_rows` labelled rows, drawn by a hash of the id.
+    """Fits the ensemble on a sample of about `sample_rows` labelled ids, drawn by a hash of the id.
 
-    Held-out ids, null ids and null labels are not used; an id with several labels takes their majority.
-    Only the sample's statistics reach the driver.
+    Held-out ids, null ids and null labels are not used; an id with several labels takes their majority,
+    one with several texts the least of their statistics. Without labels, or with labels of one kind, all
+    texts score alike. Only the sample's statistics reach the driver, a row for each id.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
@@ -157,15 +158,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     if n > sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("y", "doc_id", text_statistics("text").alias("s")).select("y", "doc_id", "s.*")
-    got = rows.toPandas().sort_values(["doc_id", *STATISTICS])
+    one = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(*STATISTICS)).alias("s")).select("y", "doc_id", "s.*")
+    got = one.toPandas().sort_values(["doc_id", *STATISTICS])
     return RuleEnsemble.fit(got[list(STATISTICS)].to_numpy(float), got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
     """`docs` with score (0 to 1) and predicted (1 if score >= threshold).
 
-    Only the text is looked at. Null and empty texts get the score of all-zero statistics; repeated
-    rows score alike; columns named score or predicted are replaced; an empty table stays empty.
+    Only the text is looked at, whole, however long. Null and empty texts get the score of all-zero
+    statistics; repeated rows score alike; columns named score or predicted are replaced; an empty table stays empty.
     """
     inner = unused("statistics", docs)
     marked = docs.drop("score", "predicted").withColumn(inner, text_statistics("text")).withColumn("score", model.column(inner))

@@ -108,13 +108,13 @@ class TokenRollup:
 
 
 def word_counts(docs: DataFrame, version: str = "words-1") -> DataFrame:
-    """Every document with its number of runs of characters other than white space (ASCII) as an insert. Null and empty texts have none."""
+    """Every document with its number of runs of characters other than white space (ASCII) as an insert. Whole texts are counted, however long; null and empty ones have none. Repeated rows are as many inserts, of which a commit counts one; an empty table gives none."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     return docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), n.cast("long").alias("tokens"))
 
 
 def tokenizer_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
-    """Every document with its number of tokenizer ids as a revision. Whole texts are counted, however long; null and empty ones have none."""
+    """Every document with its number of tokenizer ids as a revision. Whole texts are counted, however long; null and empty ones have none. Repeated rows are as many revisions, of which a commit counts one; an empty table gives none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(tokenizer_path)

@@ -38,7 +38,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
 
     Returns doc_id, size, text_crc32, law ("bytes"), shard, slot (gapless from 0 in a shard) and
     grown_shard (null: the law is not `key`). Null texts count as empty ones; null metadata take the
-    lowest position; repeated rows and repeated doc_ids each get a slot; an empty table gives an
+    lowest position; of a text, however long, only its size and hashes go on; repeated rows and repeated doc_ids each get a slot; an empty table gives an
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession

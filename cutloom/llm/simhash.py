@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import _MIX, arrow, checkpointed, mixed, slices, utf8
+from .common import _MIX, arrow, checkpointed, join_frequent, mixed, slices, utf8
 from .decontaminate import tokens
 
 BITS = 64
@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
     component_id is the smallest doc_id reachable over links of at most `radius` differing bits,
     itself included. Null and empty texts have fingerprint zero and are linked like any other;
     repeated rows are returned as often as they come; null doc_ids are linked but never name a
-    component (a component of only such rows has id null); an empty table gives an empty result;
-    other columns are ignored.
+    component (a component of only such rows has id null); texts are hashed whole, however long; an
+    empty table gives an empty result; other columns are ignored.
     """
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +247,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, bucket_lim
             yield arrow({"doc_id": part.column("doc_id").cast(pa.int64()), "fp": fingerprints(utf8(part.column("text")), words).view(np.int64)}, out)
 
     marked = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hash_all, "doc_id long, fp long"))
-    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(prints.select("fp"), radius, bucket_limit))
-    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = checkpointed(named.join(ids, "root").select("fp", "component_id", "n"))
+    return join_frequent(marked, by_print, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: 64-bit words of the sketch that rules out pairs before their shingles are compared.
@@ -477,7 +477,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     groups, and within these every pair is decided by the shingles themselves before it may link, so
     nothing is thinned out that is not verified. A pair is missed with a chance of about 1e-10 at most (an estimate over keys and sketch bits).
     Texts with the same words in a row are one text from the start; texts without words only
-    match themselves. Null texts are empty ones; repeated rows come back as often as they are; null
+    match themselves. Texts are taken whole, however long. Null texts are empty ones; repeated rows come back as often as they are; null
     doc_ids are grouped but never name a group; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -501,9 +501,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             yield arrow({"node": keys.view(np.int64), "shingles": [h[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]}, whole)
 
     marked = checkpointed(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_key long, node long, n long, keys array<long>, sketch binary"))
-    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    nodes = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     keys = checkpointed(_chosen_keys(nodes, similarity, bucket_limit))
-    met = _in_cells(nodes.drop("keys").join(keys, "node").select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
+    met = _in_cells(nodes.select("node", "n", "sketch").join(keys, "node").select("node", "n", "sketch", F.explode("keys").alias("bucket")), bucket_limit).select("bucket", "cell", "n", "node", "sketch")
     dealt = met.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "n", "node")
     joined = components(dealt.mapInArrow(lambda b: _maybe_links(b, similarity), "u long, v long"))
     rough = joined.union(joined.select(F.col("root").alias("node"), "root")).distinct()
@@ -517,10 +517,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     groups = _in_cells(keyed, bucket_limit, _CELL_SHINGLES).drop("n").join(arrays, "node").groupBy("bucket", "cell")
     close = groups.applyInArrow(lambda t: _alike(t, similarity), "u long, v long")
     roots = components(close)
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("group_id"))
+    named = nodes.select("node", "least", "copies").join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("group_id"))
     ids = named.groupBy("group_id").agg(F.min("least").alias("component_id"))
-    by_node = named.join(ids, "group_id").select("node", "component_id", "group_id")
-    return marked.select("doc_id", "text_key", "node").join(by_node, "node").select("doc_id", "component_id", "text_key", "group_id")
+    by_node = checkpointed(named.join(ids, "group_id").select("node", "component_id", "group_id", "copies"))
+    return join_frequent(marked.select("doc_id", "text_key", "node"), by_node, "node", "copies").select("doc_id", "component_id", "text_key", "group_id")
 
 
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
