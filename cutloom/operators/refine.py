@@ -27,6 +27,8 @@ from .metrics import degree, placed
 from .rank import Bucketed, bucketed, ranked, saved
 
 MODES = ("none", "static", "dynamic")
+#: Vertices of one side that are sent to all tasks to be paired.
+_FEW = 100_000
 
 
 def pair_schedule(spark: SparkSession, k: int, rounds: bool = False) -> DataFrame:
@@ -91,7 +93,9 @@ def pair_gains(edges: DataFrame, assignment: DataFrame, a: int, b: int, limit: i
         near = side.where(F.col(dv) >= (edge or 0) - 2)
         return near.withColumn("rank", F.row_number().over(W.partitionBy(dv).orderBy(v))).where(F.col("rank") <= most).drop("rank")
 
-    pairs = best(xs, "x", "dx", "y").crossJoin(F.broadcast(best(ys, "y", "dy", "x")))
+    left, right = best(xs, "x", "dx", "y"), best(ys, "y", "dy", "x")
+    # Few on one side are sent to all tasks; otherwise Spark deals the two sides into blocks.
+    pairs = left.crossJoin(F.broadcast(right) if right.limit(_FEW + 1).count() <= _FEW else right)
     gains = pairs.join(close, ["x", "y"], "left").select("x", "y", (F.col("dx") + F.col("dy") - F.coalesce("c", F.lit(0))).cast("long").alias("gain"))
     return gains.orderBy(F.desc("gain"), "x", "y").limit(limit)
 

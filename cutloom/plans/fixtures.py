@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.rank import saved
 from ..sources.text import symmetrize
 
 
@@ -20,10 +21,25 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symmetrize(base.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.col("shift")).alias("dst")))
 
 
+def following(rows: DataFrame, value: str, within: str, *order: str) -> DataFrame:
+    """`rows` with the value of the next row of the same `within`, null for the last: (…, next).
+
+    Rows are dealt by range, so that a frequent `within` is spread over tasks; the last row of a task is
+    followed by the first of the next one, of which there is a row each.
+    """
+    dealt = saved(rows.repartitionByRange(within, *order).sortWithinPartitions(within, *order).withColumn("__id", F.monotonically_increasing_id())).withColumn("__task", F.shiftright("__id", 33))
+    both = F.struct(F.col(within).alias("of"), F.col(value).alias("is"))
+    first = dealt.groupBy("__task").agg(F.min_by(both, F.col("__id")).alias("__first"))
+    after = first.select("__task", F.lead("__first").over(W.orderBy("__task")).alias("__after"))  # a row for each task
+    here = dealt.withColumn("__here", F.lead(both).over(W.partitionBy("__task").orderBy("__id"))).join(F.broadcast(after), "__task")
+    then = F.coalesce("__here", "__after")
+    return here.withColumn("next", F.when(then["of"].eqNullSafe(F.col(within)), then["is"])).drop("__id", "__task", "__here", "__after")
+
+
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that follow each other within an event type: simple, both ways."""
-    after = F.lead("user_id").over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    pairs = _table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), after.alias("v")).where("v is not null and u <> v")
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    pairs = following(events, "user_id", "event_type", "ts", "event_id").select(F.col("user_id").alias("u"), F.col("next").alias("v")).where("v is not null and u <> v")
     return symmetrize(pairs.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct())
 
 
