@@ -38,7 +38,7 @@ from .decontaminate import tokens
 
 BLOCK = 8
 #: Lists of at most these shares of the documents are read whole, or by blocks; more frequent terms go in groups by document.
-WHOLE, BLOCKS, GROUP = 1 / 64, 1 / 8, 4
+WHOLE, BLOCKS, GROUP = 1 / 16, 1 / 8, 8
 K1, B = 1.2, 0.75
 #: Terms whose frequencies travel together.
 _PART = 1 << 15
@@ -138,18 +138,41 @@ class Shard:
         most = a["dir_tf"].astype(np.float64)
         self.most = most * (K1 + 1) / (most + least[self.block])
         self.low, self.tf = a["low"], a["tf"]
+        #: Documents and impacts of the postings, for the directory's entries that were decoded.
+        self.doc, self.impact = np.empty(len(self.tf), np.int32), np.empty(len(self.tf))
+        self.ready, self.ready_terms = np.zeros(len(self.n), bool), np.zeros(len(self.terms), bool)
         self.row = np.full(len(self.terms), -1)
         self.dense, self.tops, self.n_rows = np.zeros((0, self.n_docs)), np.zeros((0, self.n_blocks)), 0
         self.read = 0
 
-    def _postings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents and impacts of all postings of directory entries in a row, and how many each entry has."""
+    def _decode(self, entries: np.ndarray) -> None:
+        """Decodes directory entries that were not yet."""
+        new = entries[~self.ready[entries]]
+        if not len(new):
+            return
+        n = self.n[new]
+        at = ranges(self.start[new], n)
+        doc = np.repeat(self.block[new] * np.int32(BLOCK), n) + self.low[at]
+        tf = self.tf[at].astype(np.float64)
+        self.doc[at], self.impact[at], self.ready[new] = doc, tf * (K1 + 1) / (tf + self.norm[doc]), True
+
+    def _postings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the postings of directory entries lie, in a row, and how many each entry has."""
+        self._decode(entries)
         n = self.n[entries]
         at = ranges(self.start[entries], n)
         self.read += len(at)
-        doc = np.repeat(self.block[entries] * np.int64(BLOCK), n) + self.low[at]
-        tf = self.tf[at].astype(np.float64)
-        return doc, tf * (K1 + 1) / (tf + self.norm[doc]), n
+        return at, n
+
+    def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for whole lists of terms."""
+        new = terms[~self.ready_terms[terms]]
+        self._decode(ranges(self.dir_start[new], self.dir_size[new]))
+        self.ready_terms[new] = True
+        n = self.df[terms]
+        at = ranges(self.start[self.dir_start[terms]], n)
+        self.read += len(at)
+        return at, n
 
     def rows(self, terms: np.ndarray) -> np.ndarray:
         """Where `dense` holds the impacts of terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
@@ -165,29 +188,35 @@ class Shard:
             self.dense[r], self.tops[r] = 0, 0
             entries = np.arange(self.dir_start[t], self.dir_start[t] + self.dir_size[t])
             self.tops[r, self.block[entries]] = self.most[entries]
-            doc, impact, _ = self._postings(entries)
-            self.dense[r, doc] = impact
+            at, _ = self._lists(np.array([t]))
+            self.dense[r, self.doc[at]] = self.impact[at]
         return self.row[terms]
 
-    def _sums(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weighted impacts of directory entries, added up by document."""
-        doc, impact, n = self._postings(entries)
-        return np.bincount(doc, np.repeat(weights, n) * impact, self.n_docs).astype(np.float64, copy=False)
+    def _sums(self, at: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted impacts of runs of postings, added up by document."""
+        return np.bincount(self.doc[at], np.repeat(weights, n) * self.impact[at], self.n_docs).astype(np.float64, copy=False)
 
     def full(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores of documents by all terms, added up one by one in the order of their hashes, which is the same in every shard."""
         order = np.argsort(terms)
         terms, weights = terms[order], weights[order]
+        parts = np.zeros((len(terms), len(docs)))
+        dense = self.row[terms] >= 0
+        parts[dense] = weights[dense, None] * self.dense[self.row[terms[dense], None], docs]
+        self.read += int(dense.sum()) * len(docs)
+        rest = np.flatnonzero(~dense)
         blocks, of = np.unique(docs // BLOCK, return_inverse=True)
-        wanted = (terms[:, None] * max(1, self.n_blocks) + blocks).ravel()
+        wanted = (terms[rest, None] * max(1, self.n_blocks) + blocks).ravel()
         at = np.searchsorted(self.places, wanted)
         hit = np.flatnonzero(self.places[np.minimum(at, len(self.places) - 1)] == wanted)
-        doc, impact, n = self._postings(at[hit])
+        at, n = self._postings(at[hit])
         place = np.full(len(blocks) * BLOCK, -1)
         place[of * BLOCK + docs % BLOCK] = np.arange(len(docs))
-        mine = place[np.repeat(hit % len(blocks), n) * BLOCK + doc % BLOCK]
-        value = np.repeat(weights[hit // len(blocks)], n) * impact
-        return np.bincount(mine[mine >= 0], value[mine >= 0], len(docs)).astype(np.float64, copy=False)
+        mine = place[np.repeat(hit % max(1, len(blocks)), n) * BLOCK + self.doc[at] % BLOCK]
+        term = rest[np.repeat(hit // max(1, len(blocks)), n)]
+        ours = mine >= 0
+        parts[term[ours], mine[ours]] = weights[term[ours]] * self.impact[at[ours]]
+        return np.add.reduce(parts, axis=0)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the k best (score, then smaller id), over documents with any of the terms."""
@@ -210,17 +239,19 @@ class Shard:
         """Documents that include the k best and all that tie with them; terms come rarest first."""
         df = self.df[at]
         whole, blocks = np.searchsorted(df, [WHOLE * self.n_docs, BLOCKS * self.n_docs], "right").tolist()
-        size = self.dir_size[at[:whole]]
-        sums = self._sums(ranges(self.dir_start[at[:whole]], size), np.repeat(weights[:whole], size))
+        sums = self._sums(*self._lists(at[:whole]), weights[:whole])
         size = self.dir_size[at[whole:blocks]]
         entry, weight = ranges(self.dir_start[at[whole:blocks]], size), np.repeat(weights[whole:blocks], size)
         rows, often = self.rows(at[blocks:]), weights[blocks:]
-        #: What the frequent terms from each group on can add to a document of each block.
-        ahead = np.zeros((1, self.n_blocks))
-        if len(rows):
-            per = np.add.reduceat(often[:, None] * self.tops[rows], np.arange(0, len(rows), GROUP))
-            ahead = np.concatenate([np.cumsum(per[::-1], axis=0)[::-1], ahead])
-        docs, of = np.arange(self.n_docs), np.arange(self.n_docs) // BLOCK
+        #: What all frequent terms can add to a document of each block.
+        weight_of_row = np.zeros(self.n_rows)
+        weight_of_row[rows] = often
+        most = weight_of_row @ self.tops[: self.n_rows]
+        docs = np.arange(self.n_docs)
+
+        def spread(by_block: np.ndarray) -> np.ndarray:
+            """A value of each block for all of its documents."""
+            return np.repeat(by_block, BLOCK)[: self.n_docs]
 
         def best(hope: np.ndarray, docs: np.ndarray, score: np.ndarray) -> float:
             """What the k-th best score is at least, by the most promising documents without the lists that are read by blocks."""
@@ -232,24 +263,28 @@ class Shard:
             # The margin is for rounding: documents on the threshold must stay, for ties.
             return float(np.partition(score[probe] + often @ self.dense[rows[:, None], docs[probe]], -k)[-k]) * (1 - 1e-9)
 
-        least = 0.0
+        least, score = 0.0, sums
         if len(entry):
             block = self.block[entry]
-            hope = sums + (ahead[0] + np.bincount(block, weight * self.most[entry], self.n_blocks))[of]
+            hope = sums + spread(most + np.bincount(block, weight * self.most[entry], self.n_blocks))
             least = best(hope, docs, sums)
-            live = np.zeros(self.n_blocks, bool)
-            live[of[hope >= least]] = True
+            live = np.zeros(self.n_blocks * BLOCK, bool)
+            live[: self.n_docs] = hope >= least
+            live = live.reshape(-1, BLOCK).any(axis=1)
             mine = live[block]
-            sums += self._sums(entry[mine], weight[mine])
-            docs = np.flatnonzero(live[of])
-        score = sums[docs]
-        hope = score + ahead[0][of[docs]]
+            sums += self._sums(*self._postings(entry[mine]), weight[mine])
+            docs = np.flatnonzero(spread(live))
+            score = sums[docs]
+        hope = score + most[docs // BLOCK]
         least = max(least, best(hope, docs, score))
         stay = hope >= least
         docs, score = docs[stay], score[stay]
-        for i in range(0, len(often), GROUP):
+        # What the frequent terms from each group on can add to a document of each block.
+        starts = np.arange(0, len(rows), GROUP)
+        ahead = np.cumsum(np.add.reduceat(often[:, None] * self.tops[rows], starts)[::-1], axis=0)[::-1] if len(rows) else most[None]
+        for i in starts.tolist():
             if i:
-                stay = score + ahead[i // GROUP][of[docs]] >= least
+                stay = score + ahead[i // GROUP][docs // BLOCK] >= least
                 docs, score = docs[stay], score[stay]
             mine = rows[i : i + GROUP]
             self.read += len(docs) * len(mine)

@@ -419,8 +419,8 @@ def test_pruning_on_the_tables():
 
 def test_block_maxima_bound_all_impacts():
     shard, _ = made_shard(900)
-    doc, impact, n = shard._postings(np.arange(len(shard.n)))
-    entry = np.repeat(np.arange(len(shard.n)), n)
+    at, n = shard._postings(np.arange(len(shard.n)))
+    doc, impact, entry = shard.doc[at], shard.impact[at], np.repeat(np.arange(len(shard.n)), n)
     assert (impact <= shard.most[entry] + 1e-12).all()
     assert (doc // search.BLOCK == shard.block[entry]).all()
     r = shard.rows(np.array([np.argmax(shard.df)]))[0]
