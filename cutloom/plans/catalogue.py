@@ -696,16 +696,16 @@ def equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.equal_weights(coarsen.weighted(gm(spark, sf_dir)))
 
 
-def _matched_sql(rounds: int = 4, graph: str = G2_SQL) -> str:
-    """Rounds of mutual first choices by an arithmetic rank of links, as tables m0, m1, …; q is the whole matching."""
-    sql = [graph, "z0 AS (SELECT src, dst FROM g WHERE src <> dst)"]
+def _matched_sql(rounds: int = 4, graph: str = G2_SQL, g: str = "g", p: str = "") -> str:
+    """Rounds of mutual first choices by an arithmetic rank of links of table `g`, as tables m0, m1, …; q is the whole matching. Names begin with `p`."""
+    sql = [graph, f"{p}z0 AS (SELECT src, dst FROM {g} WHERE src <> dst)"]
     for r in range(rounds):
         order = f"(least(src, dst) * 7919 + greatest(src, dst) * 104729 + {r}) % 1000003"
-        sql.append(f"c{r} AS (SELECT src, arg_min(dst, {{'o': {order}, 'd': dst}}) AS mate FROM z{r} GROUP BY src)")
-        sql.append(f"m{r} AS MATERIALIZED (SELECT x.src AS v, x.mate FROM c{r} x JOIN c{r} y ON y.src = x.mate AND y.mate = x.src)")
-        sql.append(f"z{r + 1} AS MATERIALIZED (SELECT src, dst FROM z{r} WHERE src NOT IN (SELECT v FROM m{r}) AND dst NOT IN (SELECT v FROM m{r}))")
-    pairs = " UNION ALL ".join(f"SELECT v, mate FROM m{r}" for r in range(rounds))
-    return ", ".join([*sql, f"p AS ({pairs}), q AS (SELECT n.v, coalesce(p.mate, n.v) AS mate FROM (SELECT DISTINCT src AS v FROM g) n LEFT JOIN p ON p.v = n.v)"])
+        sql.append(f"{p}c{r} AS (SELECT src, arg_min(dst, {{'o': {order}, 'd': dst}}) AS mate FROM {p}z{r} GROUP BY src)")
+        sql.append(f"{p}m{r} AS MATERIALIZED (SELECT x.src AS v, x.mate FROM {p}c{r} x JOIN {p}c{r} y ON y.src = x.mate AND y.mate = x.src)")
+        sql.append(f"{p}z{r + 1} AS MATERIALIZED (SELECT src, dst FROM {p}z{r} WHERE src NOT IN (SELECT v FROM {p}m{r}) AND dst NOT IN (SELECT v FROM {p}m{r}))")
+    pairs = " UNION ALL ".join(f"SELECT v, mate FROM {p}m{r}" for r in range(rounds))
+    return ", ".join([*sql, f"{p}p AS ({pairs}), {p}q AS (SELECT n.v, coalesce({p}p.mate, n.v) AS mate FROM (SELECT src AS v FROM {g} UNION SELECT dst FROM {g}) n LEFT JOIN {p}p ON {p}p.v = n.v)"])
 
 
 def _rank(low, high, r: int):  # noqa: ANN001, ANN202
@@ -737,6 +737,20 @@ def coarse_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarsen.contract(coarsen.weighted(edges), coarsen.number(coarsen.random_matching(edges, rank=_rank)))
 
 
+_TWO_LEVELS = f"""WITH {_matched_sql()}, h AS (SELECT v, dense_rank() OVER (ORDER BY least(v, mate)) - 1 AS cv FROM q),
+f AS (SELECT x.cv AS src, y.cv AS dst, count(*) AS w FROM g JOIN h x ON x.v = g.src JOIN h y ON y.v = g.dst WHERE x.cv <> y.cv GROUP BY x.cv, y.cv),
+{_matched_sql(4, "unused AS (SELECT 1)", "f", "k")}, kh AS (SELECT v, dense_rank() OVER (ORDER BY least(v, mate)) - 1 AS cv FROM kq)"""
+
+
+@_query(f"{_TWO_LEVELS} SELECT x.cv AS src, y.cv AS dst, CAST(sum(w) AS BIGINT) AS w FROM f JOIN kh x ON x.v = f.src JOIN kh y ON y.v = f.dst WHERE x.cv <> y.cv GROUP BY x.cv, y.cv")
+def coarse_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of coarsening: the second one matches, numbers and contracts what the first has made."""
+    fine = rank.saved(coarsen.weighted(g2(spark, sf_dir)))
+    for _ in range(2):
+        fine = rank.saved(coarsen.contract(fine, rank.saved(coarsen.number(coarsen.random_matching(fine, rank=_rank)))))
+    return fine
+
+
 @_query(f"WITH {G2_SQL} SELECT count(DISTINCT src) AS total_weight, count(*) AS entries_kept_or_inside, true AS ends_small, true AS ids_gapless FROM g")
 def coarsen_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarsening to 40 vertices: all vertex weight is on the last level, all entry weight in it or inside its vertices, and it is small or stopped shrinking."""
