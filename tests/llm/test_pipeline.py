@@ -70,7 +70,7 @@ def test_registered_queries(spark, name):
     got = queries.queries()[name](spark, SF)
     assert got.columns
     n = got.count()
-    whole = {"op1", "op3", "op5", "op7"}
+    whole = {"op1", "op3", "op5", "op7", "op11", "op12"}
     if name.split("_")[0] in whole:
         assert n == spark.read.parquet(f"{SF}/documents.parquet").count()
     if name.startswith("op9"):
@@ -82,7 +82,7 @@ def test_registered_queries(spark, name):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     cols = sorted(got.columns)
