@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components as star_contraction
 from .metrics import degree
-from .rank import bucketed, saved
+from .rank import Bucketed, bucketed, saved
 
 
 def activate_neighbours(edges: DataFrame, active: DataFrame) -> DataFrame:
@@ -64,48 +64,81 @@ def iterate(edges: DataFrame, state: DataFrame, message: Column, combine: Callab
     return kept.rows.select("v", "value"), steps
 
 
-def shortest_ways(edges: DataFrame, ids: DataFrame, source: int, width: int = 1 << 16, max_rounds: int | None = None) -> tuple[DataFrame, int]:
-    """(v, way) of the vertices that are reached over entries (src, dst, w) of weights of 0 or more, and the rounds.
-
-    Vertices lie in intervals of `width` ids. In a round every interval that got shorter ways is run to its
-    own fixed point in one task, and then ways cross to other intervals; so there are as many rounds as
-    intervals that the longest shortest way enters, not as it has steps. A task holds an interval's
-    vertices and the entries inside it.
+#: Up to so many intervals are run round by round.
+_FEW = 16
+#: Ways between an interval's border vertices are sought from so many at most.
+_SEEDS = 64
+_REDUCED = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("w", pa.int64())])
+_SETTLED = pa.schema([("block", pa.int64()), ("v", pa.int64()), ("way", pa.int64()), ("changed", pa.bool_())])
+
+
+def _spread(out: dict[int, list[tuple[int, int]]], way: dict[int, int], new: Iterable[int]) -> set[int]:
+    """Shortens `way` over the entries `out`, from the vertices `new`, until nothing gets shorter; returns the vertices whose ways did."""
+    heap, shorter = [(way[i], i) for i in new], set()
+    heapify(heap)
+    while heap:
+        far, i = heappop(heap)
+        if far > way[i]:
+            continue
+        for j, w in out.get(i, ()):
+            if j not in way or far + w < way[j]:
+                way[j] = far + w
+                shorter.add(j)
+                heappush(heap, (way[j], j))
+    return shorter
+
+
+def _settle(state: pa.Table, links: pa.Table) -> pa.Table:
+    """Shortest ways inside one interval, from the vertices whose ways are new."""
+    v, way, new = (state.column(c).to_pylist() for c in ("v", "way", "changed"))
+    if not any(new):
+        return state.select(_SETTLED.names).cast(_SETTLED)
+    place = {x: i for i, x in enumerate(v)}
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for s, d, w in zip(*(links.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
+        if s in place and d in place:
+            out[place[s]].append((place[d], w))
+    known = {i: far for i, far in enumerate(way) if far is not None}
+    for i in _spread(out, known, [i for i in range(len(v)) if new[i]]):
+        way[i], new[i] = known[i], True
+    return pa.table([state.column("block"), state.column("v"), pa.array(way, pa.int64()), pa.array(new, pa.bool_())], schema=_SETTLED)
+
+
+def _reduce(state: pa.Table, links: pa.Table) -> pa.Table:
+    """An interval by its border: the vertices that stay, without a dst, and the shortest ways from where others enter it to where they leave it.
+
+    An interval where these ways would be more than its entries, or both sides of its border have more than
+    `_SEEDS` vertices, stays as it is.
     """
-    block = lambda c: F.floor(F.col(c) / width).alias("block")
-    inside = bucketed(edges.where(F.floor(F.col("src") / width) == F.floor(F.col("dst") / width)).groupBy("src", "dst").agg(F.min("w").cast("long").alias("w")).select(block("src"), "src", "dst", "w"), "block")
-    across = bucketed(edges.where(F.floor(F.col("src") / width) != F.floor(F.col("dst") / width)).select("src", "dst", F.col("w").cast("long").alias("w")), "src")
-    start = ids.select("v", F.when(F.col("v") == source, F.lit(0)).cast("long").alias("way"), (F.col("v") == source).alias("changed"))
-    kept, rounds = bucketed(start.select(block("v"), "v", "way", "changed"), "block"), 0
-    schema = pa.schema([("block", pa.int64()), ("v", pa.int64()), ("way", pa.int64()), ("changed", pa.bool_())])
-
-    def settle(state: pa.Table, links: pa.Table) -> pa.Table:
-        """Shortest ways inside one interval, from the vertices whose ways are new."""
-        v, way, new = (state.column(c).to_pylist() for c in ("v", "way", "changed"))
-        if not any(new):
-            return state.select(schema.names).cast(schema)
-        place = {x: i for i, x in enumerate(v)}
+    v, enters, leaves = (state.column(c).to_pylist() for c in ("v", "enters", "leaves"))
+    ends = [{x for x, yes in zip(v, side, strict=True) if yes} for side in (enters, leaves)]
+    inside, entries = set(v), [e for e in zip(*(links.column(c).to_pylist() for c in _REDUCED.names), strict=True)]
+    entries = [e for e in entries if e[0] in inside and e[1] in inside]
+    back = len(ends[1]) < len(ends[0])
+    seeds, others = (ends[1], ends[0]) if back else ends
+    found = None
+    if len(seeds) <= _SEEDS:
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for s, d, w in zip(*(links.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
-            if s in place and d in place:
-                out[place[s]].append((place[d], w))
-        heap = [(way[i], i) for i in range(len(v)) if new[i]]
-        heapify(heap)
-        while heap:
-            far, i = heappop(heap)
-            if far > way[i]:
-                continue
-            for j, w in out[i]:
-                if way[j] is None or far + w < way[j]:
-                    way[j], new[j] = far + w, True
-                    heappush(heap, (way[j], j))
-        return pa.table([state.column("block"), state.column("v"), pa.array(way, pa.int64()), pa.array(new, pa.bool_())], schema=schema)
-
+        for s, d, w in entries:
+            out[d if back else s].append((s if back else d, w))
+        found = []
+        for seed in seeds:
+            way = {seed: 0}
+            _spread(out, way, [seed])
+            found += [(x, seed, far) if back else (seed, x, far) for x, far in way.items() if x in others and x != seed]
+        found = found if len(found) <= len(entries) else None
+    kept = inside if found is None else ends[0] | ends[1]
+    rows = [(x, None, None) for x in kept] + (entries if found is None else found)
+    return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=_REDUCED)
+
+
+def _rounds(inside: DataFrame, across: DataFrame, start: DataFrame, max_rounds: int | None) -> tuple[Bucketed, int]:
+    """The state (block, v, way, changed) after rounds of intervals and of ways that cross between them, until nothing changes."""
+    kept, rounds = bucketed(start, "block"), 0
     while max_rounds is None or rounds < max_rounds:
-        settled = kept.rows.groupBy("block").cogroup(inside.rows.groupBy("block")).applyInArrow(settle, "block long, v long, way long, changed boolean").where("block is not null")
-        settled = saved(settled)
+        settled = saved(kept.rows.groupBy("block").cogroup(inside.groupBy("block")).applyInArrow(_settle, "block long, v long, way long, changed boolean").where("block is not null"))
         rounds += 1
-        crossing = across.rows.join(settled.where("changed").select(F.col("v").alias("src"), "way"), "src")
+        crossing = across.join(settled.where("changed").select(F.col("v").alias("src"), "way"), "src")
         arrived = crossing.groupBy(F.col("dst").alias("v")).agg(F.min(F.col("way") + F.col("w")).alias("new"))
         rows = settled.join(arrived, "v", "left")
         shorter = F.col("new").isNotNull() & (F.col("way").isNull() | (F.col("new") < F.col("way")))
@@ -114,9 +147,56 @@ def shortest_ways(edges: DataFrame, ids: DataFrame, source: int, width: int = 1
         kept = after
         if kept.rows.where("changed").isEmpty():
             break
+    return kept, rounds
+
+
+def shortest_ways(edges: DataFrame, ids: DataFrame, source: int, width: int = 1 << 16, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """(v, way) of the vertices that are reached over entries (src, dst, w) of weights of 0 or more, and the rounds.
+
+    Vertices lie in intervals of `width` ids. In a round every interval that got shorter ways is run to its
+    own fixed point in one task, and then ways cross to other intervals; so there are as many rounds as
+    intervals that the longest shortest way enters, not as it has steps. A task holds an interval's
+    vertices and the entries inside it.
+
+    Many intervals are first reduced to their borders, all in one round, and what is left is dealt to wider
+    intervals that hold about as many vertices as before, until they are few. Rounds then run over
+    these, and a round for each reduction carries ways from the borders back inside. Without `max_rounds` the
+    rounds therefore grow with the logarithm of the number of intervals, where most vertices are no border;
+    where over half stay, nothing is reduced.
+    """
+    block = lambda c, at: F.floor(F.col(c) / at).alias("block")
+    links, vertices, levels, passes = edges.select("src", "dst", F.col("w").cast("long").alias("w")), ids.select("v"), [], 0
+    while True:
+        same = F.floor(F.col("src") / width) == F.floor(F.col("dst") / width)
+        inside = bucketed(links.where(same).groupBy("src", "dst").agg(F.min("w").alias("w")).select(block("src", width), "src", "dst", "w"), "block")
+        across = bucketed(links.where(~same), "src")
+        n, intervals = vertices.groupBy(block("v", width)).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+        if max_rounds is not None or intervals <= _FEW:
+            break
+        entered = across.rows.select(F.col("dst").alias("v")).distinct().withColumn("in", F.lit(True))
+        left = across.rows.select(F.col("src").alias("v")).distinct().withColumn("out", F.lit(True))
+        sides = vertices.join(entered, "v", "left").join(left, "v", "left").select(block("v", width), "v", (F.coalesce("in", F.lit(False)) | (F.col("v") == source)).alias("enters"), F.coalesce("out", F.lit(False)).alias("leaves"))
+        reduced = saved(sides.groupBy("block").cogroup(inside.rows.groupBy("block")).applyInArrow(_reduce, "src long, dst long, w long"))
+        passes += 1
+        border = reduced.where("dst is null").select(F.col("src").alias("v"))
+        staying = border.count()
+        if 2 * staying > n:
+            break
+        levels.append((vertices, inside, across, width))
+        links, vertices = reduced.where("dst is not null").unionAll(across.rows), border
+        width = min(width * max(2, n // max(1, staying)), 1 << 62)
+    start = vertices.select(block("v", width), "v", F.when(F.col("v") == source, F.lit(0)).cast("long").alias("way"), (F.col("v") == source).alias("changed"))
+    kept, rounds = _rounds(inside.rows, across.rows, start, max_rounds)
+    ways = kept.rows.where("way is not null").select("v", "way")
     for t in (inside, across):
         t.drop()
-    return kept.rows.where("way is not null").select("v", "way"), rounds
+    for vertices, inside, across, width in reversed(levels):
+        state = vertices.join(ways, "v", "left").select(block("v", width), "v", "way", F.col("way").isNotNull().alias("changed"))
+        ways = saved(state.groupBy("block").cogroup(inside.rows.groupBy("block")).applyInArrow(_settle, "block long, v long, way long, changed boolean").where("way is not null").select("v", "way"))
+        passes += 1
+        for t in (inside, across):
+            t.drop()
+    return ways, rounds + passes
 
 
 def bfs_levels(edges: DataFrame, ids: DataFrame, source: int, max_iter: int | None = None) -> DataFrame:

@@ -174,3 +174,24 @@ def test_shortest_ways(spark):
     path = spark.range(2000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("w"))
     got, rounds = iterate.shortest_ways(path, spark.range(2001).withColumnRenamed("id", "v"), 0, 500)
     assert rounds == 5 and got.where("v <> way").count() == 0 and got.count() == 2001
+
+
+def test_shortest_ways_over_many_intervals(spark):
+    n, r = 4000, random.Random(4)
+    path = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("long").alias("w"))
+    got, rounds = iterate.shortest_ways(path, spark.range(n + 1).withColumnRenamed("id", "v"), 0, 40)
+    assert rounds < 20 and got.where("v <> way").count() == 0 and got.count() == n + 1
+    # Some intervals stay whole: both sides of their border are wide. Ways go back and forth, and not all vertices are reached.
+    links = [(v, v + d, r.randrange(9)) for v in range(n) for d in (-1, 1, 2) if r.random() < 0.9 and 0 <= v + d < n] + [(r.randrange(100), r.randrange(100, 200), 3) for _ in range(300)]
+    far, heap, out = {1777: 0}, [(0, 1777)], defaultdict(list)
+    for s, d, w in links:
+        out[s].append((d, w))
+    while heap:
+        m, v = heappop(heap)
+        for d, w in out[v] if m == far[v] else ():
+            if m + w < far.get(d, 10**9):
+                far[d] = m + w
+                heappush(heap, (m + w, d))
+    g, ids = spark.createDataFrame(links, "src long, dst long, w long"), spark.range(n).withColumnRenamed("id", "v")
+    got, rounds = iterate.shortest_ways(g, ids, 1777, 100)
+    assert {x["v"]: x["way"] for x in got.collect()} == far and rounds < 20
