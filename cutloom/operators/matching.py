@@ -28,13 +28,28 @@ from .rank import ranked, saved
 
 #: Ranks of a block, and of its margin, in the first attempt; each further one takes as many times more.
 BLOCK, MARGIN, MORE = 1 << 16, 1 << 10, 16
+#: Pairs of parts with so many vertices a side at most are put in order where they are matched.
+_WHOLE = 1 << 12
 
 
 class Short(Exception):
     """The window does not decide which pair is best."""
 
 
-def slip(x: list[int], dx: list[int], y: list[int], dy: list[int], near: dict[int, set[int]], r: int, m: int, n: int, more_x: bool, more_y: bool) -> tuple[list[tuple[int, int, int]], int | None]:
+class Near:
+    """Neighbours of ranks of x among ranks of y, as two sorted arrays; a rank's are made a set where they are asked for."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray):
+        order = np.argsort(i, kind="stable")
+        self.i, self.j = i[order], j[order]
+        self.conflicts = np.unique(i[i == j]).tolist()
+
+    def get(self, i: int, default: object = ()) -> set[int] | object:
+        low, high = np.searchsorted(self.i, (i, i + 1))
+        return set(self.j[low:high].tolist()) if high > low else default
+
+
+def slip(x: list[int], dx: list[int], y: list[int], dy: list[int], near: Near | dict[int, set[int]], r: int, m: int, n: int, more_x: bool, more_y: bool) -> tuple[list[tuple[int, int, int]], int | None]:
     """Pairs (rank of x, rank of y, gain) from rank r, where both sides stand, to the next such rank; None if no gain is left.
 
     The sides are known up to the ranks m and n; `more_x` and `more_y` say whether they go on. Raises
@@ -94,7 +109,7 @@ def slip(x: list[int], dx: list[int], y: list[int], dy: list[int], near: dict[in
     return pairs, None
 
 
-def walk(x: np.ndarray, dx: np.ndarray, y: np.ndarray, dy: np.ndarray, near: dict[int, set[int]], start: int, size: int, more_x: bool, more_y: bool, reach: int) -> tuple[list[np.ndarray], list[tuple[int, int]], int | None]:
+def walk(x: np.ndarray, dx: np.ndarray, y: np.ndarray, dy: np.ndarray, near: Near | dict[int, set[int]], start: int, size: int, more_x: bool, more_y: bool, reach: int) -> tuple[list[np.ndarray], list[tuple[int, int]], int | None]:
     """Pairs from rank `start`, where both sides stand, to the first such rank of `size` or more.
 
     `near` has the neighbours of each rank of x among the ranks of y, as far as `reach` away. Returns
@@ -103,7 +118,7 @@ def walk(x: np.ndarray, dx: np.ndarray, y: np.ndarray, dy: np.ndarray, near: dic
     """
     k = min(len(x), len(y))
     gainful = int(np.count_nonzero(dx[:k] + dy[:k] > 0))  # d only falls, so these are the first ranks
-    conflicts = sorted(i for i, js in near.items() if i in js)
+    conflicts = near.conflicts if isinstance(near, Near) else sorted(i for i, js in near.items() if i in js)
     lists = [a.tolist() for a in (x, dx, y, dy)]
     pairs, slips, r = [], [], start
     while r < size:
@@ -167,9 +182,9 @@ def _blocks(rank: Column, size: int, margin: int) -> Column:
 
 
 def _run(rows: DataFrame, links: DataFrame, sizes: dict[tuple[int, int], tuple[int, int]], size: int, margin: int, whole: bool, starts: dict[tuple[int, int, int], int] | None) -> DataFrame:
-    """One pass over all blocks, or over those of `starts` from the ranks given there; `whole` if every side fits into one."""
+    """One pass over all blocks, or over those of `starts` from the ranks given there; `whole` if `links` are all of them, and not those within the margin."""
     sides = rows.select("a", "b", _blocks(F.col("rank"), size, margin).alias("block"), "side", F.col("rank").alias("i"), F.col("v").alias("j"), "d")
-    near = (links if whole else links.where(F.abs(F.col("i") - F.col("j")) <= margin)).select("a", "b", _blocks(F.least("i", "j"), size, margin).alias("block"), F.lit(2).alias("side"), "i", "j", F.lit(0).cast("long").alias("d"))
+    near = links.select("a", "b", _blocks(F.least("i", "j"), size, margin).alias("block"), F.lit(2).alias("side"), "i", "j", F.lit(0).cast("long").alias("d"))
     both = sides.unionAll(near)
     if starts is not None:
         wanted = rows.sparkSession.createDataFrame([(a, b, k) for a, b, k in starts], "a int, b int, block long")
@@ -186,9 +201,7 @@ def _run(rows: DataFrame, links: DataFrame, sizes: dict[tuple[int, int], tuple[i
             mine = np.flatnonzero(side == s)
             mine = mine[np.argsort(i[mine])]
             ends += [j[mine], d[mine]]
-        near: dict[int, set[int]] = {}
-        for u, v in zip((i[side == 2] - low).tolist(), (j[side == 2] - low).tolist(), strict=True):
-            near.setdefault(u, set()).add(v)
+        near = Near(i[side == 2] - low, j[side == 2] - low)
         nx, ny = sizes[a, b]
         more = low + len(ends[0]) < nx, low + len(ends[2]) < ny
         start = low if starts is None else starts[a, b, block]
@@ -238,10 +251,8 @@ def _whole(rows: DataFrame, links: DataFrame) -> DataFrame:
             mine = np.flatnonzero(side == s)
             mine = mine[np.lexsort((i[mine], -d[mine]))]
             ends += [i[mine], d[mine]]
-        place = [{v: k for k, v in enumerate(ends[s].tolist())} for s in (0, 2)]
-        near: dict[int, set[int]] = {}
-        for u, v in zip(i[side == 2].tolist(), j[side == 2].tolist(), strict=True):
-            near.setdefault(place[0][u], set()).add(place[1][v])
+        order = [np.argsort(ends[s]) for s in (0, 2)]
+        near = Near(*(at[np.searchsorted(v, w[side == 2], sorter=at)] for at, v, w in zip(order, (ends[0], ends[2]), (i, j), strict=True)))
         n = max(len(ends[0]), len(ends[2]))
         pairs, _, _ = walk(*ends, near, 0, n + 1, False, False, n)
         p = np.concatenate(pairs, axis=1) if pairs else np.zeros((4, 0), np.int64)
@@ -265,7 +276,7 @@ def greedy_pairs(d: DataFrame, edges: DataFrame, block: int = BLOCK, margin: int
     top = spark.createDataFrame([(k["a"], k["b"], 1 - k["side"], k["most"]) for k in known], "a int, b int, side int, most long")
     d = d.join(F.broadcast(top), ["a", "b", "side"]).where("d + most > 0").drop("most")
     left, right = (d.where(f"side = {s}").select("a", "b", F.col("v").alias(v)) for s, v in ((0, "src"), (1, "dst")))
-    if max(k["n"] for k in known) <= block:
+    if max(k["n"] for k in known) <= min(block, _WHOLE):
         links = edges.join(left, "src").join(right, ["a", "b", "dst"]).select("a", "b", F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
         return _whole(d, links)
     rows, sizes = _sides(d)
@@ -276,13 +287,13 @@ def greedy_pairs(d: DataFrame, edges: DataFrame, block: int = BLOCK, margin: int
     left, right = (rows.where(f"side = {s}").select("a", "b", F.col("v").alias(v), F.col("rank").alias(i)) for s, v, i in ((0, "src", "i"), (1, "dst", "j")))
     links = edges.join(left, "src").join(right, ["a", "b", "dst"]).select("a", "b", "i", "j").distinct()
     widest = max(max(n) for n in sizes.values())
-    if widest > block:
-        links = saved(links)
     while True:
+        # Only links that a slip within the margin can meet go on to tasks.
         margin = min(margin, block)
+        near = saved(links.where(F.abs(F.col("i") - F.col("j")) <= margin))
         runs, ends, slips, starts, short = [], {}, {}, None, False
         while True:
-            runs.append(saved(_run(rows, links, sizes, block, margin, widest <= block, starts).withColumn("run", F.lit(len(runs)))))
+            runs.append(saved(_run(rows, near, sizes, block, margin, widest <= margin, starts).withColumn("run", F.lit(len(runs)))))
             for e in runs[-1].where(F.col("kind") != _PAIR).collect():  # a row for each block, and its slips within the margin
                 key = e["a"], e["b"], e["block"]
                 if e["kind"] == _SLIP:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cutloom.operators import matching
 
@@ -106,3 +107,21 @@ def test_greedy_pairs(spark, seed, block, margin):
 def test_greedy_pairs_of_nothing(spark):
     d = spark.createDataFrame([], "a int, b int, v long, part int, d long")
     assert matching.greedy_pairs(d, spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_block_holds_only_links_within_the_margin(spark, monkeypatch):
+    n, held, run = 8000, [], matching._run
+
+    def seen(rows, links, sizes, *rest):
+        held.append((links.count(), rest[1]))
+        return run(rows, links, sizes, *rest)
+
+    monkeypatch.setattr(matching, "_run", seen)
+    d = spark.range(2 * n).select(F.lit(0).alias("a"), F.lit(1).alias("b"), F.col("id").alias("v"), (F.col("id") % 2).cast("int").alias("part"), F.lit(5).cast("long").alias("d"))
+    # Each vertex has four neighbours on the other side; only one in a hundred lies at its own rank.
+    links = spark.range(n).select((2 * F.col("id")).alias("src"), F.explode(F.expr("array(id + if(id % 100 = 0, 0, 2000), id + 3000, id + 4000, id + 5000)")).alias("k")).select("src", (2 * (F.col("k") % n) + 1).alias("dst"))
+    got = {(r["x"], r["y"]): r["gain"] for r in matching.greedy_pairs(d, links).collect()}
+    near = {(r["src"] // 2, r["dst"] // 2) for r in links.collect()}
+    want = [(i, i + 1 - 2 * (i % 100) if i % 100 < 2 else i) for i in range(n)]
+    assert not any(p in near for p in want) and got == {(2 * i, 2 * j + 1): 10 for i, j in want}
+    assert sum(h for h, _ in held) == n // 100
