@@ -4,31 +4,36 @@ For a pair (a, b), a < b, E(v) counts the entries that reach v from the partner
 D(v) = 2 E(v) - deg(v). The gain of a pair (x in a, y in b) is D(x) + D(y), less 2 if y is a neighbour
 of x. Gains do not change inside a pair of parts (`static`), so taking the best pair again and again is
 a matching in a fixed order, which is spread over tasks by rank (see `matching`). Where gains follow the
-exchanges (`dynamic`), each depends on the one before, and a pair of parts is one grouped task over its
-boundary vertices, which `window` bounds. D values come out of counts that are kept up to date while
+exchanges (`dynamic`), each depends on the one before, and a pair of parts is one grouped task over the D
+values of its boundary, which takes entries of a block of vertices after the other; `window` bounds it. D values come out of counts that are kept up to date while
 vertices move (see `counts`).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict
-from collections.abc import Iterable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import check_parts
 from . import counts
-from .matching import greedy_pairs
+from .matching import MORE, greedy_pairs
 from .metrics import degree, placed
 from .rank import Bucketed, bucketed, ranked, saved
 
 MODES = ("none", "static", "dynamic")
 #: Vertices of one side that are sent to all tasks to be paired.
 _FEW = 100_000
+#: Vertices of each side whose entries a task holds where gains follow the exchanges.
+_BLOCK = 1 << 14
+_STEPS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("step", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("gain", pa.int64())])
 
 
 def pair_schedule(spark: SparkSession, k: int, rounds: bool = False) -> DataFrame:
@@ -149,31 +154,106 @@ def best_pair(xs: Side, ys: Side, near: dict[int, set[int]]) -> tuple[int, int,
     return found if found is not None and found[0] < 0 else None
 
 
-def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]], weight: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
-    """Repeatedly the best free pair of positive gain, (x, y, gain); after an exchange D changes by 2 for each entry between a vertex and the two that moved.
+def dynamic_steps(xs: Side, ys: Side, near: Mapping[int, set[int]], entries: Callable[[int], Iterable[tuple[int, int]]], known: Callable[[int], bool]) -> Iterator[tuple[int, int, int]]:
+    """Repeatedly takes the best free pair of positive gain, (x, y, gain), out of the two sides, and changes D by 2 for each entry between a vertex and the two that moved.
 
-    `weight` counts entries (u, v) between boundary vertices of the two parts. Vertices wait in buckets of
-    equal D, and an exchange only moves the neighbours of the two.
+    Stops where the best pair has a vertex that is not `known`. Without its neighbours such a vertex only
+    looks better than it is, so a pair of known ones that is best is best in truth. `entries` gives the
+    (vertex, entries) that a known vertex reaches, `near` the neighbours of a known x.
     """
-    xs, ys, out = Side(dx), Side(dy), []
-    linked: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for (u, v), n in weight.items():
-        linked[u].append((v, n))
     while (found := best_pair(xs, ys, near)) is not None:
         loss, x, y = found
+        if not (known(x) and known(y)):
+            return
         xs.take(x)
         ys.take(y)
         for side, same, other in ((xs, x, y), (ys, y, x)):
             changes: dict[int, int] = defaultdict(int)
             for u, sign in ((same, 2), (other, -2)):
-                for v, n in linked[u]:
+                for v, n in entries(u):
                     if v in side.d:
                         changes[v] += sign * n
             for v, by in changes.items():
                 if by:
                     side.change(v, by)
-        out.append((x, y, -loss))
-    return out
+        yield x, y, -loss
+
+
+def greedy_dynamic(dx: dict[int, int], dy: dict[int, int], near: dict[int, set[int]], weight: dict[tuple[int, int], int]) -> list[tuple[int, int, int]]:
+    """The exchanges of `dynamic_steps` where all vertices are known; `weight` counts entries (u, v) between boundary vertices of the two parts."""
+    linked: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (u, v), n in weight.items():
+        linked[u].append((v, n))
+    return list(dynamic_steps(Side(dx), Side(dy), near, lambda u: linked.get(u, ()), lambda v: True))
+
+
+class Entries:
+    """Entries between boundary vertices in arrays, in order of their sources; `get` gives the neighbours of one."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, n: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.sources, self.first = np.unique(src[order], return_index=True)
+        self.last = np.append(self.first[1:], len(src))
+        self.dst, self.n = dst[order], n[order]
+        self.sets = lru_cache(256)(lambda v: frozenset(self.dst[self.at(v)].tolist()))
+
+    def at(self, v: int) -> slice:
+        i = int(np.searchsorted(self.sources, v))
+        return slice(self.first[i], self.last[i]) if i < len(self.sources) and self.sources[i] == v else slice(0, 0)
+
+    def of(self, v: int) -> Iterable[tuple[int, int]]:
+        at = self.at(v)
+        return zip(self.dst[at].tolist(), self.n[at].tolist(), strict=True)
+
+    def get(self, v: int, default: object = ()) -> frozenset[int]:
+        return self.sets(v)
+
+
+def _dynamic(d: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """(a, b, step, x, y, gain) of exchanges whose gains follow them.
+
+    Each depends on the one before, so a pair of parts is matched in one task, which holds the D values of
+    its boundary, but the entries of only `block` vertices of each side: those of the largest D, which are
+    next to move. It stops at the first exchange of another vertex and leaves the D values of what is free, out of which
+    the next ones are taken. Where that comes before any exchange, blocks grow.
+    """
+    spark, runs, done = edges.sparkSession, [], Counter()
+    while True:
+        if (d.groupBy("a", "b", "part").count().agg(F.max("count")).first()[0] or 0) > block:
+            rows = ranked(d.select("a", "b", "part", (-F.col("d")).alias("low"), "v"), "a", "b", "part", "low", "v", name="at")
+            first = rows.groupBy("a", "b", "part").agg(F.min("at").alias("start"))
+            top = saved(rows.join(F.broadcast(first), ["a", "b", "part"]).where(F.col("at") - F.col("start") < block).select("a", "b", "v"))  # two rows for each pair of parts
+        else:
+            top = d.select("a", "b", "v")
+        links = saved(edges.join(top.withColumnRenamed("v", "src"), "src").join(d.select("a", "b", F.col("v").alias("dst")), ["a", "b", "dst"]).groupBy("a", "b", "src", "dst").agg(F.count(F.lit(1)).alias("n")))
+        own = d.join(top.withColumn("known", F.lit(True)), ["a", "b", "v"], "left").select("a", "b", "v", "part", "d", F.coalesce("known", F.lit(False)).alias("known"))
+        before = dict(done)
+
+        def match(own: pa.Table, links: pa.Table) -> pa.Table:
+            a, b = own.column("a")[0].as_py(), own.column("b")[0].as_py()
+            v, part, x, loaded = (own.column(c).to_numpy() for c in ("v", "part", "d", "known"))
+            xs, ys = (Side(dict(zip(v[part == p].tolist(), x[part == p].tolist(), strict=True))) for p in (a, b))
+            known = set(v[loaded].tolist())
+            entries = Entries(*(links.column(c).to_numpy() for c in ("src", "dst", "n")))
+            start = before.get((a, b), 0)
+            out = [(a, b, start + i, *one) for i, one in enumerate(dynamic_steps(xs, ys, entries, entries.of, known.__contains__))]
+            if best_pair(xs, ys, entries) is not None:
+                out += [(a, b, None, v, p, x) for p, side in ((a, xs), (b, ys)) for v, x in side.d.items()]  # what is free: the vertex, its part and D
+            return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(_STEPS.types)], schema=_STEPS)
+
+        found = saved(own.groupBy("a", "b").cogroup(links.groupBy("a", "b")).applyInArrow(match, "a int, b int, step int, x long, y long, gain long"))
+        runs.append(found.where("step is not null"))
+        counted = found.groupBy("a", "b").agg(F.count("step").alias("steps"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pair of parts
+        for r in counted:
+            done[r["a"], r["b"]] += r["steps"]
+        if all(r["steps"] == r["n"] for r in counted):
+            break
+        if any(r["steps"] == 0 for r in counted):
+            block *= MORE
+        d = found.where("step is null").select("a", "b", F.col("x").alias("v"), F.col("y").cast("int").alias("part"), F.col("gain").alias("d"))
+    for r in runs[1:]:
+        runs[0] = runs[0].unionAll(r)
+    return runs[0]
 
 
 def _window(d: DataFrame, size: int, nth: int = 0) -> DataFrame:
@@ -184,31 +264,12 @@ def _window(d: DataFrame, size: int, nth: int = 0) -> DataFrame:
 
 
 def exchanges(d: DataFrame, edges: DataFrame, mode: str = "static", window: int | None = None, block: int | None = None, nth: int = 0) -> DataFrame:
-    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well. `window` takes the `nth` window of so many vertices of each side; `block` is how many ranks of a boundary one task matches."""
+    """(a, b, x, y, gain) of pairs of parts out of the D values of their boundaries; `dynamic` has the step in its pair as well. `window` takes the `nth` window of so many vertices of each side; `block` is how many ranks of a boundary one task matches, and in `dynamic` how many vertices of a side a task holds the entries of."""
     if window is not None:
         d = _window(d, window, nth)
     if mode == "static":
         return greedy_pairs(d, edges, *([] if block is None else [block, block]))
-    ends = d.select("a", "b", "v", "part")
-    left = ends.select("a", "b", F.col("v").alias("src"), F.col("part").alias("ps"))
-    right = ends.select("a", "b", F.col("v").alias("dst"), F.col("part").alias("pd"))
-    links = edges.join(left, "src").join(right, ["a", "b", "dst"]).groupBy("a", "b", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    rows = d.select("a", "b", "v", "part", "d", F.lit(None).cast("long").alias("w")).unionAll(links.select("a", "b", F.col("src"), F.lit(-1), F.col("n"), F.col("dst")))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        own, link = pdf[pdf["w"].isna()], pdf[pdf["w"].notna()]
-        dx, dy = ({int(v): int(x) for v, x in zip(s["v"], s["d"], strict=True)} for s in (own[own["part"] == a], own[own["part"] == b]))
-        near: dict[int, set[int]] = defaultdict(set)
-        weight = {}
-        for u, w, n in zip(link["v"].astype(int), link["w"].astype(int), link["d"].astype(int), strict=True):
-            weight[u, w] = n
-            if u in dx and w in dy:
-                near[u].add(w)
-        found = greedy_dynamic(dx, dy, near, weight)
-        return pd.DataFrame([(a, b, i, x, y, g) for i, (x, y, g) in enumerate(found)], columns=["a", "b", "step", "x", "y", "gain"])
-
-    return rows.groupBy("a", "b").applyInPandas(match, "a int, b int, step int, x long, y long, gain long")
+    return _dynamic(d.select("a", "b", "v", "part", "d"), edges, block or _BLOCK)
 
 
 def swaps(edges: DataFrame, assignment: DataFrame, pairs: list[tuple[int, int]], mode: str = "static", window: int | None = None, kind: str = "all", degrees: DataFrame | None = None, block: int | None = None) -> DataFrame:

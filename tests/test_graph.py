@@ -143,6 +143,32 @@ def test_buckets_of_gains_match_plain_search(seed):
     assert refine.greedy_dynamic(dx, dy, near, {}) == plain_greedy(dx, dy, near)
 
 
+def test_dynamic_takes_entries_of_a_block_after_the_other(spark):
+    r = random.Random(6)
+    links = [(r.randrange(120), r.randrange(120)) for _ in range(500)]
+    g = edges_of(spark, [p for u, v in links if u != v for p in ((u, v), (v, u))])
+    a = assign.hash_assign(g, 2)
+    d = refine.d_values(g, a, [(0, 1)]).collect()
+    dx, dy = ({x["v"]: x["d"] for x in d if x["part"] == p} for p in (0, 1))
+    near, weight = defaultdict(set), defaultdict(int)
+    for e in g.collect():
+        if {e["src"], e["dst"]} <= dx.keys() | dy.keys():
+            weight[e["src"], e["dst"]] += 1
+            if e["src"] in dx and e["dst"] in dy:
+                near[e["src"]].add(e["dst"])
+    want = plain_dynamic(dx, dy, near, weight)
+    assert len(want) > 10
+    got = rows(refine.swaps(g, a, [(0, 1)], "dynamic", block=16), "step", "x", "y", "gain")
+    assert got == [(i, *w) for i, w in enumerate(want)]
+    # A task that knows some vertices only stops before the first exchange of another one.
+    linked = defaultdict(list)
+    for (u, v), n in weight.items():
+        linked[u].append((v, n))
+    known = {v for x, y, _ in want[:5] for v in (x, y)}
+    some = list(refine.dynamic_steps(refine.Side(dx), refine.Side(dy), {x: n for x, n in near.items() if x in known}, lambda u: linked[u], known.__contains__))
+    assert some == want[:5]
+
+
 def test_dynamic_keeps_sizes_and_improves(metis):
     a = assign.hash_assign(metis, 3)
     b = refine.refine(metis, a, 3, "dynamic", accept="improve")
