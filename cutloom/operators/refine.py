@@ -32,7 +32,7 @@ MODES = ("none", "static", "dynamic")
 #: Vertices of one side that are sent to all tasks to be paired.
 _FEW = 100_000
 #: Vertices of each side whose entries a task holds where gains follow the exchanges.
-_BLOCK = 1 << 14
+_BLOCK = 1 << 16
 _STEPS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("step", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("gain", pa.int64())])
 
 
