@@ -15,21 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import degree
-from .rank import Bucketed, bucketed
+from .rank import Bucketed, bucketed, saved
 
 
-def _as_map(counts: DataFrame) -> DataFrame:
-    """(v, part, n) to (v, counts), a map from parts."""
+def _as_map(counts: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(v, part, n) to (v, counts), a map from parts; as they lie in so many buckets of v, if `buckets` are given."""
+    if buckets is not None:
+        counts = counts.repartition(buckets, "v")
     return counts.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("counts"))  # an entry for each part at most
 
 
-def count_entries(edges: DataFrame, assignment: DataFrame) -> Bucketed:
-    """(v, part, deg, counts) of every assigned vertex; entries with an unassigned end do not count in `counts`."""
+def count_entries(edges: DataFrame, assignment: DataFrame, n: int | None = None) -> Bucketed:
+    """(v, part, deg, counts) of every assigned vertex; entries with an unassigned end do not count in `counts`. Entries that are bucketed by src are not shuffled by it; `n` is the number of buckets of the state."""
+    assignment = saved(assignment.select("v", "part"))
     parts = assignment.select(F.col("v").alias("src"), "part")
-    into = _as_map(edges.join(parts, "src").groupBy(F.col("dst").alias("v"), "part").agg(F.count(F.lit(1)).alias("n")))
+    into = _as_map(edges.join(parts, "src").groupBy(F.col("dst").alias("v"), "part").agg(F.count(F.lit(1)).alias("n")), n)
     rows = assignment.select("v", "part").join(degree(edges), "v", "left").join(into, "v", "left")
     none = F.create_map().cast("map<int,bigint>")
-    return bucketed(rows.select("v", F.col("part").cast("int").alias("part"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.coalesce("counts", none).alias("counts")), "v")
+    return bucketed(rows.select("v", F.col("part").cast("int").alias("part"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"), F.coalesce("counts", none).alias("counts")), "v", n=n)
 
 
 def entries_from(part: Column) -> Column:
@@ -58,8 +61,9 @@ def cut_entries(state: DataFrame) -> DataFrame:
 def move(state: Bucketed, links: Bucketed, moved: DataFrame) -> Bucketed:
     """The state after vertices moved (v, old, new). `links` are the entries, bucketed by src."""
     sent = links.rows.join(moved.withColumnRenamed("v", "src"), "src")
-    changes = F.explode(F.array(F.struct(F.col("old").alias("part"), F.lit(-1).cast("long").alias("n")), F.struct(F.col("new").alias("part"), F.lit(1).cast("long").alias("n"))))
-    deltas = _as_map(sent.select(F.col("dst").alias("v"), changes.alias("c")).groupBy("v", "c.part").agg(F.sum("c.n").alias("n")).where("n <> 0")).withColumnRenamed("counts", "delta")
+    ways = sent.groupBy(F.col("dst").alias("v"), "old", "new").agg(F.count(F.lit(1)).alias("n"))  # each entry once; the two numbers come out of what they add up to
+    changes = F.explode(F.array(F.struct(F.col("old").alias("part"), (-F.col("n")).alias("n")), F.struct(F.col("new").alias("part"), F.col("n").alias("n"))))
+    deltas = _as_map(ways.select("v", changes.alias("c")).groupBy("v", "c.part").agg(F.sum("c.n").alias("n")).where("n <> 0"), state.n).withColumnRenamed("counts", "delta")
     rows = state.rows.join(moved.select("v", "new"), "v", "left").join(deltas, "v", "left")
     both = F.map_filter(F.map_zip_with("counts", "delta", lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), lambda k, n: n > 0)
-    return bucketed(rows.select("v", F.coalesce("new", "part").alias("part"), "deg", F.when(F.col("delta").isNull(), F.col("counts")).otherwise(both).alias("counts")), "v", in_place=True)
+    return bucketed(rows.select("v", F.coalesce("new", "part").alias("part"), "deg", F.when(F.col("delta").isNull(), F.col("counts")).otherwise(both).alias("counts")), "v", in_place=True, n=state.n)

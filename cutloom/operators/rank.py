@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a bucket on average, where a shuffle has partitions enough.
+_BUCKET = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names. Only a local master, where all share one machine, gets one of our own."""
@@ -52,29 +55,42 @@ def saved(df: DataFrame, path: str | None = None) -> DataFrame:
 
 @dataclass
 class Bucketed:
-    """A table in buckets of a column: its rows, and what deletes it."""
+    """A table in buckets of a column: its rows, their number of buckets, and what deletes it."""
 
     rows: DataFrame
     name: str
     path: str
+    n: int
 
     def drop(self) -> None:
         self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
         remove(self.rows.sparkSession, self.path)
 
 
-def bucketed(df: DataFrame, key: str, in_place: bool = False) -> Bucketed:
-    """`df` kept in the shared folder in buckets of `key`, as many as a shuffle has partitions.
+def buckets(rows: DataFrame) -> int:
+    """How many buckets tables of these rows get that are read again in every step of a loop.
+
+    A task reads a bucket, so a shuffle's number of partitions would make small tables many tasks in
+    every step. There are as many as tasks can run at once, or so many times more that none has over
+    `_BUCKET` rows, and no more than a shuffle has partitions.
+    """
+    spark = rows.sparkSession
+    at_once = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), at_once * max(1, -(-rows.count() // (at_once * _BUCKET)))))
+
+
+def bucketed(df: DataFrame, key: str, in_place: bool = False, n: int | None = None) -> Bucketed:
+    """`df` kept in the shared folder in `n` buckets of `key`, or as many as a shuffle has partitions.
 
     Tables that are bucketed by the column that they are joined or grouped by are not shuffled for it.
     `in_place` says that the rows already lie so, as they come out of such a join.
     """
     spark, path = df.sparkSession, table(df.sparkSession)
     name = f"cutloom_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df if in_place else df.repartition(n, key)
     rows.write.bucketBy(n, key).format("parquet").option("path", path).saveAsTable(name)
-    return Bucketed(spark.table(name), name, path)
+    return Bucketed(spark.table(name), name, path, n)
 
 
 def ranked(df: DataFrame, *by: str, name: str = "rank") -> DataFrame:

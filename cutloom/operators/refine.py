@@ -26,7 +26,7 @@ from ..model import check_parts
 from . import counts
 from .matching import MORE, greedy_pairs
 from .metrics import degree, placed
-from .rank import Bucketed, bucketed, ranked, saved
+from .rank import Bucketed, bucketed, buckets, ranked, saved
 
 MODES = ("none", "static", "dynamic")
 #: Vertices of one side that are sent to all tasks to be paired.
@@ -303,10 +303,11 @@ def refined_state(edges: DataFrame, assignment: DataFrame, k: int, mode: str = "
     if kind not in ("all", "pair"):
         raise ValueError("kind must be 'all' or 'pair'")
     steps = disjoint_rounds(k) if schedule == "rounds" else [[(a, b)] for a in range(k) for b in range(a + 1, k)]
-    state = counts.count_entries(edges, assignment)
+    n = buckets(edges)
     if mode == "none":
-        return state
-    links = bucketed(edges.select("src", "dst"), "src")
+        return counts.count_entries(edges, assignment, n)
+    links = bucketed(edges.select("src", "dst"), "src", n=n)
+    state = counts.count_entries(links.rows, assignment, n)
     cut = counts.cut_entries(state.rows).first()["cut_entries"] if accept == "improve" else None
     for step, pairs in enumerate(steps):
         found = exchanges(counts.d_values(state.rows, pairs, kind), links.rows, mode, window, nth=step if cursor else 0)

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..operators.rank import saved
 from ..sources.text import symmetrize
@@ -22,18 +30,33 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def following(rows: DataFrame, value: str, within: str, *order: str) -> DataFrame:
-    """`rows` with the value of the next row of the same `within`, null for the last: (…, next).
+    """(within, value, next): the value of the next row of the same `within`, null for the last.
 
-    Rows are dealt by range, so that a frequent `within` is spread over tasks; the last row of a task is
-    followed by the first of the next one, of which there is a row each.
+    Rows are dealt by range, so that a frequent `within` is spread over tasks, and are read in order where
+    they lie; the last row of a task is followed by the first of the next one, of which there is a row each.
     """
-    dealt = saved(rows.repartitionByRange(within, *order).sortWithinPartitions(within, *order).withColumn("__id", F.monotonically_increasing_id())).withColumn("__task", F.shiftright("__id", 33))
-    both = F.struct(F.col(within).alias("of"), F.col(value).alias("is"))
-    first = dealt.groupBy("__task").agg(F.min_by(both, F.col("__id")).alias("__first"))
-    after = first.select("__task", F.lead("__first").over(W.orderBy("__task")).alias("__after"))  # a row for each task
-    here = dealt.withColumn("__here", F.lead(both).over(W.partitionBy("__task").orderBy("__id"))).join(F.broadcast(after), "__task")
-    then = F.coalesce("__here", "__after")
-    return here.withColumn("next", F.when(then["of"].eqNullSafe(F.col(within)), then["is"])).drop("__id", "__task", "__here", "__after")
+    is_of, is_value = (rows.schema[c].dataType for c in (within, value))
+    schema = StructType([StructField("__of", is_of), StructField("__is", is_value), StructField("__next", is_value), StructField("__task", IntegerType()), StructField("__first", BooleanType()), StructField("__last", BooleanType())])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch waits for the one after it."""
+        task, held, first = TaskContext.get().partitionId(), None, True
+        for b in chain((b for b in batches if b.num_rows), [None]):
+            if held is not None:
+                of, value = held.columns
+                n, flags = len(of), np.zeros((2, len(of)), bool)
+                flags[0, 0], flags[1, n - 1] = first, b is None
+                then_of, then = (pa.concat_arrays([c[1:], pa.nulls(1, c.type) if b is None else b.columns[i][:1]]) for i, c in enumerate(held.columns))
+                same = pc.or_(pc.fill_null(pc.equal(of, then_of), False), pc.and_(pc.is_null(of), pc.is_null(then_of)))
+                yield pa.RecordBatch.from_arrays([of, value, pc.if_else(same, then, pa.scalar(None, then.type)), pa.array(np.full(n, task, np.int32)), *map(pa.array, flags)], names=schema.names)
+                first = False
+            held = b
+
+    dealt = saved(rows.repartitionByRange(within, *order).sortWithinPartitions(within, *order).select(within, value).mapInArrow(joined, schema))
+    firsts = dealt.where("__first").select("__task", F.struct(F.col("__of").alias("of"), F.col("__is").alias("is")).alias("first"))
+    after = firsts.select("__task", F.lead("first").over(W.orderBy("__task")).alias("after"))  # a row for each task
+    then = F.when(F.col("__last"), F.when(F.col("after.of").eqNullSafe(F.col("__of")), F.col("after.is"))).otherwise(F.col("__next"))
+    return dealt.join(F.broadcast(after), "__task").select(F.col("__of").alias(within), F.col("__is").alias(value), then.alias("next"))
 
 
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:

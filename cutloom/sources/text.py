@@ -147,7 +147,7 @@ def metis_header(lines: DataFrame) -> DataFrame:
 
 def symmetrize(edges: DataFrame) -> DataFrame:
     """Every entry in both directions."""
-    return edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
 
 
 def read_graph(spark: SparkSession, path: str | list[str], fmt: str, both_ways: bool = False, parse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutloom.operators import assign, coarsen, counts, iterate, metrics, rank, refine, visit
+from cutloom.plans import fixtures
 
 
 def edges_of(spark, pairs):
@@ -195,3 +196,72 @@ def test_shortest_ways_over_many_intervals(spark):
     g, ids = spark.createDataFrame(links, "src long, dst long, w long"), spark.range(n).withColumnRenamed("id", "v")
     got, rounds = iterate.shortest_ways(g, ids, 1777, 100)
     assert {x["v"]: x["way"] for x in got.collect()} == far and rounds < 20
+
+
+def test_following_reads_rows_where_they_lie(spark):
+    """Next rows over tasks, batches, nulls and lone groups; after the rows were dealt by range nothing but a row for each task is shuffled."""
+    r = random.Random(11)
+    data = [(i, r.choice(["a", "b", "b", "b", None, *map(str, range(30))]), r.choice([None, r.randrange(50)]), r.randrange(400)) for i in range(3000)]
+    rows = spark.createDataFrame(data, "id long, kind string, value long, ts long").repartition(5)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    want = []
+    groups = defaultdict(list)
+    for i, kind, value, ts in data:
+        groups[kind].append((ts, i, value))
+    for kind, g in groups.items():
+        values = [v for _, _, v in sorted(g)]
+        want += list(zip([kind] * len(values), values, values[1:] + [None], strict=True))
+    try:
+        for batch, tasks in ((7, 40), (10_000, 4), (1, 3)):
+            for c, v in zip(kept, (batch, "false", tasks), strict=True):
+                spark.conf.set(c, str(v))
+            got = fixtures.following(rows, "value", "kind", "ts", "id")
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+            assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert fixtures.following(rows.limit(0), "value", "kind", "ts", "id").count() == 0
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+def test_buckets_follow_rows(spark):
+    """Tables of a loop do not get more buckets than their rows fill or tasks run at once, and a step keeps them where they lie."""
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for c, v in zip(kept, ("64", "-1", "false"), strict=True):
+        spark.conf.set(c, v)
+    try:
+        g = edges_of(spark, made(12))
+        a = assign.hash_assign(g, 4)
+        state = refine.refined_state(g, a, 4, schedule="rounds", kind="pair")
+        assert state.n == spark.sparkContext.defaultParallelism
+        assert spark.sql(f"DESCRIBE EXTENDED {state.name}").where("col_name = 'Num Buckets'").first()["data_type"] == str(state.n)
+        new = state.rows.select("v", "part")
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, refine.refine(g, a, 4, schedule="rounds", kind="pair").collect()))
+        fresh = counts.count_entries(g, new, state.n)
+        as_set = lambda t: {(x["v"], x["part"], x["deg"], tuple(sorted(x["counts"].items()))) for x in t.rows.collect()}
+        assert as_set(state) == as_set(fresh)
+        # The new state is written by the tasks that read the buckets of the old one: a file for each bucket at most.
+        assert len(state.rows.inputFiles()) <= state.n
+        for t in (state, fresh):
+            t.drop()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+def test_moves_send_entries_once(spark):
+    """Entries of vertices that moved are added up by way before they become two numbers each."""
+    g = edges_of(spark, made(13))
+    state, links = counts.count_entries(g, assign.hash_assign(g, 2), 3), rank.bucketed(g, "src", n=3)
+    seen = []
+    kept = counts.bucketed
+    counts.bucketed = lambda df, *a, **b: seen.append(df) or kept(df, *a, **b)
+    try:
+        after = counts.move(state, links, spark.createDataFrame([(0, 0, 1), (1, 1, 0)], "v long, old int, new int"))
+    finally:
+        counts.bucketed = kept
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("count(1)")  # upper operators come first
+    assert after.n == 3
+    for t in (state, links, after):
+        t.drop()
