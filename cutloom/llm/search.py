@@ -9,16 +9,20 @@ length in the block bound the term's impact there, whatever the mean length turn
 Global statistics (number of documents, mean length, document frequencies of the queries' terms) are
 added up over all shards first, so that every shard scores alike and the shards' best merge exactly.
 
-A query's terms go from the rarest to the most frequent, in groups. The first lists, the rarest, are read
-whole, as nothing can be skipped before there is a threshold. Then the block maxima of all lists still
-ahead are added up; the most promising documents are scored, and the k-th best score is the threshold.
-Pivots are the documents whose score so far, with the block maxima ahead, reaches it. The next lists are
-read only in blocks that hold a pivot, found by the directory, and the impacts of frequent terms, laid
-out by document, only at the pivots themselves; after each group the pivots are chosen again. The few
-that may be among the best are scored anew from their own terms, in an order that is the same in every
+Lists of rare terms are read whole, as they have hardly fewer blocks than postings; frequent terms
+have rows of impacts by document and of block maxima, built when they are first asked for. Queries go
+together, those of one most frequent term side by side: what their rare lists add up to, with the block
+maxima of all rows (one product of matrices), bounds every document from above. Only blocks in which some
+query can reach its threshold are cut out of the rows and scored, by a second product. The few documents
+that may be among the best are scored anew from their own postings, in an order that is the same in every
 shard (block-max WAND, Ding and Suel, 2011, with document-aligned blocks and all cursors of a shard moved
-together). Postings are decoded as they are read: those of the directory's entries that hold a pivot, the
-rare lists, and the lists of frequent terms once for all queries that are sent together.
+together). Few queries that come alone read less and skip more each: longer lists whole, and the rows group
+by group, after each of which the documents that cannot reach the threshold any more are dropped.
+
+The threshold is what the k-th best score is at least. The first shards, one for each core, find it by
+scoring the most promising documents; all others get the k-th best score that was found before, so that
+most of their documents are ruled out by the bounds, and answer only what reaches it. Postings are decoded
+as they are read, a list once for all queries that are sent together.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,15 +41,19 @@ from .common import arrow, checkpointed, slices
 from .decontaminate import tokens
 
 BLOCK = 8
-#: Lists of at most these shares of the documents are read whole, or by blocks; more frequent terms go in groups by document.
-WHOLE, BLOCKS, GROUP = 1 / 16, 1 / 8, 8
+#: Lists of at most this share of the documents are read whole; more frequent terms have rows by document, of at most so many values in all.
+WHOLE, WHOLE_FEW, ROWS = 1 / 16, 1 / 8, 16_000_000
+#: Queries that are bounded by one product, and postings that are held at once.
+TOGETHER, STEP = 256, 1 << 18
+#: Of fewer queries than these each looks for its own documents, by groups of the frequent terms; these are wasted on many, as what one leaves out another reads.
+FEW, GROUPS = 64, 8
 K1, B = 1.2, 0.75
 #: Terms whose frequencies travel together.
 _PART = 1 << 15
 _QUERY = "query_id long, terms binary, counts binary, size long"
 _ARRAYS = (("doc_ids", "<i8"), ("lengths", "<i4"), ("terms", "<u8"), ("dir_sizes", "<i4"), ("dir_block", "<i4"), ("dir_n", "u1"), ("dir_tf", "<u4"), ("low", "u1"), ("tf", "<u4"))
-_INDEX = "n_docs long, n_tokens long, " + ", ".join(f"{k} binary" for k, _ in _ARRAYS)
-_SCHEMA = pa.schema([("n_docs", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.binary()) for k, _ in _ARRAYS]])
+_INDEX = "place int, n_docs long, n_tokens long, " + ", ".join(f"{k} binary" for k, _ in _ARRAYS)
+_SCHEMA = pa.schema([("place", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.binary()) for k, _ in _ARRAYS]])
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,17 +106,17 @@ def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_sha
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n_docs = n_tokens = 0
+        n_docs = n_tokens = place = 0
 
         def shard() -> pa.RecordBatch:
             row = _index_shard(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return arrow({k: [v] for k, v in row.items()}, _SCHEMA)
+            return arrow({"place": [place], **{k: [v] for k, v in row.items()}}, _SCHEMA)
 
-        for part in slices(batches, "text", 1024, 2 << 20):
+        for part in slices(batches, "text", 4096, 8 << 20):
             tok, ends = tokens(part.column("text"))
             if held and (n_tokens + len(tok) > tokens_per_shard or n_docs + part.num_rows > docs_per_shard):
                 yield shard()
-                held, n_docs, n_tokens = [], 0, 0
+                held, n_docs, n_tokens, place = [], 0, 0, place + 1
             ids = part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             held.append((ids, tok, np.diff(ends, prepend=0)))
             n_docs, n_tokens = n_docs + part.num_rows, n_tokens + len(tok)
@@ -116,11 +124,14 @@ def build_index(docs: DataFrame, tokens_per_shard: int = 6_000_000, docs_per_sha
             yield shard()
 
     n_tasks = max(1, -(-2 * docs.count() // docs_per_shard))
-    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").coalesce(n_tasks).mapInArrow(build, _INDEX))
+    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").coalesce(n_tasks).mapInArrow(build, _INDEX).withColumn("part", F.spark_partition_id()))
 
 
 class Shard:
-    """One shard under global statistics. Nothing is decoded before a query needs it; `read` counts the postings and impacts that queries have looked at."""
+    """One shard under global statistics. Nothing is decoded before a query needs it; `read` counts the postings and impacts that queries have looked at.
+
+    Impacts and block maxima are kept in single precision, which serves for bounds only: whatever may be among the best is scored anew from frequencies.
+    """
 
     def __init__(self, row: dict, mean_length: float):
         a = {k: np.frombuffer(row[k], t) for k, t in _ARRAYS}
@@ -136,13 +147,13 @@ class Shard:
         self.places = np.repeat(np.arange(len(self.terms)) * max(1, self.n_blocks), self.dir_size) + self.block
         least = np.minimum.reduceat(self.norm, np.arange(0, self.n_docs, BLOCK)) if self.n_docs else self.norm
         most = a["dir_tf"].astype(np.float64)
-        self.most = most * (K1 + 1) / (most + least[self.block])
+        self.most = (most * (K1 + 1) / (most + least[self.block])).astype(np.float32)
         self.low, self.tf = a["low"], a["tf"]
         #: Documents and impacts of the postings, for the directory's entries that were decoded.
-        self.doc, self.impact = np.empty(len(self.tf), np.int32), np.empty(len(self.tf))
+        self.doc, self.impact = np.empty(len(self.tf), np.int32), np.empty(len(self.tf), np.float32)
         self.ready, self.ready_terms = np.zeros(len(self.n), bool), np.zeros(len(self.terms), bool)
         self.row = np.full(len(self.terms), -1)
-        self.dense, self.tops, self.n_rows = np.zeros((0, self.n_docs)), np.zeros((0, self.n_blocks)), 0
+        self.dense, self.tops, self.n_rows = np.zeros((0, self.n_blocks * BLOCK), np.float32), np.zeros((0, self.n_blocks), np.float32), 0
         self.read = 0
 
     def _decode(self, entries: np.ndarray) -> None:
@@ -153,8 +164,12 @@ class Shard:
         n = self.n[new]
         at = ranges(self.start[new], n)
         doc = np.repeat(self.block[new] * np.int32(BLOCK), n) + self.low[at]
+        self.doc[at], self.impact[at], self.ready[new] = doc, self._impacts(at, doc), True
+
+    def _impacts(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Impacts of postings in double precision."""
         tf = self.tf[at].astype(np.float64)
-        self.doc[at], self.impact[at], self.ready[new] = doc, tf * (K1 + 1) / (tf + self.norm[doc]), True
+        return tf * (K1 + 1) / (tf + self.norm[doc])
 
     def _postings(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the postings of directory entries lie, in a row, and how many each entry has."""
@@ -167,21 +182,23 @@ class Shard:
     def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for whole lists of terms."""
         new = terms[~self.ready_terms[terms]]
-        self._decode(ranges(self.dir_start[new], self.dir_size[new]))
-        self.ready_terms[new] = True
+        if len(new):
+            new = np.unique(new)
+            self._decode(ranges(self.dir_start[new], self.dir_size[new]))
+            self.ready_terms[new] = True
         n = self.df[terms]
         at = ranges(self.start[self.dir_start[terms]], n)
         self.read += len(at)
         return at, n
 
     def rows(self, terms: np.ndarray) -> np.ndarray:
-        """Where `dense` holds the impacts of terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
+        """Where `dense` holds the impacts of different terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
         new = terms[self.row[terms] < 0]
-        if len(new) and self.n_rows and (self.n_rows + len(new)) * self.n_docs > 16_000_000:
+        if len(new) and self.n_rows and (self.n_rows + len(new)) * self.n_docs > ROWS:
             self.row[:], self.n_rows, new = -1, 0, terms
         if (more := self.n_rows + len(new) - len(self.dense)) > 0:
             more = max(more, len(self.dense))
-            self.dense, self.tops = (np.concatenate([x, np.zeros((more, x.shape[1]))]) for x in (self.dense, self.tops))
+            self.dense, self.tops = (np.concatenate([x, np.zeros((more, x.shape[1]), np.float32)]) for x in (self.dense, self.tops))
         for t in new.tolist():
             r = self.row[t] = self.n_rows
             self.n_rows += 1
@@ -192,106 +209,153 @@ class Shard:
             self.dense[r, self.doc[at]] = self.impact[at]
         return self.row[terms]
 
-    def _sums(self, at: np.ndarray, n: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weighted impacts of runs of postings, added up by document."""
-        return np.bincount(self.doc[at], np.repeat(weights, n) * self.impact[at], self.n_docs).astype(np.float64, copy=False)
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The numbers of terms in this shard, or -1."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
 
-    def full(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of documents by all terms, added up one by one in the order of their hashes, which is the same in every shard."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the k best (score, then smaller id) for one query, over documents with any of its different terms."""
         order = np.argsort(terms)
-        terms, weights = terms[order], weights[order]
-        parts = np.zeros((len(terms), len(docs)))
-        dense = self.row[terms] >= 0
-        parts[dense] = weights[dense, None] * self.dense[self.row[terms[dense], None], docs]
-        self.read += int(dense.sum()) * len(docs)
-        rest = np.flatnonzero(~dense)
-        blocks, of = np.unique(docs // BLOCK, return_inverse=True)
-        wanted = (terms[rest, None] * max(1, self.n_blocks) + blocks).ravel()
-        at = np.searchsorted(self.places, wanted)
-        hit = np.flatnonzero(self.places[np.minimum(at, len(self.places) - 1)] == wanted)
-        at, n = self._postings(at[hit])
-        place = np.full(len(blocks) * BLOCK, -1)
-        place[of * BLOCK + docs % BLOCK] = np.arange(len(docs))
-        mine = place[np.repeat(hit % max(1, len(blocks)), n) * BLOCK + self.doc[at] % BLOCK]
-        term = rest[np.repeat(hit // max(1, len(blocks)), n)]
-        ours = mine >= 0
-        parts[term[ours], mine[ours]] = weights[term[ours]] * self.impact[at[ours]]
-        return np.add.reduce(parts, axis=0)
+        _, ids, score = self.best(np.array([len(terms)]), self.find(terms)[order], weights[order], k, np.zeros(1), prune)
+        return ids, score
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and scores of the k best (score, then smaller id), over documents with any of the terms."""
-        at = np.searchsorted(self.terms, terms)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
+    def best(self, ends: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray, prune: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best documents of every query, of those that score `least` of the query or more: query, doc_id, score; queries in order, the best first.
+
+        `at` has the terms of all queries in a row, by number and in order, -1 where the shard has none, and `ends` where a query's end.
+        """
+        known = at >= 0
+        ends = np.concatenate([[0], np.cumsum(known)])[ends]
         at, weights = at[known], weights[known]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        rare_first = np.argsort(self.df[at], kind="stable")
-        docs = self._pivots(at[rare_first], weights[rare_first], k) if prune and self.n_docs > 4 * k else np.arange(self.n_docs)
-        score = self.full(docs, at, weights)
-        docs, score = docs[score > 0], score[score > 0]
-        if len(docs) > k:
-            stay = score >= np.partition(score, -k)[-k]
-            docs, score = docs[stay], score[stay]
-        order = np.lexsort((self.ids[docs], -score))[:k]
-        return self.ids[docs[order]], score[order]
-
-    def _pivots(self, at: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        """Documents that include the k best and all that tie with them; terms come rarest first."""
-        df = self.df[at]
-        whole, blocks = np.searchsorted(df, [WHOLE * self.n_docs, BLOCKS * self.n_docs], "right").tolist()
-        sums = self._sums(*self._lists(at[:whole]), weights[:whole])
-        size = self.dir_size[at[whole:blocks]]
-        entry, weight = ranges(self.dir_start[at[whole:blocks]], size), np.repeat(weights[whole:blocks], size)
-        rows, often = self.rows(at[blocks:]), weights[blocks:]
-        #: What all frequent terms can add to a document of each block.
-        weight_of_row = np.zeros(self.n_rows)
-        weight_of_row[rows] = often
-        most = weight_of_row @ self.tops[: self.n_rows]
-        docs = np.arange(self.n_docs)
-
-        def spread(by_block: np.ndarray) -> np.ndarray:
-            """A value of each block for all of its documents."""
-            return np.repeat(by_block, BLOCK)[: self.n_docs]
-
-        def best(hope: np.ndarray, docs: np.ndarray, score: np.ndarray) -> float:
-            """What the k-th best score is at least, by the most promising documents without the lists that are read by blocks."""
-            if len(docs) < k:
-                return 0.0
-            n = min(4 * k, len(docs))
-            probe = np.argpartition(hope, -n)[-n:]
-            self.read += n * len(often)
-            # The margin is for rounding: documents on the threshold must stay, for ties.
-            return float(np.partition(score[probe] + often @ self.dense[rows[:, None], docs[probe]], -k)[-k]) * (1 - 1e-9)
-
-        least, score = 0.0, sums
-        if len(entry):
-            block = self.block[entry]
-            hope = sums + spread(most + np.bincount(block, weight * self.most[entry], self.n_blocks))
-            least = best(hope, docs, sums)
-            live = np.zeros(self.n_blocks * BLOCK, bool)
-            live[: self.n_docs] = hope >= least
-            live = live.reshape(-1, BLOCK).any(axis=1)
-            mine = live[block]
-            sums += self._sums(*self._postings(entry[mine]), weight[mine])
-            docs = np.flatnonzero(spread(live))
-            score = sums[docs]
-        hope = score + most[docs // BLOCK]
-        least = max(least, best(hope, docs, score))
-        stay = hope >= least
-        docs, score = docs[stay], score[stay]
-        # What the frequent terms from each group on can add to a document of each block.
-        starts = np.arange(0, len(rows), GROUP)
-        ahead = np.cumsum(np.add.reduceat(often[:, None] * self.tops[rows], starts)[::-1], axis=0)[::-1] if len(rows) else most[None]
-        for i in starts.tolist():
-            if i:
-                stay = score + ahead[i // GROUP][docs // BLOCK] >= least
-                docs, score = docs[stay], score[stay]
-            mine = rows[i : i + GROUP]
-            self.read += len(docs) * len(mine)
-            score = score + often[i : i + GROUP] @ self.dense[mine[:, None], docs]
-        if len(docs) > k:
-            docs = docs[score >= np.partition(score, -k)[-k] * (1 - 1e-9)]
-        return docs
+        sizes = np.diff(ends, prepend=0)
+        if prune and self.n_docs > 4 * k:
+            query, docs = self._pivots(sizes, at, weights, k, least)
+            score = self._scores(query, docs, ends - sizes, sizes, at, weights)
+        else:
+            found = [self._all(at[e - n : e], weights[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            query = np.repeat(np.arange(len(ends)), [len(d) for d, _ in found])
+            docs, score = (np.concatenate([x[i] for x in found] or [np.zeros(0)]) for i in (0, 1))
+        stay = (score > 0) & (score >= least[query])
+        query, ids, score = query[stay], self.ids[docs[stay].astype(np.int64)], score[stay]
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        first = _starts(query)
+        stay = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+        return query[stay], ids[stay], score[stay]
+
+    def _all(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All documents and their scores, by whole lists, added up in the order of terms."""
+        at, n = self._lists(terms)
+        doc = self.doc[at]
+        return np.arange(self.n_docs), np.bincount(doc, np.repeat(weights, n) * self._impacts(at, doc), self.n_docs).astype(np.float64, copy=False)
+
+    def _scores(self, query: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of documents by all terms of their query, added up one by one in the order of the terms' hashes, which is the same in every shard."""
+        out, i = np.zeros(len(docs)), 0
+        upto = np.cumsum(sizes[query])
+        while i < len(docs):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+            n = sizes[query[i:j]]
+            term = ranges(starts[query[i:j]], n)
+            pair = np.repeat(np.arange(j - i), n)
+            wanted = terms[term] * max(1, self.n_blocks) + (docs[i:j] // BLOCK)[pair]
+            entry = np.searchsorted(self.places, wanted)
+            hit = np.flatnonzero(self.places[np.minimum(entry, len(self.places) - 1)] == wanted)
+            at, n = self._postings(entry[hit])
+            pair, weight = np.repeat(pair[hit], n), np.repeat(weights[term[hit]], n)
+            doc = docs[i:j][pair]
+            mine = np.flatnonzero(self.doc[at] == doc)
+            out[i:j] = np.bincount(pair[mine], weight[mine] * self._impacts(at[mine], doc[mine]), j - i)
+            i = j
+        return out
+
+    def _pivots(self, sizes: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and documents that include the k best of each query, and all that tie with them, where these score `least` or more."""
+        width, query = self.n_blocks * BLOCK, np.repeat(np.arange(len(sizes)), sizes)
+        whole, groups = (WHOLE_FEW, GROUPS) if len(sizes) < FEW else (WHOLE, 1)
+        # Frequent terms have a column each, the rarest first, and no more than the bound of rows; lists of the others are read whole.
+        often = np.zeros(len(self.terms), bool)
+        often[at] = True
+        terms = np.flatnonzero(often & (self.df > whole * self.n_docs))
+        terms = terms[np.argsort(self.df[terms], kind="stable")][-max(1, ROWS // width) :]
+        m, rows = max(1, len(terms)), self.rows(terms)
+        column = np.full(len(self.terms), -1)
+        column[terms] = np.arange(len(terms))
+        column = column[at]
+        often, rare = np.flatnonzero(column >= 0), np.flatnonzero(column < 0)
+        column, often_weights, often_ends = column[often], weights[often].astype(np.float32), np.cumsum(np.bincount(query[often], minlength=len(sizes)))
+        often = query[often]
+        rare_sizes = np.bincount(query[rare], minlength=len(sizes))
+        rare, rare_weights, rare_ends = at[rare], weights[rare], np.cumsum(rare_sizes)
+        upto = np.concatenate([[0], np.cumsum(self.df[rare])])[np.concatenate([[0], rare_ends])]
+        #: What rounding to single precision may take from a sum, as a share.
+        slack = 2.4e-7 * (m + 16)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        together = min(TOGETHER, max(1, 16 * STEP // max(m, width)))
+        for i in range(0, len(sizes), together):
+            j = min(i + together, len(sizes))
+            sums = np.empty((j - i, width), np.float32)
+            x = i
+            while x < j:
+                # As many queries as have their rare lists in a step.
+                y = min(j, max(x + 1, int(np.searchsorted(upto, upto[x] + STEP, "right")) - 1))
+                a, b = (int(rare_ends[x - 1]) if x else 0), int(rare_ends[y - 1])
+                where, n = self._lists(rare[a:b])
+                of = np.repeat(np.repeat(np.arange(y - x) * width, rare_sizes[x:y]), n)
+                of += self.doc[where]
+                sums[x - i : y - i] = np.bincount(of, np.repeat(rare_weights[a:b], n) * self.impact[where], (y - x) * width).reshape(y - x, width)
+                x = y
+            a, b = (int(often_ends[i - 1]) if i else 0), int(often_ends[j - 1])
+            mine, at_mine = np.unique(column[a:b], return_inverse=True)
+            matrix = np.zeros((j - i, len(mine)), np.float32)
+            matrix[often[a:b] - i, at_mine] = often_weights[a:b]
+            found += [(q + i, d) for q, d in self._pivots_of(sums, matrix, rows[mine], groups, k, least[i:j] * (1 - slack), slack)]
+        return np.concatenate([np.zeros(0, np.int64), *[q for q, _ in found]]), np.concatenate([np.zeros(0, np.int64), *[d for _, d in found]])
+
+    def _pivots_of(self, sums: np.ndarray, matrix: np.ndarray, rows: np.ndarray, groups: int, k: int, least: np.ndarray, slack: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for queries that go together, by their documents' scores without the terms of the rows, and the weights of these."""
+        cuts = [len(rows) * g // groups for g in range(groups + 1)]
+        #: What the terms from each group on can add to a document of each block.
+        ahead = np.zeros((groups + 1, len(sums), self.n_blocks), np.float32)
+        for g in range(groups - 1, -1, -1):
+            ahead[g] = ahead[g + 1] + matrix[:, cuts[g] : cuts[g + 1]] @ self.tops[rows[cuts[g] : cuts[g + 1]]]
+
+        def kth(score: np.ndarray) -> np.ndarray:
+            """What the k-th best scores are at least, as documents on the threshold must stay, for ties."""
+            return np.partition(score, -k, axis=-1)[..., -k] * (1 - slack)
+
+        new = np.flatnonzero(least == 0)
+        if len(new):
+            # Without a threshold the most promising documents are scored first.
+            least = least.copy()
+            for q in new.tolist():
+                hope = sums[q, : self.n_docs] + np.repeat(ahead[0, q], BLOCK)[: self.n_docs]
+                probe, own = np.argpartition(hope, -4 * k)[-4 * k :], np.flatnonzero(matrix[q])
+                self.read += len(probe) * len(own)
+                least[q] = kth(sums[q, probe] + matrix[q, own] @ self.dense[rows[own, None], probe])
+        highest = sums.ravel()
+        for _ in range(BLOCK.bit_length() - 1):
+            highest = np.maximum(highest[::2], highest[1::2])
+        least = least.astype(np.float32)[:, None] * np.float32(1 - 1e-6)
+        blocks = np.flatnonzero((highest.reshape(len(sums), -1) + ahead[0] >= least).any(axis=0))
+        docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        score = sums[:, docs]
+        # Rows are cut out by blocks, as that copies eight values at a time.
+        table = self.dense.reshape(len(self.dense), self.n_blocks, BLOCK)[rows[:, None], blocks].reshape(len(rows), len(docs))
+        for g in range(groups):
+            a, b = cuts[g], cuts[g + 1]
+            if groups > 1:
+                stay = np.flatnonzero((score + ahead[g][:, docs // BLOCK] >= least).any(axis=0))
+                docs, score, table = docs[stay], score[:, stay], table[:, stay]
+            self.read += len(docs) * (b - a)
+            score += matrix[:, a:b] @ table[a:b]
+        if len(new) and len(docs) > k:
+            least[new] = np.maximum(least[new], kth(score[new])[:, None])
+        query, at = np.nonzero((score >= least) & (score > 0))
+        return [(query, docs[at])]
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,30 +382,52 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: i
     returned as null.
 
     Queries are sent to the shards in blocks: as many as have terms of `bytes_per_block` bytes, or a
-    single larger one. A block's answers are merged and kept in the shared folder, and what was sent for
-    it is dropped, before the next one goes.
+    single larger one. A block goes to a shard for each core first, then to eight times as many, until all
+    were asked; the k-th best score of each query that was found so far is the threshold of the next shards.
+    Answers are merged and kept in the shared folder after each of these rounds, and what was sent for a
+    block is dropped before the next one goes.
     """
     spark = index.sparkSession
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "text").distinct()
     bags = checkpointed(asked.mapInArrow(_bags, _QUERY))
     total = bags.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-2 * total // bytes_per_block))
-    n_docs, n_tokens = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    n_docs, n_tokens, n_shards, n_parts = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*"), F.coalesce(F.max("part") + 1, F.lit(0))).first()
+    rounds = _rounds(n_shards, n_parts, spark.sparkContext.defaultParallelism)
     order = F.desc("score"), "doc_id"
     # The best of all shards meet in two steps, so that many shards do not make one long window.
     some, best = W.partitionBy("query_id", "heap").orderBy(*order), W.partitionBy("query_id").orderBy(*order)
     found = None
     for block in range(n_blocks):
         rows = bags.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).select("query_id", "terms", "counts").collect()
-        answers, sent = _search_block(spark, index, rows, k, n_docs, n_tokens / max(1, n_docs))
-        near = answers.withColumn("heap", F.spark_partition_id() % 64).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k)
-        part = checkpointed(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"))
-        for b in sent:
-            b.destroy()
+        plan = _plan(spark, index, rows, n_docs)
+        shared, part, least = spark.sparkContext.broadcast(plan), None, np.zeros(len(plan[0]))
+        for i, shards in enumerate(rounds):
+            answers, sent = _answers(index.where(shards), shared, least, k, n_tokens / max(1, n_docs))
+            near = answers.withColumn("heap", F.spark_partition_id() % 64).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k).select("query_id", "doc_id", "score")
+            near = near if part is None else near.unionByName(part.select("query_id", "doc_id", "score"))
+            part = checkpointed(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score"))
+            sent.destroy()
+            if i + 1 < len(rounds):
+                kth = dict(part.where(F.col("rank") == k).select("query_id", "score").collect())
+                least = np.array([kth.get(q, 0.0) for q in plan[0].tolist()])
+        shared.destroy()
         found = part if found is None else found.union(part)
     return found.select("query_id", "rank", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), "score")
 
 
+def _rounds(n_shards: int, n_parts: int, n_tasks: int) -> list[Column]:
+    """Conditions on the shards that are asked together: one of every so many partitions for each task, then eight times as many partitions, and so on."""
+    if n_shards <= n_tasks:
+        return [F.lit(True)]
+    every = -(-n_parts // n_tasks)
+    number, n = F.when((F.col("place") == 0) & (F.col("part") % every == 0), 0), 1
+    while (every := every // 8) > 1:
+        number, n = number.when(F.col("part") % every == 0, n), n + 1
+    number = number.otherwise(n)
+    return [number == i for i in range(n + 1)]
+
+
 def _frequencies(index: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarray:
     """The number of documents with each term of a sorted vocabulary, added up in parts over the shards."""
     n_parts = -(-size // _PART)
@@ -377,8 +463,11 @@ def _frequencies(index: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarr
     return out[:size]
 
 
-def _search_block(spark: SparkSession, index: DataFrame, rows: list, k: int, n_docs: int, mean_length: float) -> tuple[DataFrame, list[Broadcast]]:
-    """The best documents of every shard for one block of queries, and the broadcasts that it needs until it is computed."""
+def _plan(spark: SparkSession, index: DataFrame, rows: list, n_docs: int) -> tuple[np.ndarray, ...]:
+    """Queries for all shards: ids, where the terms of each end, the different terms that there are, and for every query in a row their numbers, in order, and weights.
+
+    Queries of one most frequent term go one after the other, as they have others in common as well.
+    """
     asked: list[tuple[int, np.ndarray, np.ndarray]] = []
     for r in sorted(rows):
         qid, t, c = r["query_id"], np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<u4")
@@ -390,22 +479,35 @@ def _search_block(spark: SparkSession, index: DataFrame, rows: list, k: int, n_d
     vocabulary = np.unique(np.concatenate([q[1] for q in asked])) if asked else np.zeros(0, "<u8")
     words = spark.sparkContext.broadcast(vocabulary)
     n = _frequencies(index, words, len(vocabulary))
+    words.destroy()
     terms, n = vocabulary[n > 0], n[n > 0]
     idf = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
     plan = []
     for qid, t, c in asked:
         at = np.searchsorted(terms, t)
         ok = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == t) if len(terms) else np.zeros(len(t), bool)
-        rare_first = np.lexsort((t[ok], n[at[ok]]))
-        plan.append((qid, t[ok][rare_first], (idf[at[ok]] * c[ok])[rare_first]))
-    shared = spark.sparkContext.broadcast(plan)
+        at = at[ok]
+        plan.append((int(at[np.argmax(n[at])]) if len(at) else -1, len(at), qid, at.astype(np.int32), idf[at] * c[ok]))
+    plan.sort(key=lambda q: q[:3])
+    ids, sizes = np.array([q[2] for q in plan], np.int64), np.array([q[1] for q in plan], np.int64)
+    return ids, np.cumsum(sizes), terms, np.concatenate([np.zeros(0, np.int32), *[q[3] for q in plan]]), np.concatenate([np.zeros(0), *[q[4] for q in plan]])
+
+
+def _answers(index: DataFrame, shared: Broadcast, least: np.ndarray, k: int, mean_length: float, at_once: int = 4096) -> tuple[DataFrame, Broadcast]:
+    """The best documents of every shard for a block of queries, of those that reach its thresholds, and the broadcast that it needs until it is computed."""
+    known = index.sparkSession.sparkContext.broadcast(least)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+        ids, ends, terms, of, weights = shared.value
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.slice(i, 1).to_pylist()[0], mean_length)
-                got = [(q, *shard.top(t, w, k)) for q, t, w in shared.value]
-                yield arrow({"query_id": np.repeat([q for q, _, _ in got], [len(i) for _, i, _ in got]), "doc_id": np.concatenate([i for _, i, _ in got] or [[]]), "score": np.concatenate([s for _, _, s in got] or [[]])}, schema)
-
-    return index.mapInArrow(answer, "query_id long, doc_id long, score double"), [words, shared]
+                at = shard.find(terms)
+                for q in range(0, len(ids), at_once):
+                    some = slice(q, q + at_once)
+                    x, y = int(ends[q - 1]) if q else 0, int(ends[some][-1])
+                    query, doc, score = shard.best(ends[some] - x, at[of[x:y]], weights[x:y], k, known.value[some])
+                    yield arrow({"query_id": ids[some][query], "doc_id": doc, "score": score}, schema)
+
+    return index.mapInArrow(answer, "query_id long, doc_id long, score double"), known
