@@ -70,8 +70,12 @@ def _starts(x: np.ndarray) -> np.ndarray:
 def _index_shard(ids: np.ndarray, tok: np.ndarray, lengths: np.ndarray) -> dict:
     """The arrays of one shard out of its documents' tokens in a row."""
     n = max(1, len(ids))
-    terms, key = np.unique(tok, return_inverse=True)
-    key *= n
+    coded = pa.array(tok.astype(np.uint64, copy=False)).dictionary_encode()
+    terms = coded.dictionary.to_numpy()
+    by = np.argsort(terms)
+    number = np.empty(len(terms), np.int64)
+    terms, number[by] = terms[by], np.arange(len(terms)) * n
+    key = number[coded.indices.to_numpy()]
     key += np.repeat(np.arange(len(ids)), lengths)
     key.sort()
     at = _starts(key)
@@ -85,8 +89,14 @@ def _index_shard(ids: np.ndarray, tok: np.ndarray, lengths: np.ndarray) -> dict:
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
     key = term * n + rank[doc]
-    by = np.argsort(key)
-    tf, doc, term = tf[by], rank[doc][by], term[by]
+    # Frequencies go into the lower bits where there is room, as sorting is faster than looking for an order.
+    if (bits := int(tf.max(initial=0)).bit_length()) + (len(terms) * n).bit_length() < 64:
+        key = np.sort(key << bits | tf)
+        key, tf = key >> bits, key & ((1 << bits) - 1)
+    else:
+        by = np.argsort(key)
+        key, tf = key[by], tf[by]
+    term, doc = np.divmod(key, n)
     at = _starts(term * n + doc // BLOCK)
     row = {
         "doc_ids": ids[order], "lengths": lengths[order], "terms": terms, "dir_sizes": np.bincount(term[at], minlength=len(terms)), "dir_block": doc[at] // BLOCK, "dir_n": np.diff(np.append(at, len(doc))),
@@ -143,8 +153,8 @@ class Shard:
         self.block, self.n = a["dir_block"], a["dir_n"].astype(np.int32)
         self.start = np.cumsum(self.n, dtype=np.int64) - self.n
         self.df = np.add.reduceat(self.n, self.dir_start, dtype=np.int64) if len(self.terms) else self.dir_size
-        #: Terms and blocks of the directory, in order.
-        self.places = np.repeat(np.arange(len(self.terms)) * max(1, self.n_blocks), self.dir_size) + self.block
+        #: Terms and blocks of the directory, in order; documents and terms of all postings, in order, and their frequencies. Both are made when they are first needed.
+        self.places = self.by_doc = self.by_doc_tf = None
         least = np.minimum.reduceat(self.norm, np.arange(0, self.n_docs, BLOCK)) if self.n_docs else self.norm
         most = a["dir_tf"].astype(np.float64)
         self.most = (most * (K1 + 1) / (most + least[self.block])).astype(np.float32)
@@ -152,6 +162,8 @@ class Shard:
         #: Documents and impacts of the postings, for the directory's entries that were decoded.
         self.doc, self.impact = np.empty(len(self.tf), np.int32), np.empty(len(self.tf), np.float32)
         self.ready, self.ready_terms = np.zeros(len(self.n), bool), np.zeros(len(self.terms), bool)
+        #: The same side by side as bytes of each list, for terms that were read whole: these are put in a row far faster than arrays are.
+        self.lists, self.cut = [b""] * len(self.terms), np.zeros(len(self.terms), bool)
         self.row = np.full(len(self.terms), -1)
         self.dense, self.tops, self.n_rows = np.zeros((0, self.n_blocks * BLOCK), np.float32), np.zeros((0, self.n_blocks), np.float32), 0
         self.read = 0
@@ -180,17 +192,28 @@ class Shard:
         return at, n
 
     def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for whole lists of terms."""
+        """The same for whole lists of different terms."""
         new = terms[~self.ready_terms[terms]]
-        if len(new):
-            new = np.unique(new)
-            self._decode(ranges(self.dir_start[new], self.dir_size[new]))
-            self.ready_terms[new] = True
+        self._decode(ranges(self.dir_start[new], self.dir_size[new]))
+        self.ready_terms[new] = True
         n = self.df[terms]
         at = ranges(self.start[self.dir_start[terms]], n)
         self.read += len(at)
         return at, n
 
+    def _cut(self, terms: np.ndarray) -> None:
+        """Decodes whole lists and cuts them out of the postings."""
+        new = self.cut.copy()
+        new[terms] = True
+        new = np.flatnonzero(new & ~self.cut)
+        self.cut[new] = True
+        self._decode(ranges(self.dir_start[new], self.dir_size[new]))
+        n = self.df[new]
+        at = ranges(self.start[self.dir_start[new]], n)
+        pairs, ends = np.stack([self.doc[at], self.impact[at].view(np.int32)], axis=1), np.cumsum(n)
+        for t, a, b in zip(new.tolist(), (ends - n).tolist(), ends.tolist(), strict=True):
+            self.lists[t] = pairs[a:b].tobytes()
+
     def rows(self, terms: np.ndarray) -> np.ndarray:
         """Where `dense` holds the impacts of different terms by document, and `tops` their block maxima; kept for the next queries up to a bound."""
         new = terms[self.row[terms] < 0]
@@ -254,24 +277,45 @@ class Shard:
 
     def _scores(self, query: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores of documents by all terms of their query, added up one by one in the order of the terms' hashes, which is the same in every shard."""
-        out, i = np.zeros(len(docs)), 0
+        out, i, find = np.zeros(len(docs)), 0, self._in_lists if len(sizes) < FEW else self._in_docs
         upto = np.cumsum(sizes[query])
         while i < len(docs):
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
             n = sizes[query[i:j]]
-            term = ranges(starts[query[i:j]], n)
-            pair = np.repeat(np.arange(j - i), n)
-            wanted = terms[term] * max(1, self.n_blocks) + (docs[i:j] // BLOCK)[pair]
-            entry = np.searchsorted(self.places, wanted)
-            hit = np.flatnonzero(self.places[np.minimum(entry, len(self.places) - 1)] == wanted)
-            at, n = self._postings(entry[hit])
-            pair, weight = np.repeat(pair[hit], n), np.repeat(weights[term[hit]], n)
-            doc = docs[i:j][pair]
-            mine = np.flatnonzero(self.doc[at] == doc)
-            out[i:j] = np.bincount(pair[mine], weight[mine] * self._impacts(at[mine], doc[mine]), j - i)
+            term, pair = ranges(starts[query[i:j]], n), np.repeat(np.arange(j - i), n)
+            hit, tf = find(terms[term], docs[i:j][pair])
+            pair, tf = pair[hit], tf.astype(np.float64)
+            out[i:j] = np.bincount(pair, weights[term[hit]] * (tf * (K1 + 1) / (tf + self.norm[docs[i:j][pair]])), j - i)
             i = j
         return out
 
+    def _in_lists(self, terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of terms and documents have a posting, and its frequency, by the lists' directory."""
+        if self.places is None:
+            self.places = np.repeat(np.arange(len(self.terms)) * self.n_blocks, self.dir_size) + self.block
+        wanted = terms * self.n_blocks + docs // BLOCK
+        entry = np.searchsorted(self.places, wanted)
+        hit = np.flatnonzero(self.places[np.minimum(entry, len(self.places) - 1)] == wanted)
+        at, n = self._postings(entry[hit])
+        hit = np.repeat(hit, n)
+        mine = self.doc[at] == docs[hit]
+        return hit[mine], self.tf[at[mine]]
+
+    def _in_docs(self, terms: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the terms of each document, for which all postings are read once."""
+        if self.by_doc is None:
+            self._decode(np.arange(len(self.n)))
+            by = np.argsort(self.doc if self.n_docs > 1 << 16 else self.doc.astype(np.uint16), kind="stable")
+            self.by_doc = self.doc[by] * np.int64(len(self.terms))
+            self.by_doc += np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)[by]
+            self.by_doc_tf = self.tf[by]
+            self.read += len(by)
+        wanted = docs * len(self.terms) + terms
+        at = np.minimum(np.searchsorted(self.by_doc, wanted), len(self.by_doc) - 1)
+        hit = np.flatnonzero(self.by_doc[at] == wanted)
+        self.read += len(hit)
+        return hit, self.by_doc_tf[at[hit]]
+
     def _pivots(self, sizes: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Queries and documents that include the k best of each query, and all that tie with them, where these score `least` or more."""
         width, query = self.n_blocks * BLOCK, np.repeat(np.arange(len(sizes)), sizes)
@@ -289,8 +333,9 @@ class Shard:
         column, often_weights, often_ends = column[often], weights[often].astype(np.float32), np.cumsum(np.bincount(query[often], minlength=len(sizes)))
         often = query[often]
         rare_sizes = np.bincount(query[rare], minlength=len(sizes))
-        rare, rare_weights, rare_ends = at[rare], weights[rare], np.cumsum(rare_sizes)
-        upto = np.concatenate([[0], np.cumsum(self.df[rare])])[np.concatenate([[0], rare_ends])]
+        rare, rare_weights, rare_ends = at[rare], weights[rare].astype(np.float32), np.cumsum(rare_sizes)
+        self._cut(rare)
+        lengths, rare = self.df[rare], rare.tolist()
         #: What rounding to single precision may take from a sum, as a share.
         slack = 2.4e-7 * (m + 16)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -298,16 +343,13 @@ class Shard:
         for i in range(0, len(sizes), together):
             j = min(i + together, len(sizes))
             sums = np.empty((j - i, width), np.float32)
-            x = i
-            while x < j:
-                # As many queries as have their rare lists in a step.
-                y = min(j, max(x + 1, int(np.searchsorted(upto, upto[x] + STEP, "right")) - 1))
-                a, b = (int(rare_ends[x - 1]) if x else 0), int(rare_ends[y - 1])
-                where, n = self._lists(rare[a:b])
-                of = np.repeat(np.repeat(np.arange(y - x) * width, rare_sizes[x:y]), n)
-                of += self.doc[where]
-                sums[x - i : y - i] = np.bincount(of, np.repeat(rare_weights[a:b], n) * self.impact[where], (y - x) * width).reshape(y - x, width)
-                x = y
+            for q in range(i, j):
+                b = int(rare_ends[q])
+                a = b - int(rare_sizes[q])
+                pairs = np.frombuffer(b"".join([self.lists[t] for t in rare[a:b]]), np.int32).reshape(-1, 2)
+                docs, impacts = pairs[:, 0], pairs[:, 1].view(np.float32)
+                sums[q - i] = np.bincount(docs, impacts * np.repeat(rare_weights[a:b], lengths[a:b]), width)
+                self.read += len(docs)
             a, b = (int(often_ends[i - 1]) if i else 0), int(often_ends[j - 1])
             mine, at_mine = np.unique(column[a:b], return_inverse=True)
             matrix = np.zeros((j - i, len(mine)), np.float32)
@@ -371,7 +413,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield arrow({"query_id": part.column("query_id"), "terms": terms, "counts": counts, "size": [len(t) for t in terms]}, schema)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: int = 16 << 20) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: int = 64 << 20) -> DataFrame:
     """The k best documents for each query text (query_id, text): query_id, rank, doc_id, score.
 
     Scores are BM25 with k1 1.2 and b 0.75 and idf ln(1 + (N - n + 0.5) / (n + 0.5)); a query's word
@@ -382,8 +424,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: i
     returned as null.
 
     Queries are sent to the shards in blocks: as many as have terms of `bytes_per_block` bytes, or a
-    single larger one. A block goes to a shard for each core first, then to eight times as many, until all
-    were asked; the k-th best score of each query that was found so far is the threshold of the next shards.
+    single larger one. A block goes to a shard for each core first, then to more and more, until all were
+    asked; the k-th best score of each query that was found so far is the threshold of the next shards.
     Answers are merged and kept in the shared folder after each of these rounds, and what was sent for a
     block is dropped before the next one goes.
     """
@@ -417,15 +459,16 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, bytes_per_block: i
 
 
 def _rounds(n_shards: int, n_parts: int, n_tasks: int) -> list[Column]:
-    """Conditions on the shards that are asked together: one of every so many partitions for each task, then eight times as many partitions, and so on."""
+    """Conditions on the shards that are asked together: the first of so many partitions as there are tasks, then of eight times as many, and so on; then all others."""
     if n_shards <= n_tasks:
         return [F.lit(True)]
-    every = -(-n_parts // n_tasks)
-    number, n = F.when((F.col("place") == 0) & (F.col("part") % every == 0), 0), 1
-    while (every := every // 8) > 1:
-        number, n = number.when(F.col("part") % every == 0, n), n + 1
-    number = number.otherwise(n)
-    return [number == i for i in range(n + 1)]
+    every = [-(-n_parts // n_tasks)]
+    while every[-1] >= 16:
+        every.append(every[-1] // 8)
+    if every[-1] > 1 and n_shards * every[-1] > 16 * n_parts:
+        every.append(1)
+    number = F.coalesce(*[F.when((F.col("place") == 0) & (F.col("part") % n == 0), i) for i, n in enumerate(every)], F.lit(len(every)))
+    return [number == i for i in range(len(every) + 1)]
 
 
 def _frequencies(index: DataFrame, vocabulary: Broadcast, size: int) -> np.ndarray:
